@@ -1 +1,153 @@
-"""Placeholder, filled in below."""
+"""Scaling, sampling, scoring, naming, metric and model-fitting queries."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..functions import columns as C
+from ..operators import cluster as K
+from ..operators import evaluate as EV
+from ..operators import naming as NM
+from ..operators import sampling as SM
+from ..operators import scaling as SC
+from ..operators import scoring as SCO
+from ..sources import adapter
+from .catalog import register
+
+Z = [f"z_{f}" for f in S.FEATURES]
+SAMPLE_QUERY_N = 500  # size of the registered sampling query
+
+
+# ---- S-1, J1, J2 -----------------------------------------------------------
+@register("exact_sample")
+def q_exact_sample(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    return SM.exact_sample(cust, SAMPLE_QUERY_N)
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    z = SC.standard_scale_lazy(adapter.customers(spark, sf_dir))
+    return z.select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
+
+
+@register("robust_scale")
+def q_robust_scale(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    rs = SC.fit_robust(cust)
+    return rs.transform(cust, prefix="r_").select(
+        S.CUSTOMER_ID, *[F.round(f"r_{f}", 6).alias(f"r_{f}") for f in S.FEATURES])
+
+
+# ---- F6, F1, C12, K15, K16 ------------------------------------------------
+def _fixed_model(cust: DataFrame) -> SCO.SegmentModel:
+    return SCO.fixed_center_model(SC.fit_standard(cust))
+
+
+@register("nearest_centroid")
+def q_nearest_centroid(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    model = _fixed_model(cust)
+    return SCO.assign(cust, model, scaled=False).select(S.CUSTOMER_ID, "cluster", "d2")
+
+
+@register("label_join")
+def q_label_join(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    model = _fixed_model(cust)
+    return SCO.label(SCO.assign(cust, model, scaled=False).select(S.CUSTOMER_ID, "cluster"), model)
+
+
+@register("score_requests_validated")
+def q_score_requests_validated(spark, sf_dir):
+    return SCO.validate_requests(adapter.score_requests(spark, sf_dir))
+
+
+def _scored_requests(spark, sf_dir) -> DataFrame:
+    model = _fixed_model(adapter.customers(spark, sf_dir))
+    req = SCO.validate_requests(adapter.score_requests(spark, sf_dir)).filter(F.col("reject_reason").isNull())
+    return SCO.score(req, model, cols=["income", "score"])
+
+
+@register("score_requests")
+def q_score_requests(spark, sf_dir):
+    return _scored_requests(spark, sf_dir).select("request_id", "cluster", "segment", "dist", "confidence")
+
+
+@register("prediction_confidence")
+def q_prediction_confidence(spark, sf_dir):
+    return _scored_requests(spark, sf_dir).select("request_id", "confidence")
+
+
+@register("score_with_similar")
+def q_score_with_similar(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    model = _fixed_model(cust)
+    cust_scored = SCO.assign(cust, model)
+    req = SCO.validate_requests(adapter.score_requests(spark, sf_dir)).filter(F.col("reject_reason").isNull())
+    req = req.withColumnRenamed("income", S.INCOME).withColumnRenamed("score", S.SCORE)
+    out = SCO.score_with_similar(req, cust_scored, model)
+    return out.select("request_id", "cluster", "segment", "color", "strategy", "action", "rfm_behavior",
+                      "confidence", "similar")
+
+
+# ---- K7-K10 on fixed labels -----------------------------------------------
+@register("inertia")
+def q_inertia(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    model = _fixed_model(cust)
+    return EV.inertia(SCO.assign(cust, model)).select(F.round("inertia", 6).alias("inertia"))
+
+
+def _metric_sample(spark, sf_dir) -> DataFrame:
+    """Rule-segmented customers, standardised by full-table moments, S-1 sample of 2500."""
+    cust = adapter.customers(spark, sf_dir)
+    scaler = SC.fit_standard(cust)
+    sample = SM.exact_sample(cust.withColumn("segment", C.rule_segment()), S.METRIC_SAMPLE_SIZE)
+    return scaler.transform(sample)
+
+
+@register("silhouette_euclidean")
+def q_silhouette(spark, sf_dir):
+    s = EV.silhouette_exact(_metric_sample(spark, sf_dir), Z, "segment")
+    return s.select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("davies_bouldin")
+def q_davies_bouldin(spark, sf_dir):
+    return EV.davies_bouldin(_metric_sample(spark, sf_dir), Z, "segment").select(
+        F.round("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+@register("calinski_harabasz")
+def q_calinski_harabasz(spark, sf_dir):
+    return EV.calinski_harabasz(_metric_sample(spark, sf_dir), Z, "segment").select(
+        F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
+
+
+@register("silhouette_sq")
+def q_silhouette_sq(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    scaler = SC.fit_standard(cust)
+    vec = K.vectors(scaler.transform(cust.withColumn("segment", C.rule_segment())), Z)
+    idx = F.when(F.col("segment") == S.SEGMENTS[0], 0)
+    for i, s in enumerate(S.SEGMENTS[1:], start=1):
+        idx = idx.when(F.col("segment") == s, i)
+    vec = vec.withColumn("prediction", idx.cast("int"))
+    value = EV.silhouette_squared(vec)
+    return spark.createDataFrame([(round(value, 6),)], "silhouette_sq double")
+
+
+# ---- K14 naming ------------------------------------------------------------
+@register("greedy_naming")
+def q_greedy_naming(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    model = _fixed_model(cust)
+    cent = (SCO.assign(cust, model, scaled=False).groupBy("cluster")
+            .agg(F.avg(S.INCOME).alias("income"), F.avg(S.SCORE).alias("score"))
+            .checkpoint(eager=True))
+    names = NM.greedy_names(cent)
+    return cent.join(names, "cluster", "inner").select("cluster", "segment", "income", "score")

@@ -1,7 +1,110 @@
-"""Oracle SQL for scoring, sampling and cluster-metric queries (filled in below)."""
+"""Oracle SQL for scaling, sampling, scoring, naming and cluster-metric queries."""
 
 from __future__ import annotations
 
+from .. import schema as S
+from .oracle import MALL, RULE, q
+
+
+def _lit(v: float) -> str:
+    return f"{float(v)!r}e0" if "e" not in repr(float(v)) else repr(float(v))
+
+
+def _dist_terms(x: str, y: str, cx: float, cy: float, sx: str | None, sy: str | None) -> str:
+    dx = f"({x} - {_lit(cx)})" if sx is None else f"(({x} - {_lit(cx)}) / {sx})"
+    dy = f"({y} - {_lit(cy)})" if sy is None else f"(({y} - {_lit(cy)}) / {sy})"
+    return f"({dx} * {dx} + {dy} * {dy})"
+
+
+def _nearest(x: str, y: str, sx: str | None, sy: str | None) -> tuple[str, str]:
+    ds = [_dist_terms(x, y, cx, cy, sx, sy) for _, cx, cy in S.FIXED_CENTERS]
+    m = f"least({', '.join(ds)})"
+    case = "CASE " + " ".join(f"WHEN {d} = {m} THEN {i}" for i, d in enumerate(ds)) + " END"
+    return case, m
+
+
+MOM = "mom AS (SELECT avg(income_k) AS mi, stddev_pop(income_k) AS si, avg(score) AS ms, stddev_pop(score) AS ss FROM mall)"
+CMAP = "(VALUES " + ", ".join(f"({i}, {q(n)})" for i, (n, _, _) in enumerate(S.FIXED_CENTERS)) + ") AS cmap(cluster, segment)"
+REQ = """req AS (SELECT o_orderkey AS request_id, CAST(o_orderkey % 103 AS INT) AS age,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Female' ELSE 'Male' END AS gender,
+  CAST(FLOOR(o_totalprice / 1000) AS DOUBLE) AS income, CAST(o_custkey % 102 AS DOUBLE) AS score FROM orders),
+reqv AS (SELECT *, CASE WHEN age IS NULL OR NOT (age BETWEEN 1 AND 100) THEN %s
+  WHEN income IS NULL OR isnan(income) OR NOT (income BETWEEN 0 AND 300) THEN %s
+  WHEN score IS NULL OR isnan(score) OR NOT (score BETWEEN 1 AND 100) THEN %s END AS reject_reason FROM req)""".replace(
+    "%s", "{}").format(q(S.MSG_REQ_AGE), q(S.MSG_REQ_INCOME), q(S.MSG_REQ_SCORE))
+
+SAMPLE = (f"smp AS (SELECT * FROM mall ORDER BY md5(CAST(customer_id AS VARCHAR) || '{S.SAMPLE_SEED}'), customer_id "
+          f"LIMIT {S.METRIC_SAMPLE_SIZE}),\n"
+          f"z AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {RULE} AS segment "
+          f"FROM smp CROSS JOIN mom)")
+
 
 def model_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    W = f"WITH {MALL}"
+    out["exact_sample"] = f"""{W}
+SELECT customer_id, gender, age, income_k, score FROM mall
+ORDER BY md5(CAST(customer_id AS VARCHAR) || '{S.SAMPLE_SEED}'), customer_id LIMIT 500"""
+    out["standard_scale"] = f"""{W}, {MOM}
+SELECT customer_id, round((income_k - mi) / si, 6) AS z_income_k, round((score - ms) / ss, 6) AS z_score FROM mall CROSS JOIN mom"""
+    out["robust_scale"] = f"""{W}, qs AS (SELECT quantile_cont(income_k, [0.25, 0.5, 0.75]) AS qi, quantile_cont(score, [0.25, 0.5, 0.75]) AS qsc FROM mall)
+SELECT customer_id, round((income_k - qi[2]) / (qi[3] - qi[1]), 6) AS r_income_k,
+  round((score - qsc[2]) / (qsc[3] - qsc[1]), 6) AS r_score FROM mall CROSS JOIN qs"""
+    near_o, d2_o = _nearest("income_k", "score", None, None)
+    out["nearest_centroid"] = f"{W} SELECT customer_id, {near_o} AS cluster, {d2_o} AS d2 FROM mall"
+    out["label_join"] = f"""{W}, n AS (SELECT customer_id, {near_o} AS cluster FROM mall)
+SELECT customer_id, n.cluster, segment FROM n LEFT JOIN {CMAP} ON n.cluster = cmap.cluster"""
+    out["score_requests_validated"] = f"{W}, {REQ} SELECT request_id, age, gender, income, score, reject_reason FROM reqv"
+    near_s, _ = _nearest("income", "score", "si", "ss")
+    cx = "[" + ", ".join(_lit(c[1]) for c in S.FIXED_CENTERS) + "]"
+    cy = "[" + ", ".join(_lit(c[2]) for c in S.FIXED_CENTERS) + "]"
+    scored = f"""{W}, {MOM}, {REQ},
+sc AS (SELECT request_id, income, score, {near_s} AS cluster FROM reqv CROSS JOIN mom WHERE reject_reason IS NULL),
+sd AS (SELECT *, sqrt((income - {cx}[cluster + 1]) * (income - {cx}[cluster + 1]) + (score - {cy}[cluster + 1]) * (score - {cy}[cluster + 1])) AS dist FROM sc),
+sf AS (SELECT sd.*, segment, greatest(0.0, least(100.0, round(100.0 - 2.0 * dist, 1))) AS confidence FROM sd LEFT JOIN {CMAP} ON sd.cluster = cmap.cluster)"""
+    out["score_requests"] = f"{scored} SELECT request_id, cluster, segment, dist, confidence FROM sf"
+    out["prediction_confidence"] = f"{scored} SELECT request_id, confidence FROM sf"
+    _, d2_s = _nearest("income_k", "score", "si", "ss")
+    out["inertia"] = f"{W}, {MOM} SELECT round(SUM({d2_s}), 6) AS inertia FROM mall CROSS JOIN mom"
+
+    Z = f"{W}, {MOM}, {SAMPLE}"
+    out["silhouette_euclidean"] = f"""{Z},
+sz AS (SELECT segment, COUNT(*) AS n FROM z GROUP BY segment),
+p AS (SELECT a.customer_id, a.segment AS la, b.segment AS lb, SUM(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS sd
+      FROM z a JOIN z b ON a.customer_id <> b.customer_id GROUP BY ALL),
+m AS (SELECT p.customer_id, p.la, MAX(CASE WHEN p.la = p.lb THEN sd / (sz.n - 1) END) AS a,
+      MIN(CASE WHEN p.la <> p.lb THEN sd / sz.n END) AS b FROM p JOIN sz ON p.lb = sz.segment GROUP BY ALL),
+s AS (SELECT z.customer_id, CASE WHEN sz.n <= 1 OR m.a IS NULL THEN 0.0 ELSE (m.b - m.a) / greatest(m.a, m.b) END AS s
+      FROM z JOIN sz ON z.segment = sz.segment LEFT JOIN m ON z.customer_id = m.customer_id)
+SELECT round(AVG(s), 6) AS silhouette FROM s"""
+    out["davies_bouldin"] = f"""{Z},
+c AS (SELECT segment, AVG(x) AS cx, AVG(y) AS cy FROM z GROUP BY segment),
+si AS (SELECT c.segment, cx, cy, AVG(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS s FROM z JOIN c ON z.segment = c.segment GROUP BY ALL),
+r AS (SELECT a.segment, MAX(CASE WHEN (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) > 0
+      THEN (a.s + b.s) / sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) ELSE 0.0 END) AS worst
+      FROM si a JOIN si b ON a.segment <> b.segment GROUP BY a.segment)
+SELECT round(AVG(worst), 6) AS davies_bouldin FROM r"""
+    out["calinski_harabasz"] = f"""{Z},
+c AS (SELECT segment, COUNT(*) AS n, AVG(x) AS cx, AVG(y) AS cy FROM z GROUP BY segment),
+w AS (SELECT SUM((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS w FROM z JOIN c ON z.segment = c.segment),
+g AS (SELECT SUM(n) AS nn, COUNT(*) AS k, SUM(n * cx) / SUM(n) AS mx, SUM(n * cy) / SUM(n) AS my FROM c),
+b AS (SELECT SUM(n * ((cx - mx) * (cx - mx) + (cy - my) * (cy - my))) AS b FROM c CROSS JOIN g)
+SELECT round(CASE WHEN w = 0 THEN 1.0 ELSE (b * (nn - k)) / (w * (k - 1)) END, 6) AS calinski_harabasz FROM w, g, b"""
+
+    keys = [
+        (S.VIP, "income + score"),
+        (S.AT_RISK, "-(score * 2 + income * 0.25e0)"),
+        (S.NEW, "income - score * 1.1e0"),
+        (S.DISCOUNT, "score * 1.4e0 - income"),
+    ]
+    ctes = [f"cent AS (SELECT {near_o} AS cluster, AVG(income_k) AS income, AVG(score) AS score FROM mall GROUP BY 1)",
+            "r0 AS (SELECT * FROM cent)"]
+    for i, (name, key) in enumerate(keys, start=1):
+        ctes.append(f"p{i} AS (SELECT cluster, {q(name)} AS segment FROM r{i - 1} ORDER BY {key} DESC, cluster LIMIT 1)")
+        ctes.append(f"r{i} AS (SELECT * FROM r{i - 1} WHERE cluster NOT IN (SELECT cluster FROM p{i}))")
+    ctes.append(f"p5 AS (SELECT cluster, {q(S.LOYAL)} AS segment FROM r4 ORDER BY cluster LIMIT 1)")
+    out["greedy_naming"] = (f"{W}, " + ",\n".join(ctes) + """
+SELECT cent.cluster, n.segment, income, score FROM cent JOIN
+ (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5) n
+ ON cent.cluster = n.cluster""")
+    return out
