@@ -74,17 +74,32 @@ def kmeans_segment_model(df: DataFrame, scaler: LinearScaler, k: int = S.FINAL_K
     return model, vec
 
 
-def elbow_sweep(sample_vec: DataFrame, sample_scaled: DataFrame, features_z: list[str],
-                k_range=S.K_RANGE, n_init: int = S.KMEANS_SEARCH_N_INIT,
-                parallelism: int = 4) -> list[tuple[int, float, float]]:
-    """(k, inertia, exact silhouette) for every k on the cached, scaled sample."""
-    rows = []
-    for k in k_range:
-        best, _ = fit_kmeans(sample_vec, k, seeds_for(n_init), parallelism=parallelism)
-        labelled = best.model.transform(sample_vec).select(*features_z, "prediction")
-        sil = evaluate.silhouette_exact(labelled, features_z, "prediction").first()["silhouette"]
-        rows.append((k, best.cost, float(sil)))
-    return rows
+def elbow_sweep(sample_vec: DataFrame, features_z: list[str], k_range=S.K_RANGE,
+                n_init: int = S.KMEANS_SEARCH_N_INIT, parallelism: int = 8) -> list[tuple[int, float, float]]:
+    """(k, inertia, exact silhouette) for every k on the persisted, scaled sample.
+
+    All (k, seed) fits are independent Spark jobs and run concurrently.
+    """
+    def one(ks):
+        k, seed = ks
+        m = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features").fit(sample_vec)
+        return k, seed, m, float(m.summary.trainingCost)
+
+    grid = [(k, s) for k in k_range for s in seeds_for(n_init)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(one, grid))
+    best: dict[int, tuple] = {}
+    for k, seed, m, cost in fits:  # grid order: the first seed wins ties
+        if k not in best or cost < best[k][1]:
+            best[k] = (m, cost)
+
+    def sil(k):
+        labelled = best[k][0].transform(sample_vec).select(*features_z, "prediction")
+        return float(evaluate.silhouette_exact(labelled, features_z, "prediction").first()["silhouette"])
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        sils = list(pool.map(sil, list(k_range)))
+    return [(k, best[k][1], s) for k, s in zip(k_range, sils)]
 
 
 def best_k(rows: list[tuple[int, float, float]]) -> int:
@@ -131,3 +146,145 @@ def gmm_log_likelihood(model, vec: DataFrame) -> float:
     m = F.greatest(*comps) if len(comps) > 1 else comps[0]
     lse = m + F.log(sum((F.exp(cmp - m) for cmp in comps[1:]), F.exp(comps[0] - m)))
     return float(vec.agg(F.sum(lse)).first()[0])
+
+
+# ---------------------------------------------------------------------------
+# K2 mini-batch k-means
+# ---------------------------------------------------------------------------
+def fit_minibatch_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = S.SAMPLE_SEED,
+                         batch_size: int = 1024, max_iter: int = 200, tol: float = 1e-4,
+                         n_rows: int | None = None):
+    """Mini-batch k-means: centers move toward each batch's cluster means with
+    per-center learning rates ``count_batch / count_seen``.
+
+    All batches are drawn in ONE pass (each row gets a random batch id, and
+    only rows landing in some batch are kept), so the bounded batch pool
+    (<= max_iter * batch_size rows) is persisted once and every update is a
+    grouped aggregate over one batch.  The same update serves a stream
+    (one call per micro-batch).
+    """
+    from ..functions import distance as D
+    n = n_rows if n_rows is not None else df.count()
+    keep = min(1.0, max_iter * batch_size / max(n, 1))
+    pool = (df.select(*cols).sample(fraction=keep, seed=seed)
+            .withColumn("_batch", (F.rand(seed + 1) * max_iter).cast("int"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    init = pool.orderBy(F.rand(seed + 2)).limit(k).collect()  # k rows
+    centers = [[float(r[c]) for c in cols] for r in init]
+    seen = [0.0] * len(centers)
+    n_iter = 0
+    for it in range(max_iter):
+        batch = pool.filter(F.col("_batch") == it)
+        centers, seen, shift = minibatch_update(batch, cols, centers, seen)
+        n_iter = it + 1
+        if shift < tol:
+            break
+    pool.unpersist()
+    return centers, n_iter
+
+
+def minibatch_update(batch: DataFrame, cols: list[str], centers, seen):
+    """One mini-batch step: grouped sums per nearest center (k rows collected)."""
+    from ..functions import distance as D
+    d = D.distance_array(cols, centers)
+    stats = (batch.withColumn("_c", D.nearest_index(d)).groupBy("_c")
+             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
+             .collect())
+    new = [list(c) for c in centers]
+    seen = list(seen)
+    shift = 0.0
+    for r in stats:
+        j = int(r["_c"])
+        cnt = float(r["n"])
+        seen[j] += cnt
+        eta = cnt / seen[j]
+        for i in range(len(cols)):
+            mean = float(r[f"s{i}"]) / cnt
+            step = eta * (mean - new[j][i])
+            new[j][i] += step
+            shift = max(shift, abs(step))
+    return new, seen, shift
+
+
+# ---------------------------------------------------------------------------
+# K4 diagonal-covariance Gaussian mixture by EM, one aggregate pass per step
+# ---------------------------------------------------------------------------
+def _log_components(cols, weights, means, variances):
+    comps = []
+    for w, mu, var in zip(weights, means, variances):
+        const = math.log(max(w, 1e-300)) - 0.5 * sum(math.log(2 * math.pi * v) for v in var)
+        quad = None
+        for c, m, v in zip(cols, mu, var):
+            t = (F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m)) / F.lit(v)
+            quad = t if quad is None else quad + t
+        comps.append(F.lit(const) - F.lit(0.5) * quad)
+    return comps
+
+
+def _logsumexp(comps):
+    m = F.greatest(*comps) if len(comps) > 1 else comps[0]
+    total = None
+    for c in comps:
+        e = F.exp(c - m)
+        total = e if total is None else total + e
+    return m + F.log(total)
+
+
+def fit_gmm_diag(df: DataFrame, cols: list[str], k: int, seed: int = S.SAMPLE_SEED, max_iter: int = 100,
+                 tol: float = 1e-3, reg_covar: float = 1e-4):
+    """EM for a diagonal mixture.  Parameters stay on the driver (k x d numbers);
+    each iteration is ONE aggregate over the (persisted) data computing the
+    responsibilities and their weighted first and second moments.
+    Initialised from k-means labels.  Returns (weights, means, variances, mean log-lik, n_iter)."""
+    data = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = vectors(data, cols)
+    km = KMeans(k=k, seed=seed, maxIter=100, featuresCol="features").fit(vec)
+    lab = km.transform(vec).groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).collect()
+    total = sum(r["n"] for r in lab)
+    weights = [r["n"] / total for r in lab]
+    means = [[float(r[f"m{i}"]) for i in range(len(cols))] for r in lab]
+    variances = [[float(r[f"v{i}"] or 0.0) + reg_covar for i in range(len(cols))] for r in lab]
+    prev = None
+    n_iter = 0
+    ll = float("-inf")
+    for it in range(max_iter):
+        comps = _log_components(cols, weights, means, variances)
+        lse = _logsumexp(comps)
+        resp = [F.exp(c - lse) for c in comps]
+        aggs = [F.sum(lse).alias("ll"), F.count(F.lit(1)).alias("n")]
+        for j, r in enumerate(resp):
+            aggs.append(F.sum(r).alias(f"r{j}"))
+            for i, c in enumerate(cols):
+                aggs += [F.sum(r * F.col(c)).alias(f"x{j}_{i}"), F.sum(r * F.col(c) * F.col(c)).alias(f"q{j}_{i}")]
+        row = data.agg(*aggs).first()
+        n = float(row["n"])
+        ll = float(row["ll"]) / n
+        new_w, new_m, new_v = [], [], []
+        for j in range(len(comps)):
+            rj = max(float(row[f"r{j}"]), 1e-12)
+            new_w.append(rj / n)
+            mu = [float(row[f"x{j}_{i}"]) / rj for i in range(len(cols))]
+            var = [max(float(row[f"q{j}_{i}"]) / rj - mu[i] * mu[i], 0.0) + reg_covar for i in range(len(cols))]
+            new_m.append(mu)
+            new_v.append(var)
+        weights, means, variances = new_w, new_m, new_v
+        n_iter = it + 1
+        if prev is not None and abs(ll - prev) < tol:
+            break
+        prev = ll
+    data.unpersist()
+    return weights, means, variances, ll, n_iter
+
+
+def gmm_diag_predict(df: DataFrame, cols: list[str], weights, means, variances) -> DataFrame:
+    """Hard labels: the component of maximal posterior (ties to the lowest id)."""
+    comps = _log_components(cols, weights, means, variances)
+    arr = F.array(*comps)
+    return df.withColumn("prediction", (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
+
+
+def gmm_diag_loglik(df: DataFrame, cols: list[str], weights, means, variances) -> float:
+    return float(df.agg(F.sum(_logsumexp(_log_components(cols, weights, means, variances)))).first()[0])

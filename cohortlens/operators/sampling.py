@@ -56,6 +56,8 @@ def exact_sample(df: DataFrame, n: int, key: str = S.CUSTOMER_ID, seed: int = S.
     sample = ranked_sample(df, n, key, seed, cut)
     if not materialize:
         return sample
+    from ..session import shared_dir
+    shared_dir(df.sparkSession)  # checkpoints go to the cluster-shared folder
     sample = sample.checkpoint(eager=True)
     if cut is not None and sample.count() < n:
         sample = ranked_sample(df, n, key, seed, None).checkpoint(eager=True)
