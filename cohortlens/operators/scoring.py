@@ -52,6 +52,18 @@ class SegmentModel:
                             int(d.get("n_iter", 0)), d.get("inertia"))
 
 
+class IncompatibleModel(RuntimeError):
+    pass
+
+
+def check_compatible(model: SegmentModel, features: list[str]) -> None:
+    """The scaler width must equal the feature count and the names must be the five segments."""
+    if model.scaler.n_features_in != len(features):
+        raise IncompatibleModel(f"scaler expects {model.scaler.n_features_in} features, got {len(features)}")
+    if set(model.segment_map.values()) != set(S.SEGMENTS):
+        raise IncompatibleModel(f"segment names {sorted(model.segment_map.values())} are not the expected five")
+
+
 def fixed_center_model(scaler: LinearScaler) -> SegmentModel:
     """The five reference centers with their names (cluster ids in list order)."""
     centers = [[x, y] for _, x, y in S.FIXED_CENTERS]

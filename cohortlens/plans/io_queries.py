@@ -1 +1,207 @@
-"""Placeholder, filled in below."""
+"""Source / sink round trips and the queries backed by a training run."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..operators import scoring as SCO
+from ..operators import scaling as SC
+from ..operators import validate as V
+from ..session import fresh_path
+from ..sinks import writers as W
+from ..sources import adapter, files
+from .catalog import register
+from . import training as TR
+
+
+# ---- A1 / B2 / B1 / B6 -----------------------------------------------------
+@register("scan_customers")
+def q_scan_customers(spark, sf_dir):
+    """Write the raw customer table as header CSV, scan it back as text, quarantine-validate."""
+    path = fresh_path(spark, "scan_customers")
+    W.write_table(adapter.raw_customers(spark, sf_dir), path, fmt="csv")
+    good, _bad = V.quarantine(files.read_customer_csv(spark, path))
+    return good
+
+
+@register("write_required_projection")
+def q_write_required(spark, sf_dir):
+    path = fresh_path(spark, "required_projection")
+    W.write_required(adapter.customers(spark, sf_dir), path)
+    return V.validate(files.read_customer_csv(spark, path))
+
+
+@register("write_segmented")
+def q_write_segmented(spark, sf_dir):
+    path = fresh_path(spark, "segmented")
+    W.write_table(adapter.segmented(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+SCATTER_COLS = ["CustomerID", "Gender", "Age", "Annual Income (k$)", "Spending Score (1-100)",
+                "Cluster", "Segment", "R_proxy", "F_proxy", "M_proxy"]
+SCATTER_SCHEMA = ", ".join(f"`{c}` {t}" for c, t in zip(
+    SCATTER_COLS, ["int", "string", "int", "int", "int", "int", "string", "string", "string", "string"]))
+
+
+@register("scatter_export")
+def q_scatter_export(spark, sf_dir):
+    """The 10-column plot records (fixed-center clusters) as JSON lines, read back."""
+    cust = adapter.customers(spark, sf_dir)
+    model = SCO.fixed_center_model(SC.fit_standard(cust))
+    lab = SCO.label(SCO.assign(cust, model, scaled=False), model)
+    seg = adapter.with_derived(lab.drop("d2"))
+    path = fresh_path(spark, "scatter")
+    W.write_records(W.to_public(seg).select(*[F.col(f"`{c}`") for c in SCATTER_COLS]), path)
+    return spark.read.schema(SCATTER_SCHEMA).json(path)
+
+
+# ---- A3 landing ingest -----------------------------------------------------
+def write_landing(spark: SparkSession, sf_dir: str) -> str:
+    """One upload per nation, named ``YYYYMMDD_HHMMSS_nation_NN.csv`` (time = 2024-01-01 00:NN:00)."""
+    raw = adapter.raw_customers(spark, sf_dir, extra=("c_nationkey",))
+    k = F.col("c_nationkey")
+    up = raw.withColumn("upload", F.format_string("20240101_00%02d00_nation_%02d.csv", k, k))
+    path = fresh_path(spark, "landing")
+    (up.drop("c_nationkey").write.mode("overwrite").option("header", True)
+     .partitionBy("upload").csv(path))
+    return path
+
+
+@register("landing_ingest")
+def q_landing_ingest(spark, sf_dir):
+    land = files.read_landing(spark, write_landing(spark, sf_dir))
+    norm = V.normalize(land.drop("upload")).withColumn("reject_reason", V.reject_reason())
+    return norm.groupBy("upload_label", "arrival_ts").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("reject_reason").isNull()).alias("valid_rows"))
+
+
+# ---- training-backed queries (one training run per session and input) -----
+_RUNS: dict[tuple[str, str], TR.TrainResult] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str) -> TR.TrainResult:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        cust = adapter.customers(spark, sf_dir)
+        typed = cust.select(S.CUSTOMER_ID, S.GENDER, F.col(S.AGE).cast("smallint").alias(S.AGE),
+                            F.col(S.INCOME).cast("double").alias(S.INCOME),
+                            F.col(S.SCORE).cast("double").alias(S.SCORE))
+        n = typed.count()
+        _RUNS[key] = TR.train_validated(spark, typed, n, "customer+orders", sf_dir, fresh_path(spark, "train"))
+    return _RUNS[key]
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf_dir):
+    """K1: the fitted segmentation - per cluster name, size and center in original units."""
+    return trained(spark, sf_dir).stats.select("cluster", "segment", "n", "pct", "cx", "cy")
+
+
+@register("trained_segments")
+def q_trained_segments(spark, sf_dir):
+    """The segmented table written by the training run (cluster, segment, RFM proxies)."""
+    return trained(spark, sf_dir).segmented
+
+
+@register("elbow_sweep")
+def q_elbow_sweep(spark, sf_dir):
+    rows = trained(spark, sf_dir).sweep
+    return spark.createDataFrame([(k, float(i), float(s)) for k, i, s in rows],
+                                 "k int, inertia double, silhouette double")
+
+
+@register("best_k")
+def q_best_k(spark, sf_dir):
+    r = trained(spark, sf_dir)
+    return spark.createDataFrame([(r.best_k, S.FINAL_K)], "best_k int, final_k int")
+
+
+@register("metrics_document")
+def q_metrics_document(spark, sf_dir):
+    """The stored metrics document, read back with its schema."""
+    r = trained(spark, sf_dir)
+    return W.read_document(spark, f"{r.out_dir}/model_metrics", W.METRICS_SCHEMA)
+
+
+@register("run_history")
+def q_run_history(spark, sf_dir):
+    """Training-run records; latest run per dataset label."""
+    r = trained(spark, sf_dir)
+    return W.latest_runs(spark, f"{r.out_dir}/run_history")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Load the saved model, check compatibility, re-score the table."""
+    r = trained(spark, sf_dir)
+    model = W.load_model(spark, f"{r.out_dir}/model")
+    SCO.check_compatible(model, r.model.features)
+    seg = spark.read.parquet(f"{r.out_dir}/segmented")
+    again = SCO.score(seg.select(S.CUSTOMER_ID, S.INCOME, S.SCORE, F.col("cluster").alias("saved_cluster")), model)
+    return again.groupBy("cluster", "segment").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("cluster") != F.col("saved_cluster")).alias("changed"))
+
+
+_GRID: dict[tuple[str, str], list] = {}
+
+GRID_VARIANTS = ["kmeans", "minibatch_kmeans", "gaussian_mixture_full", "gaussian_mixture_diag"]
+GRID_PREPROCESSORS = ["standard", "robust", "quantile_normal", "power_yeo_johnson"]
+
+
+def grid(spark: SparkSession, sf_dir: str):
+    """K12 over every model variant x preprocessor (each candidate scaled on the full
+    table, fitted and scored on the elbow sample)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRID:
+        cust = adapter.customers(spark, sf_dir)
+        typed = cust.select(S.CUSTOMER_ID, F.col(S.INCOME).cast("double").alias(S.INCOME),
+                            F.col(S.SCORE).cast("double").alias(S.SCORE)).persist()
+        n = typed.count()
+        cfg = TR.TrainConfig()
+        out = []
+        for variant in GRID_VARIANTS:
+            for prep in GRID_PREPROCESSORS:
+                try:
+                    cand, _scaler, vec = TR.evaluate_candidate(typed, n, list(S.FEATURES), variant, prep, cfg)
+                    vec.unpersist()
+                except Exception as exc:  # noqa: BLE001 - failures are reported, not fatal
+                    cand = TR.Candidate(variant, prep, list(S.FEATURES), error=str(exc)[:300])
+                out.append(cand)
+        typed.unpersist()
+        _GRID[key] = out
+    return _GRID[key]
+
+
+CAND_SCHEMA = ("variant string, preprocessor string, silhouette double, davies double, calinski double, "
+               "inertia double, aic double, bic double, error string")
+
+
+def _cand_rows(cands):
+    return [(c.variant, c.preprocessor, c.silhouette, c.davies, c.calinski, c.inertia, c.aic, c.bic, c.error)
+            for c in cands]
+
+
+@register("candidate_grid")
+def q_candidate_grid(spark, sf_dir):
+    return spark.createDataFrame(_cand_rows(grid(spark, sf_dir)), CAND_SCHEMA)
+
+
+@register("best_candidate")
+def q_best_candidate(spark, sf_dir):
+    """H3: lexicographic best (silhouette up, Davies-Bouldin down, Calinski up, 6 dp), as a top-1."""
+    df = q_candidate_grid(spark, sf_dir).filter(F.col("error").isNull())
+    return (df.withColumn("_pos", F.monotonically_increasing_id())
+            .orderBy(F.round("silhouette", 6).desc(), F.round("davies", 6).asc(),
+                     F.round("calinski", 6).desc(), F.col("_pos").asc())
+            .limit(1).drop("_pos"))
+
+
+@register("aic_bic")
+def q_aic_bic(spark, sf_dir):
+    """AIC / BIC of the mixture candidates (NULL for the others)."""
+    return q_candidate_grid(spark, sf_dir).select("variant", "preprocessor", "aic", "bic")

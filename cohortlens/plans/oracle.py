@@ -47,7 +47,7 @@ mall AS (SELECT CAST(c_custkey + 1 AS INT) AS customer_id,
   CAST(18 + c_custkey % 53 AS INT) AS age,
   CAST(15 + FLOOR((c_acctbal + 1000) * 122 / 11000) AS INT) AS income_k,
   CAST(1 + FLOOR(99.0e0 * COALESCE(cents, 0) / mc) AS INT) AS score,
-  c_mktsegment
+  c_mktsegment, c_nationkey
   FROM customer LEFT JOIN spend ON c_custkey = o_custkey CROSS JOIN mx)"""
 
 SEG = MALL + f""",
@@ -90,7 +90,8 @@ raw AS (SELECT
   CASE WHEN customer_id % 139 = 6 THEN '-' || CAST(income_k AS VARCHAR) WHEN customer_id % 113 = 5 THEN 'abc'
        WHEN customer_id % 5 = 4 THEN CAST(income_k AS VARCHAR) || '.0' ELSE CAST(income_k AS VARCHAR) END AS "Annual Income (k$)",
   CASE WHEN customer_id % 149 = 8 THEN '0' WHEN customer_id % 151 = 10 THEN 'NaN'
-       ELSE CAST(score AS VARCHAR) END AS "Spending Score (1-100)"
+       ELSE CAST(score AS VARCHAR) END AS "Spending Score (1-100)",
+  c_nationkey
   FROM mall)"""
 
 NORM = RAW + f""",
@@ -98,7 +99,8 @@ norm0 AS (SELECT "CustomerID" AS customer_id_raw, "Gender" AS gender_raw, "Age"
   "Annual Income (k$)" AS income_k_raw, "Spending Score (1-100)" AS score_raw,
   {_gender_norm('"Gender"')} AS gender,
   {_num('"CustomerID"')} AS customer_id_num, {_num('"Age"')} AS age_num,
-  {_num('"Annual Income (k$)"')} AS income_k_num, {_num('"Spending Score (1-100)"')} AS score_num
+  {_num('"Annual Income (k$)"')} AS income_k_num, {_num('"Spending Score (1-100)"')} AS score_num,
+  c_nationkey
   FROM raw),
 norm1 AS (SELECT *, TRY_CAST(trunc(customer_id_num) AS INT) AS id_t, TRY_CAST(trunc(age_num) AS BIGINT) AS age_t FROM norm0),
 norm AS (SELECT *,
@@ -242,6 +244,19 @@ SELECT COUNT(*) AS dataset_rows, CAST(5 AS BIGINT) AS dataset_cols,
   + COUNT(*) FILTER (WHERE "Annual Income (k$)" IS NULL) + COUNT(*) FILTER (WHERE "Spending Score (1-100)" IS NULL) AS BIGINT) AS missing_values
 FROM raw"""
 
+    out["scan_customers"] = out["validated_customers"]
+    out["write_required_projection"] = f"""WITH {MALL}
+SELECT customer_id, gender, CAST(age AS SMALLINT) AS age, CAST(income_k AS DOUBLE) AS income_k,
+  CAST(score AS DOUBLE) AS score FROM mall"""
+    out["write_segmented"] = f"""{W}
+SELECT customer_id, gender, age, income_k, score, gender_enc, segment, r_proxy, f_proxy, m_proxy,
+  segment AS rfm_segment FROM seg"""
+    out["landing_ingest"] = f"""{N}
+SELECT 'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS upload_label,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c_nationkey AS BIGINT)) AS arrival_ts,
+  COUNT(*) AS rows, COUNT(*) FILTER (WHERE reject_reason IS NULL) AS valid_rows
+FROM normr GROUP BY ALL"""
+
     # ---- RFM and drift ----
     out["true_rfm"] = f"WITH {RFM_CTE} SELECT customer_id, last_order, recency_days, frequency, monetary FROM rfm"
     out["true_rfm_bands"] = f"WITH {RFM_CTE} SELECT * FROM bands"

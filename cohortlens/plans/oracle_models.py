@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import schema as S
-from .oracle import MALL, RULE, q
+from .oracle import F_BAND, M_BAND, MALL, R_BAND, RULE, q
 
 
 def _lit(v: float) -> str:
@@ -52,6 +52,11 @@ SELECT customer_id, round((income_k - qi[2]) / (qi[3] - qi[1]), 6) AS r_income_k
   round((score - qsc[2]) / (qsc[3] - qsc[1]), 6) AS r_score FROM mall CROSS JOIN qs"""
     near_o, d2_o = _nearest("income_k", "score", None, None)
     out["nearest_centroid"] = f"{W} SELECT customer_id, {near_o} AS cluster, {d2_o} AS d2 FROM mall"
+    out["scatter_export"] = f"""{W}, n AS (SELECT *, {near_o} AS cluster FROM mall)
+SELECT customer_id AS "CustomerID", gender AS "Gender", age AS "Age", income_k AS "Annual Income (k$)",
+  score AS "Spending Score (1-100)", n.cluster AS "Cluster", segment AS "Segment",
+  {R_BAND} AS "R_proxy", {F_BAND} AS "F_proxy", {M_BAND} AS "M_proxy"
+FROM n LEFT JOIN {CMAP} ON n.cluster = cmap.cluster"""
     out["label_join"] = f"""{W}, n AS (SELECT customer_id, {near_o} AS cluster FROM mall)
 SELECT customer_id, n.cluster, segment FROM n LEFT JOIN {CMAP} ON n.cluster = cmap.cluster"""
     out["score_requests_validated"] = f"{W}, {REQ} SELECT request_id, age, gender, income, score, reject_reason FROM reqv"

@@ -140,12 +140,18 @@ def evaluate_candidate(df: DataFrame, n_rows: int, features: list[str], variant:
 
 def train(spark: SparkSession, raw: DataFrame, label: str, data_path: str, out_dir: str,
           cfg: TrainConfig | None = None) -> TrainResult:
-    cfg = cfg or TrainConfig()
+    """Train from a raw (all-text) customer table: fail-fast validation first."""
     summary = V.summary(raw).first()
     if summary["message"] is not None:
         raise V.ValidationError(summary["message"])
-    n_rows = int(summary["total_rows"])
-    df = V.typed(V.normalize(raw)).withColumn("gender_enc", (F.col(S.GENDER) == "Female").cast("int"))
+    return train_validated(spark, V.typed(V.normalize(raw)), int(summary["total_rows"]), label, data_path,
+                           out_dir, cfg)
+
+
+def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: str, data_path: str,
+                    out_dir: str, cfg: TrainConfig | None = None) -> TrainResult:
+    cfg = cfg or TrainConfig()
+    df = typed.withColumn("gender_enc", (F.col(S.GENDER) == "Female").cast("int"))
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
 
     # ---- K12 candidate grid, H3 best ----

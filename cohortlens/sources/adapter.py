@@ -71,7 +71,7 @@ def with_derived(df: DataFrame, segment_col=None) -> DataFrame:
     )
 
 
-def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_customers(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """The customer table as a raw text file would deliver it (all STRING).
 
     Formatting varies the way uploaded files do (case, padding, ``66.0``-style
@@ -79,7 +79,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown genders (the market segment), blanks, ``NA`` tokens, text in
     numeric fields and out-of-range values.  Every row of the source survives.
     """
-    df = customers(spark, sf_dir, keep=("c_mktsegment",))
+    df = customers(spark, sf_dir, keep=("c_mktsegment", *extra))
     i = F.col(S.CUSTOMER_ID)
     g = F.col(S.GENDER)
     s = lambda c: F.col(c).cast("string")
@@ -116,6 +116,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         age.alias(S.PUBLIC_NAMES[S.AGE]),
         income.alias(S.PUBLIC_NAMES[S.INCOME]),
         score.alias(S.PUBLIC_NAMES[S.SCORE]),
+        *extra,
     )
 
 
