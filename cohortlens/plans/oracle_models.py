@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import schema as S
-from .oracle import F_BAND, M_BAND, MALL, R_BAND, RULE, q
+from .oracle import F_BAND, M_BAND, MALL, NORM, R_BAND, RULE, SEG, q
 
 
 def _lit(v: float) -> str:
@@ -112,4 +112,14 @@ SELECT round(CASE WHEN w = 0 THEN 1.0 ELSE (b * (nn - k)) / (w * (k - 1)) END, 6
 SELECT cent.cluster, n.segment, income, score FROM cent JOIN
  (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5) n
  ON cent.cluster = n.cluster""")
+    out["stream_segment_counts"] = f"""WITH {SEG}
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, segment,
+  COUNT(*) AS events FROM events JOIN seg ON events.user_id + 1 = seg.customer_id GROUP BY ALL"""
+    near_v, _ = _nearest("income_k", "score", "si", "ss")
+    out["stream_score"] = f"""WITH {NORM}, {MOM},
+good AS (SELECT id_t AS customer_id, income_k_num AS income_k, score_num AS score, c_nationkey FROM normr WHERE reject_reason IS NULL),
+g AS (SELECT customer_id, {near_v} AS cluster, c_nationkey FROM good CROSS JOIN mom)
+SELECT customer_id, g.cluster, segment, 'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS upload_label,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c_nationkey AS BIGINT)) AS arrival_ts
+FROM g LEFT JOIN {CMAP} ON g.cluster = cmap.cluster"""
     return out

@@ -1 +1,36 @@
-"""Placeholder, filled in below."""
+"""Streaming queries (run with an available-now trigger, then read back from their sinks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..operators import scaling as SC
+from ..operators import scoring as SCO
+from ..session import fresh_path
+from ..sources import adapter
+from ..streaming import pipelines as P
+from .catalog import register
+from .io_queries import write_landing
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    """L1: landing folder -> validate/quarantine -> score -> idempotent per-batch sink."""
+    model = SCO.fixed_center_model(SC.fit_standard(adapter.customers(spark, sf_dir)))
+    folder = write_landing(spark, sf_dir)
+    out = fresh_path(spark, "stream_score")
+    q = P.run_stream_score(spark, folder, model, out, fresh_path(spark, "stream_score_ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/scored").drop("batch").select(
+        S.CUSTOMER_ID, "cluster", "segment", "upload_label", "arrival_ts")
+
+
+@register("stream_segment_counts")
+def q_stream_segment_counts(spark, sf_dir):
+    """L2: events per rule segment and hour (watermarked stream-static join, complete mode)."""
+    segments = adapter.segmented(spark, sf_dir).select(S.CUSTOMER_ID, "segment")
+    out = fresh_path(spark, "segment_counts")
+    q = P.run_segment_counts(spark, sf_dir, segments, out, fresh_path(spark, "segment_counts_ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(out)

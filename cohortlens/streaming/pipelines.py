@@ -1,0 +1,98 @@
+"""Structured Streaming jobs.
+
+L1 ``stream_score``: continuous ingest of the upload landing folder ->
+validate / quarantine -> score -> append.  Each micro-batch writes its good
+and its rejected rows into folders named by the batch id with overwrite, so a
+batch replayed after a failure replaces its own output (idempotent sink);
+progress lives in the checkpoint folder.
+
+L2 ``segment_counts``: events joined to the (static) customer segments,
+counted per segment and event-time window with a watermark.  The static side
+is joined without a hint, so the planner broadcasts it only below its size
+threshold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import schema as S
+from ..operators import scoring as SCO
+from ..operators import validate as V
+from ..sources import files
+
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+])
+
+
+def landing_stream(spark: SparkSession, folder: str, max_files: int = 8) -> DataFrame:
+    """CSV files arriving below ``folder`` (all text columns, ``.csv`` only)."""
+    raw = (spark.readStream.schema(S.RAW_SCHEMA).option("header", True)
+           .option("pathGlobFilter", files.CSV_GLOB).option("recursiveFileLookup", True)
+           .option("maxFilesPerTrigger", max_files).csv(folder))
+    return files.with_upload_info(raw)
+
+
+def score_batch(norm: DataFrame, model: SCO.SegmentModel) -> tuple[DataFrame, DataFrame]:
+    """Validated-and-flagged rows -> (scored good rows, rejected rows with their reason)."""
+    good = V.typed(norm.filter(F.col("reject_reason").isNull()))
+    scored = SCO.score(good, model).select(S.CUSTOMER_ID, "cluster", "segment", "confidence",
+                                           "upload_label", "arrival_ts")
+    bad = norm.filter(F.col("reject_reason").isNotNull()).select(
+        *[F.col(f"{c}_raw").alias(S.PUBLIC_NAMES[c]) for c in S.INTERNAL_COLUMNS],
+        "reject_reason", "upload_label", "arrival_ts")
+    return scored, bad
+
+
+def run_stream_score(spark: SparkSession, folder: str, model: SCO.SegmentModel, out: str,
+                     checkpoint: str, available_now: bool = True):
+    """Start L1; with ``available_now`` it processes what has landed and stops."""
+    norm = V.normalize(landing_stream(spark, folder)).withColumn("reject_reason", V.reject_reason())
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        scored, bad = score_batch(batch, model)
+        scored.write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+        batch.unpersist()
+
+    w = norm.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+
+
+def segment_counts(events: DataFrame, segments: DataFrame, window: str = "1 hour",
+                   watermark: str = "1 hour") -> DataFrame:
+    """Events per customer segment and event-time window (stream-static join, watermark)."""
+    ev = events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    seg = segments.select(F.col(S.CUSTOMER_ID).cast("long").alias("_cid"), "segment")
+    j = ev.join(seg, ev.user_id + 1 == seg["_cid"], "inner")
+    return (j.withWatermark("ts", watermark)
+            .groupBy(F.window("ts", window), "segment")
+            .agg(F.count(F.lit(1)).alias("events")))
+
+
+def run_segment_counts(spark: SparkSession, sf_dir: str, segments: DataFrame, out: str, checkpoint: str,
+                       mode: str = "complete"):
+    """Start L2.  ``complete`` rewrites the whole table per batch (used for the check);
+    ``append`` emits each window once the watermark passes it."""
+    counts = segment_counts(events_stream(spark, sf_dir), segments)
+    flat = counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                         F.col("window.end").cast("timestamp_ntz").alias("window_end"), "segment", "events")
+    if mode == "complete":
+        def write_batch(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(out)
+        w = flat.writeStream.outputMode("complete").foreachBatch(write_batch)
+    else:
+        w = flat.writeStream.outputMode("append").format("parquet").option("path", out)
+    return w.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
