@@ -36,9 +36,22 @@ class FitResult:
     n_iter: int
 
 
-def fit_kmeans(vec: DataFrame, k: int, seeds: list[int], max_iter: int = 300, tol: float = 1e-4,
-               parallelism: int = 4) -> tuple[FitResult, list[FitResult]]:
+def center_tol(k: int, rel_tol: float = 1e-4, mean_var: float = 1.0) -> float:
+    """Spark's per-center movement bound equivalent to a squared-shift budget.
+
+    The reference stops when the SUM of squared center shifts is at most
+    ``rel_tol * mean feature variance``; Spark stops when EVERY center moved
+    less than ``tol``.  ``tol = sqrt(budget / k)`` guarantees the sum bound.
+    """
+    return math.sqrt(rel_tol * mean_var / k)
+
+
+def fit_kmeans(vec: DataFrame, k: int, seeds: list[int], max_iter: int = 300, tol: float | None = None,
+               parallelism: int | None = None) -> tuple[FitResult, list[FitResult]]:
     """Fit one k-means per seed (concurrently) and keep the lowest cost."""
+    tol = center_tol(k) if tol is None else tol
+    parallelism = parallelism or len(seeds)
+
     def one(seed: int) -> FitResult:
         km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
                     predictionCol="prediction", initMode="k-means||")
@@ -57,49 +70,45 @@ def seeds_for(n_init: int, base: int = S.SAMPLE_SEED) -> list[int]:
 
 
 def kmeans_segment_model(df: DataFrame, scaler: LinearScaler, k: int = S.FINAL_K,
-                         n_init: int = S.KMEANS_FINAL_N_INIT, persist: bool = True) -> tuple[SegmentModel, DataFrame]:
+                         n_init: int = S.KMEANS_FINAL_N_INIT, persist: bool = True,
+                         seed_sample: DataFrame | None = None,
+                         seed_centers: list | None = None) -> tuple[SegmentModel, DataFrame]:
     """K1 + J5 + K14: fit on standardised features, map centers back, name them.
 
-    Returns the model and the persisted vector frame (caller unpersists).
+    With ``seed_sample`` (a bounded, already scaled sample) the best of
+    ``n_init`` k-means++ fits on the sample seeds Lloyd refinement over the
+    full table - a few full passes instead of ``n_init`` complete fits.
+    Otherwise ``n_init`` Spark ML fits run concurrently on the full table.
+    Returns the model and the persisted scaled frame (caller unpersists).
     """
     from .naming import greedy_names_local
-    vec = vectors(scaler.transform(df), [f"z_{f}" for f in scaler.features])
+    zcols = [f"z_{f}" for f in scaler.features]
+    scaled = scaler.transform(df).select(*zcols)
     if persist:
-        vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    best, _ = fit_kmeans(vec, k, seeds_for(n_init))
-    centers_orig = [scaler.inverse(c) for c in best.model.clusterCenters()]
+        scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
+    if seed_centers is not None and len(seed_centers) == k:
+        centers, cost, n_iter = refine_kmeans(scaled, zcols, seed_centers)
+    elif seed_sample is not None:
+        seed_fit = grid_kmeans(seed_sample, zcols, [k], seeds_for(n_init), silhouette=False)[0]
+        centers, cost, n_iter = refine_kmeans(scaled, zcols, seed_fit["centers"])
+    else:
+        best, _ = fit_kmeans(vectors(scaled, zcols), k, seeds_for(n_init))
+        centers, cost, n_iter = [list(c) for c in best.model.clusterCenters()], best.cost, best.n_iter
+    centers_orig = [scaler.inverse(c) for c in centers]
     idx = {f: i for i, f in enumerate(scaler.features)}
     names = greedy_names_local([(c[idx[S.INCOME]], c[idx[S.SCORE]]) for c in centers_orig])
-    model = SegmentModel(scaler, centers_orig, names, "kmeans", best.n_iter, best.cost)
-    return model, vec
+    model = SegmentModel(scaler, centers_orig, names, "kmeans", n_iter, cost)
+    return model, scaled
 
 
 def elbow_sweep(sample_vec: DataFrame, features_z: list[str], k_range=S.K_RANGE,
-                n_init: int = S.KMEANS_SEARCH_N_INIT, parallelism: int = 8) -> list[tuple[int, float, float]]:
-    """(k, inertia, exact silhouette) for every k on the persisted, scaled sample.
+                n_init: int = S.KMEANS_SEARCH_N_INIT) -> list[tuple[int, float, float]]:
+    """(k, inertia, exact silhouette) for every k on the scaled, bounded sample.
 
-    All (k, seed) fits are independent Spark jobs and run concurrently.
+    All (k, seed) fits run as the tasks of ONE job (see :func:`grid_kmeans`).
     """
-    def one(ks):
-        k, seed = ks
-        m = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features").fit(sample_vec)
-        return k, seed, m, float(m.summary.trainingCost)
-
-    grid = [(k, s) for k in k_range for s in seeds_for(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(one, grid))
-    best: dict[int, tuple] = {}
-    for k, seed, m, cost in fits:  # grid order: the first seed wins ties
-        if k not in best or cost < best[k][1]:
-            best[k] = (m, cost)
-
-    def sil(k):
-        labelled = best[k][0].transform(sample_vec).select(*features_z, "prediction")
-        return float(evaluate.silhouette_exact(labelled, features_z, "prediction").first()["silhouette"])
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        sils = list(pool.map(sil, list(k_range)))
-    return [(k, best[k][1], s) for k, s in zip(k_range, sils)]
+    fits = grid_kmeans(sample_vec, features_z, list(k_range), seeds_for(n_init))
+    return [(r["k"], r["inertia"], r["silhouette"]) for r in fits]
 
 
 def best_k(rows: list[tuple[int, float, float]]) -> int:
@@ -288,3 +297,154 @@ def gmm_diag_predict(df: DataFrame, cols: list[str], weights, means, variances)
 
 def gmm_diag_loglik(df: DataFrame, cols: list[str], weights, means, variances) -> float:
     return float(df.agg(F.sum(_logsumexp(_log_components(cols, weights, means, variances)))).first()[0])
+
+
+# ---------------------------------------------------------------------------
+# Grid of k-means fits over a bounded sample: one Spark job, one task per fit
+# ---------------------------------------------------------------------------
+def _kmeans_pp(X, k, rng):
+    """Greedy k-means++ seeding (2 + log k candidates per step)."""
+    import numpy as np
+    n = len(X)
+    trials = 2 + int(math.log(k))
+    centers = [X[rng.integers(n)]]
+    d2 = ((X - centers[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = d2.sum()
+        if total <= 0:
+            centers.append(X[rng.integers(n)])
+            continue
+        cand = np.searchsorted(np.cumsum(d2), rng.random(trials) * total)
+        cand = np.minimum(cand, n - 1)
+        cd = ((X[None, :, :] - X[cand][:, None, :]) ** 2).sum(axis=2)
+        cd = np.minimum(cd, d2[None, :])
+        best = int(np.argmin(cd.sum(axis=1)))
+        centers.append(X[cand[best]])
+        d2 = cd[best]
+    return np.array(centers, dtype=float)
+
+
+def lloyd(X, k: int, seed: int, max_iter: int = 300, rel_tol: float = 1e-4):
+    """k-means++ then Lloyd iterations until the summed squared center shift is at most
+    ``rel_tol`` times the mean feature variance.  Returns (centers, labels, inertia, n_iter)."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    C = _kmeans_pp(X, k, rng)
+    tol = rel_tol * float(np.mean(X.var(axis=0)))
+    n_iter = 0
+    for it in range(max_iter):
+        d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+        lab = d.argmin(axis=1)
+        new = C.copy()
+        for j in range(k):
+            m = lab == j
+            if m.any():
+                new[j] = X[m].mean(axis=0)
+        shift = float(((new - C) ** 2).sum())
+        C = new
+        n_iter = it + 1
+        if shift <= tol:
+            break
+    d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+    lab = d.argmin(axis=1)
+    return C, lab, float(d[np.arange(len(X)), lab].sum()), n_iter
+
+
+def silhouette_numpy(X, labels, block: int = 512) -> float:
+    """Exact Euclidean silhouette of a bounded sample (blocked distance matrix)."""
+    import numpy as np
+    ks = np.unique(labels)
+    if len(ks) < 2:
+        return float("nan")
+    codes = np.searchsorted(ks, labels)
+    onehot = np.zeros((len(X), len(ks)))
+    onehot[np.arange(len(X)), codes] = 1.0
+    sizes = onehot.sum(axis=0)
+    total = 0.0
+    for s in range(0, len(X), block):
+        rows = np.arange(s, min(s + block, len(X)))
+        dist = np.sqrt(((X[rows][:, None, :] - X[None, :, :]) ** 2).sum(axis=2))
+        sums = dist @ onehot
+        own = codes[rows]
+        own_n = sizes[own]
+        a = np.where(own_n > 1, sums[np.arange(len(rows)), own] / np.maximum(own_n - 1, 1), 0.0)
+        other = sums / sizes
+        other[np.arange(len(rows)), own] = np.inf
+        b = other.min(axis=1)
+        den = np.maximum(a, b)
+        total += float(np.where((own_n > 1) & (den > 0), (b - a) / np.where(den > 0, den, 1), 0.0).sum())
+    return total / len(X)
+
+
+def grid_kmeans(sample: DataFrame, cols: list[str], ks, seeds, silhouette: bool = True) -> list[dict]:
+    """Fit k-means for every (k, seed) of the grid over a BOUNDED sample.
+
+    The sample is broadcast once and the grid becomes one Spark job with one
+    task per fit, so a sweep costs one job instead of one job per iteration
+    of every fit.  Returns, per k, the lowest-inertia fit (ties to the first
+    seed) with its centers, iterations and (optionally) exact silhouette.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    spark = sample.sparkSession
+    X = sample.select(*[F.col(c).cast("double") for c in cols]).toPandas().to_numpy(dtype=float)
+    bc = spark.sparkContext.broadcast(X)
+    grid = [(int(k), int(s), i) for i, (k, s) in enumerate((k, s) for k in ks for s in seeds)]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("seed", T.IntegerType()),
+                           T.StructField("pos", T.IntegerType()), T.StructField("inertia", T.DoubleType()),
+                           T.StructField("n_iter", T.IntegerType()),
+                           T.StructField("centers", T.ArrayType(T.DoubleType())),
+                           T.StructField("silhouette", T.DoubleType())])
+
+    def fit(it):
+        Xb = bc.value
+        for pdf in it:
+            out = []
+            for k, seed, pos in zip(pdf["k"], pdf["seed"], pdf["pos"]):
+                C, lab, inertia, n_iter = lloyd(Xb, int(k), int(seed))
+                sil = silhouette_numpy(Xb, lab) if silhouette else None
+                out.append((int(k), int(seed), int(pos), inertia, n_iter, C.ravel().tolist(), sil))
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    gdf = spark.createDataFrame(grid, "k int, seed int, pos int").repartition(len(grid))
+    rows = gdf.mapInPandas(fit, schema).collect()  # one row per fit: bounded by the grid size
+    best: dict[int, dict] = {}
+    for r in sorted(rows, key=lambda r: r["pos"]):
+        if r["k"] not in best or r["inertia"] < best[r["k"]]["inertia"]:
+            best[r["k"]] = r.asDict()
+    d = len(cols)
+    for r in best.values():
+        r["centers"] = [r["centers"][i:i + d] for i in range(0, len(r["centers"]), d)]
+    return [best[k] for k in ks]
+
+
+def refine_kmeans(vec_df: DataFrame, cols: list[str], centers, max_iter: int = 300, rel_tol: float = 1e-4,
+                  mean_var: float = 1.0):
+    """Lloyd iterations over the FULL table from given centers.
+
+    Each iteration is one aggregate: the nearest-center expression (centers as
+    literals) and per-center sums with map-side partials, k rows back.  No
+    lineage grows across iterations because the centers travel as literals.
+    Returns (centers, inertia, n_iter).
+    """
+    from ..functions import distance as D
+    C = [list(map(float, c)) for c in centers]
+    tol = rel_tol * mean_var
+    n_iter = 0
+    for it in range(max_iter):
+        d = D.distance_array(cols, C)
+        stats = (vec_df.withColumn("_c", D.nearest_index(d)).groupBy("_c")
+                 .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
+                 .collect())  # k rows
+        new = [list(c) for c in C]
+        for r in stats:
+            new[int(r["_c"])] = [float(r[f"s{i}"]) / float(r["n"]) for i in range(len(cols))]
+        shift = sum((a - b) ** 2 for ca, cb in zip(new, C) for a, b in zip(ca, cb))
+        C = new
+        n_iter = it + 1
+        if shift <= tol:
+            break
+    d = D.distance_array(cols, C)
+    inertia = float(vec_df.agg(F.sum(F.array_min(d))).first()[0])
+    return C, inertia, n_iter

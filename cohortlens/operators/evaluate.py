@@ -87,6 +87,32 @@ def calinski_harabasz(df: DataFrame, features, label: str) -> DataFrame:
     return agg.select(ch.alias("calinski_harabasz"))
 
 
+def davies_bouldin_calinski(df: DataFrame, features, label: str) -> tuple[float, float]:
+    """K9 + K10 from ONE per-cluster aggregate (plus the centroid broadcast)."""
+    j, _ = _with_centroid(df, features, label)
+    d2 = _sqdist(F.col("x"), F.col("centroid"))
+    per = j.groupBy(label, "centroid").agg(F.count(F.lit(1)).alias("n"), F.avg(F.sqrt(d2)).alias("s"),
+                                           F.sum(d2).alias("w"))
+    rows = per.collect()  # k rows
+    import numpy as np
+    C = np.array([r["centroid"] for r in rows], dtype=float)
+    n = np.array([r["n"] for r in rows], dtype=float)
+    s = np.array([r["s"] for r in rows], dtype=float)
+    w = float(sum(r["w"] for r in rows))
+    k, N = len(rows), float(n.sum())
+    if k < 2:
+        return float("nan"), float("nan")
+    dist = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(axis=2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(dist > 0, (s[:, None] + s[None, :]) / dist, 0.0)
+    np.fill_diagonal(ratio, -np.inf)
+    db = float(np.mean(np.max(ratio, axis=1)))
+    mean = (n[:, None] * C).sum(axis=0) / N
+    between = float((n * ((C - mean) ** 2).sum(axis=1)).sum())
+    ch = 1.0 if w == 0 else between * (N - k) / (w * (k - 1))
+    return db, ch
+
+
 def silhouette_exact(sample: DataFrame, features, label: str, tasks: int = 8, block: int = 256) -> DataFrame:
     """K8 (fidelity form): mean silhouette with Euclidean distances over ``sample``.
 

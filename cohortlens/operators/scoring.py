@@ -92,7 +92,7 @@ def validate_requests(req: DataFrame) -> DataFrame:
 # F6 / K15 / K16 scoring
 # ---------------------------------------------------------------------------
 def assign(df: DataFrame, model: SegmentModel, cols: list[str] | None = None,
-           scaled: bool = True) -> DataFrame:
+           scaled: bool = True, centers: list[list[float]] | None = None) -> DataFrame:
     """Add ``cluster`` (nearest center, ties to the lowest id) and ``d2`` (its squared distance).
 
     ``scaled`` measures distance in standardised units, ``(x - c) / s``, the
@@ -100,7 +100,7 @@ def assign(df: DataFrame, model: SegmentModel, cols: list[str] | None = None,
     """
     cols = cols or model.features
     scales = model.scaler.scale if scaled else None
-    d = D.distance_array(cols, model.centers, scales)
+    d = D.distance_array(cols, centers if centers is not None else model.centers, scales)
     out = df.withColumn("_d", d)
     return (out.withColumn("cluster", D.nearest_index(F.col("_d")))
             .withColumn("d2", F.array_min(F.col("_d"))).drop("_d"))

@@ -10,6 +10,8 @@ persisted once and reused by every pass.
 from __future__ import annotations
 
 import datetime as dt
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -40,6 +42,7 @@ class TrainConfig:
     n_init_final: int = S.KMEANS_FINAL_N_INIT
     n_init_search: int = S.KMEANS_SEARCH_N_INIT
     sweep: bool = True
+    seeded_final_fit: bool = True  # False: n_init full Spark ML fits
 
 
 @dataclass
@@ -54,6 +57,7 @@ class Candidate:
     aic: float | None = None
     bic: float | None = None
     error: str | None = None
+    centers: list | None = None  # best sample fit (k-means variants), seeds the final fit
 
     def key(self):
         """H3: silhouette up, Davies-Bouldin down, Calinski-Harabasz up (6 dp)."""
@@ -79,6 +83,7 @@ class TrainResult:
     rows: int
     columns: int
     out_dir: str
+    phases: dict = field(default_factory=dict)
 
 
 def fit_preprocessor(kind: str, df: DataFrame, features: list[str], n_rows: int):
@@ -94,25 +99,26 @@ def fit_preprocessor(kind: str, df: DataFrame, features: list[str], n_rows: int)
 
 
 def _labels_and_fit(variant: str, vec: DataFrame, zcols: list[str], k: int, n_init: int):
-    """Fit ``variant`` on ``vec`` and return (labelled frame, inertia, log-likelihood or None)."""
+    """Fit ``variant`` on ``vec``: (labelled frame, inertia, log-likelihood, silhouette, centers)."""
+    from ..functions import distance as D
     if variant == "kmeans":
-        best, _ = K.fit_kmeans(vec, k, K.seeds_for(n_init))
-        return best.model.transform(vec), best.cost, None
+        fit = K.grid_kmeans(vec, zcols, [k], K.seeds_for(n_init), silhouette=True)[0]
+        lab = vec.withColumn("prediction", D.nearest_index(D.distance_array(zcols, fit["centers"])))
+        return lab, fit["inertia"], None, fit["silhouette"], fit["centers"]
     if variant == "minibatch_kmeans":
         centers, _ = K.fit_minibatch_kmeans(vec, zcols, k)
-        from ..functions import distance as D
         d = D.distance_array(zcols, centers)
         lab = vec.withColumn("_d", d).withColumn("prediction", D.nearest_index(F.col("_d")))
         inertia = float(lab.agg(F.sum(F.array_min("_d"))).first()[0])
-        return lab.drop("_d"), inertia, None
+        return lab.drop("_d"), inertia, None, None, centers
     if variant == "gaussian_mixture_full":
         model, _ = K.fit_gmm_full(vec, k, K.seeds_for(max(2, n_init // 2)))
-        return model.transform(vec), None, K.gmm_log_likelihood(model, vec)
+        return model.transform(vec), None, K.gmm_log_likelihood(model, vec), None, None
     if variant == "gaussian_mixture_diag":
         fits = [K.fit_gmm_diag(vec, zcols, k, seed=s) for s in K.seeds_for(max(2, n_init // 2))]
         w, m, v, _, _ = max(fits, key=lambda t: t[3])
         lab = K.gmm_diag_predict(vec, zcols, w, m, v)
-        return lab, None, K.gmm_diag_loglik(vec, zcols, w, m, v)
+        return lab, None, K.gmm_diag_loglik(vec, zcols, w, m, v), None, None
     raise ValueError(f"Unsupported model variant: {variant}")
 
 
@@ -123,18 +129,18 @@ def evaluate_candidate(df: DataFrame, n_rows: int, features: list[str], variant:
     zcols = [f"z_{f}" for f in features]
     sample = SM.exact_sample(df, cfg.elbow_n, total=n_rows)
     vec = K.vectors(scaler.transform(sample), zcols).persist(StorageLevel.MEMORY_AND_DISK)
-    lab, inertia, ll = _labels_and_fit(variant, vec, zcols, cfg.final_k, cfg.n_init_final)
+    lab, inertia, ll, sil, centers = _labels_and_fit(variant, vec, zcols, cfg.final_k, cfg.n_init_final)
     lab = lab.select(*zcols, F.col("prediction").cast("int").alias("prediction")).persist()
-    sil = EV.silhouette_exact(lab, zcols, "prediction").first()[0]
-    db = EV.davies_bouldin(lab, zcols, "prediction").first()[0]
-    ch = EV.calinski_harabasz(lab, zcols, "prediction").first()[0]
+    if sil is None:
+        sil = EV.silhouette_exact(lab, zcols, "prediction").first()[0]
+    db, ch = EV.davies_bouldin_calinski(lab, zcols, "prediction")
     aic = bic = None
     if ll is not None:
         cov = "full" if variant.endswith("full") else "diag"
         aic, bic = EV.aic_bic(ll, min(n_rows, cfg.elbow_n), cfg.final_k, len(features), cov)
     lab.unpersist()
     cand = Candidate(variant, prep, list(features), float(sil), float(db), float(ch),
-                     inertia, aic, bic)
+                     inertia, aic, bic, centers=centers)
     return cand, scaler, vec
 
 
@@ -151,6 +157,14 @@ def train(spark: SparkSession, raw: DataFrame, label: str, data_path: str, out_d
 def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: str, data_path: str,
                     out_dir: str, cfg: TrainConfig | None = None) -> TrainResult:
     cfg = cfg or TrainConfig()
+    phases: dict[str, float] = {}
+    clock = [time.perf_counter()]
+
+    def mark(name: str) -> None:
+        now = time.perf_counter()
+        phases[name] = round(now - clock[0], 3)
+        clock[0] = now
+
     df = typed.withColumn("gender_enc", (F.col(S.GENDER) == "Female").cast("int"))
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -177,48 +191,67 @@ def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: s
     if not isinstance(scaler, SC.LinearScaler) or best.variant not in ("kmeans", "minibatch_kmeans"):
         raise NotImplementedError("the final segmentation needs a linear scaler and a center-based model")
     zcols = [f"z_{f}" for f in best.features]
+    mark("candidates")
 
     # ---- K13 sweep, H4 best k ----
     sweep = K.elbow_sweep(elbow_vec, zcols, cfg.k_range, cfg.n_init_search) if cfg.sweep else []
     bk = K.best_k(sweep) if sweep else None
-    elbow_vec.unpersist()
+    mark("sweep")
 
     # ---- K1 final fit on the full table (+ J5 inverse, K14 naming) ----
-    model, vec = K.kmeans_segment_model(df, scaler, cfg.final_k, cfg.n_init_final)
+    model, vec = K.kmeans_segment_model(df, scaler, cfg.final_k, cfg.n_init_final,
+                                        seed_sample=elbow_vec if cfg.seeded_final_fit else None,
+                                        seed_centers=best.centers if cfg.seeded_final_fit else None)
     vec.unpersist()
     scored = SCO.score(df, model)  # K15/F1: cluster, segment, distance, confidence
+    mark("final_fit")
 
     # ---- final metrics on the metric sample with predicted labels ----
-    msample = SM.exact_sample(df, cfg.metric_n, total=n_rows)
-    mlab = SCO.assign(scaler.transform(msample), model).select(*zcols, "cluster").persist()
+    if cfg.metric_n == cfg.elbow_n:  # same size and seed: the same sample, already scaled
+        mscaled = elbow_vec
+    else:
+        mscaled = scaler.transform(SM.exact_sample(df, cfg.metric_n, total=n_rows))
+    mlab = SCO.assign(mscaled, model, cols=zcols, scaled=False, centers=[
+        [(v - c) / s for v, c, s in zip(ctr, scaler.center, scaler.scale)] for ctr in model.centers]
+    ).select(*zcols, "cluster").persist()
+    db, ch = EV.davies_bouldin_calinski(mlab, zcols, "cluster")
     metrics = {
         "silhouette": EV.silhouette_exact(mlab, zcols, "cluster").first()[0],
-        "davies": EV.davies_bouldin(mlab, zcols, "cluster").first()[0],
-        "calinski": EV.calinski_harabasz(mlab, zcols, "cluster").first()[0],
+        "davies": db,
+        "calinski": ch,
         "inertia": model.inertia, "aic": None, "bic": None, "n_iter": model.n_iter,
         "model_variant": best.variant, "preprocessor_variant": best.preprocessor, "features": best.features,
         "best_k": bk, "final_k": cfg.final_k,
     }
     mlab.unpersist()
+    elbow_vec.unpersist()
+    mark("metrics")
 
     segmented = adapter.with_derived(scored.drop("d2", "dist", "confidence"))
     centers = {model.segment_map[i]: (c[0], c[1]) for i, c in enumerate(model.centers)}
 
     # ---- sinks ----
-    W.write_table(segmented, f"{out_dir}/segmented")
-    W.write_required(segmented, f"{out_dir}/current_dataset_csv")
-    W.save_model(spark, model, f"{out_dir}/model")
     doc = {k: (round(float(v), {"silhouette": 4, "davies": 3, "calinski": 1, "inertia": 1}.get(k, 6))
                if isinstance(v, float) else v) for k, v in metrics.items()}
     doc["candidate_results"] = [c.record() for c in candidates]
-    W.write_document(spark, doc, W.METRICS_SCHEMA, f"{out_dir}/model_metrics")
-    W.write_document(spark, {"features": best.features, "variant": best.variant,
-                             "preprocessor": best.preprocessor}, W.FEATURES_SCHEMA, f"{out_dir}/selected_features")
-    W.append_run(spark, f"{out_dir}/run_history", label, data_path, n_rows,
-                 None if metrics["silhouette"] is None else round(float(metrics["silhouette"]), 4),
-                 dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
+    writes = [
+        lambda: W.write_table(segmented, f"{out_dir}/segmented"),
+        lambda: W.write_required(segmented, f"{out_dir}/current_dataset_csv"),
+        lambda: W.save_model(spark, model, f"{out_dir}/model"),
+        lambda: W.write_document(spark, doc, W.METRICS_SCHEMA, f"{out_dir}/model_metrics"),
+        lambda: W.write_document(spark, {"features": best.features, "variant": best.variant,
+                                         "preprocessor": best.preprocessor}, W.FEATURES_SCHEMA,
+                                 f"{out_dir}/selected_features"),
+        lambda: W.append_run(spark, f"{out_dir}/run_history", label, data_path, n_rows,
+                             None if metrics["silhouette"] is None else round(float(metrics["silhouette"]), 4),
+                             dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")),
+    ]
+    with ThreadPoolExecutor(max_workers=len(writes)) as pool:  # independent jobs, run concurrently
+        for f in [pool.submit(w) for w in writes]:
+            f.result()
     df.unpersist()
     segmented_read = spark.read.parquet(f"{out_dir}/segmented")
     stats = R.segment_stats(segmented_read, centers=centers, keys=("cluster", "segment"))
+    mark("sinks")
     return TrainResult(model, segmented_read, stats, candidates, sweep, bk, metrics, n_rows,
-                       len(segmented_read.columns), out_dir)
+                       len(segmented_read.columns), out_dir, phases)
