@@ -161,58 +161,69 @@ def gmm_log_likelihood(model, vec: DataFrame) -> float:
 # K2 mini-batch k-means
 # ---------------------------------------------------------------------------
 def fit_minibatch_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = S.SAMPLE_SEED,
-                         batch_size: int = 1024, max_iter: int = 200, tol: float = 1e-4,
+                         batch_size: int = 1024, max_iter: int = 200, max_no_improvement: int = 10,
                          n_rows: int | None = None):
     """Mini-batch k-means: centers move toward each batch's cluster means with
-    per-center learning rates ``count_batch / count_seen``.
+    per-center learning rates ``count_batch / count_seen``; stops after
+    ``max_no_improvement`` batches without a better smoothed batch inertia.
 
-    All batches are drawn in ONE pass (each row gets a random batch id, and
-    only rows landing in some batch are kept), so the bounded batch pool
-    (<= max_iter * batch_size rows) is persisted once and every update is a
-    grouped aggregate over one batch.  The same update serves a stream
-    (one call per micro-batch).
+    The batch pool (at most ``max_iter * batch_size`` rows, a bounded random
+    sample) is persisted once and cut into batches of ``batch_size``; every
+    step folds one batch into per-center sums (see :mod:`.partials`).  The
+    same update serves a stream, one call per micro-batch.
     """
-    from ..functions import distance as D
+    import numpy as np
+    from .partials import batch_sums
     n = n_rows if n_rows is not None else df.count()
     keep = min(1.0, max_iter * batch_size / max(n, 1))
     pool = (df.select(*cols).sample(fraction=keep, seed=seed)
-            .withColumn("_batch", (F.rand(seed + 1) * max_iter).cast("int"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    init = pool.orderBy(F.rand(seed + 2)).limit(k).collect()  # k rows
-    centers = [[float(r[c]) for c in cols] for r in init]
-    seen = [0.0] * len(centers)
-    n_iter = 0
+            .withColumn("_b", F.rand(seed + 1)).persist(StorageLevel.MEMORY_AND_DISK))
+    pool_n = pool.count()
+    n_batches = max(1, pool_n // batch_size)
+    init = pool.orderBy("_b").limit(k).collect()  # k rows
+    C = np.array([[float(r[c]) for c in cols] for r in init])
+    seen = np.zeros(len(C))
+    d = len(cols)
+    alpha = batch_size * 2.0 / (n + 1)
+    ewa, best, stall, n_iter = None, None, 0, 0
     for it in range(max_iter):
-        batch = pool.filter(F.col("_batch") == it)
-        centers, seen, shift = minibatch_update(batch, cols, centers, seen)
+        b = it % n_batches
+        sums = batch_sums(pool, cols + ["_b"], _minibatch_part, len(C) * (d + 1) + 1, (C, b, n_batches))
+        cnt = sums[:len(C)]
+        tot = sums[len(C):len(C) * (d + 1)].reshape(len(C), d)
+        inertia = sums[-1] / max(cnt.sum(), 1.0)
+        for j in range(len(C)):
+            if cnt[j] > 0:
+                seen[j] += cnt[j]
+                C[j] += (cnt[j] / seen[j]) * (tot[j] / cnt[j] - C[j])
         n_iter = it + 1
-        if shift < tol:
-            break
+        ewa = inertia if ewa is None else ewa * (1 - alpha) + inertia * alpha
+        if best is None or ewa < best:
+            best, stall = ewa, 0
+        else:
+            stall += 1
+            if stall >= max_no_improvement:
+                break
     pool.unpersist()
-    return centers, n_iter
-
-
-def minibatch_update(batch: DataFrame, cols: list[str], centers, seen):
-    """One mini-batch step: grouped sums per nearest center (k rows collected)."""
-    from ..functions import distance as D
-    d = D.distance_array(cols, centers)
-    stats = (batch.withColumn("_c", D.nearest_index(d)).groupBy("_c")
-             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
-             .collect())
-    new = [list(c) for c in centers]
-    seen = list(seen)
-    shift = 0.0
-    for r in stats:
-        j = int(r["_c"])
-        cnt = float(r["n"])
-        seen[j] += cnt
-        eta = cnt / seen[j]
-        for i in range(len(cols)):
-            mean = float(r[f"s{i}"]) / cnt
-            step = eta * (mean - new[j][i])
-            new[j][i] += step
-            shift = max(shift, abs(step))
-    return new, seen, shift
+    return C.tolist(), n_iter
+
+
+def _minibatch_part(X, params):
+    import numpy as np
+    C, b, n_batches = params
+    sel = np.minimum((X[:, -1] * n_batches).astype(int), n_batches - 1) == b
+    Xb = X[sel, :-1]
+    k, d = C.shape
+    out = np.zeros(k * (d + 1) + 1)
+    if len(Xb) == 0:
+        return out
+    dist = ((Xb[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+    lab = dist.argmin(axis=1)
+    out[:k] = np.bincount(lab, minlength=k)
+    for j in range(d):
+        out[k + np.arange(k) * d + j] = np.bincount(lab, weights=Xb[:, j], minlength=k)
+    out[-1] = dist[np.arange(len(Xb)), lab].sum()
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -239,12 +250,28 @@ def _logsumexp(comps):
     return m + F.log(total)
 
 
+def _gmm_diag_part(X, params):
+    """Responsibility-weighted sums of one batch: [r_j, r_j*x, r_j*x^2 per component, log-lik]."""
+    import numpy as np
+    w, mu, var = params
+    k, d = mu.shape
+    logp = (np.log(np.maximum(w, 1e-300))[None, :]
+            - 0.5 * np.log(2 * np.pi * var).sum(axis=1)[None, :]
+            - 0.5 * (((X[:, None, :] - mu[None, :, :]) ** 2) / var[None, :, :]).sum(axis=2))
+    m = logp.max(axis=1, keepdims=True)
+    lse = m[:, 0] + np.log(np.exp(logp - m).sum(axis=1))
+    r = np.exp(logp - lse[:, None])
+    return np.concatenate([r.sum(axis=0), (r.T @ X).ravel(), (r.T @ (X * X)).ravel(), [lse.sum()]])
+
+
 def fit_gmm_diag(df: DataFrame, cols: list[str], k: int, seed: int = S.SAMPLE_SEED, max_iter: int = 100,
                  tol: float = 1e-3, reg_covar: float = 1e-4):
     """EM for a diagonal mixture.  Parameters stay on the driver (k x d numbers);
-    each iteration is ONE aggregate over the (persisted) data computing the
-    responsibilities and their weighted first and second moments.
+    each iteration is ONE pass over the (persisted) data folding responsibilities
+    and their weighted first and second moments into per-task partial sums.
     Initialised from k-means labels.  Returns (weights, means, variances, mean log-lik, n_iter)."""
+    import numpy as np
+    from .partials import batch_sums
     data = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     vec = vectors(data, cols)
     km = KMeans(k=k, seed=seed, maxIter=100, featuresCol="features").fit(vec)
@@ -253,39 +280,27 @@ def fit_gmm_diag(df: DataFrame, cols: list[str], k: int, seed: int = S.SAMPLE_SE
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
         *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).collect()
     total = sum(r["n"] for r in lab)
-    weights = [r["n"] / total for r in lab]
-    means = [[float(r[f"m{i}"]) for i in range(len(cols))] for r in lab]
-    variances = [[float(r[f"v{i}"] or 0.0) + reg_covar for i in range(len(cols))] for r in lab]
-    prev = None
-    n_iter = 0
-    ll = float("-inf")
+    d = len(cols)
+    w = np.array([r["n"] / total for r in lab])
+    mu = np.array([[float(r[f"m{i}"]) for i in range(d)] for r in lab])
+    var = np.array([[float(r[f"v{i}"] or 0.0) + reg_covar for i in range(d)] for r in lab])
+    kk = len(w)
+    prev, ll, n_iter = None, float("-inf"), 0
     for it in range(max_iter):
-        comps = _log_components(cols, weights, means, variances)
-        lse = _logsumexp(comps)
-        resp = [F.exp(c - lse) for c in comps]
-        aggs = [F.sum(lse).alias("ll"), F.count(F.lit(1)).alias("n")]
-        for j, r in enumerate(resp):
-            aggs.append(F.sum(r).alias(f"r{j}"))
-            for i, c in enumerate(cols):
-                aggs += [F.sum(r * F.col(c)).alias(f"x{j}_{i}"), F.sum(r * F.col(c) * F.col(c)).alias(f"q{j}_{i}")]
-        row = data.agg(*aggs).first()
-        n = float(row["n"])
-        ll = float(row["ll"]) / n
-        new_w, new_m, new_v = [], [], []
-        for j in range(len(comps)):
-            rj = max(float(row[f"r{j}"]), 1e-12)
-            new_w.append(rj / n)
-            mu = [float(row[f"x{j}_{i}"]) / rj for i in range(len(cols))]
-            var = [max(float(row[f"q{j}_{i}"]) / rj - mu[i] * mu[i], 0.0) + reg_covar for i in range(len(cols))]
-            new_m.append(mu)
-            new_v.append(var)
-        weights, means, variances = new_w, new_m, new_v
+        sums = batch_sums(data, cols, _gmm_diag_part, kk * (1 + 2 * d) + 1, (w, mu, var))
+        rsum = np.maximum(sums[:kk], 1e-12)
+        sx = sums[kk:kk + kk * d].reshape(kk, d)
+        sxx = sums[kk + kk * d:kk + 2 * kk * d].reshape(kk, d)
+        ll = sums[-1] / total
+        w = rsum / rsum.sum()
+        mu = sx / rsum[:, None]
+        var = np.maximum(sxx / rsum[:, None] - mu * mu, 0.0) + reg_covar
         n_iter = it + 1
         if prev is not None and abs(ll - prev) < tol:
             break
         prev = ll
     data.unpersist()
-    return weights, means, variances, ll, n_iter
+    return w.tolist(), mu.tolist(), var.tolist(), float(ll), n_iter
 
 
 def gmm_diag_predict(df: DataFrame, cols: list[str], weights, means, variances) -> DataFrame:
@@ -419,32 +434,207 @@ def grid_kmeans(sample: DataFrame, cols: list[str], ks, seeds, silhouette: bool
     return [best[k] for k in ks]
 
 
+def _lloyd_part(X, C):
+    import numpy as np
+    k, d = C.shape
+    dist = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+    lab = dist.argmin(axis=1)
+    out = np.zeros(k * (d + 1) + 1)
+    out[:k] = np.bincount(lab, minlength=k)
+    for j in range(d):
+        out[k + np.arange(k) * d + j] = np.bincount(lab, weights=X[:, j], minlength=k)
+    out[-1] = dist[np.arange(len(X)), lab].sum()
+    return out
+
+
 def refine_kmeans(vec_df: DataFrame, cols: list[str], centers, max_iter: int = 300, rel_tol: float = 1e-4,
                   mean_var: float = 1.0):
     """Lloyd iterations over the FULL table from given centers.
 
-    Each iteration is one aggregate: the nearest-center expression (centers as
-    literals) and per-center sums with map-side partials, k rows back.  No
-    lineage grows across iterations because the centers travel as literals.
-    Returns (centers, inertia, n_iter).
+    Each iteration is one pass folding rows into per-center sums (partial
+    sums per task, then one small reduction); the centers travel as a
+    broadcast, so the plan and its generated code stay the same across
+    iterations.  Returns (centers, inertia, n_iter) with the inertia of the
+    returned centers.
     """
-    from ..functions import distance as D
-    C = [list(map(float, c)) for c in centers]
+    import numpy as np
+    from .partials import batch_sums
+    C = np.array(centers, dtype=float)
+    k, d = C.shape
     tol = rel_tol * mean_var
     n_iter = 0
     for it in range(max_iter):
-        d = D.distance_array(cols, C)
-        stats = (vec_df.withColumn("_c", D.nearest_index(d)).groupBy("_c")
-                 .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
-                 .collect())  # k rows
-        new = [list(c) for c in C]
-        for r in stats:
-            new[int(r["_c"])] = [float(r[f"s{i}"]) / float(r["n"]) for i in range(len(cols))]
-        shift = sum((a - b) ** 2 for ca, cb in zip(new, C) for a, b in zip(ca, cb))
+        sums = batch_sums(vec_df, cols, _lloyd_part, k * (d + 1) + 1, C)
+        cnt = sums[:k]
+        tot = sums[k:k * (d + 1)].reshape(k, d)
+        new = np.where(cnt[:, None] > 0, tot / np.maximum(cnt[:, None], 1), C)
+        shift = float(((new - C) ** 2).sum())
         C = new
         n_iter = it + 1
         if shift <= tol:
             break
-    d = D.distance_array(cols, C)
-    inertia = float(vec_df.agg(F.sum(F.array_min(d))).first()[0])
-    return C, inertia, n_iter
+    inertia = float(batch_sums(vec_df, cols, _lloyd_part, k * (d + 1) + 1, C)[-1])
+    return C.tolist(), inertia, n_iter
+
+
+# ---------------------------------------------------------------------------
+# Sequential fits over a BOUNDED sample: one task per seed, one job in total
+# ---------------------------------------------------------------------------
+def minibatch_np(X, k: int, seed: int, batch_size: int = 1024, max_iter: int = 200,
+                 max_no_improvement: int = 10):
+    """Mini-batch k-means over an in-task array: k-means++ on an init subset, then
+    per-center learning-rate updates; stops after ``max_no_improvement`` batches
+    without a better smoothed batch inertia.  Returns (centers, n_iter)."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    n = len(X)
+    init_idx = rng.choice(n, size=min(n, 3 * batch_size), replace=False)
+    C = _kmeans_pp(X[init_idx], k, rng)
+    seen = np.zeros(k)
+    alpha = batch_size * 2.0 / (n + 1)
+    ewa, best, stall, n_iter = None, None, 0, 0
+    for it in range(max_iter):
+        Xb = X[rng.integers(0, n, size=min(batch_size, n))]
+        dist = ((Xb[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+        lab = dist.argmin(axis=1)
+        inertia = float(dist[np.arange(len(Xb)), lab].mean())
+        for j in range(k):
+            m = lab == j
+            c = int(m.sum())
+            if c:
+                seen[j] += c
+                C[j] += (c / seen[j]) * (Xb[m].mean(axis=0) - C[j])
+        n_iter = it + 1
+        ewa = inertia if ewa is None else ewa * (1 - alpha) + inertia * alpha
+        if best is None or ewa < best:
+            best, stall = ewa, 0
+        else:
+            stall += 1
+            if stall >= max_no_improvement:
+                break
+    return C, n_iter
+
+
+def gmm_diag_np(X, k: int, seed: int, max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-4):
+    """Diagonal mixture EM over an in-task array, initialised from k-means labels.
+    Returns (weights, means, variances, mean log-likelihood, n_iter)."""
+    import numpy as np
+    _, lab, _, _ = lloyd(X, k, seed)
+    n, d = X.shape
+    w = np.array([max((lab == j).mean(), 1e-12) for j in range(k)])
+    mu = np.array([X[lab == j].mean(axis=0) if (lab == j).any() else X.mean(axis=0) for j in range(k)])
+    var = np.array([X[lab == j].var(axis=0) if (lab == j).any() else X.var(axis=0) for j in range(k)]) + reg_covar
+    prev, ll, n_iter = None, float("-inf"), 0
+    for it in range(max_iter):
+        s = _gmm_diag_part(X, (w, mu, var))
+        rsum = np.maximum(s[:k], 1e-12)
+        mu = s[k:k + k * d].reshape(k, d) / rsum[:, None]
+        var = np.maximum(s[k + k * d:k + 2 * k * d].reshape(k, d) / rsum[:, None] - mu * mu, 0.0) + reg_covar
+        w = rsum / rsum.sum()
+        ll = s[-1] / n
+        n_iter = it + 1
+        if prev is not None and abs(ll - prev) < tol:
+            break
+        prev = ll
+    return w, mu, var, float(ll), n_iter
+
+
+def _gmm_full_logp(X, w, mu, cov):
+    import numpy as np
+    k, d = mu.shape
+    out = np.empty((len(X), k))
+    for j in range(k):
+        inv = np.linalg.inv(cov[j])
+        _, logdet = np.linalg.slogdet(cov[j])
+        diff = X - mu[j]
+        out[:, j] = (np.log(max(w[j], 1e-300)) - 0.5 * (d * np.log(2 * np.pi) + logdet)
+                     - 0.5 * np.einsum("ni,ij,nj->n", diff, inv, diff))
+    return out
+
+
+def gmm_full_np(X, k: int, seed: int, max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-4):
+    """Full-covariance mixture EM over an in-task array, initialised from k-means labels.
+    Returns (weights, means, covariances, mean log-likelihood, n_iter)."""
+    import numpy as np
+    _, lab, _, _ = lloyd(X, k, seed)
+    n, d = X.shape
+    resp = np.zeros((n, k))
+    resp[np.arange(n), lab] = 1.0
+    prev, ll, n_iter = None, float("-inf"), 0
+    w = mu = cov = None
+    for it in range(max_iter + 1):
+        nk = np.maximum(resp.sum(axis=0), 1e-12)
+        w = nk / n
+        mu = (resp.T @ X) / nk[:, None]
+        cov = np.empty((k, d, d))
+        for j in range(k):
+            diff = X - mu[j]
+            cov[j] = (resp[:, j, None] * diff).T @ diff / nk[j] + reg_covar * np.eye(d)
+        if it == max_iter:
+            break
+        logp = _gmm_full_logp(X, w, mu, cov)
+        m = logp.max(axis=1, keepdims=True)
+        lse = m[:, 0] + np.log(np.exp(logp - m).sum(axis=1))
+        resp = np.exp(logp - lse[:, None])
+        ll = float(lse.mean())
+        n_iter = it + 1
+        if prev is not None and abs(ll - prev) < tol:
+            break
+        prev = ll
+    return w, mu, cov, ll, n_iter
+
+
+def gmm_full_predict(df: DataFrame, cols: list[str], w, mu, cov) -> DataFrame:
+    """Hard labels of a full-covariance mixture as one projection (parameters inlined once)."""
+    import numpy as np
+    comps = []
+    d = len(cols)
+    for j in range(len(w)):
+        inv = np.linalg.inv(np.asarray(cov[j]))
+        _, logdet = np.linalg.slogdet(np.asarray(cov[j]))
+        quad = None
+        for a in range(d):
+            for b in range(d):
+                t = ((F.col(cols[a]) - F.lit(float(mu[j][a]))) * F.lit(float(inv[a, b]))
+                     * (F.col(cols[b]) - F.lit(float(mu[j][b]))))
+                quad = t if quad is None else quad + t
+        comps.append(F.lit(float(np.log(max(w[j], 1e-300)) - 0.5 * (d * np.log(2 * np.pi) + logdet)))
+                     - F.lit(0.5) * quad)
+    arr = F.array(*comps)
+    return df.withColumn("prediction", (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
+
+
+def sample_fits(sample: DataFrame, cols: list[str], kind: str, k: int, seeds: list[int]) -> list[dict]:
+    """Fit ``kind`` ('minibatch', 'gmm_full' or 'gmm_diag') once per seed over a bounded sample,
+    one task per seed; returns the per-seed parameters (a row per seed)."""
+    import json
+
+    import numpy as np
+    import pandas as pd
+    spark = sample.sparkSession
+    X = sample.select(*[F.col(c).cast("double") for c in cols]).toPandas().to_numpy(dtype=float)
+    bc = spark.sparkContext.broadcast(X)
+
+    def fit(it):
+        Xb = bc.value
+        for pdf in it:
+            out = []
+            for seed in pdf["seed"]:
+                if kind == "minibatch":
+                    C, n_iter = minibatch_np(Xb, k, int(seed))
+                    dist = ((Xb[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+                    res = {"centers": C.tolist(), "n_iter": n_iter, "inertia": float(dist.min(axis=1).sum())}
+                elif kind == "gmm_full":
+                    w, mu, cov, ll, n_iter = gmm_full_np(Xb, k, int(seed))
+                    res = {"weights": w.tolist(), "means": mu.tolist(), "covariances": cov.tolist(),
+                           "mean_ll": ll, "n_iter": n_iter}
+                else:
+                    w, mu, var, ll, n_iter = gmm_diag_np(Xb, k, int(seed))
+                    res = {"weights": w.tolist(), "means": mu.tolist(), "variances": var.tolist(),
+                           "mean_ll": ll, "n_iter": n_iter}
+                out.append((int(seed), json.dumps(res)))
+            yield pd.DataFrame(out, columns=["seed", "fit"])
+
+    gdf = spark.createDataFrame([(int(s),) for s in seeds], "seed int").repartition(len(seeds))
+    rows = gdf.mapInPandas(fit, "seed int, fit string").collect()  # one row per seed
+    return [dict(seed=r["seed"], **json.loads(r["fit"])) for r in sorted(rows, key=lambda r: r["seed"])]

@@ -202,19 +202,33 @@ class YeoJohnson:
         return df.select("*", *cols)
 
 
+def _yj_np(x: np.ndarray, lm: float) -> np.ndarray:
+    pos = x >= 0
+    out = np.empty_like(x)
+    xp, xn = x[pos], x[~pos]
+    out[pos] = np.log1p(xp) if abs(lm) < 1e-12 else (np.power(xp + 1, lm) - 1) / lm
+    out[~pos] = -np.log1p(-xn) if abs(lm - 2) < 1e-12 else -(np.power(-xn + 1, 2 - lm) - 1) / (2 - lm)
+    return out
+
+
+def _yj_part(X, grid):
+    x = X[:, 0]
+    out = [float(len(x)), float((np.sign(x) * np.log1p(np.abs(x))).sum())]
+    for lm in grid:
+        y = _yj_np(x, lm)
+        out += [float(y.sum()), float((y * y).sum())]
+    return np.array(out)
+
+
 def _yj_loglik_pass(df: DataFrame, f: str, grid: list[float]) -> list[float]:
-    """Profile log-likelihood of every lambda in ``grid`` in ONE aggregate pass."""
-    x = F.col(f).cast("double")
-    aggs = [F.count(x).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j")]
-    for i, lm in enumerate(grid):
-        y = yeo_johnson_col(x, lm)
-        aggs += [F.sum(y).alias(f"s{i}"), F.sum(y * y).alias(f"q{i}")]
-    row = df.agg(*aggs).first()
-    n, j = float(row["n"]), float(row["j"])
+    """Profile log-likelihood of every lambda in ``grid`` in ONE pass (partial sums per task)."""
+    from .partials import batch_sums
+    sums = batch_sums(df, [f], _yj_part, 2 + 2 * len(grid), list(grid))
+    n, j = sums[0], sums[1]
     out = []
     for i, lm in enumerate(grid):
-        mean = row[f"s{i}"] / n
-        var = max(row[f"q{i}"] / n - mean * mean, 1e-300)
+        mean = sums[2 + 2 * i] / n
+        var = max(sums[3 + 2 * i] / n - mean * mean, 1e-300)
         out.append(-0.5 * n * math.log(var) + (lm - 1) * j)
     return out
 

@@ -163,15 +163,12 @@ def grid(spark: SparkSession, sf_dir: str):
                             F.col(S.SCORE).cast("double").alias(S.SCORE)).persist()
         n = typed.count()
         cfg = TR.TrainConfig()
+        combos = [(v, p, list(S.FEATURES)) for v in GRID_VARIANTS for p in GRID_PREPROCESSORS]
         out = []
-        for variant in GRID_VARIANTS:
-            for prep in GRID_PREPROCESSORS:
-                try:
-                    cand, _scaler, vec = TR.evaluate_candidate(typed, n, list(S.FEATURES), variant, prep, cfg)
-                    vec.unpersist()
-                except Exception as exc:  # noqa: BLE001 - failures are reported, not fatal
-                    cand = TR.Candidate(variant, prep, list(S.FEATURES), error=str(exc)[:300])
-                out.append(cand)
+        for cand, _scaler, vec in TR.evaluate_grid(typed, n, combos, cfg):
+            if vec is not None:
+                vec.unpersist()
+            out.append(cand)
         typed.unpersist()
         _GRID[key] = out
     return _GRID[key]

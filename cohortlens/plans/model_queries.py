@@ -151,3 +151,70 @@ def q_greedy_naming(spark, sf_dir):
             .checkpoint(eager=True))
     names = NM.greedy_names(cent)
     return cent.join(names, "cluster", "inner").select("cluster", "segment", "income", "score")
+
+
+# ---- J3 / J4 nonlinear preprocessors, K2 / K3 / K4 model variants ------------
+@register("quantile_normal")
+def q_quantile_normal(spark, sf_dir):
+    """Features through their empirical CDF to the standard normal (rows check)."""
+    cust = adapter.customers(spark, sf_dir)
+    qn = SC.fit_quantile_normal(cust)
+    return qn.transform(cust).select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
+
+
+@register("yeo_johnson")
+def q_yeo_johnson(spark, sf_dir):
+    """Yeo-Johnson with maximum-likelihood lambda, then standardised (rows check)."""
+    cust = adapter.customers(spark, sf_dir).persist()
+    yj = SC.fit_yeo_johnson(cust)
+    out = yj.transform(cust).select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
+    lam = ", ".join(f"{f}={v:.4f}" for f, v in zip(yj.features, yj.lambdas))
+    return out.withColumn("lambdas", F.lit(lam))
+
+
+def _scaled_customers(spark, sf_dir):
+    cust = adapter.customers(spark, sf_dir)
+    return SC.fit_standard(cust).transform(cust)
+
+
+@register("minibatch_kmeans")
+def q_minibatch_kmeans(spark, sf_dir):
+    """K2: mini-batch k-means (batch 1024) on the standardised customers; cluster sizes.
+
+    The batches come from a bounded pool (max_iter x batch rows) sampled in
+    one pass; the sequential updates run one seed per task, and the labels of
+    the whole table are assigned by a distributed projection."""
+    from ..functions import distance as D
+    z = _scaled_customers(spark, sf_dir).persist()
+    n = z.count()
+    pool = z.sample(fraction=min(1.0, 200 * 1024 / max(n, 1)), seed=S.SAMPLE_SEED)
+    fits = K.sample_fits(pool, Z, "minibatch", S.FINAL_K, K.seeds_for(S.KMEANS_FINAL_N_INIT))
+    best = min(fits, key=lambda f: f["inertia"])
+    centers, n_iter = best["centers"], best["n_iter"]
+    lab = z.withColumn("cluster", D.nearest_index(D.distance_array(Z, centers)))
+    out = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("n_iter", F.lit(n_iter))
+
+
+@register("gmm_full")
+def q_gmm_full(spark, sf_dir):
+    """K3: full-covariance Gaussian mixture (Spark ML, best log-likelihood over seeds); component sizes."""
+    vec = K.vectors(_scaled_customers(spark, sf_dir), Z).persist()
+    model, ll = K.fit_gmm_full(vec, S.FINAL_K, K.seeds_for(max(2, S.KMEANS_FINAL_N_INIT // 2)))
+    out = model.transform(vec).groupBy(F.col("prediction").alias("component")).agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("log_likelihood", F.lit(round(ll, 6)))
+
+
+@register("gmm_diag")
+def q_gmm_diag(spark, sf_dir):
+    """K4: diagonal-covariance mixture by DataFrame EM; component sizes and weights."""
+    z = _scaled_customers(spark, sf_dir).select(*Z).persist()
+    seeds = K.seeds_for(max(2, S.KMEANS_FINAL_N_INIT // 2))
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(seeds)) as pool:  # seeds as concurrent jobs
+        fits = list(pool.map(lambda s: K.fit_gmm_diag(z, Z, S.FINAL_K, seed=s), seeds))
+    w, m, v, ll, n_iter = max(fits, key=lambda t: t[3])
+    lab = K.gmm_diag_predict(z, Z, w, m, v)
+    out = lab.groupBy(F.col("prediction").alias("component")).agg(F.count(F.lit(1)).alias("n"))
+    weights = F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col("component") + 1)
+    return out.withColumn("weight", F.round(weights, 6)).withColumn("mean_log_likelihood", F.lit(round(ll, 6)))

@@ -268,6 +268,12 @@ pc AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS qua
 c AS (SELECT quarter, segment, COUNT(*) AS customers, CAST(SUM(o) AS BIGINT) AS orders FROM pc JOIN seg ON pc.o_custkey + 1 = seg.customer_id GROUP BY ALL)
 SELECT quarter, segment, customers, orders, lag(customers) OVER (PARTITION BY segment ORDER BY quarter) AS prev_customers,
   customers - lag(customers) OVER (PARTITION BY segment ORDER BY quarter) AS change FROM c"""
+    out["segment_drift_wide"] = f"""{W},
+pc AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter FROM orders GROUP BY ALL),
+c AS (SELECT quarter, segment, COUNT(*) AS customers FROM pc JOIN seg ON pc.o_custkey + 1 = seg.customer_id GROUP BY ALL)
+SELECT quarter, """ + ", ".join(
+        f"MAX(CASE WHEN segment = {q(s)} THEN customers END) AS \"{s}\"" for s in S.SEGMENTS) + """
+FROM c GROUP BY quarter"""
     return out
 
 

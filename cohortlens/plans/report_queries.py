@@ -218,3 +218,9 @@ def q_rfm_cube(spark, sf_dir):
 @register("segment_drift")
 def q_segment_drift(spark, sf_dir):
     return rfm.segment_drift(read_table(spark, sf_dir, "orders"), _seg(spark, sf_dir))
+
+
+@register("segment_drift_wide")
+def q_segment_drift_wide(spark, sf_dir):
+    """L3 as a quarter x segment table (pivot over the known segment list)."""
+    return rfm.segment_drift_wide(rfm.segment_drift(read_table(spark, sf_dir, "orders"), _seg(spark, sf_dir)))

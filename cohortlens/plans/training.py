@@ -106,19 +106,23 @@ def _labels_and_fit(variant: str, vec: DataFrame, zcols: list[str], k: int, n_in
         lab = vec.withColumn("prediction", D.nearest_index(D.distance_array(zcols, fit["centers"])))
         return lab, fit["inertia"], None, fit["silhouette"], fit["centers"]
     if variant == "minibatch_kmeans":
-        centers, _ = K.fit_minibatch_kmeans(vec, zcols, k)
+        fits = K.sample_fits(vec, zcols, "minibatch", k, K.seeds_for(n_init))
+        centers = min(fits, key=lambda f: f["inertia"])["centers"]
         d = D.distance_array(zcols, centers)
         lab = vec.withColumn("_d", d).withColumn("prediction", D.nearest_index(F.col("_d")))
         inertia = float(lab.agg(F.sum(F.array_min("_d"))).first()[0])
         return lab.drop("_d"), inertia, None, None, centers
     if variant == "gaussian_mixture_full":
-        model, _ = K.fit_gmm_full(vec, k, K.seeds_for(max(2, n_init // 2)))
-        return model.transform(vec), None, K.gmm_log_likelihood(model, vec), None, None
+        fits = K.sample_fits(vec, zcols, "gmm_full", k, K.seeds_for(max(2, n_init // 2)))
+        f = max(fits, key=lambda f: f["mean_ll"])
+        lab = K.gmm_full_predict(vec, zcols, f["weights"], f["means"], f["covariances"])
+        return lab, None, f["mean_ll"] * vec.count(), None, None
     if variant == "gaussian_mixture_diag":
-        fits = [K.fit_gmm_diag(vec, zcols, k, seed=s) for s in K.seeds_for(max(2, n_init // 2))]
-        w, m, v, _, _ = max(fits, key=lambda t: t[3])
+        fits = K.sample_fits(vec, zcols, "gmm_diag", k, K.seeds_for(max(2, n_init // 2)))
+        f = max(fits, key=lambda f: f["mean_ll"])
+        w, m, v = f["weights"], f["means"], f["variances"]
         lab = K.gmm_diag_predict(vec, zcols, w, m, v)
-        return lab, None, K.gmm_diag_loglik(vec, zcols, w, m, v), None, None
+        return lab, None, f["mean_ll"] * vec.count(), None, None
     raise ValueError(f"Unsupported model variant: {variant}")
 
 
@@ -144,6 +148,23 @@ def evaluate_candidate(df: DataFrame, n_rows: int, features: list[str], variant:
     return cand, scaler, vec
 
 
+def evaluate_grid(df: DataFrame, n_rows: int, combos: list[tuple[str, str, list[str]]], cfg: TrainConfig,
+                  parallelism: int = 8) -> list[tuple[Candidate, object, DataFrame | None]]:
+    """Evaluate (variant, preprocessor, features) candidates as concurrent Spark jobs.
+
+    A failing candidate is kept with its reason; results are in grid order.
+    """
+    def one(combo):
+        variant, prep, feats = combo
+        try:
+            return evaluate_candidate(df, n_rows, feats, variant, prep, cfg)
+        except Exception as exc:  # noqa: BLE001 - a failing candidate is skipped with its reason
+            return Candidate(variant, prep, list(feats), error=str(exc)[:500]), None, None
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(combos)))) as pool:
+        return list(pool.map(one, combos))
+
+
 def train(spark: SparkSession, raw: DataFrame, label: str, data_path: str, out_dir: str,
           cfg: TrainConfig | None = None) -> TrainResult:
     """Train from a raw (all-text) customer table: fail-fast validation first."""
@@ -169,17 +190,10 @@ def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: s
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
 
     # ---- K12 candidate grid, H3 best ----
-    candidates: list[Candidate] = []
-    kept = {}
-    for variant in cfg.model_variants:
-        for prep in cfg.preprocessors:
-            for feats in cfg.feature_sets:
-                try:
-                    cand, scaler, vec = evaluate_candidate(df, n_rows, feats, variant, prep, cfg)
-                    candidates.append(cand)
-                    kept[id(cand)] = (scaler, vec)
-                except Exception as exc:  # noqa: BLE001 - a failing candidate is skipped with its reason
-                    candidates.append(Candidate(variant, prep, list(feats), error=str(exc)[:500]))
+    combos = [(v, p, list(f)) for v in cfg.model_variants for p in cfg.preprocessors for f in cfg.feature_sets]
+    results = evaluate_grid(df, n_rows, combos, cfg)
+    candidates = [c for c, _, _ in results]
+    kept = {id(c): (sc, vec) for c, sc, vec in results if c.error is None}
     ok = [c for c in candidates if c.error is None]
     if not ok:
         raise RuntimeError("All clustering candidates failed during optimization.")
