@@ -27,12 +27,14 @@ def true_rfm(orders: DataFrame) -> DataFrame:
     all orders still ships one partial row per task.  Revenue is summed in
     integer cents, so it is exact and order independent.
     """
-    last_date = orders.select(F.max(F.to_date("o_orderdate"))).scalar()
     per = orders.groupBy("o_custkey").agg(
         F.max(F.to_date("o_orderdate")).alias("last_order"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("_cents"),
     )
+    # the data's last date: a one-column global max (partial max per task, no
+    # shuffle of rows), evaluated once as a scalar subquery
+    last_date = orders.select(F.max(F.to_date("o_orderdate"))).scalar()
     return per.select(
         (F.col("o_custkey") + 1).cast("int").alias(S.CUSTOMER_ID),
         "last_order",

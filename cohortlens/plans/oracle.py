@@ -40,7 +40,8 @@ R_BAND = "CASE WHEN score >= 60 THEN 'High' WHEN score >= 35 THEN 'Moderate' ELS
 F_BAND = "CASE WHEN age <= 30 THEN 'High' WHEN age <= 45 THEN 'Moderate' ELSE 'Low' END"
 M_BAND = "CASE WHEN income_k >= 70 THEN 'High' WHEN income_k >= 45 THEN 'Moderate' ELSE 'Low' END"
 
-MALL = """spend AS (SELECT o_custkey, SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY o_custkey),
+MALL = """spend AS (SELECT o_custkey, SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS cents FROM orders
+  WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
 mx AS (SELECT MAX(cents) AS mc FROM spend),
 mall AS (SELECT CAST(c_custkey + 1 AS INT) AS customer_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
