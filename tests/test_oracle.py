@@ -35,6 +35,9 @@ def test_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert _rows(df.columns, srows) == _rows(dcols, drows)
+    # no query may pair every row with every row
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_entry_smoke(spark):
