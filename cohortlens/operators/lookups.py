@@ -12,6 +12,23 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(v)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str] | None = None) -> DataFrame:
+    """A small literal table planned as a JVM ``LocalTableScan`` (no Python round trip)."""
+    body = ", ".join("(" + ", ".join(_sql_lit(v) for v in r) + ")" for r in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+    if types:
+        df = df.select(*[F.col(n).cast(t).alias(n) for n, t in zip(names, types)])
+    return df
+
+
 ATTR_SCHEMA = T.StructType([
     T.StructField("segment", T.StringType(), False),
     T.StructField("color", T.StringType(), False),
@@ -24,21 +41,17 @@ ATTR_SCHEMA = T.StructType([
 def segment_attributes(spark: SparkSession) -> DataFrame:
     rows = [(s, S.SEGMENT_COLORS[s], S.SEGMENT_STRATEGIES[s], S.SEGMENT_ACTIONS[s], S.SEGMENT_BEHAVIOR[s])
             for s in S.SEGMENTS]
-    return F.broadcast(spark.createDataFrame(rows, ATTR_SCHEMA))
+    return F.broadcast(local_table(spark, rows, [f.name for f in ATTR_SCHEMA.fields]))
 
 
 def offer_matrix(spark: SparkSession) -> DataFrame:
     """Segment x offer match levels as (segment, offer, level) rows, via ``stack``."""
-    wide = spark.createDataFrame(
-        [(s, *S.OFFER_MATCH[s]) for s in S.SEGMENTS],
-        ["segment"] + [f"o{i}" for i in range(len(S.OFFERS))],
-    )
+    wide = local_table(spark, [(s, *S.OFFER_MATCH[s]) for s in S.SEGMENTS],
+                       ["segment"] + [f"o{i}" for i in range(len(S.OFFERS))])
     pairs = ", ".join(f"'{o}', o{i}" for i, o in enumerate(S.OFFERS))
     return F.broadcast(wide.selectExpr("segment", f"stack({len(S.OFFERS)}, {pairs}) AS (offer, level)"))
 
 
 def cluster_map(spark: SparkSession, mapping: dict[int, str]) -> DataFrame:
     """cluster id -> segment name (k rows)."""
-    schema = T.StructType([T.StructField("cluster", T.IntegerType(), False),
-                           T.StructField("segment", T.StringType(), False)])
-    return F.broadcast(spark.createDataFrame(sorted(mapping.items()), schema))
+    return F.broadcast(local_table(spark, sorted(mapping.items()), ["cluster", "segment"], ["int", "string"]))

@@ -213,7 +213,7 @@ def segment_list(df: DataFrame) -> DataFrame:
     """``All`` first, then the distinct segments in sorted order, with their position."""
     segs = df.select("segment").distinct()
     ranked = segs.select("segment", F.row_number().over(Window.orderBy("segment")).alias("position"))
-    first = df.sparkSession.createDataFrame([("All", 0)], "segment string, position int")
+    first = lookups.local_table(df.sparkSession, [("All", 0)], ["segment", "position"], ["string", "int"])
     return first.unionByName(ranked.select("segment", F.col("position").cast("int")))
 
 

@@ -26,6 +26,7 @@ class LinearScaler:
     features: list[str]
     center: list[float]
     scale: list[float]
+    n_rows: int | None = None  # rows seen when fitting (saves a count pass downstream)
 
     def transform_cols(self, prefix: str = "z_") -> list[Column]:
         return [((F.col(f) - F.lit(c)) / F.lit(s)).alias(f"{prefix}{f}")
@@ -57,12 +58,12 @@ def _nonzero(s) -> float:
 
 def fit_standard(df: DataFrame, features=S.FEATURES) -> LinearScaler:
     """Mean and POPULATION standard deviation (a zero scale becomes 1)."""
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for f in features:
         aggs += [F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}")]
     row = df.agg(*aggs).first()
     return LinearScaler("standard", list(features), [float(row[f"m_{f}"]) for f in features],
-                        [_nonzero(row[f"s_{f}"]) for f in features])
+                        [_nonzero(row[f"s_{f}"]) for f in features], int(row["_n"]))
 
 
 def standard_scale_lazy(df: DataFrame, features=S.FEATURES, prefix: str = "z_") -> DataFrame:

@@ -106,7 +106,8 @@ def _metric_sample(spark, sf_dir) -> DataFrame:
     """Rule-segmented customers, standardised by full-table moments, S-1 sample of 2500."""
     cust = adapter.customers(spark, sf_dir)
     scaler = SC.fit_standard(cust)
-    sample = SM.exact_sample(cust.withColumn("segment", C.rule_segment()), S.METRIC_SAMPLE_SIZE)
+    sample = SM.exact_sample(cust.withColumn("segment", C.rule_segment()), S.METRIC_SAMPLE_SIZE,
+                             total=scaler.n_rows)
     return scaler.transform(sample)
 
 

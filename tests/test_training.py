@@ -16,6 +16,8 @@ GOLDEN = {
                            {S.VIP: 39, S.AT_RISK: 23, S.NEW: 35, S.DISCOUNT: 22, S.LOYAL: 81}),
     "mall_customers_300.csv": (300, 120.847, 0.4018, 0.8265, 292.41,
                                {S.VIP: 70, S.AT_RISK: 63, S.NEW: 73, S.DISCOUNT: 38, S.LOYAL: 56}),
+    "Mall_Customers_500.csv": (500, 203.148, 0.4005, 0.8492, 485.41,
+                               {S.VIP: 81, S.AT_RISK: 119, S.NEW: 120, S.DISCOUNT: 89, S.LOYAL: 91}),
 }
 
 _RUNS = {}
