@@ -9,7 +9,7 @@ from ..operators import scaling as SC
 from ..operators import scoring as SCO
 from ..session import fresh_path
 from ..sources import adapter
-from ..streaming import pipelines as P
+from ..streaming import jobs as P
 from .catalog import register
 from .io_queries import write_landing
 
@@ -29,7 +29,8 @@ def q_stream_score(spark, sf_dir):
 @register("stream_segment_counts")
 def q_stream_segment_counts(spark, sf_dir):
     """L2: events per rule segment and hour (watermarked stream-static join, complete mode)."""
-    segments = adapter.segmented(spark, sf_dir).select(S.CUSTOMER_ID, "segment")
+    segments = P.static_segments(spark, adapter.segmented(spark, sf_dir),
+                                 fresh_path(spark, "segments_bucketed"))
     out = fresh_path(spark, "segment_counts")
     q = P.run_segment_counts(spark, sf_dir, segments, out, fresh_path(spark, "segment_counts_ckpt"))
     q.awaitTermination()

@@ -82,6 +82,34 @@ def segment_counts(events: DataFrame, segments: DataFrame, window: str = "1 hour
             .agg(F.count(F.lit(1)).alias("events")))
 
 
+def bucketed_segments(spark: SparkSession, segments: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Write the static (customer -> segment) side once, bucketed and sorted by the join key,
+    under the shared folder.  Every micro-batch then shuffles only its own events to the
+    bucket layout instead of re-shuffling the whole static table."""
+    name = "segments_" + path.rstrip("/").rsplit("/", 1)[-1]
+    (segments.select(F.col(S.CUSTOMER_ID).cast("long").alias("_cid"), "segment")
+     .write.mode("overwrite").bucketBy(buckets, "_cid").sortBy("_cid")
+     .option("path", path).saveAsTable(name))
+    return spark.table(name).withColumnRenamed("_cid", S.CUSTOMER_ID)
+
+
+ROW_BYTES = 48  # (customer id, segment) row estimate for the size check
+
+
+def static_segments(spark: SparkSession, segments: DataFrame, path: str,
+                    max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """The static side of the stream join, sized once when the stream starts.
+
+    Below ``max_broadcast_bytes`` it is cached and broadcast to every micro-batch
+    (no shuffle at all); above, it is written once as a bucketed table.
+    """
+    seg = segments.select(S.CUSTOMER_ID, "segment")
+    n = seg.count()
+    if n * ROW_BYTES <= max_broadcast_bytes:
+        return F.broadcast(seg.persist())
+    return bucketed_segments(spark, seg, path)
+
+
 def run_segment_counts(spark: SparkSession, sf_dir: str, segments: DataFrame, out: str, checkpoint: str,
                        mode: str = "complete"):
     """Start L2.  ``complete`` rewrites the whole table per batch (used for the check);
