@@ -403,7 +403,8 @@ def grid_kmeans(sample: DataFrame, cols: list[str], ks, seeds, silhouette: bool
     import pandas as pd
     from pyspark.sql import types as T
     spark = sample.sparkSession
-    X = sample.select(*[F.col(c).cast("double") for c in cols]).toPandas().to_numpy(dtype=float)
+    from .partials import bounded_sample_array
+    X = bounded_sample_array(sample, cols)
     bc = spark.sparkContext.broadcast(X)
     grid = [(int(k), int(s), i) for i, (k, s) in enumerate((k, s) for k in ks for s in seeds)]
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("seed", T.IntegerType()),
@@ -612,7 +613,8 @@ def sample_fits(sample: DataFrame, cols: list[str], kind: str, k: int, seeds: li
     import numpy as np
     import pandas as pd
     spark = sample.sparkSession
-    X = sample.select(*[F.col(c).cast("double") for c in cols]).toPandas().to_numpy(dtype=float)
+    from .partials import bounded_sample_array
+    X = bounded_sample_array(sample, cols)
     bc = spark.sparkContext.broadcast(X)
 
     def fit(it):

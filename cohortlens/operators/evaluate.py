@@ -121,9 +121,13 @@ def silhouette_exact(sample: DataFrame, features, label: str, tasks: int = 8, bl
     blocks of ``block`` rows against the whole sample.
     """
     spark = sample.sparkSession
+    from .. import schema as S
+    limit = S.MAX_BROADCAST_SAMPLE_ROWS
     pdf = sample.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)],
-                        F.col(label).alias("l")).toPandas()
+                        F.col(label).alias("l")).limit(limit + 1).toPandas()
     n = len(pdf)
+    if n > limit:
+        raise ValueError(f"silhouette sample larger than the broadcast bound of {limit} rows")
     if n == 0:
         return spark.createDataFrame([(None,)], "silhouette double")
     labels = sorted(pdf["l"].unique().tolist(), key=lambda v: (v is None, v))

@@ -54,3 +54,14 @@ def batch_sums(df: DataFrame, cols: list[str], fn: Callable[[np.ndarray, object]
     for r in rows:
         total += np.asarray(r["v"], dtype=float)
     return total
+
+
+def bounded_sample_array(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """Collect a BOUNDED sample as a float matrix, refusing anything above the broadcast bound."""
+    from .. import schema as S
+    limit = S.MAX_BROADCAST_SAMPLE_ROWS
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).limit(limit + 1)
+    X = rows.toPandas().to_numpy(dtype=float)
+    if len(X) > limit:
+        raise ValueError(f"sample larger than the broadcast bound of {limit} rows; sample it first")
+    return X

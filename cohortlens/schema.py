@@ -130,6 +130,11 @@ BENCHMARK_SAMPLE_SIZE = 512
 SCATTER_SAMPLE_SIZE = 5000
 SAMPLE_SEED = 42
 
+# Hard bound on any sample collected to the driver and broadcast to tasks: the
+# metric samples are 2,500 rows and the mini-batch pool is 200 x 1,024 rows;
+# 262,144 rows of a few doubles is a few MB.
+MAX_BROADCAST_SAMPLE_ROWS = 262_144
+
 KMEANS_SEARCH_N_INIT = 4
 KMEANS_FINAL_N_INIT = 6
 FINAL_K = 5
