@@ -335,23 +335,29 @@ def campaign_audience(df: DataFrame, level: str = "High") -> DataFrame:
     )
 
 
-def context_summary(df: DataFrame, label: str) -> DataFrame:
-    """Dashboard context text (header lines plus one line per segment)."""
+def context_summary(df: DataFrame, label: str, metrics: dict | None = None, order: str = "segment") -> DataFrame:
+    """Dashboard context text (header lines, model lines when ``metrics`` is given,
+    then one line per segment in ``order``)."""
     ex = _exactness(df)
-    agg = segment_aggregates(df)
+    agg = segment_aggregates(df, ("segment",) if order == "segment" else ("segment", order))
     line = F.concat(
         F.col("segment"), F.lit(": "), F.col("n").cast("string"), F.lit(" customers, avg income "),
         _avg_round("_sum_income", "n", 3, ex[S.INCOME]).cast("string"), F.lit("k, avg score "),
         _avg_round("_sum_score", "n", 3, ex[S.SCORE]).cast("string"),
     )
-    lines = agg.select(F.col("segment"), F.col("n"), line.alias("line"))
+    lines = agg.select(F.col(order).alias("_o"), F.col("n"), line.alias("line"))
     body = lines.agg(
         F.sum("n").alias("rows"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "line"))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "line"))),
                                  lambda x: x["line"]), "\n- ").alias("_segs"),
     )
+    model_lines = ""
+    if metrics is not None:
+        model_lines = "".join(f"\n{k}: {metrics.get(v)}" for k, v in [
+            ("Silhouette", "silhouette"), ("Davies-Bouldin", "davies"), ("Calinski-Harabasz", "calinski"),
+            ("Model variant", "model_variant"), ("Preprocessing", "preprocessor_variant")])
     text = F.concat(F.lit(f"Dataset: {label}\nRows: "), F.col("rows").cast("string"),
-                    F.lit("\nSegments:\n- "), F.col("_segs"))
+                    F.lit(model_lines + "\nSegments:\n- "), F.col("_segs"))
     return body.select("rows", text.alias("context"))
 
 

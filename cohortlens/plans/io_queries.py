@@ -107,6 +107,16 @@ def q_trained_segments(spark, sf_dir):
     return trained(spark, sf_dir).segmented
 
 
+@register("context_summary_trained")
+def q_context_summary_trained(spark, sf_dir):
+    """D13 with the trained model's quality lines and its segments in cluster order."""
+    from ..operators import reports as R
+    r = trained(spark, sf_dir)
+    shown = {k: (round(float(v), {"silhouette": 4, "davies": 3, "calinski": 1}.get(k, 6))
+                 if isinstance(v, float) else v) for k, v in r.metrics.items()}
+    return R.context_summary(r.segmented, label="customer+orders", metrics=shown, order="cluster")
+
+
 @register("elbow_sweep")
 def q_elbow_sweep(spark, sf_dir):
     rows = trained(spark, sf_dir).sweep
