@@ -6,7 +6,7 @@ are kept; a table no larger than ``n`` is returned whole.  A plain
 which at thousands of partitions is a large single-task merge.  So the
 hash space is first cut at a threshold chosen from the row count, keeping a
 few times ``n`` candidates (hex prefixes compare like numbers), and only
-those are ranked.  The sample is checkpointed to the shared folder; if the
+those are ranked.  The sample is written once to the shared folder; if the
 cut was ever too tight the uncut ranking is used instead, so the result is
 always exactly the first ``n`` by hash.
 """
@@ -56,9 +56,8 @@ def exact_sample(df: DataFrame, n: int, key: str = S.CUSTOMER_ID, seed: int = S.
     sample = ranked_sample(df, n, key, seed, cut)
     if not materialize:
         return sample
-    from ..session import shared_dir
-    shared_dir(df.sparkSession)  # checkpoints go to the cluster-shared folder
-    sample = sample.checkpoint(eager=True)
+    from ..session import materialize
+    sample = materialize(sample, "sample")  # one computation, written to the shared folder
     if cut is not None and sample.count() < n:
-        sample = ranked_sample(df, n, key, seed, None).checkpoint(eager=True)
+        sample = materialize(ranked_sample(df, n, key, seed, None), "sample")
     return sample

@@ -147,9 +147,9 @@ def q_silhouette_sq(spark, sf_dir):
 def q_greedy_naming(spark, sf_dir):
     cust = adapter.customers(spark, sf_dir)
     model = _fixed_model(cust)
-    cent = (SCO.assign(cust, model, scaled=False).groupBy("cluster")
-            .agg(F.avg(S.INCOME).alias("income"), F.avg(S.SCORE).alias("score"))
-            .checkpoint(eager=True))
+    from ..session import materialize
+    cent = materialize(SCO.assign(cust, model, scaled=False).groupBy("cluster")
+                       .agg(F.avg(S.INCOME).alias("income"), F.avg(S.SCORE).alias("score")), "centroids")
     names = NM.greedy_names(cent)
     return cent.join(names, "cluster", "inner").select("cluster", "segment", "income", "score")
 

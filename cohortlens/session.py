@@ -68,3 +68,15 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder (never reused, never cleared)."""
     return f"{shared_dir(spark)}/cohortlens/{name}/{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as parquet under the shared folder and reading it back.
+
+    Unlike an eager ``checkpoint()``, which runs the plan once for its count and
+    again to write the files, this computes the plan exactly once; the files
+    survive the loss of any executor.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
