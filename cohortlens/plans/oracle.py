@@ -192,7 +192,7 @@ SELECT segment, n, CAST(milli AS DOUBLE) / 1000 AS avg_income, {ratio('milli', s
     out["campaign_fit"] = f"""{WA}
 SELECT segment, n, {pct('n', 'total')} AS share_pct, CASE WHEN segment = 'VIP Customers' THEN 'OK' ELSE 'MISS' END AS fit FROM a CROSS JOIN t"""
     out["campaign_audience"] = f"""{WA}
-SELECT offer, SUM(n) AS audience, string_agg(a.segment, ', ' ORDER BY a.segment) AS segments
+SELECT offer, CAST(SUM(n) AS BIGINT) AS audience, string_agg(a.segment, ', ' ORDER BY a.segment) AS segments
 FROM a JOIN {OFFERS} ON a.segment = offers.segment WHERE level = 'High' GROUP BY offer"""
     out["rfm_criteria"] = f"""{W}
 SELECT attrs.segment, rfm_behavior, {_lvl('R')} AS recency, {_lvl('F')} AS frequency, {_lvl('M')} AS monetary,
