@@ -112,6 +112,17 @@ SELECT round(CASE WHEN w = 0 THEN 1.0 ELSE (b * (nn - k)) / (w * (k - 1)) END, 6
 SELECT cent.cluster, n.segment, income, score FROM cent JOIN
  (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5) n
  ON cent.cluster = n.cluster""")
+    # Spark ML's silhouette with squared distances decomposes into per-cluster sums:
+    # mean ||z - w||^2 over cluster C = ||z||^2 - 2 z.mu_C + mean_C ||w||^2
+    out["silhouette_sq"] = f"""{W}, {MOM},
+z AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {RULE} AS segment FROM mall CROSS JOIN mom),
+c AS (SELECT segment, COUNT(*) AS n, AVG(x) AS mx, AVG(y) AS my, AVG(x * x + y * y) AS mq FROM z GROUP BY segment),
+p AS (SELECT z.customer_id, z.segment AS own, c.segment AS cs, c.n AS cn,
+      (z.x * z.x + z.y * z.y) - 2 * (z.x * c.mx + z.y * c.my) + c.mq AS avgsq FROM z CROSS JOIN c),
+ab AS (SELECT customer_id, MAX(CASE WHEN cs = own THEN cn END) AS na,
+      MAX(CASE WHEN cs = own THEN CASE WHEN cn > 1 THEN avgsq * cn / (cn - 1) ELSE 0 END END) AS a,
+      MIN(CASE WHEN cs <> own THEN avgsq END) AS b FROM p GROUP BY customer_id)
+SELECT round(AVG(CASE WHEN na = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_sq FROM ab"""
     out["stream_segment_counts"] = f"""WITH {SEG}
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, segment,
   COUNT(*) AS events FROM events JOIN seg ON events.user_id + 1 = seg.customer_id GROUP BY ALL"""
