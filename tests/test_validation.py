@@ -88,3 +88,17 @@ def test_dataset_health_counts_missing(spark):
     raw = _raw(spark, [("1", None, "20", "15", "39"), ("2", "Male", None, None, "39")])
     r = V.dataset_health(raw).first()
     assert (r["dataset_rows"], r["dataset_cols"], r["missing_values"]) == (2, 5, 3)
+
+
+def test_landing_folder_of_real_uploads(spark):
+    import os
+    folder = os.path.dirname(ref_file("uploads/20260320_135146_Mall_Customers.csv"))
+    land = files.read_landing(spark, folder)
+    per = {r["upload_label"]: r for r in land.groupBy("upload_label", "arrival_ts").count().collect()}
+    assert len(land.select("source_file").distinct().collect()) == 51
+    assert all(r["arrival_ts"] is not None for r in per.values())
+    norm = V.normalize(land.drop("source_file")).withColumn("reject_reason", V.reject_reason())
+    bad = norm.filter(F.col("reject_reason").isNotNull())
+    files_with_bad = {r["upload_label"] for r in bad.select("upload_label").distinct().collect()}
+    assert files_with_bad == {"Mall_Customers"}  # only the three copies of the malformed upload
+    assert bad.count() == 12  # 4 bad rows in each of the 3 copies
