@@ -376,9 +376,11 @@ def silhouette_numpy(X, labels, block: int = 512) -> float:
     onehot[np.arange(len(X)), codes] = 1.0
     sizes = onehot.sum(axis=0)
     total = 0.0
+    from .evaluate import pairwise_dist
+    sq = (X * X).sum(axis=1)
     for s in range(0, len(X), block):
         rows = np.arange(s, min(s + block, len(X)))
-        dist = np.sqrt(((X[rows][:, None, :] - X[None, :, :]) ** 2).sum(axis=2))
+        dist = pairwise_dist(X[rows], X, sq)
         sums = dist @ onehot
         own = codes[rows]
         own_n = sizes[own]

@@ -140,13 +140,13 @@ def silhouette_exact(sample: DataFrame, features, label: str, tasks: int = 8, bl
         onehot = np.zeros((len(X), k))
         onehot[np.arange(len(X)), codes] = 1.0
         sizes = onehot.sum(axis=0)
+        sq = (X * X).sum(axis=1)
         for ids in it:
             idx = ids["id"].to_numpy()
             out = np.empty(len(idx))
             for s in range(0, len(idx), block):
                 rows = idx[s:s + block]
-                diff = X[rows][:, None, :] - X[None, :, :]
-                dist = np.sqrt((diff * diff).sum(axis=2))
+                dist = pairwise_dist(X[rows], X, sq)
                 sums = dist @ onehot  # (block, k) summed distance per cluster
                 own = codes[rows]
                 own_n = sizes[own]
@@ -165,6 +165,20 @@ def silhouette_exact(sample: DataFrame, features, label: str, tasks: int = 8, bl
         spark.createDataFrame([(float("nan"),)], "silhouette double")
 
 
+def pairwise_dist(A, X, sq_x=None):
+    """Euclidean distances between the rows of ``A`` and ``X`` (a block x n matrix).
+
+    Low dimensions subtract directly (exact); higher ones use
+    ``|a|^2 + |x|^2 - 2 a.x`` so memory stays block x n instead of block x n x d.
+    """
+    if X.shape[1] <= 8:
+        diff = A[:, None, :] - X[None, :, :]
+        return np.sqrt((diff * diff).sum(axis=2))
+    sq_x = (X * X).sum(axis=1) if sq_x is None else sq_x
+    d2 = (A * A).sum(axis=1)[:, None] + sq_x[None, :] - 2.0 * (A @ X.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
 def silhouette_squared(df: DataFrame, features_vec: str = "features", prediction: str = "prediction") -> float:
     """K8 (Spark ML form): ClusteringEvaluator, squared Euclidean, linear in the table size."""
     from pyspark.ml.evaluation import ClusteringEvaluator

@@ -219,3 +219,38 @@ def q_gmm_diag(spark, sf_dir):
     out = lab.groupBy(F.col("prediction").alias("component")).agg(F.count(F.lit(1)).alias("n"))
     weights = F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col("component") + 1)
     return out.withColumn("weight", F.round(weights, 6)).withColumn("mean_log_likelihood", F.lit(round(ll, 6)))
+
+
+# ---- cluster-quality metrics on the labelled embedding vectors ----------------
+EMB_DIMS = 64
+
+
+def _embeddings(spark, sf_dir):
+    """Labelled vectors as one double column per dimension (the metric operators take columns)."""
+    from ..sources.tables import read_table
+    emb = read_table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", F.col("label").cast("string").alias("label"),
+                      *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIMS)])
+
+
+EMB_COLS = [f"e{i}" for i in range(EMB_DIMS)]
+
+
+@register("embedding_davies_bouldin")
+def q_embedding_davies_bouldin(spark, sf_dir):
+    return EV.davies_bouldin(_embeddings(spark, sf_dir), EMB_COLS, "label").select(
+        F.round("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+@register("embedding_calinski_harabasz")
+def q_embedding_calinski_harabasz(spark, sf_dir):
+    return EV.calinski_harabasz(_embeddings(spark, sf_dir), EMB_COLS, "label").select(
+        F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
+
+
+@register("embedding_silhouette")
+def q_embedding_silhouette(spark, sf_dir):
+    """Exact silhouette of the labels over an S-1 sample (2,500) of the vectors."""
+    emb = _embeddings(spark, sf_dir)
+    sample = SM.exact_sample(emb, S.METRIC_SAMPLE_SIZE, key="vec_id")
+    return EV.silhouette_exact(sample, EMB_COLS, "label").select(F.round("silhouette", 6).alias("silhouette"))

@@ -123,6 +123,36 @@ ab AS (SELECT customer_id, MAX(CASE WHEN cs = own THEN cn END) AS na,
       MAX(CASE WHEN cs = own THEN CASE WHEN cn > 1 THEN avgsq * cn / (cn - 1) ELSE 0 END END) AS a,
       MIN(CASE WHEN cs <> own THEN avgsq END) AS b FROM p GROUP BY customer_id)
 SELECT round(AVG(CASE WHEN na = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_sq FROM ab"""
+    long_ = f"""lv0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding,
+      unnest(generate_series(1, len(embedding))) AS i FROM embeddings),
+lv AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM lv0),
+cen AS (SELECT label, i, AVG(v) AS c FROM lv GROUP BY label, i),
+cnt AS (SELECT label, COUNT(DISTINCT vec_id) AS n FROM lv GROUP BY label)"""
+    out["embedding_calinski_harabasz"] = f"""WITH {long_},
+w AS (SELECT SUM((v - c) * (v - c)) AS w FROM lv JOIN cen ON lv.label = cen.label AND lv.i = cen.i),
+gm AS (SELECT cen.i, SUM(n * c) / SUM(n) AS m FROM cen JOIN cnt ON cen.label = cnt.label GROUP BY cen.i),
+b AS (SELECT SUM(n * (c - m) * (c - m)) AS b FROM cen JOIN cnt ON cen.label = cnt.label JOIN gm ON cen.i = gm.i),
+g AS (SELECT SUM(n) AS nn, COUNT(*) AS k FROM cnt)
+SELECT round(CASE WHEN w = 0 THEN 1.0 ELSE (b * (nn - k)) / (w * (k - 1)) END, 6) AS calinski_harabasz FROM w, b, g"""
+    out["embedding_davies_bouldin"] = f"""WITH {long_},
+d AS (SELECT vec_id, lv.label, sqrt(SUM((v - c) * (v - c))) AS d FROM lv JOIN cen ON lv.label = cen.label AND lv.i = cen.i GROUP BY ALL),
+si AS (SELECT label, AVG(d) AS s FROM d GROUP BY label),
+cd AS (SELECT a.label AS la, b.label AS lb, sqrt(SUM((a.c - b.c) * (a.c - b.c))) AS dist FROM cen a JOIN cen b ON a.i = b.i AND a.label <> b.label GROUP BY ALL),
+r AS (SELECT la, MAX(CASE WHEN dist > 0 THEN (sa.s + sb.s) / dist ELSE 0.0 END) AS worst FROM cd JOIN si sa ON cd.la = sa.label JOIN si sb ON cd.lb = sb.label GROUP BY la)
+SELECT round(AVG(worst), 6) AS davies_bouldin FROM r"""
+    out["embedding_silhouette"] = f"""WITH smp AS (SELECT * FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '{S.SAMPLE_SEED}'), vec_id LIMIT {S.METRIC_SAMPLE_SIZE}),
+lv0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding,
+      unnest(generate_series(1, len(embedding))) AS i FROM smp),
+lv AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM lv0),
+pd AS (SELECT a.vec_id AS va, a.label AS la, b.vec_id AS vb, b.label AS lb, sqrt(SUM((a.v - b.v) * (a.v - b.v))) AS d
+      FROM lv a JOIN lv b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL),
+sz AS (SELECT label, COUNT(DISTINCT vec_id) AS n FROM lv GROUP BY label),
+m AS (SELECT va, la, lb, SUM(d) AS sd FROM pd GROUP BY ALL),
+ab AS (SELECT va, la, MAX(CASE WHEN la = lb THEN sd / (n - 1) END) AS a, MIN(CASE WHEN la <> lb THEN sd / n END) AS b
+      FROM m JOIN sz ON m.lb = sz.label GROUP BY ALL),
+s AS (SELECT v.vec_id, CASE WHEN sz.n <= 1 OR ab.a IS NULL THEN 0.0 ELSE (ab.b - ab.a) / greatest(ab.a, ab.b) END AS s
+      FROM (SELECT DISTINCT vec_id, label FROM lv) v JOIN sz ON v.label = sz.label LEFT JOIN ab ON v.vec_id = ab.va)
+SELECT round(AVG(s), 6) AS silhouette FROM s"""
     out["stream_segment_counts"] = f"""WITH {SEG}
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, segment,
   COUNT(*) AS events FROM events JOIN seg ON events.user_id + 1 = seg.customer_id GROUP BY ALL"""
