@@ -405,7 +405,9 @@ def grid_kmeans(sample: DataFrame, cols: list[str], ks, seeds, silhouette: bool
     import pandas as pd
     from pyspark.sql import types as T
     spark = sample.sparkSession
+    from ..session import ship_package
     from .partials import bounded_sample_array
+    ship_package(spark)
     X = bounded_sample_array(sample, cols)
     bc = spark.sparkContext.broadcast(X)
     grid = [(int(k), int(s), i) for i, (k, s) in enumerate((k, s) for k in ks for s in seeds)]
@@ -615,7 +617,9 @@ def sample_fits(sample: DataFrame, cols: list[str], kind: str, k: int, seeds: li
     import numpy as np
     import pandas as pd
     spark = sample.sparkSession
+    from ..session import ship_package
     from .partials import bounded_sample_array
+    ship_package(spark)
     X = bounded_sample_array(sample, cols)
     bc = spark.sparkContext.broadcast(X)
 

@@ -121,6 +121,8 @@ def silhouette_exact(sample: DataFrame, features, label: str, tasks: int = 8, bl
     blocks of ``block`` rows against the whole sample.
     """
     spark = sample.sparkSession
+    from ..session import ship_package
+    ship_package(spark)
     from .. import schema as S
     limit = S.MAX_BROADCAST_SAMPLE_ROWS
     pdf = sample.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)],

@@ -25,6 +25,8 @@ _FAN_IN = 64
 def batch_sums(df: DataFrame, cols: list[str], fn: Callable[[np.ndarray, object], np.ndarray],
                length: int, params) -> np.ndarray:
     """Sum of ``fn(X_batch, params)`` (a vector of ``length``) over all rows of ``df``."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(params)
 

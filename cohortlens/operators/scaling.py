@@ -144,6 +144,8 @@ class QuantileNormal:
     quantiles: dict[str, list[float]] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, prefix: str = "z_") -> DataFrame:
+        from ..session import ship_package
+        ship_package(df.sparkSession)
         refs = np.asarray(self.references)
         qs = {f: np.asarray(v) for f, v in self.quantiles.items()}
 

@@ -43,6 +43,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -80,3 +81,46 @@ def materialize(df, name: str):
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cohortlens`` importable in the Python workers (as ``--py-files`` would).
+
+    Arrow-batched UDF stages pickle functions that live in this package, so
+    every executor needs it on its path.  The package is zipped once per
+    content version and added to the SparkContext; repeated calls are no-ops.
+    """
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    files = []
+    for dirpath, _dirs, names in os.walk(pkg_dir):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(dirpath, n))
+    digest = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    out = os.path.join(tempfile.gettempdir(), f"cohortlens-{digest.hexdigest()[:16]}.zip")
+    if not os.path.exists(out):
+        tmp = out + f".{uuid.uuid4().hex}"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(files):
+                z.write(f, os.path.relpath(f, root))
+        os.replace(tmp, out)
+    try:
+        sc.addPyFile(out)
+    except Exception as exc:  # noqa: BLE001 - already registered under this name in this context
+        if "already" not in str(exc).lower():
+            raise
+    _SHIPPED.add(key)
