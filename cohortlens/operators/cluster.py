@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from . import evaluate
 from .scaling import LinearScaler
 from .scoring import SegmentModel
 
