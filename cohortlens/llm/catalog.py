@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, sharding, simhash, substring  # noqa: F401
+from . import fingerprint, mixing, packing, sharding, simhash, substring  # noqa: F401
 from .common import prepare
 from .registry import ORACLES, QUERIES, Query
 

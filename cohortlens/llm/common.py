@@ -6,6 +6,7 @@ the same rule in Python (``bytes.split``) and in SQL (``WORD_REGEX``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,5 +71,6 @@ def add_prefix(df: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     return df.drop("_cell", *[f"_k_{k}" for k in cell], *[f"_{p}_{out}" for out in sums for p in ("v", "p", "o")])
 
 
-def buckets_for(rows: int, per_bucket: int = 50_000) -> int:
-    return max(1, -(-rows // per_bucket))
+def buckets_for(rows: int, per_bucket: int | None = None) -> int:
+    """Cells for ``rows``: of ``per_bucket`` rows, or else about as many cells as rows in one, 1000 rows at least."""
+    return max(1, -(-rows // (per_bucket or max(1000, math.isqrt(rows)))))

@@ -196,7 +196,7 @@ def _compare_sorted(max_bits: int):
 
 def _compare_chunks(max_bits: int):
     """Links of one block: the rows of two chunks of a large anchor (or of one chunk)."""
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(table):
         chunk, fp, rep = (table.column(c).to_numpy() for c in ("chunk", "fp", "rep"))
         order = np.lexsort((rep, chunk))
         chunk, fp, rep = chunk[order], fp[order], rep[order]
