@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, mixing, packing, quality, sharding, simhash, substring  # noqa: F401
+from . import fingerprint, language, mixing, packing, quality, sharding, simhash, substring, warc  # noqa: F401
 from .common import prepare
 from .registry import ORACLES, QUERIES, Query
 
