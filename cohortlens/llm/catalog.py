@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, mixing, packing, quality, sharding, simhash, substring, warc  # noqa: F401
+from . import (  # noqa: F401
+    fingerprint, language, mixing, neighbours, packing, quality, sharding, simhash, substring, warc,
+)
 from .common import prepare
 from .registry import ORACLES, QUERIES, Query
 

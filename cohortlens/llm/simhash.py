@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_column, materialize, read_table
@@ -245,6 +246,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest, all columns.
+
+    Of rows with one id and equal texts one stays; rows with a null id stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    same = W.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy("doc_id")
+    kept = kept.withColumn("_nth", F.row_number().over(same))
+    return kept.filter("_nth = 1 or doc_id is null").drop("_nth")
+
+
 @register("op3_simhash_near_duplicates")
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3: SimHash fingerprints of all documents and the components of those within three bits."""

@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,6 +282,34 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      + (", kept string" if with_text else ""))
 
 
+def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) without their repeated words, all columns.
+
+    A text that loses words becomes its kept words joined by one space (and
+    n_chars, if there, its length); a row that loses all its words goes; all other
+    rows stay as they are.
+    """
+    names = docs.columns
+    spans = repeated_spans(docs, window).withColumnRenamed("spans", "_spans")
+
+    def cut(batches):
+        for batch in batches:
+            columns = {n: batch.column(n) for n in names}
+            texts, stays = bytes_column(batch, "text"), []
+            for i, own in enumerate(batch.column("_spans").to_pylist()):
+                if own:
+                    texts[i] = b" ".join(_kept_words((texts[i] or b"").split(), own))
+                stays.append(not own or bool(texts[i]))
+            changed = batch.column("_spans").is_valid()
+            columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
+            if "n_chars" in columns:
+                lengths = pc.utf8_length(columns["text"]).cast(columns["n_chars"].type)
+                columns["n_chars"] = pc.if_else(changed, lengths, columns["n_chars"])
+            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stays, pa.bool_()))
+
+    return docs.join(spans, "doc_id", "left").select(*names, "_spans").mapInArrow(cut, docs.schema)
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i AS place, array_to_string(w[i:i + 49], ' ') AS span

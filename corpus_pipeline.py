@@ -2,14 +2,34 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.  All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and work on every row they get.  What each
+does with nulls, empty texts, repeated rows and empty tables is said by its
+operator's module in ``cohortlens/llm``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import common, mixing
+from cohortlens.llm import common, mixing, packing, quality, simhash, substring
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from ``labels``, accepts."""
+    common.prepare(spark)
+    return quality.accepted(docs, quality.train(docs, common.read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    common.prepare(spark)
+    return simhash.one_per_component(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word windows that a document with a smaller id has."""
+    common.prepare(spark)
+    return substring.cut_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +38,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their place in sequences of at most 2048 tokens."""
+    common.prepare(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("filter_quality", filter_quality),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("drop_repeated_passages", drop_repeated_passages),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
-#: The classifiers and the tokenizer are beyond SQL; tests compare with brute force.
+#: The classifier, the hashes and the tokenizer are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
