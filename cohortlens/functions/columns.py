@@ -46,12 +46,16 @@ def int_round(num, den) -> Column:
                 F.lit(2) * _c(den).cast("bigint"))
 
 
+# Decimal numbers as a CSV reader takes them, infinities included.
+DECIMAL = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+
+
 # ---------------------------------------------------------------------------
 # Text normalisation
 # ---------------------------------------------------------------------------
 def strip_ws(c) -> Column:
-    """Remove leading and trailing whitespace (tabs, CR, LF included)."""
-    return F.regexp_replace(F.regexp_replace(_c(c), r"^\s+", ""), r"\s+$", "")
+    """Remove leading and trailing whitespace (tabs, line ends and Unicode blanks included)."""
+    return F.regexp_replace(F.regexp_replace(_c(c), r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
 def is_na_token(c) -> Column:
@@ -67,10 +71,11 @@ def normalize_gender(c) -> Column:
 def to_number(c) -> Column:
     """Numeric coercion; anything unparsable, missing or NaN becomes NULL.
 
-    Every missing-value token is unparsable as a number or parses to NaN,
-    so one ``try_cast`` plus ``nanvl`` covers them without a token list.
+    Only decimal text counts (``12d`` and ``0x1p3``, which a cast would take,
+    do not); every missing-value token fails that pattern, so no token list is
+    needed.
     """
-    return F.nanvl(_c(c).try_cast("double"), F.lit(None).cast("double"))
+    return F.when(_c(c).rlike(DECIMAL), _c(c).try_cast("double"))
 
 
 # ---------------------------------------------------------------------------
@@ -108,9 +113,6 @@ def rule_segment(income=S.INCOME, score=S.SCORE) -> Column:
     )
 
 
-def revenue_proxy(income=S.INCOME, score=S.SCORE) -> Column:
-    return _c(income) * _c(score) / F.lit(100)
-
 
 def behaviour_level(behaviour, letter: str) -> Column:
     """``High X`` in the behaviour text -> High, ``Low X`` -> Low, else Moderate."""

@@ -36,7 +36,7 @@ def true_rfm(orders: DataFrame) -> DataFrame:
     # shuffle of rows), evaluated once as a scalar subquery
     last_date = orders.select(F.max(F.to_date("o_orderdate"))).scalar()
     return per.select(
-        (F.col("o_custkey") + 1).cast("int").alias(S.CUSTOMER_ID),
+        (F.col("o_custkey") + 1).cast("bigint").alias(S.CUSTOMER_ID),
         "last_order",
         F.datediff(last_date, F.col("last_order")).alias("recency_days"),
         "frequency",

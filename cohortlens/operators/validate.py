@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import columns as C
 
+MISSING_COLUMNS = "missing_columns"
 REASONS = ["invalid_gender", "invalid_numeric", "age_out_of_range", "negative_income", "score_out_of_range"]
 
 
@@ -54,7 +55,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     numeric_bad = F.lit(False)
     for n in nums:
         numeric_bad = numeric_bad | n.isNull() | (F.abs(n) == F.lit(float("inf")))
-    id_trunc = F.col(f"{S.CUSTOMER_ID}_num").try_cast("int")  # truncates toward zero, NULL on overflow
+    id_trunc = F.col(f"{S.CUSTOMER_ID}_num").try_cast("bigint")  # truncates toward zero, NULL on overflow
     numeric_bad = numeric_bad | (F.col(f"{S.CUSTOMER_ID}_num").isNotNull() & id_trunc.isNull())
     age_trunc = F.col(f"{S.AGE}_num").try_cast("bigint")  # truncation before the range check
     inc = F.col(f"{S.INCOME}_num")
@@ -71,10 +72,15 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
-def reject_reason() -> Column:
-    """First failing row-level check, or NULL for a good row (quarantine form)."""
+def reject_reason(missing_columns: Column | None = None) -> Column:
+    """First failing check, or NULL for a good row (quarantine form).
+
+    ``missing_columns``: the absent column names of the row's upload, if any.
+    """
+    absent = F.lit(False) if missing_columns is None else missing_columns.isNotNull()
     return (
-        F.when(F.col("_gender_bad"), REASONS[0])
+        F.when(absent, MISSING_COLUMNS)
+        .when(F.col("_gender_bad"), REASONS[0])
         .when(F.col("_numeric_bad"), REASONS[1])
         .when(F.col("_age_bad"), REASONS[2])
         .when(F.col("_income_bad"), REASONS[3])
@@ -163,10 +169,13 @@ def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dataset_health(df: DataFrame) -> DataFrame:
-    """Row count, column count and total missing values over all columns."""
+    """Row count, column count and total missing values over all columns.
+
+    A text value is missing if it is NULL or one of the missing-value tokens."""
     missing = None
     for c in df.columns:
-        term = F.count_if(F.col(f"`{c}`").isNull())
+        missing_here = C.is_na_token(F.col(f"`{c}`")) if dict(df.dtypes)[c] == "string" else F.col(f"`{c}`").isNull()
+        term = F.count_if(missing_here)
         missing = term if missing is None else missing + term
     return df.agg(
         F.count(F.lit(1)).alias("dataset_rows"),

@@ -60,20 +60,28 @@ def q_scatter_export(spark, sf_dir):
 
 # ---- A3 landing ingest -----------------------------------------------------
 def write_landing(spark: SparkSession, sf_dir: str) -> str:
-    """One upload per nation, named ``YYYYMMDD_HHMMSS_nation_NN.csv`` (time = 2024-01-01 00:NN:00)."""
+    """One upload per nation, named ``YYYYMMDD_HHMMSS_nation_NN.csv`` (time = 2024-01-01 00:NN:00).
+
+    Every fifth upload has its columns in another order and one more column, and
+    the one of nation 24 lacks the score.
+    """
     raw = adapter.raw_customers(spark, sf_dir, extra=("c_nationkey",))
     k = F.col("c_nationkey")
-    up = raw.withColumn("upload", F.format_string("20240101_00%02d00_nation_%02d.csv", k, k))
+    up = raw.withColumn("upload", F.format_string("20240101_00%02d00_nation_%02d.csv", k, k)).repartition("upload")
     path = fresh_path(spark, "landing")
-    (up.drop("c_nationkey").write.mode("overwrite").option("header", True)
-     .partitionBy("upload").csv(path))
+    names = [F.col(f"`{n}`") for n in S.REQUIRED_PUBLIC]
+    kinds = [((k % 5 != 0) & (k != 24), names), (k % 5 == 0, [F.lit("x").alias("Note"), *reversed(names)]),
+             (k == 24, names[:-1])]
+    for rows, columns in kinds:
+        (up.filter(rows).select("upload", *columns).write.mode("append").option("header", True)
+         .partitionBy("upload").csv(path))
     return path
 
 
 @register("landing_ingest")
 def q_landing_ingest(spark, sf_dir):
     land = files.read_landing(spark, write_landing(spark, sf_dir))
-    norm = V.normalize(land.drop("upload")).withColumn("reject_reason", V.reject_reason())
+    norm = V.normalize(land).withColumn("reject_reason", V.reject_reason(F.col("missing_columns")))
     return norm.groupBy("upload_label", "arrival_ts").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("reject_reason").isNull()).alias("valid_rows"))

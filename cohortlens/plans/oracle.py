@@ -43,7 +43,7 @@ M_BAND = "CASE WHEN income_k >= 70 THEN 'High' WHEN income_k >= 45 THEN 'Moderat
 MALL = """spend AS (SELECT o_custkey, SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS cents FROM orders
   WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
 mx AS (SELECT MAX(cents) AS mc FROM spend),
-mall AS (SELECT CAST(c_custkey + 1 AS INT) AS customer_id,
+mall AS (SELECT CAST(c_custkey + 1 AS BIGINT) AS customer_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
   CAST(18 + c_custkey % 53 AS INT) AS age,
   CAST(15 + FLOOR((c_acctbal + 1000) * 122 / 11000) AS INT) AS income_k,
@@ -74,7 +74,7 @@ def _num(x: str) -> str:
 
 
 def _gender_norm(x: str) -> str:
-    stripped = f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+    stripped = f"regexp_replace(regexp_replace({x}, '^[\\s\\x{{00A0}}]+', ''), '[\\s\\x{{00A0}}]+$', '')"
     return (f"(CASE WHEN {x} IS NULL OR {x} IN ({NA_LIST}) THEN 'Nan' "
             f"ELSE upper(left({stripped}, 1)) || lower(substr({stripped}, 2)) END)")
 
@@ -85,10 +85,13 @@ raw AS (SELECT
   CASE WHEN customer_id % 97 = 5 THEN c_mktsegment WHEN customer_id % 89 = 3 THEN NULL
        WHEN customer_id % 83 = 2 THEN 'NA' WHEN customer_id % 10 = 1 THEN upper(gender)
        WHEN customer_id % 10 = 2 THEN ' ' || lower(gender) || ' ' WHEN customer_id % 10 = 3 THEN lower(gender) || chr(9)
+       WHEN customer_id % 10 = 4 THEN chr(160) || gender || chr(160)
        ELSE gender END AS "Gender",
   CASE WHEN customer_id % 131 = 4 THEN '101' WHEN customer_id % 127 = 9 THEN 'NA'
+       WHEN customer_id % 109 = 11 THEN CAST(age AS VARCHAR) || 'd'
        WHEN customer_id % 7 = 3 THEN CAST(age AS VARCHAR) || '.0' ELSE CAST(age AS VARCHAR) END AS "Age",
   CASE WHEN customer_id % 139 = 6 THEN '-' || CAST(income_k AS VARCHAR) WHEN customer_id % 113 = 5 THEN 'abc'
+       WHEN customer_id % 107 = 12 THEN '0x1p3'
        WHEN customer_id % 5 = 4 THEN CAST(income_k AS VARCHAR) || '.0' ELSE CAST(income_k AS VARCHAR) END AS "Annual Income (k$)",
   CASE WHEN customer_id % 149 = 8 THEN '0' WHEN customer_id % 151 = 10 THEN 'NaN'
        ELSE CAST(score AS VARCHAR) END AS "Spending Score (1-100)",
@@ -103,7 +106,7 @@ norm0 AS (SELECT "CustomerID" AS customer_id_raw, "Gender" AS gender_raw, "Age"
   {_num('"Annual Income (k$)"')} AS income_k_num, {_num('"Spending Score (1-100)"')} AS score_num,
   c_nationkey
   FROM raw),
-norm1 AS (SELECT *, TRY_CAST(trunc(customer_id_num) AS INT) AS id_t, TRY_CAST(trunc(age_num) AS BIGINT) AS age_t FROM norm0),
+norm1 AS (SELECT *, TRY_CAST(trunc(customer_id_num) AS BIGINT) AS id_t, TRY_CAST(trunc(age_num) AS BIGINT) AS age_t FROM norm0),
 norm AS (SELECT *,
   gender NOT IN ('Female', 'Male') AS gender_bad,
   (customer_id_num IS NULL OR age_num IS NULL OR income_k_num IS NULL OR score_num IS NULL
@@ -133,7 +136,7 @@ def _lvl(letter: str) -> str:
 RFM_CTE = f"""lastd AS (SELECT MAX(CAST(o_orderdate AS DATE)) AS d FROM orders),
 per AS (SELECT o_custkey, MAX(CAST(o_orderdate AS DATE)) AS last_order, COUNT(*) AS frequency,
   SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY o_custkey),
-rfm AS (SELECT CAST(o_custkey + 1 AS INT) AS customer_id, last_order,
+rfm AS (SELECT CAST(o_custkey + 1 AS BIGINT) AS customer_id, last_order,
   CAST(date_diff('day', last_order, d) AS INT) AS recency_days, frequency,
   CAST(cents AS DOUBLE) / 100.0 AS monetary FROM per CROSS JOIN lastd),
 bands AS (SELECT customer_id, recency_days, frequency, monetary,
@@ -240,10 +243,9 @@ SELECT customer_id_raw AS "CustomerID", gender_raw AS "Gender", age_raw AS "Age"
 SELECT id_t AS customer_id, gender, CAST(age_t AS SMALLINT) AS age, income_k_num AS income_k, score_num AS score
 FROM normr WHERE reject_reason IS NULL"""
     out["dataset_health"] = f"""{N}
-SELECT COUNT(*) AS dataset_rows, CAST(5 AS BIGINT) AS dataset_cols,
-  CAST(COUNT(*) FILTER (WHERE "CustomerID" IS NULL) + COUNT(*) FILTER (WHERE "Gender" IS NULL) + COUNT(*) FILTER (WHERE "Age" IS NULL)
-  + COUNT(*) FILTER (WHERE "Annual Income (k$)" IS NULL) + COUNT(*) FILTER (WHERE "Spending Score (1-100)" IS NULL) AS BIGINT) AS missing_values
-FROM raw"""
+SELECT CAST(COUNT(*) / 5 AS BIGINT) AS dataset_rows, CAST(5 AS BIGINT) AS dataset_cols,
+  CAST(SUM(CASE WHEN v IS NULL OR v IN ({NA_LIST}) THEN 1 ELSE 0 END) AS BIGINT) AS missing_values
+FROM (SELECT unnest(["CustomerID", "Gender", "Age", "Annual Income (k$)", "Spending Score (1-100)"]) AS v FROM raw)"""
 
     out["scan_customers"] = out["validated_customers"]
     out["write_required_projection"] = f"""WITH {MALL}
@@ -255,7 +257,7 @@ SELECT customer_id, gender, age, income_k, score, gender_enc, segment, r_proxy,
     out["landing_ingest"] = f"""{N}
 SELECT 'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS upload_label,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c_nationkey AS BIGINT)) AS arrival_ts,
-  COUNT(*) AS rows, COUNT(*) FILTER (WHERE reject_reason IS NULL) AS valid_rows
+  COUNT(*) AS rows, COUNT(*) FILTER (WHERE reject_reason IS NULL AND c_nationkey <> 24) AS valid_rows
 FROM normr GROUP BY ALL"""
 
     # ---- RFM and drift ----

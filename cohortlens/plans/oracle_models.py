@@ -158,7 +158,7 @@ SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL
   COUNT(*) AS events FROM events JOIN seg ON events.user_id + 1 = seg.customer_id GROUP BY ALL"""
     near_v, _ = _nearest("income_k", "score", "si", "ss")
     out["stream_score"] = f"""WITH {NORM}, {MOM},
-good AS (SELECT id_t AS customer_id, income_k_num AS income_k, score_num AS score, c_nationkey FROM normr WHERE reject_reason IS NULL),
+good AS (SELECT id_t AS customer_id, income_k_num AS income_k, score_num AS score, c_nationkey FROM normr WHERE reject_reason IS NULL AND c_nationkey <> 24),
 g AS (SELECT customer_id, {near_v} AS cluster, c_nationkey FROM good CROSS JOIN mom)
 SELECT customer_id, g.cluster, segment, 'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS upload_label,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c_nationkey AS BIGINT)) AS arrival_ts

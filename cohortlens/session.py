@@ -50,13 +50,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    It is read from the session.  Only when it is unset (local tests) a
-    private folder is created and registered as the checkpoint folder.
+    It is read from the session.  Only when it is unset and the master is
+    ``local`` (tests) a private folder is created and registered as the
+    checkpoint folder; on a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     else:
@@ -90,10 +94,9 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``cohortlens`` importable in the Python workers (as ``--py-files`` would).
 
     Arrow-batched UDF stages pickle functions that live in this package, so
-    every executor needs it on its path.  The package is zipped once per
-    content version and added to the SparkContext; repeated calls are no-ops.
+    every executor needs it on its path.  The package is zipped into a new
+    private folder once per application; repeated calls are no-ops.
     """
-    import hashlib
     import zipfile
 
     sc = spark.sparkContext
@@ -102,25 +105,10 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    files = []
-    for dirpath, _dirs, names in os.walk(pkg_dir):
-        for n in sorted(names):
-            if n.endswith(".py"):
-                files.append(os.path.join(dirpath, n))
-    digest = hashlib.sha1()
-    for f in sorted(files):
-        with open(f, "rb") as fh:
-            digest.update(f.encode() + fh.read())
-    out = os.path.join(tempfile.gettempdir(), f"cohortlens-{digest.hexdigest()[:16]}.zip")
-    if not os.path.exists(out):
-        tmp = out + f".{uuid.uuid4().hex}"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(files):
-                z.write(f, os.path.relpath(f, root))
-        os.replace(tmp, out)
-    try:
-        sc.addPyFile(out)
-    except Exception as exc:  # noqa: BLE001 - already registered under this name in this context
-        if "already" not in str(exc).lower():
-            raise
+    files = [os.path.join(d, n) for d, _dirs, names in os.walk(pkg_dir) for n in names if n.endswith(".py")]
+    out = os.path.join(tempfile.mkdtemp(prefix="cohortlens-"), "cohortlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(files):
+            z.write(f, os.path.relpath(f, root))
+    sc.addPyFile(out)
     _SHIPPED.add(key)

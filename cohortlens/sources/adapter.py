@@ -43,7 +43,7 @@ def customers(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> D
     joined = cust.join(spend, cust.c_custkey == spend.o_custkey, "left")
     k = F.col("c_custkey")
     return joined.select(
-        (k + 1).cast("int").alias(S.CUSTOMER_ID),
+        (k + 1).cast("bigint").alias(S.CUSTOMER_ID),
         F.when(k % 2 == 0, "Female").otherwise("Male").alias(S.GENDER),
         (F.lit(18) + k % 53).cast("int").alias(S.AGE),
         (F.lit(15) + F.floor((F.col("c_acctbal") + 1000) * 122 / 11000)).cast("int").alias(S.INCOME),
@@ -95,18 +95,21 @@ def raw_customers(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ())
         .when(i % 10 == 1, F.upper(g))
         .when(i % 10 == 2, F.concat(F.lit(" "), F.lower(g), F.lit(" ")))
         .when(i % 10 == 3, F.concat(F.lower(g), F.lit("\t")))
+        .when(i % 10 == 4, F.concat(F.lit("\u00a0"), g, F.lit("\u00a0")))
         .otherwise(g)
     )
     cid = F.when(i % 211 == 17, F.concat(F.lit("C"), s(S.CUSTOMER_ID))).otherwise(s(S.CUSTOMER_ID))
     age = (
         F.when(i % 131 == 4, F.lit("101"))
         .when(i % 127 == 9, F.lit("NA"))
+        .when(i % 109 == 11, F.concat(s(S.AGE), F.lit("d")))
         .when(i % 7 == 3, F.concat(s(S.AGE), F.lit(".0")))
         .otherwise(s(S.AGE))
     )
     income = (
         F.when(i % 139 == 6, F.concat(F.lit("-"), s(S.INCOME)))
         .when(i % 113 == 5, F.lit("abc"))
+        .when(i % 107 == 12, F.lit("0x1p3"))
         .when(i % 5 == 4, F.concat(s(S.INCOME), F.lit(".0")))
         .otherwise(s(S.INCOME))
     )

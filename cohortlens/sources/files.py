@@ -9,10 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import schema as S
 
 CSV_GLOB = "*.[cC][sS][vV]"
 # upload names look like YYYYMMDD_HHMMSS_<label>.csv; Spark-written uploads
 # carry the same name on their folder
+# Uploads are read by position and bound by their header; a header that fills all of these is quarantined.
+MAX_COLUMNS = 64
+POSITIONAL = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MAX_COLUMNS)])
+HEADER_SALTS = 16
 LANDING_NAME = r"(\d{8}_\d{6})_([^/]+?)(\.[cC][sS][vV])?(/[^/]*)?$"
 
 
@@ -24,10 +31,40 @@ def read_customer_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_landing(spark: SparkSession, folder: str) -> DataFrame:
     """A3: every ``.csv`` below ``folder`` (extension case-insensitive), with its
-    upload time and label parsed from the file (or folder) name."""
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("pathGlobFilter", CSV_GLOB).option("recursiveFileLookup", True).csv(folder))
-    return with_upload_info(df)
+    upload time and label parsed from the file (or folder) name; see :func:`bind_by_name`."""
+    return bind_by_name(with_upload_info(landing_reader(spark.read).csv(folder)))
+
+
+def landing_reader(reader):
+    """A batch or stream reader of upload files: fields by position, header lines as rows."""
+    return (reader.schema(POSITIONAL).option("header", False).option("pathGlobFilter", CSV_GLOB)
+            .option("recursiveFileLookup", True))
+
+
+def bind_by_name(rows: DataFrame) -> DataFrame:
+    """The required columns of positional upload rows, each file by its own header line.
+
+    A header line is one with at least two required names.  Column order, extra
+    columns and the case of several files with different headers do not matter.
+    Rows of a file without a header, or whose header lacks a required column, have
+    the absent names in ``missing_columns`` (NULL elsewhere) for the quarantine.
+    One header row per file is joined to its rows, salted so that a large file is
+    spread over tasks.
+    """
+    names = F.array(*[F.lit(n) for n in S.REQUIRED_PUBLIC])
+    fields = [F.col(c) for c in POSITIONAL.fieldNames()]
+    clean = F.transform(F.array(*fields), lambda x: F.trim(F.regexp_replace(x, "^\ufeff", "")))
+    info = [c for c in rows.columns if c not in POSITIONAL.fieldNames()]
+    rows = rows.select(*info, F.array(*fields).alias("_fields"), clean.alias("_clean"))
+    rows = rows.withColumn("_header", F.size(F.array_intersect("_clean", names)) >= 2)
+    headers = (rows.filter("_header").groupBy("source_file").agg(F.min("_clean").alias("_names"))
+               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HEADER_SALTS - 1)))))
+    body = rows.filter("not _header").withColumn("_salt", F.pmod(F.xxhash64("_fields"), F.lit(HEADER_SALTS)).cast("int"))
+    both = body.join(headers, ["source_file", "_salt"], "left")
+    missing = F.array_except(names, F.coalesce("_names", F.array().cast("array<string>")))
+    full = F.get("_names", F.lit(MAX_COLUMNS - 1)).isNotNull()  # the header may go on beyond what is read
+    found = [F.get("_fields", F.array_position("_names", n).cast("int") - 1).alias(n) for n in S.REQUIRED_PUBLIC]
+    return both.select(*found, *info, F.when((F.size(missing) > 0) | full, F.array_join(missing, ", ")).alias("missing_columns"))
 
 
 def with_upload_info(df: DataFrame, path_col: str = "_metadata.file_path") -> DataFrame:

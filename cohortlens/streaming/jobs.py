@@ -31,16 +31,14 @@ EVENTS_SCHEMA = T.StructType([
 
 
 def landing_stream(spark: SparkSession, folder: str, max_files: int = 8) -> DataFrame:
-    """CSV files arriving below ``folder`` (all text columns, ``.csv`` only)."""
-    raw = (spark.readStream.schema(S.RAW_SCHEMA).option("header", True)
-           .option("pathGlobFilter", files.CSV_GLOB).option("recursiveFileLookup", True)
-           .option("maxFilesPerTrigger", max_files).csv(folder))
-    return files.with_upload_info(raw)
+    """Rows of the CSV files arriving below ``folder``, by position (header lines included)."""
+    reader = files.landing_reader(spark.readStream).option("maxFilesPerTrigger", max_files)
+    return files.with_upload_info(reader.csv(folder))
 
 
 def score_batch(norm: DataFrame, model: SCO.SegmentModel) -> tuple[DataFrame, DataFrame]:
     """Validated-and-flagged rows -> (scored good rows, rejected rows with their reason)."""
-    good = V.typed(norm.filter(F.col("reject_reason").isNull()))
+    good = V.typed(norm.filter(F.col("reject_reason").isNull()).drop("missing_columns"))
     scored = SCO.score(good, model).select(S.CUSTOMER_ID, "cluster", "segment", "confidence",
                                            "upload_label", "arrival_ts")
     bad = norm.filter(F.col("reject_reason").isNotNull()).select(
@@ -52,16 +50,17 @@ def score_batch(norm: DataFrame, model: SCO.SegmentModel) -> tuple[DataFrame, Da
 def run_stream_score(spark: SparkSession, folder: str, model: SCO.SegmentModel, out: str,
                      checkpoint: str, available_now: bool = True):
     """Start L1; with ``available_now`` it processes what has landed and stops."""
-    norm = V.normalize(landing_stream(spark, folder)).withColumn("reject_reason", V.reject_reason())
-
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        # a file is whole in its micro-batch, so its header line is there
+        norm = V.normalize(files.bind_by_name(batch)).withColumn(
+            "reject_reason", V.reject_reason(F.col("missing_columns")))
+        batch = norm.persist()
         scored, bad = score_batch(batch, model)
         scored.write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
         batch.unpersist()
 
-    w = norm.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = landing_stream(spark, folder).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
