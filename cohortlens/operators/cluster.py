@@ -1,8 +1,9 @@
-"""Clustering: k-means with best-of-seeds, the k sweep, mini-batch k-means and mixtures.
+"""Clustering over the whole table: k-means with best-of-seeds, the k sweep, mini-batch k-means, mixtures.
 
 Spark ML has no ``n_init``: the seeds are fitted as concurrent Spark jobs
 (driver threads, as CrossValidator's ``parallelism`` does) over ONE persisted
 vector frame, and the lowest training cost wins (ties to the first seed).
+Every fit reads every row; frames are persisted and released by the caller.
 """
 
 from __future__ import annotations
@@ -11,15 +12,17 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import numpy as np
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .scaling import LinearScaler
-from .scoring import SegmentModel
+from .evaluate import silhouette_squared
+from .partials import batch_sums, task_count
+
+PARALLEL_FITS = 6
 
 
 def vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -34,80 +37,59 @@ class FitResult:
     seed: int
     n_iter: int
 
+    @property
+    def centers(self) -> list[list[float]]:
+        return [list(map(float, c)) for c in self.model.clusterCenters()]
+
+
+@dataclass
+class MixtureFit:
+    """A Gaussian mixture: weights, means, covariance matrices, mean log-likelihood per row."""
+    weights: list[float]
+    means: list[list[float]]
+    covariances: list[list[list[float]]]
+    mean_ll: float
+    n_iter: int
+    n_rows: int
 
-def center_tol(k: int, rel_tol: float = 1e-4, mean_var: float = 1.0) -> float:
-    """Spark's per-center movement bound equivalent to a squared-shift budget.
 
-    The reference stops when the SUM of squared center shifts is at most
-    ``rel_tol * mean feature variance``; Spark stops when EVERY center moved
-    less than ``tol``.  ``tol = sqrt(budget / k)`` guarantees the sum bound.
+def center_tol(k: int, mean_var: float, rel_tol: float = 1e-4) -> float:
+    """Spark's per-center movement bound equivalent to a budget for the sum of squared shifts.
+
+    The sum is to stay below ``rel_tol * mean feature variance``; Spark stops when
+    EVERY center moved less than ``tol``, so ``tol = sqrt(budget / k)`` is enough.
     """
     return math.sqrt(rel_tol * mean_var / k)
 
 
-def fit_kmeans(vec: DataFrame, k: int, seeds: list[int], max_iter: int = 300, tol: float | None = None,
-               parallelism: int | None = None) -> tuple[FitResult, list[FitResult]]:
-    """Fit one k-means per seed (concurrently) and keep the lowest cost."""
-    tol = center_tol(k) if tol is None else tol
-    parallelism = parallelism or len(seeds)
+def seeds_for(n_init: int, base: int = S.SAMPLE_SEED) -> list[int]:
+    return [base + i for i in range(n_init)]
 
-    def one(seed: int) -> FitResult:
-        km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
-                    predictionCol="prediction", initMode="k-means||")
-        m = km.fit(vec)
-        s = m.summary
-        return FitResult(m, float(s.trainingCost), seed, int(s.numIter))
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(seeds)))) as pool:
-        results = list(pool.map(one, seeds))
-    best = min(results, key=lambda r: r.cost)  # min keeps the first of equal costs
-    return best, results
+def mean_variance(df: DataFrame, cols: list[str]) -> float:
+    """Mean population variance of the features (one aggregate)."""
+    row = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
+    return sum(float(row[c] or 0.0) for c in cols) / len(cols)
 
 
-def seeds_for(n_init: int, base: int = S.SAMPLE_SEED) -> list[int]:
-    return [base + i for i in range(n_init)]
+def fit_kmeans(vec: DataFrame, k: int, seeds: list[int], tol: float, max_iter: int = 300) -> FitResult:
+    """K1: one Spark ML k-means per seed (concurrently); the lowest cost wins."""
+    def one(seed: int) -> FitResult:
+        m = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features").fit(vec)
+        return FitResult(m, float(m.summary.trainingCost), seed, int(m.summary.numIter))
 
+    with ThreadPoolExecutor(max_workers=min(PARALLEL_FITS, len(seeds))) as pool:
+        return min(pool.map(one, seeds), key=lambda r: r.cost)
 
-def kmeans_segment_model(df: DataFrame, scaler: LinearScaler, k: int = S.FINAL_K,
-                         n_init: int = S.KMEANS_FINAL_N_INIT, persist: bool = True,
-                         seed_sample: DataFrame | None = None,
-                         seed_centers: list | None = None) -> tuple[SegmentModel, DataFrame]:
-    """K1 + J5 + K14: fit on standardised features, map centers back, name them.
 
-    With ``seed_sample`` (a bounded, already scaled sample) the best of
-    ``n_init`` k-means++ fits on the sample seeds Lloyd refinement over the
-    full table - a few full passes instead of ``n_init`` complete fits.
-    Otherwise ``n_init`` Spark ML fits run concurrently on the full table.
-    Returns the model and the persisted scaled frame (caller unpersists).
-    """
-    from .naming import greedy_names_local
-    zcols = [f"z_{f}" for f in scaler.features]
-    scaled = scaler.transform(df).select(*zcols)
-    if persist:
-        scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    if seed_centers is not None and len(seed_centers) == k:
-        centers, cost, n_iter = refine_kmeans(scaled, zcols, seed_centers)
-    elif seed_sample is not None:
-        seed_fit = grid_kmeans(seed_sample, zcols, [k], seeds_for(n_init), silhouette=False)[0]
-        centers, cost, n_iter = refine_kmeans(scaled, zcols, seed_fit["centers"])
-    else:
-        best, _ = fit_kmeans(vectors(scaled, zcols), k, seeds_for(n_init))
-        centers, cost, n_iter = [list(c) for c in best.model.clusterCenters()], best.cost, best.n_iter
-    centers_orig = [scaler.inverse(c) for c in centers]
-    idx = {f: i for i, f in enumerate(scaler.features)}
-    names = greedy_names_local([(c[idx[S.INCOME]], c[idx[S.SCORE]]) for c in centers_orig])
-    model = SegmentModel(scaler, centers_orig, names, "kmeans", n_iter, cost)
-    return model, scaled
-
-
-def elbow_sweep(sample_vec: DataFrame, features_z: list[str], k_range=S.K_RANGE,
-                n_init: int = S.KMEANS_SEARCH_N_INIT) -> list[tuple[int, float, float]]:
-    """(k, inertia, exact silhouette) for every k on the scaled, bounded sample.
-
-    All (k, seed) fits run as the tasks of ONE job (see :func:`grid_kmeans`).
-    """
-    fits = grid_kmeans(sample_vec, features_z, list(k_range), seeds_for(n_init))
-    return [(r["k"], r["inertia"], r["silhouette"]) for r in fits]
+def elbow_sweep(vec: DataFrame, ks, n_init: int, mean_var: float) -> list[tuple[int, float, float]]:
+    """(k, inertia, squared-distance silhouette) for every k, fitted and scored on all rows."""
+    def one(k: int) -> tuple[int, float, float]:
+        best = fit_kmeans(vec, k, seeds_for(n_init), center_tol(k, mean_var))
+        return k, best.cost, silhouette_squared(best.model.transform(vec))
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        return list(pool.map(one, ks))
 
 
 def best_k(rows: list[tuple[int, float, float]]) -> int:
@@ -116,532 +98,148 @@ def best_k(rows: list[tuple[int, float, float]]) -> int:
     return next(r[0] for r in rows if r[2] == top)
 
 
-def fit_gmm_full(vec: DataFrame, k: int, seeds: list[int], max_iter: int = 100, tol: float = 1e-3,
-                 parallelism: int = 4):
-    """K3: full-covariance mixture, best log-likelihood over seeds (Spark ML EM)."""
-    def one(seed):
-        m = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features").fit(vec)
-        return m, float(m.summary.logLikelihood)
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(seeds)))) as pool:
-        fits = list(pool.map(one, seeds))
-    return max(fits, key=lambda t: t[1])
-
-
-def gmm_log_likelihood(model, vec: DataFrame) -> float:
-    """Total log-likelihood of ``vec`` under a fitted Spark ML mixture (one aggregate pass)."""
-    import numpy as np
-    gs = model.gaussians
-    weights = model.weights
-    params = []
-    for w, g in zip(weights, gs):
-        mu = g.mean.toArray()
-        cov = g.cov.toArray()
-        inv = np.linalg.inv(cov)
-        _, logdet = np.linalg.slogdet(cov)
-        params.append((math.log(w) - 0.5 * (len(mu) * math.log(2 * math.pi) + logdet), mu, inv))
-    from pyspark.ml.functions import vector_to_array
-    x = vector_to_array(F.col("features"))
-    comps = []
-    for c, mu, inv in params:
-        d = len(mu)
-        quad = None
-        for i in range(d):
-            for j in range(d):
-                t = (x[i] - F.lit(float(mu[i]))) * F.lit(float(inv[i, j])) * (x[j] - F.lit(float(mu[j])))
-                quad = t if quad is None else quad + t
-        comps.append(F.lit(c) - 0.5 * quad)
-    m = F.greatest(*comps) if len(comps) > 1 else comps[0]
-    lse = m + F.log(sum((F.exp(cmp - m) for cmp in comps[1:]), F.exp(comps[0] - m)))
-    return float(vec.agg(F.sum(lse)).first()[0])
-
-
 # ---------------------------------------------------------------------------
 # K2 mini-batch k-means
 # ---------------------------------------------------------------------------
-def fit_minibatch_kmeans(df: DataFrame, cols: list[str], k: int, seed: int = S.SAMPLE_SEED,
-                         batch_size: int = 1024, max_iter: int = 200, max_no_improvement: int = 10,
-                         n_rows: int | None = None):
-    """Mini-batch k-means: centers move toward each batch's cluster means with
-    per-center learning rates ``count_batch / count_seen``; stops after
-    ``max_no_improvement`` batches without a better smoothed batch inertia.
-
-    The batch pool (at most ``max_iter * batch_size`` rows, a bounded random
-    sample) is persisted once and cut into batches of ``batch_size``; every
-    step folds one batch into per-center sums (see :mod:`.partials`).  The
-    same update serves a stream, one call per micro-batch.
+def fit_minibatch_kmeans(df: DataFrame, cols: list[str], k: int, n_rows: int, seed: int = S.SAMPLE_SEED,
+                         batch_size: int = 1024, max_passes: int = 200, max_no_improvement: int = 10,
+                         batches_per_draw: int = 32) -> tuple[list[list[float]], int]:
+    """Mini-batch k-means: (centers, number of batches).
+
+    Each pass over the table draws ``batches_per_draw`` random batches (a bounded
+    number of rows, whatever the table's size).  A batch moves each center towards
+    the batch's mean by ``rows of the batch / rows seen``; the fit ends when the
+    smoothed batch inertia has not improved for ``max_no_improvement`` batches, or
+    after as many batches as ``max_passes`` passes would hold.
     """
-    import numpy as np
-    from .partials import batch_sums
-    n = n_rows if n_rows is not None else df.count()
-    keep = min(1.0, max_iter * batch_size / max(n, 1))
-    pool = (df.select(*cols).sample(fraction=keep, seed=seed)
-            .withColumn("_b", F.rand(seed + 1)).persist(StorageLevel.MEMORY_AND_DISK))
-    pool_n = pool.count()
-    n_batches = max(1, pool_n // batch_size)
-    init = pool.orderBy("_b").limit(k).collect()  # k rows
-    C = np.array([[float(r[c]) for c in cols] for r in init])
-    seen = np.zeros(len(C))
-    d = len(cols)
-    alpha = batch_size * 2.0 / (n + 1)
-    ewa, best, stall, n_iter = None, None, 0, 0
-    for it in range(max_iter):
-        b = it % n_batches
-        sums = batch_sums(pool, cols + ["_b"], _minibatch_part, len(C) * (d + 1) + 1, (C, b, n_batches))
-        cnt = sums[:len(C)]
-        tot = sums[len(C):len(C) * (d + 1)].reshape(len(C), d)
-        inertia = sums[-1] / max(cnt.sum(), 1.0)
-        for j in range(len(C)):
-            if cnt[j] > 0:
-                seen[j] += cnt[j]
-                C[j] += (cnt[j] / seen[j]) * (tot[j] / cnt[j] - C[j])
-        n_iter = it + 1
-        ewa = inertia if ewa is None else ewa * (1 - alpha) + inertia * alpha
-        if best is None or ewa < best:
-            best, stall = ewa, 0
-        else:
-            stall += 1
+    rng = np.random.default_rng(seed)
+    centers = seen = smoothed = best = None
+    stall = done = 0
+    most = max(1, max_passes * n_rows // batch_size)
+    alpha = min(1.0, batch_size * 2.0 / (n_rows + 1))
+    draw = 0
+    while done < most:
+        share = min(1.0, 1.2 * batches_per_draw * batch_size / max(n_rows, 1))
+        rows = df.select(*[F.col(c).cast("double") for c in cols]).sample(fraction=share, seed=seed + draw)
+        X = np.array([tuple(r) for r in rows.limit(batches_per_draw * batch_size).collect()], float).reshape(-1, len(cols))
+        draw += 1
+        if not len(X):
+            continue
+        if centers is None:
+            from pyspark.ml.linalg import Vectors
+            start = df.sparkSession.createDataFrame([(Vectors.dense(x),) for x in X[:3 * batch_size]], ["features"])
+            centers = np.array(KMeans(k=k, seed=seed, maxIter=1).fit(start).clusterCenters())
+            seen = np.zeros(len(centers))
+        for _ in range(min(batches_per_draw, most - done)):
+            batch = X[rng.integers(0, len(X), batch_size)]
+            dist = ((batch[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+            own = dist.argmin(axis=1)
+            count = np.bincount(own, minlength=len(centers))
+            seen += count
+            for j in np.flatnonzero(count):
+                centers[j] += count[j] / seen[j] * (batch[own == j].mean(axis=0) - centers[j])
+            inertia = float(dist.min(axis=1).mean())
+            smoothed = inertia if smoothed is None else smoothed * (1 - alpha) + inertia * alpha
+            done += 1
+            stall = 0 if best is None or smoothed < best else stall + 1
+            best = smoothed if best is None else min(best, smoothed)
             if stall >= max_no_improvement:
-                break
-    pool.unpersist()
-    return C.tolist(), n_iter
-
-
-def _minibatch_part(X, params):
-    import numpy as np
-    C, b, n_batches = params
-    sel = np.minimum((X[:, -1] * n_batches).astype(int), n_batches - 1) == b
-    Xb = X[sel, :-1]
-    k, d = C.shape
-    out = np.zeros(k * (d + 1) + 1)
-    if len(Xb) == 0:
-        return out
-    dist = ((Xb[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-    lab = dist.argmin(axis=1)
-    out[:k] = np.bincount(lab, minlength=k)
-    for j in range(d):
-        out[k + np.arange(k) * d + j] = np.bincount(lab, weights=Xb[:, j], minlength=k)
-    out[-1] = dist[np.arange(len(Xb)), lab].sum()
-    return out
+                return centers.tolist(), done
+    return centers.tolist(), done
 
 
 # ---------------------------------------------------------------------------
-# K4 diagonal-covariance Gaussian mixture by EM, one aggregate pass per step
+# K3 / K4 Gaussian mixtures by EM, one pass over all rows per step
 # ---------------------------------------------------------------------------
-def _log_components(cols, weights, means, variances):
-    comps = []
-    for w, mu, var in zip(weights, means, variances):
-        const = math.log(max(w, 1e-300)) - 0.5 * sum(math.log(2 * math.pi * v) for v in var)
-        quad = None
-        for c, m, v in zip(cols, mu, var):
-            t = (F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m)) / F.lit(v)
-            quad = t if quad is None else quad + t
-        comps.append(F.lit(const) - F.lit(0.5) * quad)
-    return comps
-
-
-def _logsumexp(comps):
-    m = F.greatest(*comps) if len(comps) > 1 else comps[0]
-    total = None
-    for c in comps:
-        e = F.exp(c - m)
-        total = e if total is None else total + e
-    return m + F.log(total)
-
-
-def _gmm_diag_part(X, params):
-    """Responsibility-weighted sums of one batch: [r_j, r_j*x, r_j*x^2 per component, log-lik]."""
-    import numpy as np
-    w, mu, var = params
-    k, d = mu.shape
-    logp = (np.log(np.maximum(w, 1e-300))[None, :]
-            - 0.5 * np.log(2 * np.pi * var).sum(axis=1)[None, :]
-            - 0.5 * (((X[:, None, :] - mu[None, :, :]) ** 2) / var[None, :, :]).sum(axis=2))
-    m = logp.max(axis=1, keepdims=True)
-    lse = m[:, 0] + np.log(np.exp(logp - m).sum(axis=1))
+def _log_density(X: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
+    out = np.empty((len(X), len(weights)))
+    for j, (w, mu, cov) in enumerate(zip(weights, means, covariances)):
+        diff = X - mu
+        quad = np.einsum("ni,ij,nj->n", diff, np.linalg.inv(cov), diff)
+        out[:, j] = math.log(max(w, 1e-300)) - 0.5 * (len(mu) * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + quad)
+    return out
+
+
+def _em_part(X, params):
+    """Responsibilities' sums of one batch: per component [r, r*x, r*x*x'], then the log-likelihood."""
+    logp = _log_density(X, *params)
+    top = logp.max(axis=1, keepdims=True)
+    lse = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
     r = np.exp(logp - lse[:, None])
-    return np.concatenate([r.sum(axis=0), (r.T @ X).ravel(), (r.T @ (X * X)).ravel(), [lse.sum()]])
-
-
-def fit_gmm_diag(df: DataFrame, cols: list[str], k: int, seed: int = S.SAMPLE_SEED, max_iter: int = 100,
-                 tol: float = 1e-3, reg_covar: float = 1e-4):
-    """EM for a diagonal mixture.  Parameters stay on the driver (k x d numbers);
-    each iteration is ONE pass over the (persisted) data folding responsibilities
-    and their weighted first and second moments into per-task partial sums.
-    Initialised from k-means labels.  Returns (weights, means, variances, mean log-lik, n_iter)."""
-    import numpy as np
-    from .partials import batch_sums
-    data = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    vec = vectors(data, cols)
-    km = KMeans(k=k, seed=seed, maxIter=100, featuresCol="features").fit(vec)
-    lab = km.transform(vec).groupBy("prediction").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).collect()
-    total = sum(r["n"] for r in lab)
-    d = len(cols)
-    w = np.array([r["n"] / total for r in lab])
-    mu = np.array([[float(r[f"m{i}"]) for i in range(d)] for r in lab])
-    var = np.array([[float(r[f"v{i}"] or 0.0) + reg_covar for i in range(d)] for r in lab])
-    kk = len(w)
-    prev, ll, n_iter = None, float("-inf"), 0
-    for it in range(max_iter):
-        sums = batch_sums(data, cols, _gmm_diag_part, kk * (1 + 2 * d) + 1, (w, mu, var))
-        rsum = np.maximum(sums[:kk], 1e-12)
-        sx = sums[kk:kk + kk * d].reshape(kk, d)
-        sxx = sums[kk + kk * d:kk + 2 * kk * d].reshape(kk, d)
-        ll = sums[-1] / total
-        w = rsum / rsum.sum()
-        mu = sx / rsum[:, None]
-        var = np.maximum(sxx / rsum[:, None] - mu * mu, 0.0) + reg_covar
-        n_iter = it + 1
-        if prev is not None and abs(ll - prev) < tol:
-            break
-        prev = ll
-    data.unpersist()
-    return w.tolist(), mu.tolist(), var.tolist(), float(ll), n_iter
-
-
-def gmm_diag_predict(df: DataFrame, cols: list[str], weights, means, variances) -> DataFrame:
-    """Hard labels: the component of maximal posterior (ties to the lowest id)."""
-    comps = _log_components(cols, weights, means, variances)
-    arr = F.array(*comps)
-    return df.withColumn("prediction", (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
-
-
-def gmm_diag_loglik(df: DataFrame, cols: list[str], weights, means, variances) -> float:
-    return float(df.agg(F.sum(_logsumexp(_log_components(cols, weights, means, variances)))).first()[0])
+    return np.concatenate([r.sum(axis=0), (r.T @ X).ravel(), np.einsum("nk,ni,nj->kij", r, X, X).ravel(), [lse.sum()]])
 
 
-# ---------------------------------------------------------------------------
-# Grid of k-means fits over a bounded sample: one Spark job, one task per fit
-# ---------------------------------------------------------------------------
-def _kmeans_pp(X, k, rng):
-    """Greedy k-means++ seeding (2 + log k candidates per step)."""
-    import numpy as np
-    n = len(X)
-    trials = 2 + int(math.log(k))
-    centers = [X[rng.integers(n)]]
-    d2 = ((X - centers[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        total = d2.sum()
-        if total <= 0:
-            centers.append(X[rng.integers(n)])
-            continue
-        cand = np.searchsorted(np.cumsum(d2), rng.random(trials) * total)
-        cand = np.minimum(cand, n - 1)
-        cd = ((X[None, :, :] - X[cand][:, None, :]) ** 2).sum(axis=2)
-        cd = np.minimum(cd, d2[None, :])
-        best = int(np.argmin(cd.sum(axis=1)))
-        centers.append(X[cand[best]])
-        d2 = cd[best]
-    return np.array(centers, dtype=float)
-
-
-def lloyd(X, k: int, seed: int, max_iter: int = 300, rel_tol: float = 1e-4):
-    """k-means++ then Lloyd iterations until the summed squared center shift is at most
-    ``rel_tol`` times the mean feature variance.  Returns (centers, labels, inertia, n_iter)."""
-    import numpy as np
-    rng = np.random.default_rng(seed)
-    C = _kmeans_pp(X, k, rng)
-    tol = rel_tol * float(np.mean(X.var(axis=0)))
-    n_iter = 0
-    for it in range(max_iter):
-        d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-        lab = d.argmin(axis=1)
-        new = C.copy()
-        for j in range(k):
-            m = lab == j
-            if m.any():
-                new[j] = X[m].mean(axis=0)
-        shift = float(((new - C) ** 2).sum())
-        C = new
-        n_iter = it + 1
-        if shift <= tol:
-            break
-    d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-    lab = d.argmin(axis=1)
-    return C, lab, float(d[np.arange(len(X)), lab].sum()), n_iter
-
-
-def silhouette_numpy(X, labels, block: int = 512) -> float:
-    """Exact Euclidean silhouette of a bounded sample (blocked distance matrix)."""
-    import numpy as np
-    ks = np.unique(labels)
-    if len(ks) < 2:
-        return float("nan")
-    codes = np.searchsorted(ks, labels)
-    onehot = np.zeros((len(X), len(ks)))
-    onehot[np.arange(len(X)), codes] = 1.0
-    sizes = onehot.sum(axis=0)
-    total = 0.0
-    from .evaluate import pairwise_dist
-    sq = (X * X).sum(axis=1)
-    for s in range(0, len(X), block):
-        rows = np.arange(s, min(s + block, len(X)))
-        dist = pairwise_dist(X[rows], X, sq)
-        sums = dist @ onehot
-        own = codes[rows]
-        own_n = sizes[own]
-        a = np.where(own_n > 1, sums[np.arange(len(rows)), own] / np.maximum(own_n - 1, 1), 0.0)
-        other = sums / sizes
-        other[np.arange(len(rows)), own] = np.inf
-        b = other.min(axis=1)
-        den = np.maximum(a, b)
-        total += float(np.where((own_n > 1) & (den > 0), (b - a) / np.where(den > 0, den, 1), 0.0).sum())
-    return total / len(X)
-
-
-def grid_kmeans(sample: DataFrame, cols: list[str], ks, seeds, silhouette: bool = True) -> list[dict]:
-    """Fit k-means for every (k, seed) of the grid over a BOUNDED sample.
-
-    The sample is broadcast once and the grid becomes one Spark job with one
-    task per fit, so a sweep costs one job instead of one job per iteration
-    of every fit.  Returns, per k, the lowest-inertia fit (ties to the first
-    seed) with its centers, iterations and (optionally) exact silhouette.
+def fit_mixture(df: DataFrame, cols: list[str], k: int, covariance: str, start: list[list[float]],
+                max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-4) -> MixtureFit:
+    """EM for a mixture with ``full`` or ``diag`` covariances, from the centers ``start``.
+
+    Parameters stay on the driver; a step is ONE pass over the (persisted) rows
+    that adds up responsibilities and weighted first and second moments.  Ends
+    when the mean log-likelihood per row changes by less than ``tol``.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-    spark = sample.sparkSession
-    from ..session import ship_package
-    from .partials import bounded_sample_array
-    ship_package(spark)
-    X = bounded_sample_array(sample, cols)
-    bc = spark.sparkContext.broadcast(X)
-    grid = [(int(k), int(s), i) for i, (k, s) in enumerate((k, s) for k in ks for s in seeds)]
-    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("seed", T.IntegerType()),
-                           T.StructField("pos", T.IntegerType()), T.StructField("inertia", T.DoubleType()),
-                           T.StructField("n_iter", T.IntegerType()),
-                           T.StructField("centers", T.ArrayType(T.DoubleType())),
-                           T.StructField("silhouette", T.DoubleType())])
-
-    def fit(it):
-        Xb = bc.value
-        for pdf in it:
-            out = []
-            for k, seed, pos in zip(pdf["k"], pdf["seed"], pdf["pos"]):
-                C, lab, inertia, n_iter = lloyd(Xb, int(k), int(seed))
-                sil = silhouette_numpy(Xb, lab) if silhouette else None
-                out.append((int(k), int(seed), int(pos), inertia, n_iter, C.ravel().tolist(), sil))
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    gdf = spark.createDataFrame(grid, "k int, seed int, pos int").repartition(len(grid))
-    rows = gdf.mapInPandas(fit, schema).collect()  # one row per fit: bounded by the grid size
-    best: dict[int, dict] = {}
-    for r in sorted(rows, key=lambda r: r["pos"]):
-        if r["k"] not in best or r["inertia"] < best[r["k"]]["inertia"]:
-            best[r["k"]] = r.asDict()
-    d = len(cols)
-    for r in best.values():
-        r["centers"] = [r["centers"][i:i + d] for i in range(0, len(r["centers"]), d)]
-    return [best[k] for k in ks]
-
-
-def _lloyd_part(X, C):
-    import numpy as np
-    k, d = C.shape
-    dist = ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-    lab = dist.argmin(axis=1)
-    out = np.zeros(k * (d + 1) + 1)
-    out[:k] = np.bincount(lab, minlength=k)
-    for j in range(d):
-        out[k + np.arange(k) * d + j] = np.bincount(lab, weights=X[:, j], minlength=k)
-    out[-1] = dist[np.arange(len(X)), lab].sum()
+    d, tasks = len(cols), task_count(df)
+    centers = np.array(start, float)
+    first = df.agg(F.count(F.lit(1)), *[F.var_pop(c) for c in cols]).first()
+    weights, means = np.full(len(centers), 1.0 / len(centers)), centers
+    variances = np.array([float(v or 0.0) for v in first[1:]]) / max(len(centers), 1) + reg_covar
+    covariances = np.array([np.diag(variances)] * len(centers))
+    previous, steps = None, 0
+    while True:
+        sums = batch_sums(df, cols, _em_part, len(centers) * (1 + d + d * d) + 1, (weights, means, covariances), tasks)
+        ll = float(sums[-1]) / max(first[0], 1)
+        if steps == max_iter or previous is not None and abs(ll - previous) < tol:
+            return MixtureFit(weights.tolist(), means.tolist(), covariances.tolist(), ll, steps, int(first[0]))
+        r = np.maximum(sums[:len(centers)], 1e-12)
+        weights = r / r.sum()
+        means = sums[len(centers):len(centers) * (1 + d)].reshape(-1, d) / r[:, None]
+        second = sums[len(centers) * (1 + d):-1].reshape(-1, d, d) / r[:, None, None]
+        covariances = second - means[:, :, None] * means[:, None, :]
+        if covariance == "diag":
+            covariances = covariances * np.eye(d)
+        covariances += reg_covar * np.eye(d)
+        previous, steps = ll, steps + 1
+
+
+def log_densities(cols: list[str], fit: MixtureFit) -> list:
+    """Per component, log(weight) + log density, as column expressions."""
+    out = []
+    for w, mu, cov in zip(fit.weights, fit.means, fit.covariances):
+        inverse = np.linalg.inv(np.array(cov))
+        constant = math.log(max(w, 1e-300)) - 0.5 * (len(mu) * math.log(2 * math.pi) + np.linalg.slogdet(np.array(cov))[1])
+        quad = F.lit(0.0)
+        for i, a in enumerate(cols):
+            for j, b in enumerate(cols):
+                quad = quad + (F.col(a) - F.lit(mu[i])) * F.lit(float(inverse[i, j])) * (F.col(b) - F.lit(mu[j]))
+        out.append(F.lit(float(constant)) - F.lit(0.5) * quad)
     return out
 
 
-def refine_kmeans(vec_df: DataFrame, cols: list[str], centers, max_iter: int = 300, rel_tol: float = 1e-4,
-                  mean_var: float = 1.0):
-    """Lloyd iterations over the FULL table from given centers.
+def mixture_label(cols: list[str], fit: MixtureFit):
+    """The component of maximal posterior (ties to the lowest id), as a column."""
+    scores = F.array(*log_densities(cols, fit))
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
-    Each iteration is one pass folding rows into per-center sums (partial
-    sums per task, then one small reduction); the centers travel as a
-    broadcast, so the plan and its generated code stay the same across
-    iterations.  Returns (centers, inertia, n_iter) with the inertia of the
-    returned centers.
-    """
-    import numpy as np
-    from .partials import batch_sums
-    C = np.array(centers, dtype=float)
-    k, d = C.shape
-    tol = rel_tol * mean_var
-    n_iter = 0
-    for it in range(max_iter):
-        sums = batch_sums(vec_df, cols, _lloyd_part, k * (d + 1) + 1, C)
-        cnt = sums[:k]
-        tot = sums[k:k * (d + 1)].reshape(k, d)
-        new = np.where(cnt[:, None] > 0, tot / np.maximum(cnt[:, None], 1), C)
-        shift = float(((new - C) ** 2).sum())
-        C = new
-        n_iter = it + 1
-        if shift <= tol:
-            break
-    inertia = float(batch_sums(vec_df, cols, _lloyd_part, k * (d + 1) + 1, C)[-1])
-    return C.tolist(), inertia, n_iter
+
+def mixture_log_likelihood(df: DataFrame, cols: list[str], fit: MixtureFit) -> DataFrame:
+    """(log_likelihood, n): the total over all rows, one aggregate."""
+    parts = log_densities(cols, fit)
+    top = F.greatest(*parts)
+    total = F.log(sum((F.exp(p - top) for p in parts[1:]), F.exp(parts[0] - top)))
+    return df.agg(F.sum(top + total).alias("log_likelihood"), F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------------------
-# Sequential fits over a BOUNDED sample: one task per seed, one job in total
+# Lloyd steps from given centers
 # ---------------------------------------------------------------------------
-def minibatch_np(X, k: int, seed: int, batch_size: int = 1024, max_iter: int = 200,
-                 max_no_improvement: int = 10):
-    """Mini-batch k-means over an in-task array: k-means++ on an init subset, then
-    per-center learning-rate updates; stops after ``max_no_improvement`` batches
-    without a better smoothed batch inertia.  Returns (centers, n_iter)."""
-    import numpy as np
-    rng = np.random.default_rng(seed)
-    n = len(X)
-    init_idx = rng.choice(n, size=min(n, 3 * batch_size), replace=False)
-    C = _kmeans_pp(X[init_idx], k, rng)
-    seen = np.zeros(k)
-    alpha = batch_size * 2.0 / (n + 1)
-    ewa, best, stall, n_iter = None, None, 0, 0
-    for it in range(max_iter):
-        Xb = X[rng.integers(0, n, size=min(batch_size, n))]
-        dist = ((Xb[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-        lab = dist.argmin(axis=1)
-        inertia = float(dist[np.arange(len(Xb)), lab].mean())
-        for j in range(k):
-            m = lab == j
-            c = int(m.sum())
-            if c:
-                seen[j] += c
-                C[j] += (c / seen[j]) * (Xb[m].mean(axis=0) - C[j])
-        n_iter = it + 1
-        ewa = inertia if ewa is None else ewa * (1 - alpha) + inertia * alpha
-        if best is None or ewa < best:
-            best, stall = ewa, 0
-        else:
-            stall += 1
-            if stall >= max_no_improvement:
-                break
-    return C, n_iter
-
-
-def gmm_diag_np(X, k: int, seed: int, max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-4):
-    """Diagonal mixture EM over an in-task array, initialised from k-means labels.
-    Returns (weights, means, variances, mean log-likelihood, n_iter)."""
-    import numpy as np
-    _, lab, _, _ = lloyd(X, k, seed)
-    n, d = X.shape
-    w = np.array([max((lab == j).mean(), 1e-12) for j in range(k)])
-    mu = np.array([X[lab == j].mean(axis=0) if (lab == j).any() else X.mean(axis=0) for j in range(k)])
-    var = np.array([X[lab == j].var(axis=0) if (lab == j).any() else X.var(axis=0) for j in range(k)]) + reg_covar
-    prev, ll, n_iter = None, float("-inf"), 0
-    for it in range(max_iter):
-        s = _gmm_diag_part(X, (w, mu, var))
-        rsum = np.maximum(s[:k], 1e-12)
-        mu = s[k:k + k * d].reshape(k, d) / rsum[:, None]
-        var = np.maximum(s[k + k * d:k + 2 * k * d].reshape(k, d) / rsum[:, None] - mu * mu, 0.0) + reg_covar
-        w = rsum / rsum.sum()
-        ll = s[-1] / n
-        n_iter = it + 1
-        if prev is not None and abs(ll - prev) < tol:
-            break
-        prev = ll
-    return w, mu, var, float(ll), n_iter
-
-
-def _gmm_full_logp(X, w, mu, cov):
-    import numpy as np
-    k, d = mu.shape
-    out = np.empty((len(X), k))
-    for j in range(k):
-        inv = np.linalg.inv(cov[j])
-        _, logdet = np.linalg.slogdet(cov[j])
-        diff = X - mu[j]
-        out[:, j] = (np.log(max(w[j], 1e-300)) - 0.5 * (d * np.log(2 * np.pi) + logdet)
-                     - 0.5 * np.einsum("ni,ij,nj->n", diff, inv, diff))
-    return out
-
-
-def gmm_full_np(X, k: int, seed: int, max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-4):
-    """Full-covariance mixture EM over an in-task array, initialised from k-means labels.
-    Returns (weights, means, covariances, mean log-likelihood, n_iter)."""
-    import numpy as np
-    _, lab, _, _ = lloyd(X, k, seed)
-    n, d = X.shape
-    resp = np.zeros((n, k))
-    resp[np.arange(n), lab] = 1.0
-    prev, ll, n_iter = None, float("-inf"), 0
-    w = mu = cov = None
-    for it in range(max_iter + 1):
-        nk = np.maximum(resp.sum(axis=0), 1e-12)
-        w = nk / n
-        mu = (resp.T @ X) / nk[:, None]
-        cov = np.empty((k, d, d))
-        for j in range(k):
-            diff = X - mu[j]
-            cov[j] = (resp[:, j, None] * diff).T @ diff / nk[j] + reg_covar * np.eye(d)
-        if it == max_iter:
-            break
-        logp = _gmm_full_logp(X, w, mu, cov)
-        m = logp.max(axis=1, keepdims=True)
-        lse = m[:, 0] + np.log(np.exp(logp - m).sum(axis=1))
-        resp = np.exp(logp - lse[:, None])
-        ll = float(lse.mean())
-        n_iter = it + 1
-        if prev is not None and abs(ll - prev) < tol:
-            break
-        prev = ll
-    return w, mu, cov, ll, n_iter
-
-
-def gmm_full_predict(df: DataFrame, cols: list[str], w, mu, cov) -> DataFrame:
-    """Hard labels of a full-covariance mixture as one projection (parameters inlined once)."""
-    import numpy as np
-    comps = []
-    d = len(cols)
-    for j in range(len(w)):
-        inv = np.linalg.inv(np.asarray(cov[j]))
-        _, logdet = np.linalg.slogdet(np.asarray(cov[j]))
-        quad = None
-        for a in range(d):
-            for b in range(d):
-                t = ((F.col(cols[a]) - F.lit(float(mu[j][a]))) * F.lit(float(inv[a, b]))
-                     * (F.col(cols[b]) - F.lit(float(mu[j][b]))))
-                quad = t if quad is None else quad + t
-        comps.append(F.lit(float(np.log(max(w[j], 1e-300)) - 0.5 * (d * np.log(2 * np.pi) + logdet)))
-                     - F.lit(0.5) * quad)
-    arr = F.array(*comps)
-    return df.withColumn("prediction", (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
-
-
-def sample_fits(sample: DataFrame, cols: list[str], kind: str, k: int, seeds: list[int]) -> list[dict]:
-    """Fit ``kind`` ('minibatch', 'gmm_full' or 'gmm_diag') once per seed over a bounded sample,
-    one task per seed; returns the per-seed parameters (a row per seed)."""
-    import json
-
-    import numpy as np
-    import pandas as pd
-    spark = sample.sparkSession
-    from ..session import ship_package
-    from .partials import bounded_sample_array
-    ship_package(spark)
-    X = bounded_sample_array(sample, cols)
-    bc = spark.sparkContext.broadcast(X)
-
-    def fit(it):
-        Xb = bc.value
-        for pdf in it:
-            out = []
-            for seed in pdf["seed"]:
-                if kind == "minibatch":
-                    C, n_iter = minibatch_np(Xb, k, int(seed))
-                    dist = ((Xb[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-                    res = {"centers": C.tolist(), "n_iter": n_iter, "inertia": float(dist.min(axis=1).sum())}
-                elif kind == "gmm_full":
-                    w, mu, cov, ll, n_iter = gmm_full_np(Xb, k, int(seed))
-                    res = {"weights": w.tolist(), "means": mu.tolist(), "covariances": cov.tolist(),
-                           "mean_ll": ll, "n_iter": n_iter}
-                else:
-                    w, mu, var, ll, n_iter = gmm_diag_np(Xb, k, int(seed))
-                    res = {"weights": w.tolist(), "means": mu.tolist(), "variances": var.tolist(),
-                           "mean_ll": ll, "n_iter": n_iter}
-                out.append((int(seed), json.dumps(res)))
-            yield pd.DataFrame(out, columns=["seed", "fit"])
-
-    gdf = spark.createDataFrame([(int(s),) for s in seeds], "seed int").repartition(len(seeds))
-    rows = gdf.mapInPandas(fit, "seed int, fit string").collect()  # one row per seed
-    return [dict(seed=r["seed"], **json.loads(r["fit"])) for r in sorted(rows, key=lambda r: r["seed"])]
+def lloyd_steps(df: DataFrame, cols: list[str], centers: list[list[float]], steps: int) -> DataFrame:
+    """(cluster, n, center): ``steps`` exact Lloyd steps from ``centers``, each one grouped aggregate."""
+    from ..functions import distance as D
+    now = [list(map(float, c)) for c in centers]
+    for step in range(steps):
+        labelled = df.withColumn("cluster", D.nearest_index(D.distance_array(cols, now)))
+        moved = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols])
+        if step == steps - 1:
+            return moved.select("cluster", "n", *cols)
+        for r in moved.collect():  # one row per center
+            now[r["cluster"]] = [float(r[c]) for c in cols]
+    raise ValueError("at least one step")

@@ -1,14 +1,15 @@
-"""Cluster-quality metrics: inertia, silhouette (exact Euclidean and Spark's squared form),
-Davies-Bouldin, Calinski-Harabasz, AIC/BIC.
+"""Cluster-quality metrics over the whole table: inertia, silhouette (exact Euclidean and the
+linear squared form), Davies-Bouldin, Calinski-Harabasz, AIC/BIC.
 
+``features`` is a list of numeric columns or the name of one array column.
 Davies-Bouldin and Calinski-Harabasz need per-cluster centroids: one grouped
-aggregate (k rows), broadcast back to the rows by an equi-join on the label,
-and the k x k step as higher-order functions over the collected k centroids
-inside one aggregate row - no cross join, nothing on the driver.
+aggregate, joined back to the rows by the label, and the k x k step as
+higher-order functions over the collected centroids inside one aggregate row.
 
-The exact silhouette is quadratic, so (as in the reference) it runs on a
-fixed-size sample: the sample (bounded by its size parameter) is broadcast,
-and the n x n distance work is split over tasks by row ranges.
+The exact silhouette compares every point with every other by definition.  Equal
+points (same features and label) are one weighted point, points are dealt to
+blocks, and a task compares two blocks and emits one row of sums per point, so
+no task, broadcast or driver holds all points.  Training uses the linear form.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+BLOCK_POINTS = 4096
 
 
 def _vec(features) -> F.Column:
+    if isinstance(features, str):
+        return F.col(features).cast("array<double>")
     return F.array(*[F.col(f).cast("double") for f in features])
 
 
@@ -31,18 +35,21 @@ def _sqdist(a, b) -> F.Column:
 
 
 def centroids(df: DataFrame, features, label: str) -> DataFrame:
-    """k rows: label, n, centroid (array<double>)."""
-    return df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(F.col(f).cast("double")) for f in features]).alias("centroid"),
-    )
-
-
-def _with_centroid(df: DataFrame, features, label: str) -> tuple[DataFrame, DataFrame]:
-    cent = centroids(df, features, label)
-    # k rows, bounded by the number of clusters: broadcast
-    j = df.select(label, _vec(features).alias("x")).join(F.broadcast(cent), label, "inner")
-    return j, cent
+    """One row per label: label, centroid (array<double>)."""
+    if isinstance(features, str):
+        at = df.select(label, F.posexplode(_vec(features)).alias("i", "v"))
+        mean = at.groupBy(label, "i").agg(F.avg("v").alias("v"))
+        return mean.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))),
+                                                   lambda x: x["v"]).alias("centroid"))
+    return df.groupBy(label).agg(F.array(*[F.avg(F.col(f).cast("double")) for f in features]).alias("centroid"))
+
+
+def _per_label(df: DataFrame, features, label: str) -> DataFrame:
+    """One row per label: rows, centroid, mean distance ``s`` and summed squared distance ``w`` to it."""
+    both = df.select(label, _vec(features).alias("x")).join(centroids(df, features, label), label)
+    d2 = _sqdist(F.col("x"), F.col("centroid"))
+    return both.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.first("centroid").alias("centroid"),
+                                   F.avg(F.sqrt(d2)).alias("s"), F.sum(d2).alias("w"))
 
 
 def inertia(df: DataFrame, d2: str = "d2") -> DataFrame:
@@ -50,11 +57,15 @@ def inertia(df: DataFrame, d2: str = "d2") -> DataFrame:
     return df.agg(F.sum(d2).alias("inertia"))
 
 
-def davies_bouldin(df: DataFrame, features, label: str) -> DataFrame:
-    """K9: mean over clusters of the worst (s_i + s_j) / d(c_i, c_j)."""
-    j, _ = _with_centroid(df, features, label)
-    per = j.groupBy(label, "centroid").agg(F.avg(F.sqrt(_sqdist(F.col("x"), F.col("centroid")))).alias("s"))
-    arr = per.agg(F.collect_list(F.struct(F.col(label).alias("l"), "centroid", "s")).alias("cl"))
+def dispersion(df: DataFrame, features, label: str) -> DataFrame:
+    """K9 and K10 in one row: davies_bouldin, calinski_harabasz.
+
+    Davies-Bouldin is the mean over clusters of the worst (s_i + s_j) / d(c_i, c_j);
+    Calinski-Harabasz the between / within ratio, 1.0 when the within dispersion is 0.
+    """
+    agg = _per_label(df, features, label).agg(
+        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("w").alias("W"),
+        F.collect_list(F.struct(F.col(label).alias("l"), "n", "centroid", "s")).alias("cl"))
 
     def worst(a):
         others = F.filter(F.col("cl"), lambda b: b["l"] != a["l"])
@@ -65,109 +76,69 @@ def davies_bouldin(df: DataFrame, features, label: str) -> DataFrame:
 
     scores = F.transform(F.col("cl"), worst)
     db = F.aggregate(scores, F.lit(0.0), lambda acc, v: acc + v) / F.size(scores)
-    return arr.select(db.alias("davies_bouldin"))
+    mean = F.transform(F.col("cl")[0]["centroid"], lambda _, i: F.aggregate(
+        F.col("cl"), F.lit(0.0), lambda acc, c: acc + c["n"] * c["centroid"][i]) / F.col("N"))
+    agg = agg.withColumn("mean", mean)
+    between = F.aggregate(F.col("cl"), F.lit(0.0), lambda acc, c: acc + c["n"] * _sqdist(c["centroid"], F.col("mean")))
+    ch = F.when(F.col("W") == 0, F.lit(1.0)).when(F.col("k") > 1, (
+        between * (F.col("N") - F.col("k"))) / F.nullif(F.col("W") * (F.col("k") - F.lit(1)), F.lit(0.0)))
+    return agg.select(db.alias("davies_bouldin"), ch.alias("calinski_harabasz"))
 
 
-def calinski_harabasz(df: DataFrame, features, label: str) -> DataFrame:
-    """Between / within dispersion ratio, ``1.0`` when the within dispersion is 0."""
-    j, _ = _with_centroid(df, features, label)
-    per = j.groupBy(label, "centroid").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(_sqdist(F.col("x"), F.col("centroid"))).alias("w"))
-    agg = per.agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("w").alias("W"),
-        F.collect_list(F.struct("n", "centroid")).alias("cl"))
-    dims = len(features)
-    def axis_sum(i):
-        return F.aggregate(F.col("cl"), F.lit(0.0), lambda acc, c: acc + c["n"] * c["centroid"][i])
-
-    mean = F.array(*[axis_sum(i) / F.col("N") for i in range(dims)])
-    between = F.aggregate(F.col("cl"), F.lit(0.0), lambda acc, c: acc + c["n"] * _sqdist(c["centroid"], mean))
-    ch = F.when(F.col("W") == 0, F.lit(1.0)).otherwise(
-        (between * (F.col("N") - F.col("k"))) / (F.col("W") * (F.col("k") - F.lit(1))))
-    return agg.select(ch.alias("calinski_harabasz"))
+def davies_bouldin(df: DataFrame, features, label: str) -> DataFrame:
+    return dispersion(df, features, label).select("davies_bouldin")
 
 
-def davies_bouldin_calinski(df: DataFrame, features, label: str) -> tuple[float, float]:
-    """K9 + K10 from ONE per-cluster aggregate (plus the centroid broadcast)."""
-    j, _ = _with_centroid(df, features, label)
-    d2 = _sqdist(F.col("x"), F.col("centroid"))
-    per = j.groupBy(label, "centroid").agg(F.count(F.lit(1)).alias("n"), F.avg(F.sqrt(d2)).alias("s"),
-                                           F.sum(d2).alias("w"))
-    rows = per.collect()  # k rows
-    import numpy as np
-    C = np.array([r["centroid"] for r in rows], dtype=float)
-    n = np.array([r["n"] for r in rows], dtype=float)
-    s = np.array([r["s"] for r in rows], dtype=float)
-    w = float(sum(r["w"] for r in rows))
-    k, N = len(rows), float(n.sum())
-    if k < 2:
-        return float("nan"), float("nan")
-    dist = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(axis=2))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(dist > 0, (s[:, None] + s[None, :]) / dist, 0.0)
-    np.fill_diagonal(ratio, -np.inf)
-    db = float(np.mean(np.max(ratio, axis=1)))
-    mean = (n[:, None] * C).sum(axis=0) / N
-    between = float((n * ((C - mean) ** 2).sum(axis=1)).sum())
-    ch = 1.0 if w == 0 else between * (N - k) / (w * (k - 1))
-    return db, ch
-
-
-def silhouette_exact(sample: DataFrame, features, label: str, tasks: int = 8, block: int = 256) -> DataFrame:
-    """K8 (fidelity form): mean silhouette with Euclidean distances over ``sample``.
-
-    ``sample`` must be bounded (it is the S-1 sample); it is broadcast once,
-    then ``tasks`` tasks each compute the silhouette of their row range in
-    blocks of ``block`` rows against the whole sample.
-    """
-    spark = sample.sparkSession
-    from ..session import ship_package
-    ship_package(spark)
-    from .. import schema as S
-    limit = S.MAX_BROADCAST_SAMPLE_ROWS
-    pdf = sample.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)],
-                        F.col(label).alias("l")).limit(limit + 1).toPandas()
-    n = len(pdf)
-    if n > limit:
-        raise ValueError(f"silhouette sample larger than the broadcast bound of {limit} rows")
-    if n == 0:
-        return spark.createDataFrame([(None,)], "silhouette double")
-    labels = sorted(pdf["l"].unique().tolist(), key=lambda v: (v is None, v))
-    codes = pdf["l"].map({v: i for i, v in enumerate(labels)}).to_numpy()
-    X = pdf[[f"f{i}" for i in range(len(features))]].to_numpy(dtype=float)
-    bc = spark.sparkContext.broadcast((X, codes.astype(np.int64), len(labels)))
-
-    def part(it):
-        X, codes, k = bc.value
-        onehot = np.zeros((len(X), k))
-        onehot[np.arange(len(X)), codes] = 1.0
-        sizes = onehot.sum(axis=0)
-        sq = (X * X).sum(axis=1)
-        for ids in it:
-            idx = ids["id"].to_numpy()
-            out = np.empty(len(idx))
-            for s in range(0, len(idx), block):
-                rows = idx[s:s + block]
-                dist = pairwise_dist(X[rows], X, sq)
-                sums = dist @ onehot  # (block, k) summed distance per cluster
-                own = codes[rows]
-                own_n = sizes[own]
-                a = np.where(own_n > 1, sums[np.arange(len(rows)), own] / np.maximum(own_n - 1, 1), 0.0)
-                mean_other = sums / np.where(sizes > 0, sizes, np.inf)
-                mean_other[np.arange(len(rows)), own] = np.inf
-                b = mean_other.min(axis=1) if k > 1 else np.zeros(len(rows))
-                denom = np.maximum(a, b)
-                sv = np.where((own_n > 1) & (denom > 0), (b - a) / np.where(denom > 0, denom, 1), 0.0)
-                out[s:s + block] = sv
-            yield pd.DataFrame({"s": out})
-
-    ids = spark.range(0, n, numPartitions=max(1, min(tasks, n)))
-    scores = ids.mapInPandas(part, T.StructType([T.StructField("s", T.DoubleType())]))
-    return scores.agg(F.avg("s").alias("silhouette")) if len(labels) > 1 else \
-        spark.createDataFrame([(float("nan"),)], "silhouette double")
-
-
-def pairwise_dist(A, X, sq_x=None):
+def calinski_harabasz(df: DataFrame, features, label: str) -> DataFrame:
+    return dispersion(df, features, label).select("calinski_harabasz")
+
+
+def _block_sums(key, left, right):
+    """For each left point, the weighted sum of distances to the right points of each label."""
+    x, y = (np.array(t.column("x").to_pylist(), float) for t in (left, right))
+    weight = right.column("m").to_numpy().astype(float)
+    codes = right.column("code").to_numpy()
+    out = {"point": [], "code": [], "d": []}
+    for at in range(0, len(x), 256):
+        dist = pairwise_dist(x[at:at + 256], y)
+        for code in np.unique(codes):
+            mine = codes == code
+            out["d"] += (dist[:, mine] @ weight[mine]).tolist()
+            out["point"] += left.column("point").to_pylist()[at:at + 256]
+            out["code"] += [int(code)] * len(dist)
+    return pa.table(out, schema=pa.schema([("point", pa.int64()), ("code", pa.int64()), ("d", pa.float64())]))
+
+
+def silhouette_exact(df: DataFrame, features, label: str) -> DataFrame:
+    """K8 (fidelity form): mean silhouette with Euclidean distances over all rows; NULL below two labels."""
+    from ..session import materialize, ship_package
+    ship_package(df.sparkSession)
+    points = df.select(F.col(label).alias("l"), _vec(features).alias("x")).groupBy("l", "x").agg(F.count(F.lit(1)).alias("m"))
+    labels = df.groupBy(F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("size")).withColumn("code", F.xxhash64("name"))
+    points = materialize(points.join(labels, F.col("l").eqNullSafe(F.col("name")))
+                         .withColumn("point", F.monotonically_increasing_id()), "silhouette-points")
+    blocks = max(1, -(-points.count() // BLOCK_POINTS))
+    side = points.withColumn("own", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = side.select("point", "x", F.col("own").alias("i"), every.alias("j"))
+    right = side.select("x", "m", "code", every.alias("i"), F.col("own").alias("j"))
+    sums = (left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+            .applyInArrow(_block_sums, "point long, code long, d double")
+            .groupBy("point", "code").agg(F.sum("d").alias("d")))
+    sizes = labels.select(F.col("code").alias("other"), F.col("size").alias("other_size"))
+    pairs = sums.join(sizes, sums["code"] == sizes["other"]).join(
+        points.select("point", F.col("code").alias("mine"), "m"), "point")
+    own = F.col("mine") == F.col("other")
+    per = pairs.groupBy("point").agg(
+        F.first("m").alias("m"), F.max(F.when(own, F.col("other_size"))).alias("n"),
+        F.max(F.when(own & (F.col("other_size") > 1), F.col("d") / (F.col("other_size") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("d") / F.col("other_size"))).alias("b"))
+    top = F.greatest("a", "b")
+    value = F.when((F.col("n") <= 1) | (top == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
+    return per.filter("b is not null").agg((F.sum(value * F.col("m")) / F.sum("m")).alias("silhouette"))
+
+
+def pairwise_dist(A, X):
     """Euclidean distances between the rows of ``A`` and ``X`` (a block x n matrix).
 
     Low dimensions subtract directly (exact); higher ones use
@@ -176,9 +147,10 @@ def pairwise_dist(A, X, sq_x=None):
     if X.shape[1] <= 8:
         diff = A[:, None, :] - X[None, :, :]
         return np.sqrt((diff * diff).sum(axis=2))
-    sq_x = (X * X).sum(axis=1) if sq_x is None else sq_x
-    d2 = (A * A).sum(axis=1)[:, None] + sq_x[None, :] - 2.0 * (A @ X.T)
-    return np.sqrt(np.maximum(d2, 0.0))
+    d2 = (A * A).sum(axis=1)[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * (A @ X.T)
+    d2 = np.maximum(d2, 0.0)
+    # equal points: cancellation leaves a small remainder instead of zero
+    return np.sqrt(np.where(d2 < 1e-12 * (A * A).sum(axis=1)[:, None], 0.0, d2))
 
 
 def silhouette_squared(df: DataFrame, features_vec: str = "features", prediction: str = "prediction") -> float:

@@ -2,58 +2,25 @@
 
 Round by round, the remaining centroid maximising the round's key gets the
 round's name (ties to the lowest cluster id); whatever remains is Loyal.
-Runs on the k-row centroid table: each round is a top-1 and a left-anti
-join, on a checkpointed input so the k rows are computed once.
+The k centroids are a fitted model's state on the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from .. import schema as S
 
-
-def _keys(income: Column, score: Column) -> list[tuple[str, Column]]:
-    # Naming order and the key each round maximises.
-    return [
-        (S.VIP, income + score),
-        (S.AT_RISK, -(score * 2 + income * 0.25)),
-        (S.NEW, income - score * 1.1),
-        (S.DISCOUNT, score * 1.4 - income),
-    ]
-
-
-def greedy_names(cent: DataFrame, income: str = "income", score: str = "score",
-                 cluster: str = "cluster") -> DataFrame:
-    """``cent``: one row per cluster with centroid income and score in original units."""
-    remaining = cent.select(cluster, income, score)
-    picks = []
-    for name, key in _keys(F.col(income), F.col(score)):
-        pick = (remaining.orderBy(key.desc(), F.col(cluster).asc()).limit(1)
-                .select(cluster, F.lit(name).alias("segment")))
-        picks.append(pick)
-        remaining = remaining.join(pick.select(cluster), cluster, "left_anti")
-    last = remaining.orderBy(cluster).limit(1).select(cluster, F.lit(S.LOYAL).alias("segment"))
-    return reduce(DataFrame.unionByName, picks + [last])
+# Naming order, and the weights (income, score) of the key each round maximises.
+KEYS = [(S.VIP, 1.0, 1.0), (S.AT_RISK, -0.25, -2.0), (S.NEW, 1.0, -1.1), (S.DISCOUNT, -1.0, 1.4)]
 
 
-def greedy_names_local(centroids: list[tuple[float, float]]) -> dict[int, str]:
-    """The same rule over a k-element list already on the driver (a fitted model's centers)."""
-    keyfns = [
-        (S.VIP, lambda i, s: i + s),
-        (S.AT_RISK, lambda i, s: -(s * 2 + i * 0.25)),
-        (S.NEW, lambda i, s: i - s * 1.1),
-        (S.DISCOUNT, lambda i, s: s * 1.4 - i),
-    ]
+def greedy_names(centroids: list[tuple[float, float]]) -> dict[int, str]:
+    """Cluster position to name, for (income, score) centroids in original units."""
     remaining = list(range(len(centroids)))
     out: dict[int, str] = {}
-    for name, fn in keyfns:
+    for name, income, score in KEYS:
         if not remaining:
             break
-        best = max(remaining, key=lambda c: (fn(*centroids[c]), -c))
+        best = max(remaining, key=lambda c: (centroids[c][0] * income + centroids[c][1] * score, -c))
         out[best] = name
         remaining.remove(best)
     if remaining:

@@ -15,20 +15,23 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OUT = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
 _FAN_IN = 64
 
 
+def task_count(df: DataFrame) -> int:
+    """Partitions of a (persisted) frame: read once per fit, not once per step."""
+    return df.rdd.getNumPartitions()
+
+
 def batch_sums(df: DataFrame, cols: list[str], fn: Callable[[np.ndarray, object], np.ndarray],
-               length: int, params) -> np.ndarray:
+               length: int, params, tasks: int | None = None) -> np.ndarray:
     """Sum of ``fn(X_batch, params)`` (a vector of ``length``) over all rows of ``df``."""
     from ..session import ship_package
     ship_package(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(params)
+    bc = df.sparkSession.sparkContext.broadcast(params)
 
     def part(it):
         acc = np.zeros(length)
@@ -45,9 +48,8 @@ def batch_sums(df: DataFrame, cols: list[str], fn: Callable[[np.ndarray, object]
                 acc += np.asarray(v, dtype=float)
         yield pd.DataFrame({"v": [acc.tolist()]})
 
-    src = df.select(*cols)
-    partial = src.mapInPandas(part, _OUT)
-    if src.rdd.getNumPartitions() > _FAN_IN:
+    partial = df.select(*cols).mapInPandas(part, _OUT)
+    if (tasks or task_count(df)) > _FAN_IN:
         # second tree level: one row per task folded into at most _FAN_IN rows
         partial = partial.repartition(_FAN_IN).mapInPandas(fold, _OUT)
     rows = partial.collect()  # at most _FAN_IN short vectors
@@ -56,14 +58,3 @@ def batch_sums(df: DataFrame, cols: list[str], fn: Callable[[np.ndarray, object]
     for r in rows:
         total += np.asarray(r["v"], dtype=float)
     return total
-
-
-def bounded_sample_array(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """Collect a BOUNDED sample as a float matrix, refusing anything above the broadcast bound."""
-    from .. import schema as S
-    limit = S.MAX_BROADCAST_SAMPLE_ROWS
-    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).limit(limit + 1)
-    X = rows.toPandas().to_numpy(dtype=float)
-    if len(X) > limit:
-        raise ValueError(f"sample larger than the broadcast bound of {limit} rows; sample it first")
-    return X

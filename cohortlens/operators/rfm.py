@@ -72,10 +72,9 @@ def segment_drift(orders: DataFrame, segmented: DataFrame) -> DataFrame:
     the tiny (quarter x segment) table.
     """
     per_cust = orders.groupBy(
-        "o_custkey", F.trunc(F.to_date("o_orderdate"), "quarter").alias("quarter")
+        (F.col("o_custkey") + 1).cast("bigint").alias(S.CUSTOMER_ID), F.trunc(F.to_date("o_orderdate"), "quarter").alias("quarter")
     ).agg(F.count(F.lit(1)).alias("_orders"))
-    seg = segmented.select(S.CUSTOMER_ID, "segment")
-    j = per_cust.join(seg, (per_cust.o_custkey + 1) == seg[S.CUSTOMER_ID], "inner")
+    j = per_cust.join(segmented.select(S.CUSTOMER_ID, "segment"), S.CUSTOMER_ID)
     counts = j.groupBy("quarter", "segment").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("_orders").alias("orders"))
     w = Window.partitionBy("segment").orderBy("quarter")

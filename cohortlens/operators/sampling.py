@@ -46,7 +46,7 @@ def _cut_for(n: int, total: int, oversample: float = 3.0) -> str | None:
 
 
 def exact_sample(df: DataFrame, n: int, key: str = S.CUSTOMER_ID, seed: int = S.SAMPLE_SEED,
-                 total: int | None = None, materialize: bool = True) -> DataFrame:
+                 total: int | None = None) -> DataFrame:
     """Exactly ``min(n, total)`` rows; ``total`` may be passed when already known."""
     if total is None:
         total = df.count()
@@ -54,8 +54,6 @@ def exact_sample(df: DataFrame, n: int, key: str = S.CUSTOMER_ID, seed: int = S.
         return df
     cut = _cut_for(n, total)
     sample = ranked_sample(df, n, key, seed, cut)
-    if not materialize:
-        return sample
     from ..session import materialize
     sample = materialize(sample, "sample")  # one computation, written to the shared folder
     if cut is not None and sample.count() < n:

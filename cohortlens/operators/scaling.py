@@ -77,26 +77,54 @@ def standard_scale_lazy(df: DataFrame, features=S.FEATURES, prefix: str = "z_")
     return df.select("*", *cols)
 
 
-def fit_robust(df: DataFrame, features=S.FEATURES, accuracy: int | None = None) -> LinearScaler:
-    """Median and inter-quartile range.
+def exact_quantiles(df: DataFrame, features, probabilities, bins: int = 1024) -> dict[str, list[float]]:
+    """Exact quantiles (linear between ranks) in bounded memory, a few passes for all features at once.
 
-    Exact ``percentile`` keeps a value->count map per feature, which is small
-    for integer-like features; pass ``accuracy`` to use ``percentile_approx``
-    for high-cardinality features at scale.
+    Each wanted rank starts with the whole value range.  A pass counts the values
+    of every range in ``bins`` bins, and the range shrinks to the bin of its rank,
+    until it holds one value.  The driver gets one row per range and bin.
     """
-    aggs = []
-    for f in features:
-        if accuracy:
-            aggs.append(F.percentile_approx(f, [0.25, 0.5, 0.75], accuracy).alias(f"q_{f}"))
-        else:
-            aggs.append(F.percentile(F.col(f), [0.25, 0.5, 0.75]).alias(f"q_{f}"))
-    row = df.agg(*aggs).first()
-    center, scale = [], []
-    for f in features:
-        q1, med, q3 = (float(v) for v in row[f"q_{f}"])
-        center.append(med)
-        scale.append(_nonzero(q3 - q1))
-    return LinearScaler("robust", list(features), center, scale)
+    first = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
+    ranges = {}  # (feature, rank) -> [low, high, rows below low]
+    for c in features:
+        n = int(first[f"n_{c}"] or 0)
+        for p in probabilities if n else []:
+            at = p * (n - 1)
+            for rank in (math.floor(at), math.ceil(at)):
+                ranges[c, rank] = [float(first[f"lo_{c}"]), float(first[f"hi_{c}"]), 0]
+    while open_ := {(c, lo, hi) for (c, _), (lo, hi, _) in ranges.items() if lo < hi}:
+        cells = []
+        for c, lo, hi in sorted(open_):
+            v = F.col(c).cast("double")
+            b = F.least(F.lit(bins - 1), F.floor((v - lo) / F.lit((hi - lo) / bins))).cast("int")
+            cells.append(F.when(v.between(lo, hi), F.struct(F.lit(c).alias("c"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
+                                                            b.alias("b"), v.alias("v"))))
+        counted = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+                   .groupBy("c", "lo", "hi", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+                   .orderBy("c", "lo", "hi", "b").collect())
+        for (c, rank), state in ranges.items():
+            below = state[2]
+            for r in (r for r in counted if (r["c"], r["lo"], r["hi"]) == (c, state[0], state[1])):
+                if below + r["n"] > rank:
+                    ranges[c, rank] = [r["min"], r["max"], below]
+                    break
+                below += r["n"]
+    out: dict[str, list[float]] = {}
+    for c in features:
+        n = int(first[f"n_{c}"] or 0)
+        out[c] = []
+        for p in probabilities if n else []:
+            at = p * (n - 1)
+            low, high = ranges[c, math.floor(at)][0], ranges[c, math.ceil(at)][0]
+            out[c].append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
+def fit_robust(df: DataFrame, features=S.FEATURES) -> LinearScaler:
+    """Median and inter-quartile range, exact."""
+    found = exact_quantiles(df, list(features), [0.25, 0.5, 0.75])
+    center = [found[f][1] for f in features]
+    return LinearScaler("robust", list(features), center, [_nonzero(found[f][2] - found[f][0]) for f in features])
 
 
 # ---------------------------------------------------------------------------
@@ -143,6 +171,20 @@ class QuantileNormal:
     references: list[float]
     quantiles: dict[str, list[float]] = field(default_factory=dict)
 
+    kind = "quantile_normal"
+
+    @property
+    def n_features_in(self) -> int:
+        return len(self.features)
+
+    def to_dict(self) -> dict:
+        return {"kind": self.kind, "features": self.features, "references": self.references, "quantiles": self.quantiles}
+
+    def inverse(self, point) -> list[float]:
+        """The normal CDF, then the value at that quantile."""
+        p = [0.5 * (1 + math.erf(float(v) / math.sqrt(2))) for v in point]
+        return [float(np.interp(q, self.references, self.quantiles[f])) for q, f in zip(p, self.features)]
+
     def transform(self, df: DataFrame, prefix: str = "z_") -> DataFrame:
         from ..session import ship_package
         ship_package(df.sparkSession)
@@ -191,12 +233,34 @@ def yeo_johnson_col(x: Column, lmbda: float) -> Column:
     return F.when(pos, yp).otherwise(yn)
 
 
+def yeo_johnson_inverse(y: float, lmbda: float) -> float:
+    """The x with yeo_johnson(x) = y; values beyond the transform's range give its limit."""
+    if y >= 0:
+        return math.expm1(y) if abs(lmbda) < 1e-12 else max(y * lmbda + 1, 1e-300) ** (1 / lmbda) - 1
+    if abs(lmbda - 2) < 1e-12:
+        return -math.expm1(-y)
+    return 1 - max(1 - (2 - lmbda) * y, 1e-300) ** (1 / (2 - lmbda))
+
+
 @dataclass
 class YeoJohnson:
     features: list[str]
     lambdas: list[float]
     means: list[float]
     stds: list[float]
+    kind = "power_yeo_johnson"
+
+    @property
+    def n_features_in(self) -> int:
+        return len(self.features)
+
+    def to_dict(self) -> dict:
+        return {"kind": self.kind, "features": self.features, "lambdas": self.lambdas, "means": self.means, "stds": self.stds}
+
+    def inverse(self, point) -> list[float]:
+        """Undo the standardisation, then the power transform."""
+        return [yeo_johnson_inverse(float(v) * s + m, lm)
+                for v, m, s, lm in zip(point, self.means, self.stds, self.lambdas)]
 
     def transform(self, df: DataFrame, prefix: str = "z_") -> DataFrame:
         cols = []
@@ -223,10 +287,10 @@ def _yj_part(X, grid):
     return np.array(out)
 
 
-def _yj_loglik_pass(df: DataFrame, f: str, grid: list[float]) -> list[float]:
+def _yj_loglik_pass(df: DataFrame, f: str, grid: list[float], tasks: int) -> list[float]:
     """Profile log-likelihood of every lambda in ``grid`` in ONE pass (partial sums per task)."""
     from .partials import batch_sums
-    sums = batch_sums(df, [f], _yj_part, 2 + 2 * len(grid), list(grid))
+    sums = batch_sums(df, [f], _yj_part, 2 + 2 * len(grid), list(grid), tasks)
     n, j = sums[0], sums[1]
     out = []
     for i, lm in enumerate(grid):
@@ -239,21 +303,36 @@ def _yj_loglik_pass(df: DataFrame, f: str, grid: list[float]) -> list[float]:
 def fit_yeo_johnson(df: DataFrame, features=S.FEATURES, lo: float = -3.0, hi: float = 3.0,
                     steps: int = 61, refinements: int = 2) -> YeoJohnson:
     """Lambda by maximum likelihood: a coarse grid, then zoomed grids around the best point."""
-    lambdas = []
+    from .partials import task_count
+    lambdas, tasks = [], task_count(df)
     for f in features:
         a, b = lo, hi
         best = 0.0
         for _ in range(refinements + 1):
             grid = [a + (b - a) * i / (steps - 1) for i in range(steps)]
-            ll = _yj_loglik_pass(df, f, grid)
+            ll = _yj_loglik_pass(df, f, grid, tasks)
             k = int(np.argmax(ll))
             best = grid[k]
             width = (b - a) / (steps - 1)
             a, b = best - width, best + width
         lambdas.append(best)
+    return yeo_johnson_at(df, lambdas, features)
+
+
+def yeo_johnson_at(df: DataFrame, lambdas: list[float], features=S.FEATURES) -> YeoJohnson:
+    """J4 at given lambdas: the transformed features' mean and population deviation (one aggregate)."""
     stats = df.agg(*[F.avg(yeo_johnson_col(F.col(f), lm)).alias(f"m{i}")
                      for i, (f, lm) in enumerate(zip(features, lambdas))],
                    *[F.stddev_pop(yeo_johnson_col(F.col(f), lm)).alias(f"s{i}")
                      for i, (f, lm) in enumerate(zip(features, lambdas))]).first()
-    return YeoJohnson(list(features), lambdas, [float(stats[f"m{i}"]) for i in range(len(features))],
+    return YeoJohnson(list(features), list(lambdas), [float(stats[f"m{i}"]) for i in range(len(features))],
                       [_nonzero(stats[f"s{i}"]) for i in range(len(features))])
+
+
+def scaler_from_dict(d: dict) -> "LinearScaler | QuantileNormal | YeoJohnson":
+    """The fitted preprocessor that ``to_dict`` described."""
+    if d["kind"] == QuantileNormal.kind:
+        return QuantileNormal(list(d["features"]), list(d["references"]), {f: list(v) for f, v in d["quantiles"].items()})
+    if d["kind"] == YeoJohnson.kind:
+        return YeoJohnson(list(d["features"]), list(d["lambdas"]), list(d["means"]), list(d["stds"]))
+    return LinearScaler.from_dict(d)

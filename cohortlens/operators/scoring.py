@@ -18,18 +18,26 @@ from .. import schema as S
 from ..functions import columns as C
 from ..functions import distance as D
 from . import lookups
-from .scaling import LinearScaler
+from .cluster import MixtureFit, mixture_label
+from .scaling import LinearScaler, QuantileNormal, YeoJohnson, scaler_from_dict
 
 
 @dataclass
 class SegmentModel:
-    """Centers in ORIGINAL units, the scaler used for assignment, and cluster names."""
-    scaler: LinearScaler
+    """Centers in ORIGINAL units, the scaler used for assignment, and cluster names.
+
+    ``scaled_centers`` are the centers (or mixture means) in scaled units, needed
+    where the scaler is not linear; ``mixture`` assigns by posterior instead of by
+    distance.
+    """
+    scaler: LinearScaler | QuantileNormal | YeoJohnson
     centers: list[list[float]]
     segment_map: dict[int, str] = field(default_factory=dict)
     variant: str = "kmeans"
     n_iter: int = 0
     inertia: float | None = None
+    scaled_centers: list[list[float]] | None = None
+    mixture: MixtureFit | None = None
 
     @property
     def features(self) -> list[str]:
@@ -42,14 +50,17 @@ class SegmentModel:
     def to_json(self) -> str:
         return json.dumps({"scaler": self.scaler.to_dict(), "centers": self.centers,
                            "segment_map": {str(k): v for k, v in self.segment_map.items()},
-                           "variant": self.variant, "n_iter": self.n_iter, "inertia": self.inertia})
+                           "variant": self.variant, "n_iter": self.n_iter, "inertia": self.inertia,
+                           "scaled_centers": self.scaled_centers,
+                           "mixture": None if self.mixture is None else vars(self.mixture)})
 
     @staticmethod
     def from_json(text: str) -> "SegmentModel":
         d = json.loads(text)
-        return SegmentModel(LinearScaler.from_dict(d["scaler"]), [list(map(float, c)) for c in d["centers"]],
+        return SegmentModel(scaler_from_dict(d["scaler"]), [list(map(float, c)) for c in d["centers"]],
                             {int(k): v for k, v in d["segment_map"].items()}, d.get("variant", "kmeans"),
-                            int(d.get("n_iter", 0)), d.get("inertia"))
+                            int(d.get("n_iter", 0)), d.get("inertia"), d.get("scaled_centers"),
+                            MixtureFit(**d["mixture"]) if d.get("mixture") else None)
 
 
 class IncompatibleModel(RuntimeError):
@@ -99,6 +110,8 @@ def assign(df: DataFrame, model: SegmentModel, cols: list[str] | None = None,
     space the model was fitted in; otherwise in original units.
     """
     cols = cols or model.features
+    if scaled and (model.mixture is not None or not isinstance(model.scaler, LinearScaler)):
+        return _assign_scaled(df, model, cols)
     scales = model.scaler.scale if scaled else None
     d = D.distance_array(cols, centers if centers is not None else model.centers, scales)
     out = df.withColumn("_d", d)
@@ -106,6 +119,21 @@ def assign(df: DataFrame, model: SegmentModel, cols: list[str] | None = None,
             .withColumn("d2", F.array_min(F.col("_d"))).drop("_d"))
 
 
+def _assign_scaled(df: DataFrame, model: SegmentModel, cols: list[str]) -> DataFrame:
+    """Assignment in the scaler's own units: posterior of a mixture, else distance to the scaled centers."""
+    names = df.columns
+    z = [f"_z_{f}" for f in model.features]
+    named = df.select("*", *[F.col(c).alias(f"_x_{f}") for c, f in zip(cols, model.features)])
+    renamed = named.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(names)],
+                           *[F.col(f"_x_{f}").alias(f) for f in model.features])
+    out = model.scaler.transform(renamed, prefix="_z_").select(
+        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names)], *z)
+    d = F.array(*[sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(z, center)), F.lit(0.0))
+                  for center in model.scaled_centers])
+    cluster = mixture_label(z, model.mixture) if model.mixture is not None else D.nearest_index(d)
+    return out.withColumn("cluster", cluster).withColumn("d2", F.element_at(d, F.col("cluster") + 1)).drop(*z)
+
+
 def label(df: DataFrame, model: SegmentModel) -> DataFrame:
     """cluster id -> segment name, broadcast left join with the k-row map."""
     return df.join(lookups.cluster_map(df.sparkSession, model.segment_map), "cluster", "left")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
 from ..operators import cluster as K
 from ..operators import evaluate as EV
+from ..operators import lookups
 from ..operators import naming as NM
 from ..operators import sampling as SM
 from ..operators import scaling as SC
@@ -46,17 +49,22 @@ def _fixed_model(cust: DataFrame) -> SCO.SegmentModel:
     return SCO.fixed_center_model(SC.fit_standard(cust))
 
 
+def _fixed_centers() -> SCO.SegmentModel:
+    """The fixed centers in original units: no statistics of the table are needed."""
+    n = len(S.FEATURES)
+    return SCO.fixed_center_model(SC.LinearScaler("none", list(S.FEATURES), [0.0] * n, [1.0] * n))
+
+
 @register("nearest_centroid")
 def q_nearest_centroid(spark, sf_dir):
     cust = adapter.customers(spark, sf_dir)
-    model = _fixed_model(cust)
-    return SCO.assign(cust, model, scaled=False).select(S.CUSTOMER_ID, "cluster", "d2")
+    return SCO.assign(cust, _fixed_centers(), scaled=False).select(S.CUSTOMER_ID, "cluster", "d2")
 
 
 @register("label_join")
 def q_label_join(spark, sf_dir):
     cust = adapter.customers(spark, sf_dir)
-    model = _fixed_model(cust)
+    model = _fixed_centers()
     return SCO.label(SCO.assign(cust, model, scaled=False).select(S.CUSTOMER_ID, "cluster"), model)
 
 
@@ -101,30 +109,28 @@ def q_inertia(spark, sf_dir):
     return EV.inertia(SCO.assign(cust, model)).select(F.round("inertia", 6).alias("inertia"))
 
 
-def _metric_sample(spark, sf_dir) -> DataFrame:
-    """Rule-segmented customers, standardised by full-table moments, S-1 sample of 2500."""
+def _scaled_segments(spark, sf_dir) -> DataFrame:
+    """Rule-segmented customers, standardised by full-table moments."""
     cust = adapter.customers(spark, sf_dir)
-    scaler = SC.fit_standard(cust)
-    sample = SM.exact_sample(cust.withColumn("segment", C.rule_segment()), S.METRIC_SAMPLE_SIZE,
-                             total=scaler.n_rows)
-    return scaler.transform(sample)
+    return SC.fit_standard(cust).transform(cust.withColumn("segment", C.rule_segment()))
 
 
 @register("silhouette_euclidean")
 def q_silhouette(spark, sf_dir):
-    s = EV.silhouette_exact(_metric_sample(spark, sf_dir), Z, "segment")
+    """K8: exact Euclidean silhouette of the rule segments over all customers."""
+    s = EV.silhouette_exact(_scaled_segments(spark, sf_dir), Z, "segment")
     return s.select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @register("davies_bouldin")
 def q_davies_bouldin(spark, sf_dir):
-    return EV.davies_bouldin(_metric_sample(spark, sf_dir), Z, "segment").select(
+    return EV.davies_bouldin(_scaled_segments(spark, sf_dir), Z, "segment").select(
         F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
 @register("calinski_harabasz")
 def q_calinski_harabasz(spark, sf_dir):
-    return EV.calinski_harabasz(_metric_sample(spark, sf_dir), Z, "segment").select(
+    return EV.calinski_harabasz(_scaled_segments(spark, sf_dir), Z, "segment").select(
         F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
 
 
@@ -145,12 +151,11 @@ def q_silhouette_sq(spark, sf_dir):
 @register("greedy_naming")
 def q_greedy_naming(spark, sf_dir):
     cust = adapter.customers(spark, sf_dir)
-    model = _fixed_model(cust)
-    from ..session import materialize
-    cent = materialize(SCO.assign(cust, model, scaled=False).groupBy("cluster")
-                       .agg(F.avg(S.INCOME).alias("income"), F.avg(S.SCORE).alias("score")), "centroids")
-    names = NM.greedy_names(cent)
-    return cent.join(names, "cluster", "inner").select("cluster", "segment", "income", "score")
+    cent = (SCO.assign(cust, _fixed_centers(), scaled=False).groupBy("cluster")
+            .agg(F.avg(S.INCOME).alias("income"), F.avg(S.SCORE).alias("score")).orderBy("cluster").collect())  # k rows
+    names = NM.greedy_names([(r["income"], r["score"]) for r in cent])
+    return lookups.local_table(spark, [(r["cluster"], names[i], r["income"], r["score"]) for i, r in enumerate(cent) if i in names],
+                               ["cluster", "segment", "income", "score"], ["int", "string", "double", "double"])
 
 
 # ---- J3 / J4 nonlinear preprocessors, K2 / K3 / K4 model variants ------------
@@ -167,89 +172,128 @@ def q_yeo_johnson(spark, sf_dir):
     """Yeo-Johnson with maximum-likelihood lambda, then standardised (rows check)."""
     cust = adapter.customers(spark, sf_dir).persist()
     yj = SC.fit_yeo_johnson(cust)
-    out = yj.transform(cust).select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
+    cust.unpersist()
+    out = yj.transform(adapter.customers(spark, sf_dir)).select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
     lam = ", ".join(f"{f}={v:.4f}" for f, v in zip(yj.features, yj.lambdas))
     return out.withColumn("lambdas", F.lit(lam))
 
 
+YJ_LAMBDAS = [0.8, 0.3]  # fixed lambdas of the checkable form
+
+
+@register("yeo_johnson_given")
+def q_yeo_johnson_given(spark, sf_dir):
+    """J4 at given lambdas: transformed and standardised features."""
+    cust = adapter.customers(spark, sf_dir)
+    yj = SC.yeo_johnson_at(cust, YJ_LAMBDAS)
+    return yj.transform(cust).select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
+
+
+@contextmanager
 def _scaled_customers(spark, sf_dir):
+    """(persisted scaled features with their vector, rows, mean variance); released at the end."""
     cust = adapter.customers(spark, sf_dir)
-    return SC.fit_standard(cust).transform(cust)
+    scaler = SC.fit_standard(cust)
+    vec = K.vectors(scaler.transform(cust).select(*Z), Z).persist()
+    try:
+        yield vec, scaler.n_rows, K.mean_variance(vec, Z)
+    finally:
+        vec.unpersist()
+
+
+def _sizes(spark, labelled, name: str, **extra) -> DataFrame:
+    """Rows per label (k rows) with the fit's figures, as a local table."""
+    rows = labelled.groupBy(name).agg(F.count(F.lit(1)).alias("n")).orderBy(name).collect()
+    kinds = {int: "int", float: "double"}
+    return lookups.local_table(spark, [(r[name], r["n"], *extra.values()) for r in rows], [name, "n", *extra],
+                               ["int", "bigint", *[kinds[type(v)] for v in extra.values()]])
 
 
 @register("minibatch_kmeans")
 def q_minibatch_kmeans(spark, sf_dir):
-    """K2: mini-batch k-means (batch 1024) on the standardised customers; cluster sizes.
-
-    The batches come from a bounded pool (max_iter x batch rows) sampled in
-    one pass; the sequential updates run one seed per task, and the labels of
-    the whole table are assigned by a distributed projection."""
+    """K2: mini-batch k-means (batch 1024) on the standardised customers; cluster sizes."""
     from ..functions import distance as D
-    z = _scaled_customers(spark, sf_dir).persist()
-    n = z.count()
-    pool = z.sample(fraction=min(1.0, 200 * 1024 / max(n, 1)), seed=S.SAMPLE_SEED)
-    fits = K.sample_fits(pool, Z, "minibatch", S.FINAL_K, K.seeds_for(S.KMEANS_FINAL_N_INIT))
-    best = min(fits, key=lambda f: f["inertia"])
-    centers, n_iter = best["centers"], best["n_iter"]
-    lab = z.withColumn("cluster", D.nearest_index(D.distance_array(Z, centers)))
-    out = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("n_iter", F.lit(n_iter))
+    with _scaled_customers(spark, sf_dir) as (vec, n, _):
+        centers, n_iter = K.fit_minibatch_kmeans(vec, Z, S.FINAL_K, n)
+        return _sizes(spark, vec.withColumn("cluster", D.nearest_index(D.distance_array(Z, centers))), "cluster", n_iter=n_iter)
+
+
+def _mixture(spark, sf_dir, covariance: str) -> DataFrame:
+    with _scaled_customers(spark, sf_dir) as (vec, n, mean_var):
+        start = K.fit_kmeans(vec, S.FINAL_K, K.seeds_for(3), K.center_tol(S.FINAL_K, mean_var)).centers
+        fit = K.fit_mixture(vec, Z, S.FINAL_K, covariance, start)
+        return _sizes(spark, vec.withColumn("component", K.mixture_label(Z, fit)), "component",
+                      mean_log_likelihood=round(fit.mean_ll, 6), n_iter=fit.n_iter)
 
 
 @register("gmm_full")
 def q_gmm_full(spark, sf_dir):
-    """K3: full-covariance Gaussian mixture (Spark ML, best log-likelihood over seeds); component sizes."""
-    vec = K.vectors(_scaled_customers(spark, sf_dir), Z).persist()
-    model, ll = K.fit_gmm_full(vec, S.FINAL_K, K.seeds_for(max(2, S.KMEANS_FINAL_N_INIT // 2)))
-    out = model.transform(vec).groupBy(F.col("prediction").alias("component")).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("log_likelihood", F.lit(round(ll, 6)))
+    """K3: full-covariance Gaussian mixture by EM over all rows; component sizes."""
+    return _mixture(spark, sf_dir, "full")
 
 
 @register("gmm_diag")
 def q_gmm_diag(spark, sf_dir):
-    """K4: diagonal-covariance mixture by DataFrame EM; component sizes and weights."""
-    z = _scaled_customers(spark, sf_dir).select(*Z).persist()
-    seeds = K.seeds_for(max(2, S.KMEANS_FINAL_N_INIT // 2))
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=len(seeds)) as pool:  # seeds as concurrent jobs
-        fits = list(pool.map(lambda s: K.fit_gmm_diag(z, Z, S.FINAL_K, seed=s), seeds))
-    w, m, v, ll, n_iter = max(fits, key=lambda t: t[3])
-    lab = K.gmm_diag_predict(z, Z, w, m, v)
-    out = lab.groupBy(F.col("prediction").alias("component")).agg(F.count(F.lit(1)).alias("n"))
-    weights = F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col("component") + 1)
-    return out.withColumn("weight", F.round(weights, 6)).withColumn("mean_log_likelihood", F.lit(round(ll, 6)))
+    """K4: diagonal-covariance mixture by EM over all rows; component sizes."""
+    return _mixture(spark, sf_dir, "diag")
 
 
-# ---- cluster-quality metrics on the labelled embedding vectors ----------------
-EMB_DIMS = 64
+def fixed_mixture() -> K.MixtureFit:
+    """A mixture around the fixed centers, in original units: equal weights, one spread per feature."""
+    k = len(S.FIXED_CENTERS)
+    return K.MixtureFit([1.0 / k] * k, [[x, y] for _, x, y in S.FIXED_CENTERS], [[[400.0, 60.0], [60.0, 225.0]]] * k, 0.0, 0, 0)
 
 
-def _embeddings(spark, sf_dir):
-    """Labelled vectors as one double column per dimension (the metric operators take columns)."""
-    from ..sources.tables import read_table
-    emb = read_table(spark, sf_dir, "embeddings")
-    return emb.select("vec_id", F.col("label").cast("string").alias("label"),
-                      *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIMS)])
+@register("mixture_aic_bic")
+def q_mixture_aic_bic(spark, sf_dir):
+    """Log-likelihood, AIC and BIC of the fixed full-covariance mixture over all customers."""
+    row = K.mixture_log_likelihood(adapter.customers(spark, sf_dir), S.FEATURES, fixed_mixture()).first()
+    aic, bic = EV.aic_bic(row["log_likelihood"], row["n"], S.FINAL_K, len(S.FEATURES), "full")
+    return lookups.local_table(spark, [(row["n"], round(row["log_likelihood"], 4), round(aic, 4), round(bic, 4))],
+                               ["n", "log_likelihood", "aic", "bic"], ["bigint", "double", "double", "double"])
+
 
+@register("lloyd_steps")
+def q_lloyd_steps(spark, sf_dir):
+    """K1's step: three Lloyd steps from the fixed centers over all customers."""
+    out = K.lloyd_steps(adapter.customers(spark, sf_dir), S.FEATURES, [[x, y] for _, x, y in S.FIXED_CENTERS], 3)
+    return out.select("cluster", "n", *[F.round(f, 6).alias(f) for f in S.FEATURES])
 
-EMB_COLS = [f"e{i}" for i in range(EMB_DIMS)]
+
+@register("label_ranking")
+def q_label_ranking(spark, sf_dir):
+    """H3 over fixed labelings of the customers: metrics of each, best first."""
+    cust = adapter.customers(spark, sf_dir)
+    z = SC.fit_standard(cust).transform(cust.withColumn("rule", C.rule_segment()).withColumn("recency", C.r_band())
+                                        .withColumn("monetary", C.m_band()))
+    parts = [EV.dispersion(z, Z, name).select(F.lit(name).alias("labeling"), F.round("davies_bouldin", 6).alias("davies"),
+                                              F.round("calinski_harabasz", 6).alias("calinski"))
+             for name in ("rule", "recency", "monetary")]
+    rank = F.row_number().over(Window.orderBy(F.col("davies").asc(), F.col("calinski").desc(), "labeling"))  # three rows
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("position", rank)
+
+
+# ---- cluster-quality metrics on the labelled embedding vectors ----------------
+def _embeddings(spark, sf_dir):
+    """Labelled vectors: the array column itself, of whatever length."""
+    from ..sources.tables import read_table
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
 
 
 @register("embedding_davies_bouldin")
 def q_embedding_davies_bouldin(spark, sf_dir):
-    return EV.davies_bouldin(_embeddings(spark, sf_dir), EMB_COLS, "label").select(
+    return EV.davies_bouldin(_embeddings(spark, sf_dir), "embedding", "label").select(
         F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
 @register("embedding_calinski_harabasz")
 def q_embedding_calinski_harabasz(spark, sf_dir):
-    return EV.calinski_harabasz(_embeddings(spark, sf_dir), EMB_COLS, "label").select(
+    return EV.calinski_harabasz(_embeddings(spark, sf_dir), "embedding", "label").select(
         F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
 
 
 @register("embedding_silhouette")
 def q_embedding_silhouette(spark, sf_dir):
-    """Exact silhouette of the labels over an S-1 sample (2,500) of the vectors."""
-    emb = _embeddings(spark, sf_dir)
-    sample = SM.exact_sample(emb, S.METRIC_SAMPLE_SIZE, key="vec_id")
-    return EV.silhouette_exact(sample, EMB_COLS, "label").select(F.round("silhouette", 6).alias("silhouette"))
+    """Exact silhouette of the labels over all vectors."""
+    return EV.silhouette_exact(_embeddings(spark, sf_dir), "embedding", "label").select(
+        F.round("silhouette", 6).alias("silhouette"))

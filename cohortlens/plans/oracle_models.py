@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .. import schema as S
-from .oracle import F_BAND, M_BAND, MALL, NORM, R_BAND, RULE, SEG, q
+from .model_queries import YJ_LAMBDAS, fixed_mixture
+from .oracle import ATTRS, F_BAND, M_BAND, MALL, NORM, R_BAND, RULE, SEG, q
 
 
 def _lit(v: float) -> str:
@@ -33,10 +34,33 @@ reqv AS (SELECT *, CASE WHEN age IS NULL OR NOT (age BETWEEN 1 AND 100) THEN %s
   WHEN score IS NULL OR isnan(score) OR NOT (score BETWEEN 1 AND 100) THEN %s END AS reject_reason FROM req)""".replace(
     "%s", "{}").format(q(S.MSG_REQ_AGE), q(S.MSG_REQ_INCOME), q(S.MSG_REQ_SCORE))
 
-SAMPLE = (f"smp AS (SELECT * FROM mall ORDER BY md5(CAST(customer_id AS VARCHAR) || '{S.SAMPLE_SEED}'), customer_id "
-          f"LIMIT {S.METRIC_SAMPLE_SIZE}),\n"
-          f"z AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {RULE} AS segment "
-          f"FROM smp CROSS JOIN mom)")
+SCALED = f"z AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {RULE} AS segment FROM mall CROSS JOIN mom)"
+
+
+def _dispersion(points: str, label: str) -> str:
+    """CTEs db and ch over a CTE of points (x, y, label)."""
+    return f"""c AS (SELECT {label} AS l, COUNT(*) AS n, AVG(x) AS cx, AVG(y) AS cy FROM {points} GROUP BY 1),
+si AS (SELECT c.l, cx, cy, AVG(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS s FROM {points} p JOIN c ON p.{label} = c.l GROUP BY ALL),
+r AS (SELECT a.l, MAX(CASE WHEN (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) > 0
+      THEN (a.s + b.s) / sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) ELSE 0.0 END) AS worst
+      FROM si a JOIN si b ON a.l <> b.l GROUP BY a.l),
+db AS (SELECT AVG(worst) AS db FROM r),
+w AS (SELECT SUM((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS w FROM {points} p JOIN c ON p.{label} = c.l),
+g AS (SELECT SUM(n) AS nn, COUNT(*) AS k, SUM(n * cx) / SUM(n) AS mx, SUM(n * cy) / SUM(n) AS my FROM c),
+b AS (SELECT SUM(n * ((cx - mx) * (cx - mx) + (cy - my) * (cy - my))) AS b FROM c CROSS JOIN g),
+ch AS (SELECT CASE WHEN w = 0 THEN 1.0 ELSE (b * (nn - k)) / (w * (k - 1)) END AS ch FROM w, g, b)"""
+
+
+def _silhouette_sq(points: str, label: str) -> str:
+    """CTE sq: Spark ML's silhouette with squared distances, which decomposes into per-cluster sums:
+    mean ||z - w||^2 over cluster C = ||z||^2 - 2 z.mu_C + mean_C ||w||^2."""
+    return f"""qc AS (SELECT {label} AS l, COUNT(*) AS n, AVG(x) AS mx, AVG(y) AS my, AVG(x * x + y * y) AS mq FROM {points} GROUP BY 1),
+qp AS (SELECT p.customer_id, p.{label} AS own, qc.l AS cs, qc.n AS cn,
+      (p.x * p.x + p.y * p.y) - 2 * (p.x * qc.mx + p.y * qc.my) + qc.mq AS avgsq FROM {points} p CROSS JOIN qc),
+qab AS (SELECT customer_id, MAX(CASE WHEN cs = own THEN cn END) AS na,
+      MAX(CASE WHEN cs = own THEN CASE WHEN cn > 1 THEN avgsq * cn / (cn - 1) ELSE 0 END END) AS a,
+      MIN(CASE WHEN cs <> own THEN avgsq END) AS b FROM qp GROUP BY customer_id),
+sq AS (SELECT AVG(CASE WHEN na = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS sq FROM qab)"""
 
 
 def model_sql() -> dict[str, str]:
@@ -72,7 +96,7 @@ sf AS (SELECT sd.*, segment, greatest(0.0, least(100.0, round(100.0 - 2.0 * dist
     _, d2_s = _nearest("income_k", "score", "si", "ss")
     out["inertia"] = f"{W}, {MOM} SELECT round(SUM({d2_s}), 6) AS inertia FROM mall CROSS JOIN mom"
 
-    Z = f"{W}, {MOM}, {SAMPLE}"
+    Z = f"{W}, {MOM}, {SCALED}"
     out["silhouette_euclidean"] = f"""{Z},
 sz AS (SELECT segment, COUNT(*) AS n FROM z GROUP BY segment),
 p AS (SELECT a.customer_id, a.segment AS la, b.segment AS lb, SUM(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS sd
@@ -82,19 +106,9 @@ m AS (SELECT p.customer_id, p.la, MAX(CASE WHEN p.la = p.lb THEN sd / (sz.n - 1)
 s AS (SELECT z.customer_id, CASE WHEN sz.n <= 1 OR m.a IS NULL THEN 0.0 ELSE (m.b - m.a) / greatest(m.a, m.b) END AS s
       FROM z JOIN sz ON z.segment = sz.segment LEFT JOIN m ON z.customer_id = m.customer_id)
 SELECT round(AVG(s), 6) AS silhouette FROM s"""
-    out["davies_bouldin"] = f"""{Z},
-c AS (SELECT segment, AVG(x) AS cx, AVG(y) AS cy FROM z GROUP BY segment),
-si AS (SELECT c.segment, cx, cy, AVG(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS s FROM z JOIN c ON z.segment = c.segment GROUP BY ALL),
-r AS (SELECT a.segment, MAX(CASE WHEN (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) > 0
-      THEN (a.s + b.s) / sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) ELSE 0.0 END) AS worst
-      FROM si a JOIN si b ON a.segment <> b.segment GROUP BY a.segment)
-SELECT round(AVG(worst), 6) AS davies_bouldin FROM r"""
-    out["calinski_harabasz"] = f"""{Z},
-c AS (SELECT segment, COUNT(*) AS n, AVG(x) AS cx, AVG(y) AS cy FROM z GROUP BY segment),
-w AS (SELECT SUM((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS w FROM z JOIN c ON z.segment = c.segment),
-g AS (SELECT SUM(n) AS nn, COUNT(*) AS k, SUM(n * cx) / SUM(n) AS mx, SUM(n * cy) / SUM(n) AS my FROM c),
-b AS (SELECT SUM(n * ((cx - mx) * (cx - mx) + (cy - my) * (cy - my))) AS b FROM c CROSS JOIN g)
-SELECT round(CASE WHEN w = 0 THEN 1.0 ELSE (b * (nn - k)) / (w * (k - 1)) END, 6) AS calinski_harabasz FROM w, g, b"""
+    disp = _dispersion("z", "segment")
+    out["davies_bouldin"] = f"{Z}, {disp} SELECT round(db, 6) AS davies_bouldin FROM db"
+    out["calinski_harabasz"] = f"{Z}, {disp} SELECT round(ch, 6) AS calinski_harabasz FROM ch"
 
     keys = [
         (S.VIP, "income + score"),
@@ -112,17 +126,55 @@ SELECT round(CASE WHEN w = 0 THEN 1.0 ELSE (b * (nn - k)) / (w * (k - 1)) END, 6
 SELECT cent.cluster, n.segment, income, score FROM cent JOIN
  (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5) n
  ON cent.cluster = n.cluster""")
-    # Spark ML's silhouette with squared distances decomposes into per-cluster sums:
-    # mean ||z - w||^2 over cluster C = ||z||^2 - 2 z.mu_C + mean_C ||w||^2
-    out["silhouette_sq"] = f"""{W}, {MOM},
-z AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {RULE} AS segment FROM mall CROSS JOIN mom),
-c AS (SELECT segment, COUNT(*) AS n, AVG(x) AS mx, AVG(y) AS my, AVG(x * x + y * y) AS mq FROM z GROUP BY segment),
-p AS (SELECT z.customer_id, z.segment AS own, c.segment AS cs, c.n AS cn,
-      (z.x * z.x + z.y * z.y) - 2 * (z.x * c.mx + z.y * c.my) + c.mq AS avgsq FROM z CROSS JOIN c),
-ab AS (SELECT customer_id, MAX(CASE WHEN cs = own THEN cn END) AS na,
-      MAX(CASE WHEN cs = own THEN CASE WHEN cn > 1 THEN avgsq * cn / (cn - 1) ELSE 0 END END) AS a,
-      MIN(CASE WHEN cs <> own THEN avgsq END) AS b FROM p GROUP BY customer_id)
-SELECT round(AVG(CASE WHEN na = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_sq FROM ab"""
+    out["silhouette_sq"] = f"{Z}, {_silhouette_sq('z', 'segment')} SELECT round(sq, 6) AS silhouette_sq FROM sq"
+    near_z, d2_z = _nearest("income_k", "score", "si", "ss")
+    lab = f"lab AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {near_z} AS cluster, {d2_z} AS d2 FROM mall CROSS JOIN mom)"
+    out["metrics_document"] = f"""{W}, {MOM}, {lab}, {_dispersion('lab', 'cluster')}, {_silhouette_sq('lab', 'cluster')}
+SELECT round(sq, 4) AS silhouette, round(db, 3) AS davies, round(ch, 1) AS calinski, (SELECT round(SUM(d2), 1) FROM lab) AS inertia,
+  CAST(NULL AS DOUBLE) AS aic, CAST(NULL AS DOUBLE) AS bic, CAST(0 AS INT) AS n_iter, 'fixed' AS model_variant,
+  'standard' AS preprocessor_variant, CAST(NULL AS INT) AS best_k, CAST(5 AS INT) AS final_k FROM sq, db, ch"""
+    out["model_roundtrip"] = f"""{W}, {MOM}, {lab}
+SELECT lab.cluster, segment, COUNT(*) AS n, CAST(0 AS BIGINT) AS changed FROM lab LEFT JOIN {CMAP} ON lab.cluster = cmap.cluster GROUP BY ALL"""
+    out["run_history"] = f"""{W}, h AS (SELECT 'group_' || (c_nationkey % 5) AS dataset_label, printf('nation_%02d.csv', c_nationkey) AS dataset_path,
+  printf('2024-01-01 00:%02d:00', c_nationkey) AS trained_at, COUNT(*) AS rows FROM mall GROUP BY c_nationkey)
+SELECT dataset_label, arg_max(dataset_path, trained_at) AS dataset_path, max(trained_at) AS trained_at,
+  arg_max(rows, trained_at) AS rows, CAST(NULL AS DOUBLE) AS silhouette, COUNT(*) AS runs FROM h GROUP BY dataset_label"""
+    near_f, _ = _nearest("income_k", "score", None, None)
+    out["scatter_colored"] = f"""{W}, n AS (SELECT *, {near_f} AS cluster FROM mall)
+SELECT customer_id, gender, age, income_k, score, n.cluster, cmap.segment, color
+FROM n LEFT JOIN {CMAP} ON n.cluster = cmap.cluster LEFT JOIN {ATTRS} ON cmap.segment = attrs.segment"""
+    k = len(S.FIXED_CENTERS)
+    step, ctes = "f0", ["f0 AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, {_lit(x)}, {_lit(y)})" for i, (_, x, y) in enumerate(S.FIXED_CENTERS)) + ") AS t(cluster, cx, cy))"]
+    for i in range(1, 4):
+        ctes.append(f"""d{i} AS (SELECT m.customer_id, m.income_k, m.score, f.cluster,
+  row_number() OVER (PARTITION BY m.customer_id ORDER BY (m.income_k - cx) * (m.income_k - cx) + (m.score - cy) * (m.score - cy), f.cluster) AS rk
+  FROM mall m CROSS JOIN {step} f),
+f{i} AS (SELECT f.cluster, COALESCE(a.cx, f.cx) AS cx, COALESCE(a.cy, f.cy) AS cy, a.n FROM {step} f LEFT JOIN
+  (SELECT cluster, AVG(income_k) AS cx, AVG(score) AS cy, COUNT(*) AS n FROM d{i} WHERE rk = 1 GROUP BY cluster) a ON f.cluster = a.cluster)""")
+        step = f"f{i}"
+    out["lloyd_steps"] = f"""{W}, {', '.join(ctes)}
+SELECT CAST(cluster AS INT) AS cluster, n, round(cx, 6) AS income_k, round(cy, 6) AS score FROM f3 WHERE n IS NOT NULL"""
+    # a 2 x 2 covariance [[a, b], [b, c]]: determinant and inverse written out
+    mix = fixed_mixture()
+    (va, vb), (_, vc) = mix.covariances[0]
+    det = va * vc - vb * vb
+    dens = [f"exp(-0.5e0 * ({_lit(vc)} * (income_k - {_lit(x)}) * (income_k - {_lit(x)}) - {_lit(2 * vb)} * (income_k - {_lit(x)}) * (score - {_lit(y)}) "
+            f"+ {_lit(va)} * (score - {_lit(y)}) * (score - {_lit(y)})) / {_lit(det)})" for x, y in mix.means]
+    free = k * 2 + k * 3 + k - 1
+    out["mixture_aic_bic"] = f"""{W}, s AS (SELECT COUNT(*) AS n,
+  SUM(ln(({' + '.join(dens)}) / {_lit(k)} / (2 * pi() * sqrt({_lit(det)})))) AS ll FROM mall)
+SELECT n, round(ll, 4) AS log_likelihood, round(-2 * ll + {2 * free}, 4) AS aic, round(-2 * ll + {free} * ln(n), 4) AS bic FROM s"""
+    yj = [f"(pow({c} + 1, {_lit(lm)}) - 1) / {_lit(lm)}" for c, lm in zip(S.FEATURES, YJ_LAMBDAS)]  # features are not negative
+    out["yeo_johnson_given"] = f"""{W}, t AS (SELECT customer_id, {yj[0]} AS a, {yj[1]} AS b FROM mall),
+m AS (SELECT AVG(a) AS ma, stddev_pop(a) AS sa, AVG(b) AS mb, stddev_pop(b) AS sb FROM t)
+SELECT customer_id, round((a - ma) / sa, 6) AS z_income_k, round((b - mb) / sb, 6) AS z_score FROM t CROSS JOIN m"""
+    ranked = []
+    for name, expr in (("rule", RULE), ("recency", R_BAND), ("monetary", M_BAND)):
+        ranked.append(f"""SELECT * FROM (WITH z AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {expr} AS lab FROM mall CROSS JOIN mom),
+{_dispersion('z', 'lab')} SELECT '{name}' AS labeling, round(db, 6) AS davies, round(ch, 6) AS calinski FROM db, ch)""")
+    out["label_ranking"] = f"""{W}, {MOM}, u AS ({' UNION ALL '.join(ranked)})
+SELECT *, CAST(row_number() OVER (ORDER BY davies, calinski DESC, labeling) AS INT) AS position FROM u"""
     long_ = f"""lv0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding,
       unnest(generate_series(1, len(embedding))) AS i FROM embeddings),
 lv AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM lv0),
@@ -140,9 +192,8 @@ si AS (SELECT label, AVG(d) AS s FROM d GROUP BY label),
 cd AS (SELECT a.label AS la, b.label AS lb, sqrt(SUM((a.c - b.c) * (a.c - b.c))) AS dist FROM cen a JOIN cen b ON a.i = b.i AND a.label <> b.label GROUP BY ALL),
 r AS (SELECT la, MAX(CASE WHEN dist > 0 THEN (sa.s + sb.s) / dist ELSE 0.0 END) AS worst FROM cd JOIN si sa ON cd.la = sa.label JOIN si sb ON cd.lb = sb.label GROUP BY la)
 SELECT round(AVG(worst), 6) AS davies_bouldin FROM r"""
-    out["embedding_silhouette"] = f"""WITH smp AS (SELECT * FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '{S.SAMPLE_SEED}'), vec_id LIMIT {S.METRIC_SAMPLE_SIZE}),
-lv0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding,
-      unnest(generate_series(1, len(embedding))) AS i FROM smp),
+    out["embedding_silhouette"] = f"""WITH lv0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding,
+      unnest(generate_series(1, len(embedding))) AS i FROM embeddings),
 lv AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM lv0),
 pd AS (SELECT a.vec_id AS va, a.label AS la, b.vec_id AS vb, b.label AS lb, sqrt(SUM((a.v - b.v) * (a.v - b.v))) AS d
       FROM lv a JOIN lv b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL),
@@ -156,6 +207,7 @@ SELECT round(AVG(s), 6) AS silhouette FROM s"""
     out["stream_segment_counts"] = f"""WITH {SEG}
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, segment,
   COUNT(*) AS events FROM events JOIN seg ON events.user_id + 1 = seg.customer_id GROUP BY ALL"""
+    out["stream_segment_counts_append"] = out["stream_segment_counts"]
     near_v, _ = _nearest("income_k", "score", "si", "ss")
     out["stream_score"] = f"""WITH {NORM}, {MOM},
 good AS (SELECT id_t AS customer_id, income_k_num AS income_k, score_num AS score, c_nationkey FROM normr WHERE reject_reason IS NULL AND c_nationkey <> 24),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import scaling as SC
 from ..operators import scoring as SCO
 from ..session import fresh_path
 from ..sources import adapter
+from ..sources.tables import read_table, table_path
 from ..streaming import jobs as P
 from .catalog import register
 from .io_queries import write_landing
@@ -28,9 +30,30 @@ def q_stream_score(spark, sf_dir):
 @register("stream_segment_counts")
 def q_stream_segment_counts(spark, sf_dir):
     """L2: events per rule segment and hour (watermarked stream-static join, complete mode)."""
-    segments = P.static_segments(spark, adapter.segmented(spark, sf_dir),
-                                 fresh_path(spark, "segments_bucketed"))
+    segments = P.static_segments(adapter.segmented(spark, sf_dir))
     out = fresh_path(spark, "segment_counts")
-    q = P.run_segment_counts(spark, sf_dir, segments, out, fresh_path(spark, "segment_counts_ckpt"))
+    events = P.events_stream(spark, table_path(sf_dir, "events"))
+    q = P.run_segment_counts(events, segments, out, fresh_path(spark, "segment_counts_ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("stream_segment_counts_append")
+def q_stream_segment_counts_append(spark, sf_dir):
+    """L2 in append mode: a window comes out once, when the watermark has passed it.
+
+    One event two days later closes the last windows; its own window stays open.
+    """
+    folder = fresh_path(spark, "events")
+    events = read_table(spark, sf_dir, "events").select(*P.EVENTS_SCHEMA.fieldNames())
+    events.write.parquet(f"{folder}/day=1")
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.min("user_id").alias("user_id"))
+    end = last.select(F.lit(-1).cast("long").alias("event_id"), "ts", "user_id", F.lit("end").alias("event_type"),
+                      F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    out, ckpt = fresh_path(spark, "segment_counts"), fresh_path(spark, "segment_counts_ckpt")
+    segments = P.static_segments(adapter.segmented(spark, sf_dir))
+    for step in range(2):  # the events, then the closing one: a second run goes on from the checkpoint
+        P.run_segment_counts(P.events_stream(spark, folder), segments, out, ckpt, mode="append").awaitTermination()
+        if step == 0:
+            end.write.parquet(f"{folder}/day=2")
+    return spark.read.parquet(out)

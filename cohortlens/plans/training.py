@@ -1,10 +1,10 @@
-"""The training job: validate -> derive -> candidate search -> k sweep -> final fit ->
+"""The training job: validate -> derive -> candidate grid -> k sweep -> model of the best candidate ->
 metrics -> naming -> bands -> statistics -> sinks.
 
-Actions: one validation aggregate, one moments aggregate per candidate, the
-k-means fits (concurrent jobs over persisted vector frames), one metrics pass
-on the bounded metric sample, then the writes.  The validated table is
-persisted once and reused by every pass.
+Every fit and every metric reads the whole table.  The validated table is persisted
+once; each (preprocessor, features) pair is fitted and its scaled frame persisted
+once, and all model variants share it.  The best candidate's own fit, whatever its
+variant and scaler, is the model that is named, stored and reported.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import distance as D
 from ..operators import cluster as K
 from ..operators import evaluate as EV
+from ..operators import naming as NM
 from ..operators import reports as R
-from ..operators import sampling as SM
 from ..operators import scaling as SC
 from ..operators import scoring as SCO
 from ..operators import validate as V
@@ -37,12 +38,9 @@ class TrainConfig:
     feature_sets: list[list[str]] = field(default_factory=lambda: [list(S.FEATURES)])
     final_k: int = S.FINAL_K
     k_range: list[int] = field(default_factory=lambda: list(S.K_RANGE))
-    elbow_n: int = S.ELBOW_SAMPLE_SIZE
-    metric_n: int = S.METRIC_SAMPLE_SIZE
     n_init_final: int = S.KMEANS_FINAL_N_INIT
     n_init_search: int = S.KMEANS_SEARCH_N_INIT
     sweep: bool = True
-    seeded_final_fit: bool = True  # False: n_init full Spark ML fits
 
 
 @dataclass
@@ -57,7 +55,10 @@ class Candidate:
     aic: float | None = None
     bic: float | None = None
     error: str | None = None
-    centers: list | None = None  # best sample fit (k-means variants), seeds the final fit
+    n_iter: int = 0
+    scaler: object = None
+    centers: list | None = None  # in scaled units: k-means centers or mixture means
+    mixture: K.MixtureFit | None = None
 
     def key(self):
         """H3: silhouette up, Davies-Bouldin down, Calinski-Harabasz up (6 dp)."""
@@ -87,96 +88,101 @@ class TrainResult:
 
 
 def fit_preprocessor(kind: str, df: DataFrame, features: list[str], n_rows: int):
-    if kind == "standard":
-        return SC.fit_standard(df, features)
-    if kind == "robust":
-        return SC.fit_robust(df, features)
-    if kind == "quantile_normal":
-        return SC.fit_quantile_normal(df, features, n_rows=n_rows)
-    if kind == "power_yeo_johnson":
-        return SC.fit_yeo_johnson(df, features)
-    raise ValueError(f"Unsupported preprocessor variant: {kind}")
-
-
-def _labels_and_fit(variant: str, vec: DataFrame, zcols: list[str], k: int, n_init: int):
-    """Fit ``variant`` on ``vec``: (labelled frame, inertia, log-likelihood, silhouette, centers)."""
-    from ..functions import distance as D
-    if variant == "kmeans":
-        fit = K.grid_kmeans(vec, zcols, [k], K.seeds_for(n_init), silhouette=True)[0]
-        lab = vec.withColumn("prediction", D.nearest_index(D.distance_array(zcols, fit["centers"])))
-        return lab, fit["inertia"], None, fit["silhouette"], fit["centers"]
+    fits = {"standard": SC.fit_standard, "robust": SC.fit_robust, "power_yeo_johnson": SC.fit_yeo_johnson,
+            "quantile_normal": lambda d, f: SC.fit_quantile_normal(d, f, n_rows=n_rows)}
+    if kind not in fits:
+        raise ValueError(f"no preprocessor named {kind}")
+    return fits[kind](df, features)
+
+
+def evaluate_candidate(vec: DataFrame, n_rows: int, scaler, variant: str, prep: str, cfg: TrainConfig,
+                       mean_var: float) -> Candidate:
+    """K12 body: fit ``variant`` on the persisted scaled frame ``vec`` and score it on all rows."""
+    zcols = [f"z_{f}" for f in scaler.features]
+    k, cand = cfg.final_k, Candidate(variant, prep, list(scaler.features), scaler=scaler)
     if variant == "minibatch_kmeans":
-        fits = K.sample_fits(vec, zcols, "minibatch", k, K.seeds_for(n_init))
-        centers = min(fits, key=lambda f: f["inertia"])["centers"]
-        d = D.distance_array(zcols, centers)
-        lab = vec.withColumn("_d", d).withColumn("prediction", D.nearest_index(F.col("_d")))
-        inertia = float(lab.agg(F.sum(F.array_min("_d"))).first()[0])
-        return lab.drop("_d"), inertia, None, None, centers
-    if variant == "gaussian_mixture_full":
-        fits = K.sample_fits(vec, zcols, "gmm_full", k, K.seeds_for(max(2, n_init // 2)))
-        f = max(fits, key=lambda f: f["mean_ll"])
-        lab = K.gmm_full_predict(vec, zcols, f["weights"], f["means"], f["covariances"])
-        return lab, None, f["mean_ll"] * vec.count(), None, None
-    if variant == "gaussian_mixture_diag":
-        fits = K.sample_fits(vec, zcols, "gmm_diag", k, K.seeds_for(max(2, n_init // 2)))
-        f = max(fits, key=lambda f: f["mean_ll"])
-        w, m, v = f["weights"], f["means"], f["variances"]
-        lab = K.gmm_diag_predict(vec, zcols, w, m, v)
-        return lab, None, f["mean_ll"] * vec.count(), None, None
-    raise ValueError(f"Unsupported model variant: {variant}")
-
-
-def evaluate_candidate(df: DataFrame, n_rows: int, features: list[str], variant: str, prep: str,
-                       cfg: TrainConfig) -> tuple[Candidate, object, DataFrame]:
-    """K12 body: scale on the full table, fit on the elbow sample, metrics on that sample."""
-    scaler = fit_preprocessor(prep, df, features, n_rows)
-    zcols = [f"z_{f}" for f in features]
-    sample = SM.exact_sample(df, cfg.elbow_n, total=n_rows)
-    vec = K.vectors(scaler.transform(sample), zcols).persist(StorageLevel.MEMORY_AND_DISK)
-    lab, inertia, ll, sil, centers = _labels_and_fit(variant, vec, zcols, cfg.final_k, cfg.n_init_final)
-    lab = lab.select(*zcols, F.col("prediction").cast("int").alias("prediction")).persist()
-    if sil is None:
-        sil = EV.silhouette_exact(lab, zcols, "prediction").first()[0]
-    db, ch = EV.davies_bouldin_calinski(lab, zcols, "prediction")
-    aic = bic = None
-    if ll is not None:
-        cov = "full" if variant.endswith("full") else "diag"
-        aic, bic = EV.aic_bic(ll, min(n_rows, cfg.elbow_n), cfg.final_k, len(features), cov)
-    lab.unpersist()
-    cand = Candidate(variant, prep, list(features), float(sil), float(db), float(ch),
-                     inertia, aic, bic, centers=centers)
-    return cand, scaler, vec
-
-
-def evaluate_grid(df: DataFrame, n_rows: int, combos: list[tuple[str, str, list[str]]], cfg: TrainConfig,
-                  parallelism: int = 8) -> list[tuple[Candidate, object, DataFrame | None]]:
-    """Evaluate (variant, preprocessor, features) candidates as concurrent Spark jobs.
-
-    A failing candidate is kept with its reason; results are in grid order.
-    """
-    def one(combo):
-        variant, prep, feats = combo
-        try:
-            return evaluate_candidate(df, n_rows, feats, variant, prep, cfg)
-        except Exception as exc:  # noqa: BLE001 - a failing candidate is skipped with its reason
-            return Candidate(variant, prep, list(feats), error=str(exc)[:500]), None, None
+        fits = [K.fit_minibatch_kmeans(vec, zcols, k, n_rows, seed=s) for s in K.seeds_for(max(1, cfg.n_init_final // 2))]
+        distance = [F.sum(F.array_min(D.distance_array(zcols, c))).alias(f"c{i}") for i, (c, _) in enumerate(fits)]
+        costs = list(vec.agg(*distance).first())
+        best = costs.index(min(costs))
+        (cand.centers, cand.n_iter), cand.inertia = fits[best], float(costs[best])
+    elif variant in ("kmeans", "gaussian_mixture_full", "gaussian_mixture_diag"):
+        fit = K.fit_kmeans(vec, k, K.seeds_for(cfg.n_init_final), K.center_tol(k, mean_var))
+        cand.centers, cand.inertia, cand.n_iter = fit.centers, fit.cost, fit.n_iter
+        if variant != "kmeans":  # expectation-maximisation from the best k-means centers
+            cov = variant.rsplit("_", 1)[1]
+            cand.mixture = K.fit_mixture(vec, zcols, k, cov, cand.centers)
+            cand.centers, cand.inertia, cand.n_iter = cand.mixture.means, None, cand.mixture.n_iter
+            cand.aic, cand.bic = EV.aic_bic(cand.mixture.mean_ll * n_rows, n_rows, k, len(zcols), cov)
+    else:
+        raise ValueError(f"no model variant named {variant}")
+    label = K.mixture_label(zcols, cand.mixture) if cand.mixture else D.nearest_index(D.distance_array(zcols, cand.centers))
+    lab = vec.withColumn("prediction", label)
+    cand.silhouette = EV.silhouette_squared(lab)
+    row = EV.dispersion(lab, zcols, "prediction").first()
+    cand.davies, cand.calinski = float(row["davies_bouldin"]), float(row["calinski_harabasz"])
+    return cand
+
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(combos)))) as pool:
-        return list(pool.map(one, combos))
+def scaled_frame(df: DataFrame, scaler) -> DataFrame:
+    """The scaled features and their vector, persisted (the caller releases it)."""
+    zcols = [f"z_{f}" for f in scaler.features]
+    return K.vectors(scaler.transform(df).select(*zcols), zcols).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def evaluate_grid(df: DataFrame, n_rows: int, cfg: TrainConfig) -> list[Candidate]:
+    """Every (variant, preprocessor, features) candidate, in grid order.
+
+    Each (preprocessor, features) is fitted, scaled and persisted once; its
+    variants run as concurrent Spark jobs.  A failing candidate keeps its reason.
+    """
+    found: dict[tuple, Candidate] = {}
+    for prep in cfg.preprocessors:
+        for feats in cfg.feature_sets:
+            keys = [(v, prep, tuple(feats)) for v in cfg.model_variants]
+            try:
+                scaler = fit_preprocessor(prep, df, list(feats), n_rows)
+                vec = scaled_frame(df, scaler)
+                mean_var = K.mean_variance(vec, [f"z_{f}" for f in feats])
+            except Exception as exc:  # noqa: BLE001 - a failing candidate is skipped with its reason
+                found |= {k: Candidate(k[0], prep, list(feats), error=str(exc)) for k in keys}
+                continue
+
+            def one(key):
+                try:
+                    return evaluate_candidate(vec, n_rows, scaler, key[0], prep, cfg, mean_var)
+                except Exception as exc:  # noqa: BLE001
+                    return Candidate(key[0], prep, list(feats), error=str(exc))
+
+            with ThreadPoolExecutor(max_workers=len(keys)) as pool:
+                found |= dict(zip(keys, pool.map(one, keys)))
+            vec.unpersist()
+    return [found[v, p, tuple(f)] for v in cfg.model_variants for p in cfg.preprocessors for f in cfg.feature_sets]
+
+
+def model_of(cand: Candidate) -> SCO.SegmentModel:
+    """J5 + K14: the candidate's centers in original units, named, with all that scoring needs."""
+    centers = [cand.scaler.inverse(c) for c in cand.centers]
+    at = {f: i for i, f in enumerate(cand.features)}
+    names = NM.greedy_names([(c[at[S.INCOME]], c[at[S.SCORE]]) for c in centers])
+    return SCO.SegmentModel(cand.scaler, centers, names, cand.variant, cand.n_iter, cand.inertia, cand.centers, cand.mixture)
 
 
 def train(spark: SparkSession, raw: DataFrame, label: str, data_path: str, out_dir: str,
-          cfg: TrainConfig | None = None) -> TrainResult:
-    """Train from a raw (all-text) customer table: fail-fast validation first."""
+          cfg: TrainConfig | None = None, history_dir: str | None = None) -> TrainResult:
+    """Train from a raw (all-text) customer table: fail-fast validation first.
+
+    ``history_dir``: the run history that the runs of several ``out_dir`` share.
+    """
     summary = V.summary(raw).first()
     if summary["message"] is not None:
         raise V.ValidationError(summary["message"])
     return train_validated(spark, V.typed(V.normalize(raw)), int(summary["total_rows"]), label, data_path,
-                           out_dir, cfg)
+                           out_dir, cfg, history_dir)
 
 
 def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: str, data_path: str,
-                    out_dir: str, cfg: TrainConfig | None = None) -> TrainResult:
+                    out_dir: str, cfg: TrainConfig | None = None, history_dir: str | None = None) -> TrainResult:
     cfg = cfg or TrainConfig()
     phases: dict[str, float] = {}
     clock = [time.perf_counter()]
@@ -190,56 +196,33 @@ def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: s
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
 
     # ---- K12 candidate grid, H3 best ----
-    combos = [(v, p, list(f)) for v in cfg.model_variants for p in cfg.preprocessors for f in cfg.feature_sets]
-    results = evaluate_grid(df, n_rows, combos, cfg)
-    candidates = [c for c, _, _ in results]
-    kept = {id(c): (sc, vec) for c, sc, vec in results if c.error is None}
+    candidates = evaluate_grid(df, n_rows, cfg)
     ok = [c for c in candidates if c.error is None]
     if not ok:
-        raise RuntimeError("All clustering candidates failed during optimization.")
+        raise RuntimeError("no candidate could be fitted: " + "; ".join(sorted({c.error for c in candidates})))
     best = max(ok, key=Candidate.key)  # max keeps the first of equal keys
-    scaler, elbow_vec = kept[id(best)]
-    for c in ok:
-        if c is not best:
-            kept[id(c)][1].unpersist()
-    if not isinstance(scaler, SC.LinearScaler) or best.variant not in ("kmeans", "minibatch_kmeans"):
-        raise NotImplementedError("the final segmentation needs a linear scaler and a center-based model")
-    zcols = [f"z_{f}" for f in best.features]
     mark("candidates")
 
     # ---- K13 sweep, H4 best k ----
-    sweep = K.elbow_sweep(elbow_vec, zcols, cfg.k_range, cfg.n_init_search) if cfg.sweep else []
+    sweep = []
+    if cfg.sweep:
+        vec = scaled_frame(df, best.scaler)
+        mean_var = K.mean_variance(vec, [f"z_{f}" for f in best.features])
+        sweep = K.elbow_sweep(vec, cfg.k_range, cfg.n_init_search, mean_var)
+        vec.unpersist()
     bk = K.best_k(sweep) if sweep else None
     mark("sweep")
 
-    # ---- K1 final fit on the full table (+ J5 inverse, K14 naming) ----
-    model, vec = K.kmeans_segment_model(df, scaler, cfg.final_k, cfg.n_init_final,
-                                        seed_sample=elbow_vec if cfg.seeded_final_fit else None,
-                                        seed_centers=best.centers if cfg.seeded_final_fit else None)
-    vec.unpersist()
+    # ---- the best candidate's fit is the model ----
+    model = model_of(best)
     scored = SCO.score(df, model)  # K15/F1: cluster, segment, distance, confidence
-    mark("final_fit")
-
-    # ---- final metrics on the metric sample with predicted labels ----
-    if cfg.metric_n == cfg.elbow_n:  # same size and seed: the same sample, already scaled
-        mscaled = elbow_vec
-    else:
-        mscaled = scaler.transform(SM.exact_sample(df, cfg.metric_n, total=n_rows))
-    mlab = SCO.assign(mscaled, model, cols=zcols, scaled=False, centers=[
-        [(v - c) / s for v, c, s in zip(ctr, scaler.center, scaler.scale)] for ctr in model.centers]
-    ).select(*zcols, "cluster").persist()
-    db, ch = EV.davies_bouldin_calinski(mlab, zcols, "cluster")
     metrics = {
-        "silhouette": EV.silhouette_exact(mlab, zcols, "cluster").first()[0],
-        "davies": db,
-        "calinski": ch,
-        "inertia": model.inertia, "aic": None, "bic": None, "n_iter": model.n_iter,
-        "model_variant": best.variant, "preprocessor_variant": best.preprocessor, "features": best.features,
+        "silhouette": best.silhouette, "davies": best.davies, "calinski": best.calinski,
+        "inertia": best.inertia, "aic": best.aic, "bic": best.bic, "n_iter": best.n_iter,
+        "model_variant": model.variant, "preprocessor_variant": best.preprocessor, "features": best.features,
         "best_k": bk, "final_k": cfg.final_k,
     }
-    mlab.unpersist()
-    elbow_vec.unpersist()
-    mark("metrics")
+    mark("model")
 
     segmented = adapter.with_derived(scored.drop("d2", "dist", "confidence"))
     centers = {model.segment_map[i]: (c[0], c[1]) for i, c in enumerate(model.centers)}
@@ -256,7 +239,7 @@ def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: s
         lambda: W.write_document(spark, {"features": best.features, "variant": best.variant,
                                          "preprocessor": best.preprocessor}, W.FEATURES_SCHEMA,
                                  f"{out_dir}/selected_features"),
-        lambda: W.append_run(spark, f"{out_dir}/run_history", label, data_path, n_rows,
+        lambda: W.append_run(spark, history_dir or f"{out_dir}/run_history", label, data_path, n_rows,
                              None if metrics["silhouette"] is None else round(float(metrics["silhouette"]), 4),
                              dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")),
     ]

@@ -6,8 +6,6 @@ are restored only at sinks.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # ---------------------------------------------------------------------------
 # Column names
 # ---------------------------------------------------------------------------
@@ -30,21 +28,6 @@ PUBLIC_NAMES = {
     SCORE: "Spending Score (1-100)",
 }
 REQUIRED_PUBLIC = [PUBLIC_NAMES[c] for c in INTERNAL_COLUMNS]
-INTERNAL_BY_PUBLIC = {v: k for k, v in PUBLIC_NAMES.items()}
-
-# Every column of a customer file is read as text and cast explicitly.
-RAW_SCHEMA = T.StructType([T.StructField(n, T.StringType(), True) for n in REQUIRED_PUBLIC])
-
-# Typed customer table after validation.
-CUSTOMER_SCHEMA = T.StructType(
-    [
-        T.StructField(CUSTOMER_ID, T.IntegerType(), False),
-        T.StructField(GENDER, T.StringType(), False),
-        T.StructField(AGE, T.ShortType(), False),
-        T.StructField(INCOME, T.DoubleType(), False),
-        T.StructField(SCORE, T.DoubleType(), False),
-    ]
-)
 
 # ---------------------------------------------------------------------------
 # Segment names and their attributes.
@@ -122,19 +105,8 @@ REQUEST_INCOME_MAX = 300
 MIN_ROWS = 5
 INCOME_SCALE_MAX = 137  # income bar on the segment page is relative to 137k
 
-# Sample sizes of the metric, elbow, chart, benchmark and scatter passes.
-ELBOW_SAMPLE_SIZE = 2500
-METRIC_SAMPLE_SIZE = 2500
-CHART_SAMPLE_SIZE = 2000
-BENCHMARK_SAMPLE_SIZE = 512
-SCATTER_SAMPLE_SIZE = 5000
 SAMPLE_SEED = 42
 
-# Hard bound on any sample collected to the driver and broadcast to tasks: the
-# metric samples are 2,500 rows and the mini-batch pool is 200 x 1,024 rows;
-# 262,144 rows of a few doubles is a few MB.
-MAX_BROADCAST_SAMPLE_ROWS = 262_144
-
 KMEANS_SEARCH_N_INIT = 4
 KMEANS_FINAL_N_INIT = 6
 FINAL_K = 5

@@ -1,12 +1,16 @@
 """Sinks: tables, CSV exports, JSON documents, run history and model artifacts.
 
-Every write goes through Spark's job commit protocol (output appears whole
-or not at all), to a path under the cluster-shared folder.
+Every write goes through Spark's job commit protocol, to a path under the
+cluster-shared folder.  What replaces an existing table or document is written
+to a new version folder and published by one small pointer record, so readers
+see the old version or the new one, never a half.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,24 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+POINTER_SCHEMA = "version string, seq bigint"
+
+
+def publish(df: DataFrame, base: str, fmt: str = "parquet") -> str:
+    """B1: write ``df`` as a new version below ``base``, then append the pointer to it."""
+    spark = df.sparkSession
+    version = f"{base}/versions/{uuid.uuid4().hex}"
+    write_table(df, version, fmt)
+    seq = time.time_ns()
+    spark.createDataFrame([(version, seq)], POINTER_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/published")
+    return version
+
+
+def published(spark: SparkSession, base: str) -> str:
+    """The path of the version published last (a few pointer rows)."""
+    return spark.read.schema(POINTER_SCHEMA).json(f"{base}/published").orderBy(F.col("seq").desc()).first()["version"]
+
+
 def write_required(df: DataFrame, path: str) -> str:
     """B2: the five required columns under their public names, as CSV (re-usable as input)."""
     return write_table(to_public(df.select(*S.INTERNAL_COLUMNS)), path, fmt="csv")
@@ -75,16 +97,27 @@ RUN_SCHEMA = T.StructType([
     T.StructField("silhouette", T.DoubleType()),
 ])
 
+# Values of the metrics document's fields where a stored document lacks them.
+METRICS_DEFAULTS = {"model_variant": "kmeans", "preprocessor_variant": "standard", "n_iter": 0}
+
 
 def write_document(spark: SparkSession, payload: dict, schema: T.StructType, path: str) -> str:
     """One JSON document (a one-row dataset, a single file)."""
-    spark.createDataFrame([payload], schema).coalesce(1).write.mode("overwrite").json(path)
-    return path
+    return publish(spark.createDataFrame([payload], schema).coalesce(1), path, "json")
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A4: a stored document with its schema; absent fields read as NULL."""
-    return spark.read.schema(schema).json(path)
+    """A4: a published document."""
+    return parse_documents(spark, published(spark, path), schema)
+
+
+def parse_documents(spark: SparkSession, path: str, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+    """JSON documents, one per file, on one line or indented over several.
+
+    Absent fields read as NULL or their value in ``defaults``.
+    """
+    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    return df.fillna(defaults) if defaults else df
 
 
 def append_run(spark: SparkSession, path: str, label: str, data_path: str, rows: int,
@@ -96,18 +129,23 @@ def append_run(spark: SparkSession, path: str, label: str, data_path: str, rows:
     spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("append").json(path)
 
 
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Append run records (the columns of ``RUN_SCHEMA``)."""
+    runs.select(*RUN_SCHEMA.fieldNames()).coalesce(1).write.mode("append").json(path)
+
+
 def latest_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Latest run per dataset label (row_number by trained_at desc)."""
+    """Latest run per dataset label, with the number of its runs."""
     from pyspark.sql import Window
-    hist = read_document(spark, path, RUN_SCHEMA)
+    hist = spark.read.schema(RUN_SCHEMA).json(path)
     w = Window.partitionBy("dataset_label").orderBy(F.col("trained_at").desc())
-    return hist.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    runs = F.count(F.lit(1)).over(Window.partitionBy("dataset_label"))
+    return hist.withColumn("_rn", F.row_number().over(w)).withColumn("runs", runs).filter("_rn = 1").drop("_rn")
 
 
 def save_model(spark: SparkSession, model, path: str, ml_model=None) -> str:
     """Model state as a one-line text dataset (+ the Spark ML model when given)."""
-    spark.createDataFrame([(model.to_json(),)], "json string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/segment_model")
+    publish(spark.createDataFrame([(model.to_json(),)], "json string").coalesce(1), f"{path}/segment_model", "text")
     if ml_model is not None:
         ml_model.write().overwrite().save(f"{path}/ml_model")
     return path
@@ -116,5 +154,5 @@ def save_model(spark: SparkSession, model, path: str, ml_model=None) -> str:
 def load_model(spark: SparkSession, path: str):
     """A5: load the model state saved by :func:`save_model`."""
     from ..operators.scoring import SegmentModel
-    text = spark.read.text(f"{path}/segment_model").first()[0]
+    text = spark.read.text(published(spark, f"{path}/segment_model")).first()[0]
     return SegmentModel.from_json(text)

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..operators import scoring as SCO
 from ..operators import validate as V
+from ..session import materialize
 from ..sources import files
 
 EVENTS_SCHEMA = T.StructType([
@@ -65,9 +66,10 @@ def run_stream_score(spark: SparkSession, folder: str, model: SCO.SegmentModel,
     return w.start()
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """Parquet events below ``path`` (a file or a folder)."""
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files)
+            .option("recursiveFileLookup", True).parquet(path))
 
 
 def segment_counts(events: DataFrame, segments: DataFrame, window: str = "1 hour",
@@ -81,39 +83,18 @@ def segment_counts(events: DataFrame, segments: DataFrame, window: str = "1 hour
             .agg(F.count(F.lit(1)).alias("events")))
 
 
-def bucketed_segments(spark: SparkSession, segments: DataFrame, path: str, buckets: int = 64) -> DataFrame:
-    """Write the static (customer -> segment) side once, bucketed and sorted by the join key,
-    under the shared folder.  Every micro-batch then shuffles only its own events to the
-    bucket layout instead of re-shuffling the whole static table."""
-    name = "segments_" + path.rstrip("/").rsplit("/", 1)[-1]
-    (segments.select(F.col(S.CUSTOMER_ID).cast("long").alias("_cid"), "segment")
-     .write.mode("overwrite").bucketBy(buckets, "_cid").sortBy("_cid")
-     .option("path", path).saveAsTable(name))
-    return spark.table(name).withColumnRenamed("_cid", S.CUSTOMER_ID)
+def static_segments(segments: DataFrame) -> DataFrame:
+    """The static side of the stream join, written once: no micro-batch derives it again.
 
-
-ROW_BYTES = 48  # (customer id, segment) row estimate for the size check
-
-
-def static_segments(spark: SparkSession, segments: DataFrame, path: str,
-                    max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """The static side of the stream join, sized once when the stream starts.
-
-    Below ``max_broadcast_bytes`` it is cached and broadcast to every micro-batch
-    (no shuffle at all); above, it is written once as a bucketed table.
+    The join carries no hint, so the planner broadcasts it only below its size threshold.
     """
-    seg = segments.select(S.CUSTOMER_ID, "segment")
-    n = seg.count()
-    if n * ROW_BYTES <= max_broadcast_bytes:
-        return F.broadcast(seg.persist())
-    return bucketed_segments(spark, seg, path)
+    return materialize(segments.select(S.CUSTOMER_ID, "segment"), "stream-segments")
 
 
-def run_segment_counts(spark: SparkSession, sf_dir: str, segments: DataFrame, out: str, checkpoint: str,
-                       mode: str = "complete"):
+def run_segment_counts(events: DataFrame, segments: DataFrame, out: str, checkpoint: str, mode: str = "complete"):
     """Start L2.  ``complete`` rewrites the whole table per batch (used for the check);
     ``append`` emits each window once the watermark passes it."""
-    counts = segment_counts(events_stream(spark, sf_dir), segments)
+    counts = segment_counts(events, segments)
     flat = counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                          F.col("window.end").cast("timestamp_ntz").alias("window_end"), "segment", "events")
     if mode == "complete":

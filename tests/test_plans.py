@@ -43,3 +43,13 @@ def test_scoring_is_one_projection_without_python(spark):
     plan = _executed(spark, "score_requests")
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert "BroadcastHashJoin" in plan  # the k-row cluster map
+
+
+def test_nearest_center_needs_no_statistics_pass(spark):
+    df = E.queries()["nearest_centroid"](spark, SF_SMALL)
+    assert "stddev" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drift_reads_the_order_aggregate_once(spark):
+    plan = _executed(spark, "segment_drift").split("Initial Plan")[0]
+    assert "ReusedExchange" in plan or len(re.findall(r"FileScan parquet [^\n]*o_", plan)) <= 2

@@ -1,107 +1,145 @@
-"""Golden training results on the reference CSV files, scoring examples and properties."""
+"""Training on planted clusters: sizes, metrics, naming, scoring, every grid cell, stored state."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
+from cohortlens.operators import cluster as K
 from cohortlens.operators import evaluate as EV
+from cohortlens.operators import scaling as SC
 from cohortlens.operators import scoring as SCO
+from cohortlens.plans import io_queries as Q
 from cohortlens.plans import training as TR
 from cohortlens.session import fresh_path
 from cohortlens.sinks import writers as W
 from cohortlens.sources import files
-from conftest import ref_file
-
-GOLDEN = {
-    "Mall_Customers.csv": (200, 65.568, 0.5547, 0.5722, 248.65,
-                           {S.VIP: 39, S.AT_RISK: 23, S.NEW: 35, S.DISCOUNT: 22, S.LOYAL: 81}),
-    "mall_customers_300.csv": (300, 120.847, 0.4018, 0.8265, 292.41,
-                               {S.VIP: 70, S.AT_RISK: 63, S.NEW: 73, S.DISCOUNT: 38, S.LOYAL: 56}),
-    "Mall_Customers_500.csv": (500, 203.148, 0.4005, 0.8492, 485.41,
-                               {S.VIP: 81, S.AT_RISK: 119, S.NEW: 120, S.DISCOUNT: 89, S.LOYAL: 91}),
-}
-
-_RUNS = {}
-
-
-def run(spark, name):
-    if name not in _RUNS:
-        raw = files.read_customer_csv(spark, ref_file(name))
-        _RUNS[name] = TR.train(spark, raw, name, name, fresh_path(spark, "test_train"))
-    return _RUNS[name]
-
-
-@pytest.mark.parametrize("name", sorted(GOLDEN))
-def test_golden_segmentation(spark, name):
-    n, inertia, sil, db, ch, sizes = GOLDEN[name]
-    r = run(spark, name)
-    assert r.rows == n
-    assert r.model.inertia <= inertia * 1.01
-    assert abs(r.metrics["silhouette"] - sil) < 0.002
-    assert abs(r.metrics["davies"] - db) < 0.01
-    assert abs(r.metrics["calinski"] - ch) / ch < 0.01
-    got = {row["segment"]: row["n"] for row in r.stats.collect()}
-    for seg, size in sizes.items():
-        assert abs(got[seg] - size) <= 2, (seg, got)
-
-
-def test_stats_properties(spark):
-    r = run(spark, "Mall_Customers.csv")
-    rows = r.stats.collect()
-    assert sum(x["n"] for x in rows) == r.rows
-    assert abs(sum(x["pct"] for x in rows) - 100) < 0.5
-    assert sorted(x["segment"] for x in rows) == sorted(S.SEGMENTS)  # naming is a bijection
-    assert r.segmented.filter(F.col("segment").isNull()).count() == 0
+from conftest import PLANTED, planted_rows
 
 
-def test_centroids_on_canonical_file(spark):
-    r = run(spark, "Mall_Customers.csv")
-    cent = {row["segment"]: (row["cx"], row["cy"]) for row in r.stats.collect()}
-    expect = {S.VIP: (86.5, 82.1), S.AT_RISK: (26.3, 20.9), S.NEW: (88.2, 17.1),
-              S.DISCOUNT: (25.7, 79.4), S.LOYAL: (55.3, 49.5)}
-    for seg, (x, y) in expect.items():
-        assert abs(cent[seg][0] - x) <= 0.2 and abs(cent[seg][1] - y) <= 0.2
+@pytest.fixture(scope="module")
+def run(spark, planted_csv):
+    raw = files.read_customer_csv(spark, planted_csv)
+    history = fresh_path(spark, "test_history")
+    runs = [TR.train(spark, raw, "planted", planted_csv, fresh_path(spark, "test_train"),
+                     TR.TrainConfig(sweep=sweep, k_range=[3, 4, 5, 6]), history) for sweep in (False, True)]
+    return runs[1], history
 
 
-def test_scoring_examples(spark):
-    r = run(spark, "Mall_Customers.csv")
+def test_planted_segments_are_found_and_named(run):
+    r, _ = run
+    assert r.rows == 200
+    got = {row["segment"]: (row["n"], row["cx"], row["cy"]) for row in r.stats.collect()}
+    for name, n, x, y in PLANTED:
+        assert got[name][0] == n and abs(got[name][1] - x) < 2 and abs(got[name][2] - y) < 2
+    assert abs(sum(x["pct"] for x in r.stats.collect()) - 100) < 0.5
+    assert r.segmented.filter(F.col("segment").isNull()).count() == 0
+    assert r.best_k == 5
+    inertias = [i for _, i, _ in r.sweep]
+    assert all(b <= a * 1.05 for a, b in zip(inertias, inertias[1:]))
+
+
+def test_metrics_equal_numpy_over_all_rows(spark, run):
+    r, _ = run
+    rows = r.segmented.select("income_k", "score", "cluster").collect()
+    X = np.array([[x["income_k"], x["score"]] for x in rows], float)
+    X = (X - X.mean(axis=0)) / X.std(axis=0)
+    lab = np.array([x["cluster"] for x in rows])
+    centers = np.array([X[lab == j].mean(axis=0) for j in range(5)])
+    within = sum(((X[lab == j] - centers[j]) ** 2).sum() for j in range(5))
+    between = sum((lab == j).sum() * (centers[j] ** 2).sum() for j in range(5))
+    assert abs(r.metrics["inertia"] - within) / within < 0.01
+    assert abs(r.metrics["calinski"] - between * 195 / (within * 4)) / r.metrics["calinski"] < 0.01
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2))
+    s = []
+    for i in range(len(X)):
+        own = lab == lab[i]
+        a = d[i][own].sum() / (own.sum() - 1)
+        b = min(d[i][lab == j].mean() for j in range(5) if j != lab[i])
+        s.append((b - a) / max(a, b))
+    z = spark.createDataFrame([(float(x), float(y), int(k)) for (x, y), k in zip(X, lab)], "x double, y double, l int")
+    assert abs(EV.silhouette_exact(z, ["x", "y"], "l").first()[0] - float(np.mean(s))) < 1e-9
+
+
+def test_silhouette_in_blocks_is_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 17), float((i * 7) % 23), i % 3) for i in range(300)], "a double, b double, l int")
+    one = EV.silhouette_exact(df, ["a", "b"], "l").first()[0]
+    monkeypatch.setattr(EV, "BLOCK_POINTS", 40)
+    assert abs(EV.silhouette_exact(df, ["a", "b"], "l").first()[0] - one) < 1e-12
+
+
+def test_scoring_examples(spark, run):
+    r, _ = run
     req = spark.createDataFrame(
         [(33, "Female", 87.0, 82.0), (25, "Female", 26.0, 79.0), (41, "Male", 88.0, 17.0),
          (45, "Male", 26.0, 20.0), (38, "Female", 55.0, 50.0)],
         "age int, gender string, income_k double, score double")
-    out = [x["segment"] for x in SCO.score(req, r.model).orderBy("age").collect()]
-    # ordered by age: 25, 33, 38, 41, 45
-    assert out == [S.DISCOUNT, S.VIP, S.LOYAL, S.NEW, S.AT_RISK]
-    conf = [x["confidence"] for x in SCO.score(req, r.model).collect()]
-    assert all(0 <= c <= 100 for c in conf)
-
-
-def test_sweep_and_best_k(spark):
-    r = run(spark, "Mall_Customers.csv")
-    ks = [k for k, _, _ in r.sweep]
-    assert ks == list(range(2, 11))
-    inertias = [i for _, i, _ in r.sweep]
-    assert all(b <= a * 1.05 for a, b in zip(inertias, inertias[1:]))  # non-increasing (best of seeds)
-    assert r.best_k == 5
-
-
-def test_metrics_document_and_model_roundtrip(spark):
-    r = run(spark, "Mall_Customers.csv")
+    out = SCO.score(req, r.model).orderBy("age").collect()
+    assert [x["segment"] for x in out] == [S.DISCOUNT, S.VIP, S.LOYAL, S.NEW, S.AT_RISK]
+    assert all(0 <= x["confidence"] <= 100 for x in out)
+
+
+def test_every_grid_cell_trains_and_stores_what_it_fitted(spark):
+    rows = [(i, float(x), float(y)) for i, _, _, x, y in planted_rows()]
+    df = spark.createDataFrame(rows, f"{S.CUSTOMER_ID} bigint, {S.INCOME} double, {S.SCORE} double").persist()
+    cfg = TR.TrainConfig(model_variants=Q.GRID_VARIANTS, preprocessors=Q.GRID_PREPROCESSORS, n_init_final=2)
+    cands = TR.evaluate_grid(df, len(rows), cfg)
+    assert [(c.variant, c.preprocessor) for c in cands] == [(v, p) for v in Q.GRID_VARIANTS for p in Q.GRID_PREPROCESSORS]
+    assert [c.error for c in cands] == [None] * 16
+    for c in cands:
+        model = SCO.SegmentModel.from_json(TR.model_of(c).to_json())
+        assert model.variant == c.variant and (model.mixture is not None) == c.variant.startswith("gaussian")
+        assert (c.aic is not None) == c.variant.startswith("gaussian")
+        lab = SCO.score(df, model)
+        assert lab.filter("segment is null").count() == 0 and lab.select("cluster").distinct().count() > 1
+    df.unpersist()
+
+
+def test_inverse_transforms(spark):
+    df = spark.createDataFrame([(float(i), float((i * 37) % 101)) for i in range(200)], "income_k double, score double")
+    for kind in Q.GRID_PREPROCESSORS:
+        sc = TR.fit_preprocessor(kind, df, S.FEATURES, 200)
+        row = sc.transform(df).filter("income_k = 60").first()
+        x, y = sc.inverse([row["z_income_k"], row["z_score"]])
+        assert abs(x - row["income_k"]) < 1 and abs(y - row["score"]) < 1.5
+        assert SC.scaler_from_dict(sc.to_dict()).inverse([0.1, 0.2]) == sc.inverse([0.1, 0.2])
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.lognormal(0, 3, 500), np.repeat(2.5, 300), -rng.random(200)])
+    df = spark.createDataFrame([(float(v), float(round(v))) for v in x], "income_k double, score double")
+    got = SC.exact_quantiles(df, ["income_k", "score"], [0.0, 0.1, 0.25, 0.5, 0.77, 1.0], bins=16)
+    assert np.allclose(got["income_k"], np.quantile(x, [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]), rtol=1e-12, atol=0)
+    assert np.allclose(got["score"], np.quantile(np.round(x), [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]))
+
+
+def test_mixture_finds_planted_weights(spark):
+    df = spark.createDataFrame([(float(x), float(y)) for _, _, _, x, y in planted_rows()], "x double, y double").persist()
+    fit = K.fit_mixture(df, ["x", "y"], 5, "full", [[x, y] for _, _, x, y in PLANTED])
+    assert np.allclose(fit.weights, [n / 200 for _, n, _, _ in PLANTED], atol=0.01)
+    row = K.mixture_log_likelihood(df, ["x", "y"], fit).first()
+    assert abs(row["log_likelihood"] / row["n"] - fit.mean_ll) < 1e-9
+    df.unpersist()
+
+
+def test_stored_document_history_and_model(spark, run, tmp_path):
+    r, history = run
     doc = W.read_document(spark, f"{r.out_dir}/model_metrics", W.METRICS_SCHEMA).first()
-    assert doc["model_variant"] == "kmeans" and doc["preprocessor_variant"] == "standard"
-    assert len(doc["candidate_results"]) == 1
+    assert doc["model_variant"] == "kmeans" and doc["preprocessor_variant"] == "standard" and len(doc["candidate_results"]) == 1
     assert doc["silhouette"] == round(r.metrics["silhouette"], 4)
+    assert [(x["dataset_label"], x["rows"], x["runs"]) for x in W.latest_runs(spark, history).collect()] == [("planted", 200, 2)]
     model = W.load_model(spark, f"{r.out_dir}/model")
     SCO.check_compatible(model, r.model.features)
     assert model.segment_map == r.model.segment_map
-    bad = SCO.SegmentModel(model.scaler, model.centers, {0: "x"})
     with pytest.raises(SCO.IncompatibleModel):
-        SCO.check_compatible(bad, r.model.features)
+        SCO.check_compatible(SCO.SegmentModel(model.scaler, model.centers, {0: "x"}), r.model.features)
+    (tmp_path / "doc.json").write_text('{\n  "silhouette": 0.5,\n  "features": ["a"]\n}\n')
+    old = W.parse_documents(spark, str(tmp_path / "doc.json"), W.METRICS_SCHEMA, W.METRICS_DEFAULTS).collect()
+    assert [(x["silhouette"], x["model_variant"], x["n_iter"], x["davies"]) for x in old] == [(0.5, "kmeans", 0, None)]
 
 
-def test_silhouette_scale_invariant(spark):
-    df = spark.createDataFrame([(float(i % 7), float((i * 3) % 11), i % 3) for i in range(60)],
-                               "a double, b double, l int")
-    s1 = EV.silhouette_exact(df, ["a", "b"], "l").first()[0]
-    df2 = df.select((F.col("a") * 3).alias("a"), (F.col("b") * 3).alias("b"), "l")
-    s2 = EV.silhouette_exact(df2, ["a", "b"], "l").first()[0]
-    assert abs(s1 - s2) < 1e-12
+def test_publish_replaces_whole_versions(spark):
+    base = fresh_path(spark, "publish")
+    for n in (3, 5):
+        W.publish(spark.range(n), base)
+        assert spark.read.parquet(W.published(spark, base)).count() == n

@@ -1,14 +1,13 @@
 """Validation messages, their order, quarantine, and scoring-request checks."""
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
+from cohortlens.operators import scaling as SC
 from cohortlens.operators import scoring as SCO
 from cohortlens.operators import validate as V
 from cohortlens.sources import files
-from conftest import ref_file
+from conftest import HEADER
 
 
 def _raw(spark, rows, cols=None):
@@ -16,28 +15,50 @@ def _raw(spark, rows, cols=None):
     return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in cols))
 
 
-def test_malformed_upload_is_rejected_with_gender_message(spark):
-    raw = files.read_customer_csv(spark, ref_file("uploads/20260320_135146_Mall_Customers.csv"))
+@pytest.fixture(scope="module")
+def malformed_csv(tmp_path_factory):
+    """A byte-order mark, Windows line ends, three blank genders and a last line that is nearly empty."""
+    rows = [[i, "Male" if i % 2 else "Female", 20 + i % 40, 30 + i % 60, 1 + i % 100] for i in range(1, 301)]
+    for i in (132, 144, 240):
+        rows[i][1] = ""
+    lines = [HEADER, *(",".join(map(str, r)) for r in rows), "Female,,,,"]
+    path = tmp_path_factory.mktemp("bad") / "20260320_135146_Customers.csv"
+    path.write_bytes(("\ufeff" + "\r\n".join(lines) + "\r\n").encode())
+    return str(path)
+
+
+def test_malformed_upload_is_rejected_with_gender_message(spark, malformed_csv):
+    raw = files.read_customer_csv(spark, malformed_csv)
     with pytest.raises(V.ValidationError) as e:
         V.validate(raw)
     assert str(e.value) == "Gender column must contain only Male or Female values. Found: Nan"
 
 
-def test_quarantine_keeps_good_rows(spark):
-    raw = files.read_customer_csv(spark, ref_file("uploads/20260320_135146_Mall_Customers.csv"))
-    good, bad = V.quarantine(raw)
+def test_quarantine_keeps_good_rows(spark, malformed_csv):
+    good, bad = V.quarantine(files.read_customer_csv(spark, malformed_csv))
     assert good.count() == 297
-    assert bad.count() == 4
-    assert {r["reject_reason"] for r in bad.collect()} == {"invalid_gender"}
+    assert {r["reject_reason"] for r in bad.collect()} == {"invalid_gender"} and bad.count() == 4
 
 
 def test_float_formatted_upload_is_accepted(spark):
-    raw = files.read_customer_csv(spark, ref_file("uploads/20260320_164507_current_dataset.csv"))
-    df = V.validate(raw)
-    assert df.count() == 500
+    df = V.validate(_raw(spark, [("1.0", "Male", "66.0", "15.5", "39.0")] * 5))
+    assert df.count() == 5
     assert dict(df.dtypes)[S.AGE] == "smallint"
 
 
+def test_large_ids_pass_validation_and_scoring(spark):
+    df = V.validate(_raw(spark, [("5000000000", "Male", "66", "88", "82")] * 5))
+    scored = SCO.score(df, SCO.fixed_center_model(SC.fit_standard(df))).collect()
+    assert {(r[S.CUSTOMER_ID], r["segment"]) for r in scored} == {(5_000_000_000, S.VIP)}
+
+
+def test_numbers_must_be_decimal_and_blanks_may_be_unicode(spark):
+    rows = [(v, "\u00a0male\u2003", "20", "15", "39") for v in ("12d", "12f", "0x1p3", "1e2", " 7 ", "1_0", "+3.", ".5")]
+    norm = V.normalize(_raw(spark, rows))
+    assert [r["customer_id_num"] for r in norm.collect()] == [None, None, None, 100.0, 7.0, None, 3.0, 0.5]
+    assert {r[S.GENDER] for r in norm.collect()} == {"Male"}
+
+
 def test_missing_columns(spark):
     raw = _raw(spark, [("1", "Male", "20", "15")], S.REQUIRED_PUBLIC[:4])
     with pytest.raises(V.ValidationError) as e:
@@ -85,20 +106,26 @@ def test_request_rejections(spark):
 
 
 def test_dataset_health_counts_missing(spark):
-    raw = _raw(spark, [("1", None, "20", "15", "39"), ("2", "Male", None, None, "39")])
+    raw = _raw(spark, [("1", None, "20", "NA", "39"), ("2", "Male", None, None, "nan")])
     r = V.dataset_health(raw).first()
-    assert (r["dataset_rows"], r["dataset_cols"], r["missing_values"]) == (2, 5, 3)
-
-
-def test_landing_folder_of_real_uploads(spark):
-    import os
-    folder = os.path.dirname(ref_file("uploads/20260320_135146_Mall_Customers.csv"))
-    land = files.read_landing(spark, folder)
-    per = {r["upload_label"]: r for r in land.groupBy("upload_label", "arrival_ts").count().collect()}
-    assert len(land.select("source_file").distinct().collect()) == 51
-    assert all(r["arrival_ts"] is not None for r in per.values())
-    norm = V.normalize(land.drop("source_file")).withColumn("reject_reason", V.reject_reason())
-    bad = norm.filter(F.col("reject_reason").isNotNull())
-    files_with_bad = {r["upload_label"] for r in bad.select("upload_label").distinct().collect()}
-    assert files_with_bad == {"Mall_Customers"}  # only the three copies of the malformed upload
-    assert bad.count() == 12  # 4 bad rows in each of the 3 copies
+    assert (r["dataset_rows"], r["dataset_cols"], r["missing_values"]) == (2, 5, 5)
+
+
+def test_uploads_bind_by_column_name(spark, malformed_csv, tmp_path):
+    import shutil
+    shutil.copy(malformed_csv, tmp_path)
+    (tmp_path / "20260101_000000_other.CSV").write_text(
+        "Note,CustomerID,Gender,Spending Score (1-100),Annual Income (k$),Age\nx,1,Male,90,40,30\n")
+    (tmp_path / "20260101_000001_less.csv").write_text("CustomerID,Gender,Age,Annual Income (k$)\n1,Male,30,40\n")
+    (tmp_path / "20260101_000002_none.csv").write_text("1,Male,30,40,50\n")
+    (tmp_path / "readme.txt").write_text("CustomerID\n")
+    land = files.read_landing(spark, str(tmp_path))
+    assert {r["upload_label"] for r in land.select("upload_label").distinct().collect()} == {"Customers", "other", "less", "none"}
+    norm = V.normalize(land).withColumn("reject_reason", V.reject_reason(F.col("missing_columns")))
+    rows = {label: [r for r in norm.collect() if r["upload_label"] == label] for label in ("Customers", "other", "less", "none")}
+    assert len(rows["Customers"]) == 301 and sum(r["reject_reason"] is not None for r in rows["Customers"]) == 4
+    (r,) = rows["other"]
+    assert (r["age_num"], r["score_num"], r["income_k_num"], r["reject_reason"]) == (30.0, 90.0, 40.0, None)
+    assert [(r["reject_reason"], r["missing_columns"]) for r in rows["less"]] == [("missing_columns", "Spending Score (1-100)")]
+    assert [r["reject_reason"] for r in rows["none"]] == ["missing_columns"]
+    assert str(rows["other"][0]["arrival_ts"]) == "2026-01-01 00:00:00"
