@@ -96,6 +96,17 @@ def _water_level(load: list[int], extra: int) -> list[float]:
     return [max(0.0, level - x) for x in load]
 
 
+def _even_level(rows: DataFrame, total: int, shards: int) -> float:
+    """Bytes of an even shard, when documents larger than that have shards of their own."""
+    level, known = total / shards, 0
+    while known < shards:
+        n, large = rows.filter(F.col("size") > level).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        if n <= known or n >= shards:
+            break
+        level, known = (total - large) / (shards - n), n
+    return level
+
+
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) under the law ``bytes``."""
@@ -104,7 +115,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g")), "shard-rows")
     rows, total = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    capacity = total / shards
+    capacity = _even_level(base, total, shards)
     buckets = buckets_for(rows)
     # Documents of a group are ranked within (group, sub); sub also gives the first shard.
     subs = shards * buckets_for(rows, 2_000_000)
