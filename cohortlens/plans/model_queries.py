@@ -101,6 +101,15 @@ def q_score_with_similar(spark, sf_dir):
                       "confidence", "similar")
 
 
+@register("score_with_similar_rows")
+def q_score_with_similar_rows(spark, sf_dir):
+    """K17 with one row per scored request and similar customer."""
+    out = q_score_with_similar(spark, sf_dir)
+    return out.select("request_id", "cluster", "segment", "confidence", F.posexplode("similar").alias("position", "s")).select(
+        "request_id", "cluster", "segment", "confidence", "position", F.col(f"s.{S.CUSTOMER_ID}").alias("similar_id"),
+        F.col(f"s.{S.INCOME}").alias("similar_income"), F.col(f"s.{S.SCORE}").alias("similar_score"))
+
+
 # ---- K7-K10 on fixed labels -----------------------------------------------
 @register("inertia")
 def q_inertia(spark, sf_dir):

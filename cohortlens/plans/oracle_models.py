@@ -93,6 +93,12 @@ sd AS (SELECT *, sqrt((income - {cx}[cluster + 1]) * (income - {cx}[cluster + 1]
 sf AS (SELECT sd.*, segment, greatest(0.0, least(100.0, round(100.0 - 2.0 * dist, 1))) AS confidence FROM sd LEFT JOIN {CMAP} ON sd.cluster = cmap.cluster)"""
     out["score_requests"] = f"{scored} SELECT request_id, cluster, segment, dist, confidence FROM sf"
     out["prediction_confidence"] = f"{scored} SELECT request_id, confidence FROM sf"
+    near_c, _ = _nearest("income_k", "score", "si", "ss")
+    out["score_with_similar_rows"] = f"""{scored},
+sc5 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY customer_id) AS rk FROM
+  (SELECT customer_id, income_k, score, {near_c} AS cluster FROM mall CROSS JOIN mom))
+SELECT request_id, sf.cluster, segment, confidence, CAST(rk - 1 AS INT) AS position, customer_id AS similar_id,
+  sc5.income_k AS similar_income, sc5.score AS similar_score FROM sf JOIN sc5 ON sf.cluster = sc5.cluster WHERE rk <= 5"""
     _, d2_s = _nearest("income_k", "score", "si", "ss")
     out["inertia"] = f"{W}, {MOM} SELECT round(SUM({d2_s}), 6) AS inertia FROM mall CROSS JOIN mom"
 
