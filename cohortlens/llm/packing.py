@@ -41,7 +41,7 @@ from .common import arrow_map, buckets_for, materialize, read_table
 from .registry import register
 
 CAPACITY = 2048
-GROUP_PIECES = 2048
+GROUP_PIECES = 8192
 ISLANDS, EPOCHS, CHILDREN, POPULATION, ELITES = 2, 2, 16, 6, 2
 SEED = 4
 END_TEXT = "<|endoftext|>"
