@@ -15,8 +15,8 @@ Steps, each a Spark job over the whole table:
    one row per task); windows of the others cannot repeat in another document;
 3. the words of the super-k-mers that are left, packed, once per distinct string
    with the smallest id that has it;
-4. in each bucket, the smallest id of every window; buckets with many strings are
-   dealt again by window, so no task holds one;
+4. in each bucket, the smallest id of every window; buckets with more than
+   BUCKET_STRINGS strings are dealt again by window, so no task holds one;
 5. per document, the windows seen in a smaller id, and the words they cover.
 
 Defined results: a null or empty text has no words and nothing removed; rows with
@@ -41,7 +41,9 @@ from .registry import register
 
 WINDOW = 50  # words
 RUN = 8  # words of a minimiser
-BUCKET_STRINGS = 512  # distinct strings of a bucket that one task compares at once
+SMALL_BUCKET = 256  # distinct strings whose windows are compared through a dictionary
+#: Distinct strings of a bucket that one task compares at once: some 13 MB of text and 1.4 million windows of 24 bytes.
+BUCKET_STRINGS = 32_768
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -138,35 +140,86 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
     return [packed[starts[i]:ends[i + window - 1] - 1] for i in range(len(words) - window + 1)]
 
 
-def _bucket_table(window: int):
-    """Rows sorted by minimiser: for each string, the smallest id of each of its windows."""
-    def close(rows: list[tuple]) -> list[tuple]:
-        if len(rows) == 1:  # one string: all its windows have its smallest id
-            (skey, low, packed), = rows
-            return [(skey, [low] * (packed.count(b" ") + 2 - window))]
+def _windows_least(strings: list[bytes], lows: list[int], window: int) -> list[np.ndarray]:
+    """For each string, the smallest id of each of its windows, by the windows' words themselves."""
+    if len(strings) <= SMALL_BUCKET:
         least: dict[bytes, int] = {}
-        own = []
-        for skey, low, packed in rows:
-            spans = _windows(packed, window)
-            own.append((skey, spans))
+        own = [_windows(s, window) for s in strings]
+        for spans, low in zip(own, lows):
             for span in spans:
                 if least.get(span, low) >= low:
                     least[span] = low
-        return [(skey, [least[s] for s in spans]) for skey, spans in own]
+        return [np.array([least[s] for s in spans], np.int64) for spans in own]
+    # Many strings: sort the windows by a hash, and compare each with the first of its hash.
+    hashes, counts, edges = [], [], []
+    for s in strings:
+        h = word_hashes(s)
+        p, q = _powers(len(h) + 1)
+        sums = np.r_[np.uint64(0), np.cumsum(h * p[:len(h)])]
+        hashes.append(_mix((sums[window:] - sums[:-window]) * q[:len(h) - window + 1]))
+        counts.append(len(hashes[-1]))
+        spaces = np.flatnonzero(np.frombuffer(s, np.uint8) == 32)
+        edges.append((np.r_[0, spaces + 1], np.r_[spaces, len(s)]))
+    key, low = np.concatenate(hashes), np.repeat(np.array(lows, np.int64), counts)
+    owner = np.repeat(np.arange(len(strings)), counts)
+    place = np.concatenate([np.arange(n) for n in counts])
+    order = np.lexsort((low, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    first = np.empty(len(key), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+
+    def words_at(i: int) -> bytes:
+        start, end = edges[owner[i]]
+        return strings[owner[i]][start[place[i]]:end[place[i] + window - 1]]
+
+    for i in np.flatnonzero(first != np.arange(len(key))).tolist():
+        if words_at(i) != words_at(int(first[i])):  # two windows with one hash: by the words alone
+            return [_by_words(strings, lows, window, at) for at in range(len(strings))]
+    return np.split(low[first], np.cumsum(counts)[:-1])
+
+
+def _by_words(strings: list[bytes], lows: list[int], window: int, at: int) -> np.ndarray:
+    """The slow form for one string of a bucket in which window hashes collide."""
+    own = _windows(strings[at], window)
+    least = dict.fromkeys(own, lows[at])
+    for s, low in zip(strings, lows):
+        for span in _windows(s, window):
+            if span in least and low < least[span]:
+                least[span] = low
+    return np.array([least[x] for x in own], np.int64)
+
+
+def _runs(least: np.ndarray) -> list[dict]:
+    """Windows [a, b) with one smallest id."""
+    at = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return [{"a": int(a), "b": int(b), "least": int(least[a])} for a, b in zip(at, np.r_[at[1:], len(least)])]
+
+
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())]))
+
+
+def _bucket_table(window: int):
+    """Rows sorted by minimiser: the window runs of each string that a document above their id has."""
+    def close(rows: list[tuple]) -> list[tuple]:
+        skeys, lows, highs, strings = zip(*rows)
+        if len(rows) == 1:  # one string: all its windows have its smallest id
+            found = [np.full(strings[0].count(b" ") + 2 - window, lows[0], np.int64)]
+        else:
+            found = _windows_least(list(strings), list(lows), window)
+        return [(k, _runs(least)) for k, high, least in zip(skeys, highs, found) if least.min() < high]
 
     def emit(done):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in done], pa.binary()), pa.array([m for _, m in done], pa.list_(pa.int64()))],
-            ["skey", "least"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.binary()), pa.array([r for _, r in done], _RUNS)],
+                                          ["skey", "runs"])
 
     def run(batches):
         at, rows, done = None, [], []
         for batch in batches:
-            for mini, skey, low, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for mini, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if mini != at:
                     done += close(rows) if rows else []
                     at, rows = mini, []
-                rows.append((skey, low, packed))
+                rows.append(tuple(row))
             if len(done) >= 1000:
                 yield emit(done)
                 done = []
@@ -178,38 +231,39 @@ def _bucket_table(window: int):
 
 def _explode_windows(window: int):
     def run(batch: pa.RecordBatch) -> pa.Table:
-        skeys, lows, packs = (batch.column(c).to_pylist() for c in ("skey", "low", "packed"))
-        out = [(k, i, low, span) for k, low, p in zip(skeys, lows, packs) for i, span in enumerate(_windows(p, window))]
-        skey, place, low, span = zip(*out)
-        return pa.table({"skey": pa.array(skey, pa.binary()), "place": pa.array(place, pa.int32()),
-                         "low": pa.array(low, pa.int64()), "span": pa.array(span, pa.binary())})
+        columns = [batch.column(c).to_pylist() for c in ("skey", "low", "high", "packed")]
+        out = [(k, i, low, high, span) for k, low, high, p in zip(*columns) for i, span in enumerate(_windows(p, window))]
+        types = {"skey": pa.binary(), "place": pa.int32(), "low": pa.int64(), "high": pa.int64(), "span": pa.binary()}
+        return pa.table({n: pa.array(v, t) for (n, t), v in zip(types.items(), zip(*out))})
     return run
 
 
-def window_least(strings: DataFrame, window: int, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
-    """(skey, least): for each packed string, the smallest id of each of its windows.
+def window_runs(strings: DataFrame, window: int, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
+    """(skey, runs): for each packed string, runs of its windows with their smallest id.
 
-    ``strings``: (mini, skey, low, packed), one row per distinct string.
+    ``strings``: (mini, skey, low, high, packed), one row per distinct string with
+    its smallest and largest id.  Strings without a window of a smaller id than
+    ``high`` are left out.
     """
     partitions = max(1, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sizes = strings.groupBy("mini").agg(F.count(F.lit(1)).alias("strings"))
     big = sizes.filter(F.col("strings") > bucket_strings).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(31)))).select("mini", "salt")
-    marked = materialize(
-        strings.withColumn("salt", F.pmod(F.xxhash64("skey"), F.lit(32)).cast("int"))
-        .join(big.withColumn("large", F.lit(True)), ["mini", "salt"], "left"), "substring-strings")
-    small = (marked.filter("large is null").select("mini", "skey", "low", "packed")
+    marked = strings.withColumn("salt", F.pmod(F.xxhash64("skey"), F.lit(32)).cast("int")).join(
+        big.withColumn("large", F.lit(True)), ["mini", "salt"], "left")
+    marked = materialize(marked, "substring-strings")
+    small = (marked.filter("large is null").select("mini", "skey", "low", "high", "packed")
              .repartition(partitions, "mini").sortWithinPartitions("mini")
-             .mapInArrow(_bucket_table(window), "skey binary, least array<long>"))
+             .mapInArrow(_bucket_table(window), "skey binary, runs array<struct<a:int, b:int, least:bigint>>"))
     # Large buckets: by window.  The smallest id of a window, then back to the strings that have it.
-    spans = arrow_map(marked.filter("large").select("skey", "low", "packed"), _explode_windows(window),
-                      "skey binary, place int, low long, span binary")
-    spans = spans.withColumn("span", F.unhex(F.sha2("span", 256)))
-    salted = spans.withColumn("salt", F.pmod(F.xxhash64("skey"), F.lit(16)).cast("int"))
-    least = spans.groupBy("span").agg(F.min("low").alias("least")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    large = (salted.join(least, ["span", "salt"]).groupBy("skey")
-             .agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("least")))
+    spans = arrow_map(marked.filter("large").select("skey", "low", "high", "packed"), _explode_windows(window),
+                      "skey binary, place int, low long, high long, span binary")
+    spans = materialize(spans.withColumn("span", F.unhex(F.sha2("span", 256))), "substring-windows")
+    least = (spans.groupBy("span").agg(F.min("low").alias("least"), F.max("high").alias("top")).filter("least < top")
+             .select("span", "least", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")))
+    large = (spans.withColumn("salt", F.pmod(F.xxhash64("skey"), F.lit(16)).cast("int")).join(least, ["span", "salt"])
+             .filter("least < high").groupBy("skey").agg(F.collect_list(F.struct(
+                 F.col("place").alias("a"), (F.col("place") + 1).alias("b"), "least")).alias("runs")))
     return small.unionByName(large)
 
 
@@ -226,17 +280,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Dat
     found = arrow_map(rows.join(wanted, "doc_id").select("doc_id", "text", "places"), _pack(window),
                       "mini long, doc_id long, first int, packed binary")
     found = materialize(found.withColumn("skey", F.unhex(F.sha2("packed", 256))), "substring-packed")
-    strings = found.groupBy("mini", "skey").agg(F.min("doc_id").alias("low"), F.first("packed").alias("packed"))
-    least = window_least(strings, window).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    strings = found.groupBy("mini", "skey").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                                                F.first("packed").alias("packed"))
+    runs = window_runs(strings, window).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     hits = (found.select("doc_id", "first", "skey", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int").alias("salt"))
-            .join(least, ["skey", "salt"]))
-    # Consecutive windows with a smaller id, as one interval of words.
-    start = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: (F.col("least")[i] < F.col("doc_id"))
-                     & ((i == 0) | ~(F.get("least", i - 1) < F.col("doc_id"))))
-    end = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: (F.col("least")[i] < F.col("doc_id"))
-                   & ((i == F.size("least") - 1) | ~(F.get("least", i + 1) < F.col("doc_id"))))
-    spans = F.zip_with(start, end, lambda a, b: F.struct(
-        (a + F.col("first")).alias("from"), (b + F.col("first") + F.lit(window)).alias("to")))
+            .join(runs, ["skey", "salt"]))
+    spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct(
+        (F.col("first") + r["a"]).alias("from"), (F.col("first") + r["b"] - 1 + F.lit(window)).alias("to")))
     return (hits.withColumn("spans", spans).filter(F.size("spans") > 0)
             .groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
