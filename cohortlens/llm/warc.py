@@ -58,12 +58,11 @@ def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS
              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
              .select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     pages = pages.join(first, ["digest", "salt"], "left")
-    # Of repeated rows of the first id, one is the response.
-    nth = F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url"))
-    one = pages.filter(F.col("first").isNotNull() & (F.col("first") == F.col("page_id"))).withColumn("nth", nth)
-    rest = pages.filter(F.col("first").isNull() | ~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False)))
-    pages = one.unionByName(rest.withColumn("nth", F.lit(1)))
-    revisit = F.col("first").isNotNull() & (~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False)) | (F.col("nth") > 1))
+    # Of repeated rows of the first id, one is the response; the salt keeps them together, so pages move once.
+    nth = F.row_number().over(W.partitionBy("digest", "salt", "page_id").orderBy("url"))
+    is_first = F.coalesce(F.col("first") == F.col("page_id"), F.lit(False)) & (F.col("nth") == 1)
+    pages = pages.withColumn("nth", nth)
+    revisit = F.col("first").isNotNull() & ~is_first
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
