@@ -92,10 +92,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lanes) with the next row's text and lanes, by descending id, the first after the last.
+    """``docs`` (doc_id, text) with its lanes and the next row's text and lanes, by descending id, the first after the last.
 
     Rows are dealt to ranges of ids; a range also gets a copy of the row that
-    follows its last one, so no task sees more than one range.
+    follows its last one, so no task sees more than one range.  Lanes are made
+    after the copies are picked, so only rows that stay are hashed.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("uid", F.xxhash64("text"))
@@ -120,6 +121,7 @@ def with_next(docs: DataFrame) -> DataFrame:
               .withColumn("nth", F.row_number().over(W.partitionBy("into").orderBy(*order)))
               .filter("nth = 1").drop("nth", "head").withColumnRenamed("into", "bucket"))
     both = docs.withColumn("ghost", F.lit(False)).unionByName(copies.withColumn("ghost", F.lit(True)))
+    both = add_lanes(both, "text", "lanes")
     line = W.partitionBy("bucket").orderBy(F.col("ghost").asc(), *order)
     follower = F.lead(F.struct("text", "lanes")).over(line)
     return (both.withColumn("follower", follower).filter("not ghost").drop("ghost", "bucket", "uid"))
@@ -128,7 +130,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of the texts and of the edited texts, and both likenesses; see the module's first lines."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = with_next(add_lanes(docs, "text", "lanes")).withColumn("n_chars", F.char_length("text").cast("long"))
+    docs = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut),
                       F.substring(F.col("follower.text"), F.lit(1), cut))
