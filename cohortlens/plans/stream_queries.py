@@ -42,7 +42,7 @@ def q_stream_segment_counts(spark, sf_dir):
 def q_stream_segment_counts_append(spark, sf_dir):
     """L2 in append mode: a window comes out once, when the watermark has passed it.
 
-    One event two days later closes the last windows; its own window stays open.
+    What parallel tasks wrote into a day's folder is read in one trigger, so no event is late.  One event two days later closes the last windows; its own window stays open.
     """
     folder = fresh_path(spark, "events")
     events = read_table(spark, sf_dir, "events").select(*P.EVENTS_SCHEMA.fieldNames())
@@ -53,7 +53,7 @@ def q_stream_segment_counts_append(spark, sf_dir):
     out, ckpt = fresh_path(spark, "segment_counts"), fresh_path(spark, "segment_counts_ckpt")
     segments = P.static_segments(adapter.segmented(spark, sf_dir))
     for step in range(2):  # the events, then the closing one: a second run goes on from the checkpoint
-        P.run_segment_counts(P.events_stream(spark, folder), segments, out, ckpt, mode="append").awaitTermination()
+        P.run_segment_counts(P.events_stream(spark, folder, max_files=None), segments, out, ckpt, mode="append").awaitTermination()
         if step == 0:
             end.write.parquet(f"{folder}/day=2")
     return spark.read.parquet(out)

@@ -66,10 +66,17 @@ def run_stream_score(spark: SparkSession, folder: str, model: SCO.SegmentModel,
     return w.start()
 
 
-def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """Parquet events below ``path`` (a file or a folder)."""
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .option("recursiveFileLookup", True).parquet(path))
+def events_stream(spark: SparkSession, path: str, max_files: int | None = 1) -> DataFrame:
+    """Parquet events below ``path`` (a file or a folder); ``max_files`` None: all that has arrived in one trigger.
+
+    The source takes files in order of modification time.  Files written by parallel
+    tasks are therefore in no order of event time: in append mode read them in one trigger,
+    or the watermark of a later file drops the events of an earlier one.
+    """
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("recursiveFileLookup", True)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def segment_counts(events: DataFrame, segments: DataFrame, window: str = "1 hour",
