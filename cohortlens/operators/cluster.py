@@ -23,6 +23,7 @@ from .evaluate import silhouette_squared
 from .partials import batch_sums, task_count
 
 PARALLEL_FITS = 6
+DRAW_TASKS = 4  # tasks that add up a mini-batch: a draw is some 30,000 rows
 
 
 def vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -106,48 +107,66 @@ def fit_minibatch_kmeans(df: DataFrame, cols: list[str], k: int, n_rows: int, se
                          batches_per_draw: int = 32) -> tuple[list[list[float]], int]:
     """Mini-batch k-means: (centers, number of batches).
 
-    Each pass over the table draws ``batches_per_draw`` random batches (a bounded
-    number of rows, whatever the table's size).  A batch moves each center towards
-    the batch's mean by ``rows of the batch / rows seen``; the fit ends when the
-    smoothed batch inertia has not improved for ``max_no_improvement`` batches, or
-    after as many batches as ``max_passes`` passes would hold.
+    A pass over the table draws ``batches_per_draw`` batches: each row is drawn a
+    Poisson number of times, the same share of every partition, and each draw goes
+    to a random batch of about ``batch_size`` rows.  The first three batches of all
+    give the start centers.  A batch is one aggregate of counts, sums and
+    squared distances per center, and moves each center towards the batch's mean by
+    ``rows of the batch / rows seen``; only these sums reach the driver.  The fit ends
+    when the smoothed batch inertia has not improved for ``max_no_improvement``
+    batches, or after as many batches as ``max_passes`` passes would hold.
     """
     rng = np.random.default_rng(seed)
     centers = seen = smoothed = best = None
     stall = done = 0
     most = max(1, max_passes * n_rows // batch_size)
     alpha = min(1.0, batch_size * 2.0 / (n_rows + 1))
-    draw = 0
     while done < most:
-        share = min(1.0, 1.2 * batches_per_draw * batch_size / max(n_rows, 1))
-        rows = df.select(*[F.col(c).cast("double") for c in cols]).sample(fraction=share, seed=seed + draw)
-        X = np.array([tuple(r) for r in rows.limit(batches_per_draw * batch_size).collect()], float).reshape(-1, len(cols))
-        draw += 1
-        if not len(X):
-            continue
-        if centers is None:
-            from pyspark.ml.linalg import Vectors
-            start = df.sparkSession.createDataFrame([(Vectors.dense(x),) for x in X[:3 * batch_size]], ["features"])
-            centers = np.array(KMeans(k=k, seed=seed, maxIter=1).fit(start).clusterCenters())
-            seen = np.zeros(len(centers))
-        for _ in range(min(batches_per_draw, most - done)):
-            batch = X[rng.integers(0, len(X), batch_size)]
-            dist = ((batch[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-            own = dist.argmin(axis=1)
-            count = np.bincount(own, minlength=len(centers))
-            seen += count
-            for j in np.flatnonzero(count):
-                centers[j] += count[j] / seen[j] * (batch[own == j].mean(axis=0) - centers[j])
-            inertia = float(dist.min(axis=1).mean())
-            smoothed = inertia if smoothed is None else smoothed * (1 - alpha) + inertia * alpha
-            done += 1
-            stall = 0 if best is None or smoothed < best else stall + 1
-            best = smoothed if best is None else min(best, smoothed)
-            if stall >= max_no_improvement:
-                return centers.tolist(), done
+        drawn = draw_batches(df, cols, n_rows, batch_size, batches_per_draw, rng).persist()
+        try:
+            if centers is None:
+                start = vectors(drawn.filter(F.col("batch") < 3), cols)
+                centers = np.array(KMeans(k=k, seed=seed, maxIter=1).fit(start).clusterCenters())
+                seen = np.zeros(len(centers))
+            for number in range(min(batches_per_draw, most - done)):
+                sums = batch_sums(drawn, [*cols, "batch"], _minibatch_part, len(centers) * (1 + len(cols)) + 1,
+                                  (centers, number), DRAW_TASKS)
+                count = sums[:len(centers)]
+                if not count.any():
+                    continue
+                seen += count
+                total = sums[len(centers):-1].reshape(len(centers), -1)
+                for j in np.flatnonzero(count):
+                    centers[j] += count[j] / seen[j] * (total[j] / count[j] - centers[j])
+                inertia = float(sums[-1] / count.sum())
+                smoothed = inertia if smoothed is None else smoothed * (1 - alpha) + inertia * alpha
+                done += 1
+                stall = 0 if best is None or smoothed < best else stall + 1
+                best = smoothed if best is None else min(best, smoothed)
+                if stall >= max_no_improvement:
+                    return centers.tolist(), done
+        finally:
+            drawn.unpersist()
     return centers.tolist(), done
 
 
+def draw_batches(df: DataFrame, cols: list[str], n_rows: int, batch_size: int, batches: int, rng) -> DataFrame:
+    """(cols, batch): about ``batches * batch_size`` rows drawn with replacement from all partitions alike."""
+    seeds = rng.integers(0, 1 << 31, 2)
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).sample(
+        withReplacement=True, fraction=batches * batch_size / max(n_rows, 1), seed=int(seeds[0]))
+    return rows.withColumn("batch", F.floor(F.rand(int(seeds[1])) * batches).cast("int")).repartition(DRAW_TASKS)
+
+
+def _minibatch_part(X, params):
+    """Sums of one batch's rows (their number is the last column): per center [rows], [x], then the squared distances."""
+    centers, number = params
+    X = X[X[:, -1] == number, :-1]
+    dist = ((X[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    own = np.eye(len(centers))[dist.argmin(axis=1)]
+    return np.concatenate([own.sum(axis=0), (own.T @ X).ravel(), [dist.min(axis=1).sum()]])
+
+
 # ---------------------------------------------------------------------------
 # K3 / K4 Gaussian mixtures by EM, one pass over all rows per step
 # ---------------------------------------------------------------------------

@@ -101,7 +101,9 @@ def evaluate_candidate(vec: DataFrame, n_rows: int, scaler, variant: str, prep:
     zcols = [f"z_{f}" for f in scaler.features]
     k, cand = cfg.final_k, Candidate(variant, prep, list(scaler.features), scaler=scaler)
     if variant == "minibatch_kmeans":
-        fits = [K.fit_minibatch_kmeans(vec, zcols, k, n_rows, seed=s) for s in K.seeds_for(max(1, cfg.n_init_final // 2))]
+        seeds = K.seeds_for(max(1, cfg.n_init_final // 2))
+        with ThreadPoolExecutor(max_workers=len(seeds)) as pool:
+            fits = list(pool.map(lambda s: K.fit_minibatch_kmeans(vec, zcols, k, n_rows, seed=s), seeds))
         distance = [F.sum(F.array_min(D.distance_array(zcols, c))).alias(f"c{i}") for i, (c, _) in enumerate(fits)]
         costs = list(vec.agg(*distance).first())
         best = costs.index(min(costs))

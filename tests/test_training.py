@@ -143,3 +143,17 @@ def test_publish_replaces_whole_versions(spark):
     for n in (3, 5):
         W.publish(spark.range(n), base)
         assert spark.read.parquet(W.published(spark, base)).count() == n
+
+
+def test_minibatch_kmeans_draws_from_every_partition(spark):
+    """60,000 rows ordered by cluster: the last sixth is a cluster of its own."""
+    df = spark.range(0, 60_000, 1, 12).select(
+        (F.floor(F.col("id") / 10_000) * 10 + F.when(F.col("id") < 50_000, 0).otherwise(1000)
+         + F.col("id") % 7 / 10).alias("x"), (F.col("id") % 5 / 10).alias("y")).persist()
+    centers, done = K.fit_minibatch_kmeans(df, ["x", "y"], 6, 60_000)
+    assert done > 1 and min(abs(x - 1050.3) for x, _ in centers) < 1
+    drawn = K.draw_batches(df, ["x", "y"], 60_000, 1024, 32, np.random.default_rng(3)).groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") > 1000).alias("last")).collect()
+    assert sorted(r.batch for r in drawn) == list(range(32))
+    assert all(850 < r.n < 1200 and 0.1 < r.last / r.n < 0.25 for r in drawn)  # each batch is of the whole table
+    df.unpersist()
