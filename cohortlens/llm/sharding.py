@@ -2,7 +2,9 @@
 
 Documents with equal texts are linked.  Linked documents start on hashed shards
 and move, round by round, to the shard where most of their neighbours are, as far
-as the target's free bytes allow; documents without links then level the sizes.
+as the target's free bytes and the bytes that leave it in the same round allow; when
+the rounds no longer move much, the groups still cut are dealt along the room that is left
+without them, and documents without links then level the sizes.
 
 All documents of a group have the same size, so the state of the propagation is
 one row per (group, shard) with a count, never more than ``shards`` rows per
@@ -16,6 +18,7 @@ empty table gives no rows.  Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +28,8 @@ from .registry import register
 
 SHARDS = 40
 ROW_OVERHEAD = 16  # bytes a row counts besides its text
-MAX_ROUNDS = 6
+STALLED = 0.02  # share of the wished bytes below which a round is not worth its passes
+SNAP = 0.01  # share of a shard by which a group may pass a shard's end and stay whole
 
 
 def _uniform(*cols):
@@ -45,36 +49,59 @@ def _pick(values: list[float], index):
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (index + 1).cast("int"))
 
 
-def propagate(cells: DataFrame, shards: int, capacity: float, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _granted(free: list[float], demand: list[list[int]]) -> list[float]:
+    """Per target, the share of the bytes wished into it that keeps every shard within its capacity.
+
+    ``demand[s][t]``: bytes that would go from s to t.  What leaves a shard counts as
+    its room, so equal bytes are swapped between full shards.  Starts from all
+    wishes and lowers the shares until each shard's arrivals fit.
+    """
+    demand = np.array(demand, float)
+    wished, share = demand.sum(axis=0), np.ones(len(free))
+    for _ in range(1000):
+        room = np.maximum(0.0, np.array(free) + demand @ share)
+        lower = np.minimum(share, room / np.maximum(wished, 1.0))
+        if np.abs(share - lower).max() < 1e-4:
+            break
+        share = lower
+    return [float(x) for x in lower]
+
+
+def propagate(cells: DataFrame, shards: int, capacity: float) -> DataFrame:
     """Move linked documents towards their neighbours' shards under byte quotas.
 
     ``cells``: (g, shard, n, size), one row per group and shard.  Each round sums
     the shards' loads, lets every group part choose the shard that holds most of
-    it and still has room (ties by a hash), and moves the other documents of the
-    part there; where the demand exceeds the room, each cell moves its share of
-    it, fractions rounded by a hash.  Ends when nothing moves.
+    it (ties by a hash), and asks to move the other documents of the part there;
+    of the demand each cell moves the share that fits (``_granted``), fractions
+    rounded by a hash.  Each move makes the sum of n * n larger, so the rounds end:
+    when nothing is wished, or the granted bytes are a small share of the wished
+    ones.  Parts that are cut then are dealt whole (``_deal``).
     """
     whole = W.partitionBy("g")
     parts = F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil(
         F.sum(F.col("n") * F.col("size")).over(whole) / F.lit(max(capacity, 1) / 2))))
     cells = materialize(
         cells.withColumn("part", F.floor(F.col("shard") * parts / F.lit(shards)).cast("int")), "shard-cells")
-    for turn in range(max_rounds):
+    turn = 0
+    while True:
         free = [capacity - x for x in _bytes_by_shard(cells, shards, F.col("n") * F.col("size"))]
-        room = _pick(free, F.col("shard"))
         part = W.partitionBy("g", "part")
-        best = part.orderBy((room > 0).desc(), F.col("n").desc(), F.xxhash64("g", "part", "shard"))
-        best_n = F.first("n").over(best)
-        wish = (cells.withColumn("target", F.first("shard").over(best)).withColumn("target_n", best_n)
-                .withColumn("target_room", F.first(room).over(best))
-                .withColumn("moves", (F.col("target") != F.col("shard")) & (F.col("target_room") > 0)
-                            & (F.col("target_n") >= F.col("n"))))
-        demand = _bytes_by_shard(
-            wish.filter("moves").select(F.col("target").alias("shard"), (F.col("n") * F.col("size")).alias("b")),
-            shards, F.col("b"))
-        if not any(demand):
+        best = part.orderBy(F.col("n").desc(), F.xxhash64("g", "part", "shard"))
+        wish = (cells.withColumn("target", F.first("shard").over(best))
+                .withColumn("moves", F.col("target") != F.col("shard")))
+        demand = [[0] * shards for _ in range(shards)]
+        for source, target, size in wish.filter("moves").groupBy("shard", "target").agg(
+                F.sum(F.col("n") * F.col("size"))).collect():  # at most shards x shards rows
+            demand[source][target] = int(size)
+        wished = [sum(x) for x in zip(*demand)]
+        if not any(wished):
             break
-        share = _pick([min(1.0, max(f, 0) / d) if d else 0.0 for f, d in zip(free, demand)], F.col("target"))
+        granted = _granted(free, demand)
+        if sum(x * w for x, w in zip(granted, wished)) < STALLED * sum(wished):
+            cells = _deal(cells, shards, capacity)
+            break
+        share = _pick(granted, F.col("target"))
         going = F.when(F.col("moves"), F.least("n", F.floor(
             F.col("n") * share + _uniform("g", "part", "shard", F.lit(turn))))).otherwise(F.lit(0)).cast("long")
         wish = wish.withColumn("going", going)
@@ -83,9 +110,38 @@ def propagate(cells: DataFrame, shards: int, capacity: float, max_rounds: int =
         stayed = wish.select("g", "part", "shard", (F.col("n") - F.col("going")).alias("n"), "size").filter("n > 0")
         cells = materialize(stayed.unionByName(arrived).groupBy("g", "part", "shard", "size")
                             .agg(F.sum("n").alias("n")), "shard-cells")
+        turn += 1
     return cells.groupBy("g", "shard").agg(F.sum("n").alias("n"))
 
 
+def _deal(cells: DataFrame, shards: int, capacity: float) -> DataFrame:
+    """Put the parts that lie on several shards on one each, along the rooms that the whole parts leave.
+
+    The rooms stand one after the other, and each part takes the next bytes of them.  A part
+    that meets a room's end goes where its middle is; only one larger than
+    ``SNAP`` of a shard is cut there, between documents.
+    """
+    of = W.partitionBy("g", "part")
+    marked = materialize(cells.withColumn("cut", F.count(F.lit(1)).over(of) > 1), "shard-cells")
+    rest = marked.filter("cut").groupBy("g", "part", "size").agg(F.sum("n").alias("n"))
+    count, extra = rest.agg(F.count(F.lit(1)), F.sum(F.col("n") * F.col("size"))).first()
+    load = _bytes_by_shard(marked.filter(~F.col("cut")), shards, F.col("n") * F.col("size"))
+    ends = np.cumsum(_water_level(load, int(extra))).tolist()
+    rest = add_prefix(rest, [], ["g", "part"], {"at": F.col("n") * F.col("size")}, buckets_for(count))
+    length = F.col("n") * F.col("size")
+    snap = F.col("at") + length / 2
+    # documents of the part whose middle lies before a room's end; the last end takes all
+    before = [F.when(length <= F.lit(2 * SNAP * capacity), F.when(snap < F.lit(e), F.col("n")).otherwise(F.lit(0)))
+              .otherwise(F.least(F.col("n"), F.greatest(F.lit(0), F.ceil((F.lit(e) - F.col("at")) / F.col("size") - 0.5))))
+              .cast("long") for e in ends[:-1]] + [F.col("n")]
+    dealt = (rest.withColumn("upto", F.array(*before))
+             .select("g", "part", "size", "upto", F.posexplode("upto").alias("shard", "last"))
+             .withColumn("n", F.col("last") - F.when(F.col("shard") > 0, F.element_at(
+                 "upto", F.greatest(F.col("shard"), F.lit(1)))).otherwise(F.lit(0))).filter("n > 0"))
+    return materialize(marked.filter(~F.col("cut")).select("g", "part", "shard", "n", "size").unionByName(
+        dealt.select("g", "part", "shard", "n", "size")), "shard-cells")
+
+
 def _water_level(load: list[int], extra: int) -> list[float]:
     """Room of each shard below the level that ``extra`` more bytes would reach."""
     rest, level = sorted(load), 0.0

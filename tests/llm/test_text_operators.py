@@ -1,6 +1,7 @@
 """Operators 3, 4, 6, 7, 8 and 9 against brute force on hard rows, and on an empty table."""
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -276,6 +277,24 @@ def test_propagation_gathers_scattered_groups(spark):
     assert sum(n > 1 for n in per.values()) < 6 and max(load.values()) <= total * 2.0 + 100
 
 
+@pytest.mark.parametrize("low, high", [(2, 10), (2, 2)])
+def test_sharding_keeps_groups_where_every_text_has_a_copy(spark, low, high):
+    """Full shards from the start: documents can only change places."""
+    rng = random.Random(low + high)
+    texts = [f"text {g:06d}" for g in range(3000) for _ in range(rng.randint(low, high))]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = sharding.shard_documents(docs).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    where, load = collections.defaultdict(set), collections.Counter()
+    for r in out:
+        where[texts[r.doc_id]].add(r.shard)
+        load[r.shard] += r.size
+    mean = sum(load.values()) / 40
+    assert sum(len(v) > 1 for v in where.values()) <= 39  # at most one at a shard's end
+    assert all(abs(v - mean) < 0.1 * mean for v in load.values())
+
+
 def slow_lanes(text):
     parts = [p for p in re.split(r"\s*\n\s*|(?<=[.!?])[ \t]+", text) if p]
     hashes = [xxhash.xxh64_intdigest(p.encode(), seed=42) for p in parts]
