@@ -236,13 +236,13 @@ def q_candidate_grid(spark, sf_dir):
 
 @register("best_candidate")
 def q_best_candidate(spark, sf_dir):
-    """H3: lexicographic best of the linear scalers' candidates (silhouette up, Davies-Bouldin down, Calinski up, 6 dp)."""
-    ok = [c for c in grid(spark, sf_dir, preprocessors=GRID_PREPROCESSORS[:2]) if c.error is None]
+    """H3: lexicographic best of all 16 candidates (silhouette up, Davies-Bouldin down, Calinski up, 6 dp)."""
+    ok = [c for c in grid(spark, sf_dir) if c.error is None]
     return spark.createDataFrame(_cand_rows([max(ok, key=TR.Candidate.key)]), CAND_SCHEMA)
 
 
 @register("aic_bic")
 def q_aic_bic(spark, sf_dir):
-    """AIC / BIC of the fitted mixtures on each linear scaler."""
-    rows = _cand_rows(grid(spark, sf_dir, GRID_VARIANTS[2:], GRID_PREPROCESSORS[:2]))
+    """AIC / BIC of every candidate of the grid; null for the variants without a likelihood."""
+    rows = _cand_rows(grid(spark, sf_dir))
     return spark.createDataFrame(rows, CAND_SCHEMA).select("variant", "preprocessor", "aic", "bic")

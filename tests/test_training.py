@@ -13,7 +13,7 @@ from cohortlens.plans import training as TR
 from cohortlens.session import fresh_path
 from cohortlens.sinks import writers as W
 from cohortlens.sources import files
-from conftest import PLANTED, planted_rows
+from conftest import PLANTED, SF_SMALL, planted_rows
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +157,21 @@ def test_minibatch_kmeans_draws_from_every_partition(spark):
     assert sorted(r.batch for r in drawn) == list(range(32))
     assert all(850 < r.n < 1200 and 0.1 < r.last / r.n < 0.25 for r in drawn)  # each batch is of the whole table
     df.unpersist()
+
+
+def test_best_candidate_and_aic_bic_cover_the_whole_grid(spark, monkeypatch):
+    """The best cell is the last of the grid: variant and scaler must both be tried."""
+    asked = []
+
+    def evaluate(df, n_rows, cfg):
+        asked.append((cfg.model_variants, cfg.preprocessors))
+        cells = [(v, p) for v in cfg.model_variants for p in cfg.preprocessors]
+        return [TR.Candidate(v, p, S.FEATURES, 0.01 * i, 1.0, 1.0, None, *([1.0, 2.0] if "gauss" in v else [None, None]))
+                for i, (v, p) in enumerate(cells)]
+
+    monkeypatch.setattr(TR, "evaluate_grid", evaluate)
+    best = Q.q_best_candidate(spark, SF_SMALL).collect()
+    rows = Q.q_aic_bic(spark, SF_SMALL).collect()
+    assert asked == [(Q.GRID_VARIANTS, Q.GRID_PREPROCESSORS)] * 2
+    assert [(r.variant, r.preprocessor) for r in best] == [("gaussian_mixture_diag", "power_yeo_johnson")]
+    assert len(rows) == 16 and sum(r.aic is not None for r in rows) == 8
