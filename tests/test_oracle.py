@@ -5,7 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 SQL = E.oracle_sql()
 

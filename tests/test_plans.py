@@ -4,7 +4,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def _executed(spark, name):

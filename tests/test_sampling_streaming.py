@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import sampling as SM
 from cohortlens.sources import adapter
-from conftest import SF_CHECK, SF_SMALL
+from support import SF_CHECK, SF_SMALL
 
 
 def test_cut_sample_equals_brute_force(spark):

@@ -13,7 +13,7 @@ from cohortlens.plans import training as TR
 from cohortlens.session import fresh_path
 from cohortlens.sinks import writers as W
 from cohortlens.sources import files
-from conftest import PLANTED, SF_SMALL, planted_rows
+from support import PLANTED, SF_SMALL, planted_rows
 
 
 @pytest.fixture(scope="module")

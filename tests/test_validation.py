@@ -7,7 +7,7 @@ from cohortlens.operators import scaling as SC
 from cohortlens.operators import scoring as SCO
 from cohortlens.operators import validate as V
 from cohortlens.sources import files
-from conftest import HEADER
+from support import HEADER
 
 
 def _raw(spark, rows, cols=None):
