@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    fingerprint, language, mixing, neighbours, packing, quality, sharding, simhash, substring, warc,
+    decontamination, fingerprint, language, mixing, neighbours, packing, quality, sharding, simhash, substring, warc,
 )
 from .common import prepare
 from .registry import ORACLES, QUERIES, Query
