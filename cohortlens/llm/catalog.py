@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    decontamination, fingerprint, language, mixing, neighbours, packing, quality, sharding, simhash, substring, warc,
+    decontamination, divergence, fingerprint, language, manifest, mixing, neighbours, packing, quality, sharding, simhash,
+    substring, warc,
 )
 from .common import prepare
 from .registry import ORACLES, QUERIES, Query
