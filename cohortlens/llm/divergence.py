@@ -82,22 +82,24 @@ def _share(count: Column, total: Column) -> Column:
 def _pair_sums(key, table):
     """Sums of |p - q| over a block's terms for all pairs of a source of chunk i and one of chunk j."""
     lang, _, i, j = (k.as_py() for k in key)
-    sources, terms, chunks, p = (table.column(c).to_pylist() for c in ("source", "term", "chunk", "p"))
+    sources, terms, chunks, p, block_terms = (table.column(c).to_pylist() for c in ("source", "term", "chunk", "p", "block_terms"))
     chunk_of = dict(zip(sources, chunks))
     names = sorted(chunk_of)
     row_of = {s: k for k, s in enumerate(names)}
     col_of = {t: k for k, t in enumerate(sorted({t for t in terms if t is not None}))}
-    shares = np.zeros((len(names), len(col_of)), np.int64)
-    for s, t, share in zip(sources, terms, p):  # what a source has without the term
+    shares, base, others = np.zeros((len(names), len(col_of)), np.int64), np.zeros(len(names), np.int64), 0
+    for s, t, share, n in zip(sources, terms, p, block_terms):  # what a source has without the term
         if t is None:
-            shares[row_of[s]] = share
+            shares[row_of[s]] = base[row_of[s]] = share
+            others = n - len(col_of)  # terms of the block that only sources of other chunks have
     for s, t, share in zip(sources, terms, p):
         if t is not None:
             shares[row_of[s], col_of[t]] = share
     left = [s for s in names if chunk_of[s] == i]
     right = [s for s in names if chunk_of[s] == j]
-    other = shares[[row_of[s] for s in right]]
-    sums = np.concatenate([np.abs(other - shares[row_of[s]]).sum(axis=1) for s in left] or [np.zeros(0, np.int64)])
+    at = [row_of[s] for s in right]
+    sums = np.concatenate([np.abs(shares[at] - shares[row_of[s]]).sum(axis=1) + others * np.abs(base[at] - base[row_of[s]])
+                           for s in left] or [np.zeros(0, np.int64)])
     one, two = [s for s in left for _ in right], right * len(left)
     if i != j:
         one, two, sums = one + two, two + one, np.concatenate([sums, sums])
@@ -131,14 +133,20 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     shared = kept.join(groups, ["lang", "source"])
     shared = shared.withColumn("p", _share(F.col("count"), F.col("total") + base))
     # Pairs of sources, a block of terms and two chunks of sources at a time.
-    cells = shared.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "chunk", "chunks", "term", "p")
+    cells = shared.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "chunk", "chunks", "term", "p",
+                          F.lit(0).cast("long").alias("block_terms"))
     first = F.lit(0).cast("long")
+    block_terms = (vocabulary.join(groups.select("lang", "blocks").distinct(), "lang")
+                   .groupBy("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"))
+                   .agg(F.count(F.lit(1)).alias("block_terms")))
     without = groups.select("lang", F.explode(F.sequence(first, F.col("blocks") - 1)).alias("block"), "source", "chunk", "chunks",
                             F.lit(None).cast("string").alias("term"),
                             F.when(F.col("terms") > 0, _share(F.lit(0).cast("long"), F.greatest(F.col("total") + base, F.lit(1))))
                             .otherwise(0).cast("long").alias("p"))
+    without = without.join(block_terms, ["lang", "block"], "left").fillna({"block_terms": 0})
     cells = cells.unionByName(without).withColumn("other", F.explode(F.sequence(first, F.col("chunks") - 1))).select(
-        "lang", "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "source", "chunk", "term", "p")
+        "lang", "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        "source", "chunk", "term", "p", "block_terms")
     sums = cells.groupBy("lang", "block", "i", "j").applyInArrow(_pair_sums, "lang string, source string, item string, value long")
     pairs = sums.filter("source <> item").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     # Terms that a source has more of than its language.
