@@ -157,7 +157,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     owned = (places.select("tkey", "wid").distinct().join(owners, "wid")
              .select("tkey", F.col("item_id").cast("string").alias("item")).distinct()
              .groupBy("tkey").agg(F.sort_array(F.collect_list("item")).alias("item_ids")))
-    hits = spans.join(owned, "tkey", "left").withColumn("n_hit", _covered(F.col("spans")))
+    # Written, so that the last join is one of its own, whose hot texts Spark can split.
+    hits = materialize(spans.join(owned, "tkey", "left").withColumn("n_hit", _covered(F.col("spans"))), "leak-texts")
     n_words = F.size(words_of(F.coalesce("text", F.lit("")))).cast("long")
     return rows.select("doc_id", key.alias("tkey"), n_words.alias("n_words")).join(hits, "tkey", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "item_ids", "spans")
