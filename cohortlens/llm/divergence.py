@@ -2,9 +2,11 @@
 
 Tokens come from a translate table: ``bytes.translate`` lowers A-Z and turns
 everything but letters and non-ASCII bytes into blanks in one pass, ``bytes.split``
-cuts the terms, and a ``Counter`` per document gives their frequencies.  A task
-adds the documents of a batch up by (lang, source, term), and Spark sums these
-sparse counts, so a hot source or term costs one row per batch.
+cuts the terms, and a ``Counter`` per document gives their frequencies.  A first
+pass counts a language's documents per term, a second one the occurrences per
+(lang, source, term) of the terms that enough documents have.  A task adds its
+documents up and passes on ``HELD_TERMS`` sparse counts at a time, and Spark sums
+these, so a hot source or term costs a few rows per task.
 
 Smoothed shares are whole numbers of billionths.  Divergence of two sources is
 the sum of absolute differences over all kept terms of the language.  Terms are
@@ -21,6 +23,7 @@ table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_column, materialize, read_table
+from .common import bytes_column, materialize, read_table
 from .registry import register
 
 LEAST_DOCS = 30
@@ -36,7 +39,10 @@ SMOOTH = 5
 SCALE_STEPS, SCALE_STEP = 3, 1000  # a billion, in steps that keep long division within 64 bits
 TOP_TERMS = 50
 #: Counts (sources x terms) of one block, and sources of one chunk: a task holds two chunks.
-BLOCK_CELLS, CHUNK_SOURCES = 1 << 20, 1024
+BLOCK_CELLS, CHUNK_SOURCES = 1 << 16, 1024
+
+#: Counts that a task holds before it passes them on; most bytes of kept terms that are sent to every executor.
+HELD_TERMS, VOCABULARY_BYTES = 300_000, 32 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -46,26 +52,59 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs): occurrences of a term in a group, and the documents with it."""
-    def count(batch: pa.RecordBatch) -> pa.Table | None:
-        total: Counter = Counter()
-        with_term: Counter = Counter()
-        columns = [bytes_column(batch, c) for c in ("lang", "source", "text")]
-        for lang, source, text in zip(*columns):
-            for term, n in Counter(terms_of(text)).items():
-                key = (lang, source, term)
-                total[key] += n
-                with_term[key] += 1
-        if not total:
-            return None
-        lang, source, term = (pa.array(x, pa.binary()).cast(pa.string()) for x in zip(*total))
-        return pa.table({"lang": lang, "source": source, "term": term, "count": pa.array(list(total.values()), pa.int64()),
-                         "docs": pa.array([with_term[k] for k in total], pa.int64())})
-
-    rows = docs.select("lang", "source", "text")
-    found = arrow_map(rows, count, "lang string, source string, term string, count long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+def _flush(groups: dict) -> pa.Table:
+    """Counters by key tuple of strings (keys, term, n), emptied."""
+    keys = list(groups)
+    sizes = np.array([len(groups[k]) for k in keys])
+    at = pa.array(np.repeat(np.arange(len(keys)), sizes))
+    columns = [pa.array(names, pa.binary()).take(at).cast(pa.string()) for names in zip(*keys)]
+    terms = pa.array([t for k in keys for t in groups[k]], pa.binary()).cast(pa.string())
+    n = pa.array([v for k in keys for v in groups[k].values()], pa.int64())
+    groups.clear()
+    return pa.Table.from_arrays([*columns, terms, n], [*[f"k{i}" for i in range(len(columns))], "term", "n"])
+
+
+def _sums(by: list[str], amounts, most: int = HELD_TERMS):
+    """A task's sums per key and term of what ``amounts`` makes of a document's Counter; at most about ``most`` are held."""
+    def run(batches):
+        groups: dict = {}
+        for batch in batches:
+            for *key, text in zip(*(bytes_column(batch, c) for c in (*by, "text"))):
+                own = amounts(key, Counter(terms_of(text)))
+                if own:
+                    groups.setdefault(tuple(key), Counter()).update(own)
+            if groups and sum(map(len, groups.values())) >= most:
+                yield from _flush(groups).to_batches(max_chunksize=50_000)
+        if groups:
+            yield from _flush(groups).to_batches(max_chunksize=50_000)
+    return run
+
+
+def term_documents(docs: DataFrame) -> DataFrame:
+    """(lang, term, docs): documents of a language with a term."""
+    found = docs.select("lang", "text").mapInArrow(_sums(["lang"], lambda key, own: list(own)), "lang string, term string, n long")
+    return found.groupBy("lang", "term").agg(F.sum("n").alias("docs"))
+
+
+def term_counts(docs: DataFrame, keep: dict[bytes, frozenset] | None = None) -> DataFrame:
+    """(lang, source, term, count): occurrences of a term in a group; only of the terms in ``keep`` by language if given."""
+    sent = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def occurrences(key, own):
+        kept = own if sent.value is None else sent.value.get(key[0], frozenset()).intersection(own)
+        return list(chain.from_iterable(repeat(t, own[t]) for t in kept))
+    found = docs.select("lang", "source", "text").mapInArrow(
+        _sums(["lang", "source"], occurrences), "lang string, source string, term string, n long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
+
+
+def _small_vocabulary(vocabulary: DataFrame, most: int) -> dict[bytes, frozenset] | None:
+    """The kept terms by language if they need at most ``most`` bytes, to drop others before the shuffle; else none."""
+    size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("term") + F.octet_length("lang") + 64), F.lit(0))).first()[0]
+    if size > most:
+        return None
+    rows = vocabulary.groupBy("lang").agg(F.collect_list("term").alias("terms")).collect()
+    return {r.lang.encode(): frozenset(t.encode() for t in r.terms) for r in rows}
 
 
 def _share(count: Column, total: Column) -> Column:
@@ -108,16 +147,18 @@ def _pair_sums(key, table):
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS,
-          top_terms: int = TOP_TERMS, block_cells: int = BLOCK_CELLS, chunk_sources: int = CHUNK_SOURCES) -> DataFrame:
+          top_terms: int = TOP_TERMS, block_cells: int = BLOCK_CELLS, chunk_sources: int = CHUNK_SOURCES,
+          vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank): pairs of sources of a language, and the terms that a source has more of."""
     empty = F.lit("")
     docs = docs.select(F.coalesce(F.col(lang_col), empty).alias("lang"), F.coalesce(F.col(source_col), empty).alias("source"),
                        F.col(text_col).alias("text"))
-    counts = materialize(term_counts(docs), "divergence-counts")
-    by_term = counts.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs"))
-    vocabulary = materialize(by_term.filter(F.col("docs") >= least_docs).select("lang", "term", "lang_count"), "divergence-terms")
-    kept = materialize(counts.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "count", "lang_count"),
-                       "divergence-kept")
+    frequent = term_documents(docs).filter(F.col("docs") >= least_docs).select("lang", "term")
+    vocabulary = materialize(frequent, "divergence-terms")
+    counts = term_counts(docs, _small_vocabulary(vocabulary, vocabulary_bytes))
+    # The join decides which terms are kept; the vocabulary sent along only spares it rows.
+    kept = materialize(counts.join(vocabulary, ["lang", "term"]), "divergence-counts")
+    vocabulary = materialize(kept.groupBy("lang", "term").agg(F.sum("count").alias("lang_count")), "divergence-vocabulary")
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_count").alias("lang_total"))
     own = kept.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     groups = docs.select("lang", "source").distinct()
@@ -130,7 +171,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = groups.join(many, "lang").withColumn("blocks", F.greatest(F.lit(1), blocks).cast("long")).withColumn("chunks", chunks)
     groups = materialize(groups.withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks"))), "divergence-groups")
     base = F.col("terms") * F.lit(SMOOTH)
-    shared = kept.join(groups, ["lang", "source"])
+    shared = kept.join(vocabulary, ["lang", "term"]).join(groups, ["lang", "source"])
     shared = shared.withColumn("p", _share(F.col("count"), F.col("total") + base))
     # Pairs of sources, a block of terms and two chunks of sources at a time.
     cells = shared.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "chunk", "chunks", "term", "p",

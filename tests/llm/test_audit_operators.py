@@ -181,9 +181,10 @@ def slow_audit(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least,cells,chunk", [(3, 1 << 20, 1024), (1, 40, 1024), (2, 30, 2), (1000, 1 << 20, 1024)])
-def test_divergence_equals_brute_force(hard, least, cells, chunk):
-    found = divergence.audit(hard, least_docs=least, top_terms=5, block_cells=cells, chunk_sources=chunk)
+@pytest.mark.parametrize("least,cells,chunk,sent", [(3, 1 << 20, 1024, 1 << 20), (1, 40, 1024, 0), (2, 30, 2, 1 << 20),
+                                                    (1000, 1 << 20, 1024, 1 << 20)])
+def test_divergence_equals_brute_force(hard, least, cells, chunk, sent):
+    found = divergence.audit(hard, least_docs=least, top_terms=5, block_cells=cells, chunk_sources=chunk, vocabulary_bytes=sent)
     got = sorted(tuple(r) for r in found.select("lang", "source", "part", "item", "value", "rank").collect())
     assert got == slow_audit(hard.collect(), least, 5)
     assert got
