@@ -27,8 +27,7 @@ SHARE, MOST = 1.5, 2.0  # of all sizes; of a source's size
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
 SEED = 20
-#: Primes for the permutations (fixed values: the first twelve above a million).
-PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171)
+ROUNDS, WALKS = 4, 64  # of the permutations
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -59,12 +58,27 @@ def _uniform(*cols: Column) -> Column:
 
 
 def _permuted(index: Column, blocks: Column, *salt: Column) -> Column:
-    """A permutation of 0..blocks-1 chosen by ``salt``: index times a prime that does not divide blocks, plus a shift."""
-    primes = F.array(*[F.lit(p) for p in PRIMES])
-    usable = F.filter(primes, lambda p: F.pmod(blocks, p) != 0)
-    prime = F.element_at(usable, (F.pmod(F.xxhash64(*salt, F.lit(1)), F.size(usable)) + 1).cast("int"))
-    shift = F.pmod(F.xxhash64(*salt, F.lit(2)), blocks)
-    return F.pmod(index * F.pmod(prime.cast("long"), blocks) + shift, blocks)
+    """A pseudorandom permutation of 0..blocks-1 chosen by ``salt``: a Feistel network with cycle walking.
+
+    A number is two digits of bases a and b, about the root of ``blocks`` each; in turn
+    each digit moves by a hash of the other.  That permutes 0..ab-1, with fewer than
+    a numbers beyond ``blocks``; a number that comes out beyond is permuted again.  Up to 4,096 blocks WALKS
+    steps always end, above the chance that they do not is below blocks to the power -30, and then it is an error.
+    """
+    a = F.ceil(F.sqrt(blocks.cast("double"))).cast("long")
+    b = F.ceil(blocks / a).cast("long")
+
+    def once(x: Column) -> Column:
+        low, high = F.pmod(x, a), F.floor(x / a).cast("long")
+        for k in range(0, ROUNDS, 2):
+            low = F.pmod(low + F.pmod(F.xxhash64(high, *salt, F.lit(k)), a), a)
+            high = F.pmod(high + F.pmod(F.xxhash64(low, *salt, F.lit(k + 1)), b), b)
+        return high * a + low
+
+    first = once(index)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < blocks, x).otherwise(once(x)))
+    found = F.when(first < blocks, first).otherwise(walked)
+    return F.when(found < blocks, found).otherwise(F.raise_error(F.lit("no end of a permutation's cycle")).cast("long"))
 
 
 def draw_slots(spark: SparkSession, plan: DataFrame) -> DataFrame:
@@ -169,20 +183,26 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     _, spans, _ = mix(docs)
     runs = (spans.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
             .groupBy("doc_id", "uid", "src", "start", "turn")
-            .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_runs"), F.sum("words").alias("_n"))
-            .select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("uid").alias("_uid"), "_runs", "_n"))
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(-1)), "_uid": F.xxhash64("doc_id", "text", "source"),
-                            "_size": F.coalesce(F.regexp_count("text", F.lit(WORD_REGEX)), F.lit(0))})
+            .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"), F.sum("words").alias("n"))
+            .select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "uid", "runs", "n"))
+    # The whole row travels as one column, so its names cannot clash.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+                      F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"),
+                      F.xxhash64("doc_id", "text", "source").alias("uid"),
+                      F.coalesce(F.regexp_count("text", F.lit(WORD_REGEX)), F.lit(0)).alias("size"))
     # Repeated rows share their id and uid: one of them stands for all, and joins the runs of each.
-    nth = F.row_number().over(W.partitionBy("_id", "_uid").orderBy("_size"))
-    both = own.filter("_size > 0").withColumn("_nth", nth).filter("_nth = 1").join(runs, ["_id", "_uid"])
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_REGEX), F.lit(0))
-    kept = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(
-        words, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
-    both = both.withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(kept))
+    nth = F.row_number().over(W.partitionBy("id", "uid").orderBy("size"))
+    both = own.filter("size > 0").withColumn("nth", nth).filter("nth = 1").join(runs, ["id", "uid"])
+    # The words are bound once per text, not once per run.
+    words = F.array(F.regexp_extract_all(F.col("row.text"), F.lit(WORD_REGEX), F.lit(0)))
+    kept = F.transform(words, lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(
+        w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " "))[0]
+    both = both.withColumn("text", F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(kept))
+    changed = {"text": F.col("text")}
     if "n_chars" in names:
-        both = both.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*names).unionByName(own.filter("_size = 0").select(*names))
+        changed["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    both = both.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])
+    return both.unionByName(own.filter("size = 0").select("row.*"))
 
 
 @register("op9_mix_sources")

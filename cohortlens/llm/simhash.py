@@ -64,14 +64,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp[, uid]): one row per row of ``docs``; ``uid`` is a hash of the text."""
+    own = ["doc_id", *(["uid"] if text_hash else [])]
+
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, shingle) for t in bytes_column(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(fps, pa.int64())], [*own, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, hashed, "doc_id long, fp long")
+    uid = [F.xxhash64(text_col).alias("uid")] if text_hash else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *uid, F.col(text_col).alias("text"))
+    return arrow_map(rows, hashed, ", ".join(f"{c} long" for c in [*own, "fp"]))
 
 
 def _syndromes(halves: np.ndarray) -> np.ndarray:
@@ -228,11 +232,15 @@ def link(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per row of ``docs``."""
-    marked = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
+                    max_bits: int = MAX_BITS, text_hash: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row per row of ``docs``.
+
+    With ``text_hash`` also ``uid``, a hash of the text, and components are named by their least
+    fingerprint, as ids with several texts may be the smallest of several components.
+    """
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle, text_hash), "simhash-fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-                        .filter("rep is not null"), "simhash-nodes")
+                        .filter("rep is not null").withColumn("rep", F.col("fp" if text_hash else "rep")), "simhash-nodes")
     joined = components(link(nodes, max_bits))
     # Only fingerprints with several documents or links need a lookup; a salt spreads hot ones.
     salts = 16
@@ -243,20 +251,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = (marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
              .join(table, ["fp", "salt"], "left"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                        F.coalesce("component", "doc_id").alias("component_id"))
+                        F.coalesce("component", "fp" if text_hash else "doc_id").alias("component_id"),
+                        *(["uid"] if text_hash else []))
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, all columns.
+    """One row of ``docs`` of each component, all columns: that with the smallest id.
 
+    An id may have several texts; of those in one component the row with the least
+    fingerprint and text hash stays, and a text in another component has its own row.
     Of rows with one id and equal texts one stays; rows with a null id stay.
     """
-    found = near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    same = W.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy("doc_id")
-    kept = kept.withColumn("_nth", F.row_number().over(same))
-    return kept.filter("_nth = 1 or doc_id is null").drop("_nth")
+    found = near_duplicates(docs, text_hash=True).filter("doc_id is not null")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint", "uid")).alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"))
+    # The whole row travels as one column, so its names cannot clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("uid"))
+    line = W.partitionBy("doc_id", "uid").orderBy("doc_id")
+    first = (rows.filter("doc_id is not null").join(kept, ["doc_id", "uid"], "left_semi")
+             .withColumn("nth", F.row_number().over(line)).filter("nth = 1").select("row"))
+    return first.unionByName(rows.filter("doc_id is null").select("row")).select("row.*")
 
 
 @register("op3_simhash_near_duplicates")

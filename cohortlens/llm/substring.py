@@ -20,10 +20,10 @@ Steps, each a Spark job over the whole table:
 5. per document, the windows seen in a smaller id, and the words they cover.
 
 Defined results: a null or empty text has no words and nothing removed; rows with
-a repeated id are one document each for the counting of words, but share the id,
-so they are not removed because of each other; rows with a null id are kept whole
-and remove nothing elsewhere.  An empty table gives no rows.  Columns other than
-the id and the text are ignored.
+a repeated id are documents of their own, known by the id and a hash of the text,
+but share the id, so they are not removed because of each other; rows with a null
+id are kept whole and remove nothing elsewhere.  An empty table gives no rows.
+Columns other than the id and the text are ignored (``cut_documents`` keeps them).
 """
 
 from __future__ import annotations
@@ -103,33 +103,32 @@ def super_kmers(hashes: np.ndarray, window: int = WINDOW, run: int = RUN) -> tup
 def _skeleton(window: int, run: int):
     def places(batch: pa.RecordBatch) -> pa.Table | None:
         out = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_column(batch, "text")):
+        for doc, uid, text in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), bytes_column(batch, "text")):
             mini, first, n = super_kmers(word_hashes(text or b""), window, run)
             if len(mini):
-                out.append((np.full(len(mini), doc), mini, first, n))
+                out.append((np.full(len(mini), doc), np.full(len(mini), uid), mini, first, n))
         if not out:
             return None
-        doc, mini, first, n = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"mini": mini, "doc_id": doc, "first": first.astype(np.int32), "n": n.astype(np.int32)})
+        doc, uid, mini, first, n = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"mini": mini, "doc_id": doc, "uid": uid, "first": first.astype(np.int32), "n": n.astype(np.int32)})
     return places
 
 
 def _pack(window: int):
     """The words of each listed super-k-mer, joined by one space."""
     def pack(batch: pa.RecordBatch) -> pa.Table:
-        out: dict[str, list] = {"mini": [], "doc_id": [], "first": [], "packed": []}
-        for doc, text, places in zip(batch.column("doc_id").to_pylist(), bytes_column(batch, "text"),
-                                     batch.column("places").to_pylist()):
+        out: dict[str, list] = {"mini": [], "doc_id": [], "uid": [], "first": [], "packed": []}
+        for doc, uid, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(),
+                                          bytes_column(batch, "text"), batch.column("places").to_pylist()):
             words = (text or b"").split()
             for place in places:
-                end = place["first"] + place["n"] + window - 1
-                if end <= len(words):  # a repeated id with another text may be shorter
-                    out["mini"].append(place["mini"])
-                    out["doc_id"].append(doc)
-                    out["first"].append(place["first"])
-                    out["packed"].append(b" ".join(words[place["first"]:end]))
-        return pa.table(out, schema=pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()),
-                                               ("packed", pa.binary())]))
+                out["mini"].append(place["mini"])
+                out["doc_id"].append(doc)
+                out["uid"].append(uid)
+                out["first"].append(place["first"])
+                out["packed"].append(b" ".join(words[place["first"]:place["first"] + place["n"] + window - 1]))
+        return pa.table(out, schema=pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("uid", pa.int64()),
+                                               ("first", pa.int32()), ("packed", pa.binary())]))
     return pack
 
 
@@ -268,27 +267,30 @@ def window_runs(strings: DataFrame, window: int, bucket_strings: int = BUCKET_ST
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(doc_id, spans): word intervals [from, to) of each document that windows of smaller ids cover."""
-    rows = docs.filter("doc_id is not null and text is not null")
-    places = materialize(arrow_map(rows, _skeleton(window, run), "mini long, doc_id long, first int, n int"),
+    """(doc_id, uid, spans): word intervals [from, to) of each document that windows of smaller ids cover.
+
+    ``docs``: (doc_id, uid, text); ``uid``, a hash of the text, tells texts of one id apart.
+    """
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "uid", "text")
+    places = materialize(arrow_map(rows, _skeleton(window, run), "mini long, doc_id long, uid long, first int, n int"),
                          "substring-places")
     shared = (places.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
               .filter("lo < hi").select("mini", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")))
     # A frequent minimiser is spread over salts on both sides of the join.
     wanted = (places.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")).join(shared, ["mini", "salt"])
-              .groupBy("doc_id").agg(F.collect_set(F.struct("mini", "first", "n")).alias("places")))
-    found = arrow_map(rows.join(wanted, "doc_id").select("doc_id", "text", "places"), _pack(window),
-                      "mini long, doc_id long, first int, packed binary")
+              .groupBy("doc_id", "uid").agg(F.collect_set(F.struct("mini", "first", "n")).alias("places")))
+    found = arrow_map(rows.join(wanted, ["doc_id", "uid"]).select("doc_id", "uid", "text", "places"), _pack(window),
+                      "mini long, doc_id long, uid long, first int, packed binary")
     found = materialize(found.withColumn("skey", F.unhex(F.sha2("packed", 256))), "substring-packed")
     strings = found.groupBy("mini", "skey").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                                                 F.first("packed").alias("packed"))
     runs = window_runs(strings, window).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    hits = (found.select("doc_id", "first", "skey", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int").alias("salt"))
+    hits = (found.select("doc_id", "uid", "first", "skey", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int").alias("salt"))
             .join(runs, ["skey", "salt"]))
     spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct(
         (F.col("first") + r["a"]).alias("from"), (F.col("first") + r["b"] - 1 + F.lit(window)).alias("to")))
     return (hits.withColumn("spans", spans).filter(F.size("spans") > 0)
-            .groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("spans")))
+            .groupBy("doc_id", "uid").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
 def _kept_words(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
@@ -308,7 +310,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     With ``with_text`` the kept words joined by one space come out as well.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
     spans = repeated_spans(docs, window)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -327,7 +329,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out["kept"] = pa.array(kept_texts, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_pydict(out)
 
-    both = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    both = docs.join(spans, ["doc_id", "uid"], "left").select("doc_id", "text", "spans")
     return arrow_map(both, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string"
                      + (", kept string" if with_text else ""))
 
@@ -340,24 +342,28 @@ def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows stay as they are.
     """
     names = docs.columns
-    spans = repeated_spans(docs, window).withColumnRenamed("spans", "_spans")
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("uid")]
+    spans = repeated_spans(docs.select(*keys, "text"), window)
 
     def cut(batches):
         for batch in batches:
-            columns = {n: batch.column(n) for n in names}
-            texts, stays = bytes_column(batch, "text"), []
-            for i, own in enumerate(batch.column("_spans").to_pylist()):
+            columns = dict(zip(names, batch.column("row").flatten()))
+            own_spans = batch.column("spans").to_pylist()
+            texts, stays = columns["text"].cast(pa.binary()).to_pylist(), []
+            for i, own in enumerate(own_spans):
                 if own:
                     texts[i] = b" ".join(_kept_words((texts[i] or b"").split(), own))
                 stays.append(not own or bool(texts[i]))
-            changed = batch.column("_spans").is_valid()
+            changed = batch.column("spans").is_valid()
             columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
             if "n_chars" in columns:
                 lengths = pc.utf8_length(columns["text"]).cast(columns["n_chars"].type)
                 columns["n_chars"] = pc.if_else(changed, lengths, columns["n_chars"])
-            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stays, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(stays, pa.bool_()))
 
-    return docs.join(spans, "doc_id", "left").select(*names, "_spans").mapInArrow(cut, docs.schema)
+    # The whole row travels as one column, so its names cannot clash.
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), *keys)
+    return rows.join(spans, ["doc_id", "uid"], "left").select("row", "spans").mapInArrow(cut, docs.schema)
 
 
 SQL = r"""

@@ -6,7 +6,8 @@ import pytest
 from cohortlens.llm import common
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
-          "size long, shard int, fp long, spans string, lanes string, g string, salt int, `group` string, first int")
+          "size long, shard int, fp long, spans string, lanes string, g string, salt int, `group` string, first int, "
+          "_id long, _n int, _runs string, _nth int, _spans string, _uid long, row string, uid int, nth int, id int, n int, runs int, turn int")
 
 
 def words(rng, n):
@@ -26,7 +27,7 @@ def hard_rows():
     langs = ["en", "de", None]
     rows = [(i * 3 - 5, t, langs[i % 3], ["a", "b", None, "Z"][i % 4]) for i, t in enumerate(texts)]
     rows += [(10_000, base, "en", "a")] * 2 + [(None, "one two", None, None), (None, None, "en", "a")]
-    return [(*r, len(r[1] or ""), 1, 2, 3, "s", "l", "g", 4, "x", 5) for r in rows]
+    return [(*r, len(r[1] or ""), 1, 2, 3, "s", "l", "g", 4, "x", 5, 1, 2, "r", 3, "s", 4, "w", 5, 6, 7, 8, 9, 10) for r in rows]
 
 
 @pytest.fixture(scope="session")
@@ -45,3 +46,14 @@ def hard(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def twins(spark):
+    """Ids with two texts, one of them a copy, a near copy or clean; (id, text) rows with the columns of the others."""
+    rng = random.Random(11)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    long = words(rng, 900)
+    rows = [(1, a), (2, a), (2, b), (3, b + " " + c), (3, c), (4, None), (4, c), (5, long), (6, long + " tail"), (6, c), (6, long + " tail")]
+    return spark.createDataFrame([(i, t, "en", "a", len(t or ""), 1, 2, 3, "s", "l", "g", 4, "x", 5, 1, 2, "r", 3, "s", 4, "w", 5, 6, 7, 8, 9, 10)
+                                  for i, t in rows], SCHEMA).repartition(2).cache()

@@ -155,6 +155,52 @@ def test_cut_documents_keeps_columns_and_clean_rows(hard):
             assert len(kept[i].text.split()) == n - gone and kept[i].n_chars == len(kept[i].text)
 
 
+def test_texts_of_one_id_are_cut_apart(twins):
+    rows = texts_of(twins)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicated(twins).collect()]
+    assert sorted(got) == slow_removed(rows, 50)
+    out = collections.Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in substring.cut_documents(twins).collect())
+    want = collections.Counter((i, n - gone) for i, n, gone, _ in slow_removed(rows, 50) if gone < n or n == 0)
+    assert out == want and out[(2, 80)] == 1
+
+
+def test_one_row_of_each_component_stays_whatever_the_id(twins):
+    rows = texts_of(twins)
+    prints = [slow_fingerprint(t) for _, t in rows]
+    roots = join_within(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    out = simhash.one_per_component(twins)
+    assert out.dtypes == twins.dtypes
+    kept = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    for root in set(roots):
+        own = [rows[i] for i, r in enumerate(roots) if r == root]
+        assert sum(kept[x] for x in set(own)) == 1
+        assert any(kept[x] for x in own if x[0] == min(i for i, _ in own))
+
+
+def test_mixing_keeps_texts_of_one_id_apart(twins):
+    words = collections.Counter()
+    for r in mixing.mixed_documents(twins).collect():
+        words[r.doc_id] += len(WORD.findall(r.text or ""))
+    want = collections.Counter()
+    for r in mixing.mixed_sizes(twins).collect():
+        want[r.doc_id] += r.taken
+    assert +words == +want
+
+
+def test_mixed_documents_take_time_in_proportion_to_the_text(spark):
+    import time
+    took = []
+    for n in (20_000, 160_000):
+        rng = random.Random(n)
+        text = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+        docs = spark.createDataFrame([(i, text + str(i), "en", "a", 1) for i in range(2)],
+                                     "doc_id long, text string, lang string, source string, n_chars long")
+        start = time.perf_counter()
+        mixing.mixed_documents(docs).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - start)
+    assert took[1] < 4 * took[0] + 5  # 64 times, were it quadratic
+
+
 def test_super_kmers_cover_each_window_once():
     rng = np.random.default_rng(2)
     hashes = rng.integers(0, 5, 700).astype(np.uint64)  # few different words: many ties
@@ -385,10 +431,15 @@ def test_mixed_documents_hold_the_words_taken(hard):
 
 def test_a_permutation_reaches_every_block(spark):
     from pyspark.sql import functions as F
-    for n in (1, 2, 97, 1000, 1_000_003):
+    for n in (1, 2, 3, 5, 97, 1000, 500_001, 1_000_002, 1_000_003):
         df = spark.range(min(n, 3000)).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("x"))
         row = df.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()
         assert row[0] == min(n, 3000) and row[1] >= 0 and row[2] < n
+        if n > 10_000:  # neither in order nor at a fixed stride
+            line = [r.x for r in df.limit(500).collect()]
+            assert len({(b - a) % n for a, b in zip(line, line[1:])}) > 490
+    whole = spark.range(4099).select(mixing._permuted(F.col("id"), F.lit(4099).cast("long"), F.lit(8)).alias("x"))
+    assert sorted(r.x for r in whole.collect()) == list(range(4099))
 
 
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, substring.deduplicated, substring.cut_documents, packing.pack_documents,
