@@ -1,6 +1,6 @@
-"""Clustering over the whole table: k-means with best-of-seeds, the k sweep, mini-batch k-means, mixtures.
+"""Clustering over the whole table: Spark ML k-means with best-of-seeds, mixtures as column expressions, Lloyd steps.
 
-Spark ML has no ``n_init``: the seeds are fitted as concurrent Spark jobs
+``multifit`` fits many models in shared passes and is what training uses.  Spark ML has no ``n_init``: the seeds are fitted as concurrent Spark jobs
 (driver threads, as CrossValidator's ``parallelism`` does) over ONE persisted
 vector frame, and the lowest training cost wins (ties to the first seed).
 Every fit reads every row; frames are persisted and released by the caller.
@@ -19,11 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .evaluate import silhouette_squared
-from .partials import batch_sums, task_count
 
 PARALLEL_FITS = 6
-DRAW_TASKS = 4  # tasks that add up a mini-batch: a draw is some 30,000 rows
 
 
 def vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -83,92 +80,14 @@ def fit_kmeans(vec: DataFrame, k: int, seeds: list[int], tol: float, max_iter: i
         return min(pool.map(one, seeds), key=lambda r: r.cost)
 
 
-def elbow_sweep(vec: DataFrame, ks, n_init: int, mean_var: float) -> list[tuple[int, float, float]]:
-    """(k, inertia, squared-distance silhouette) for every k, fitted and scored on all rows."""
-    def one(k: int) -> tuple[int, float, float]:
-        best = fit_kmeans(vec, k, seeds_for(n_init), center_tol(k, mean_var))
-        return k, best.cost, silhouette_squared(best.model.transform(vec))
-
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        return list(pool.map(one, ks))
-
-
 def best_k(rows: list[tuple[int, float, float]]) -> int:
     """H4: first k with the maximal silhouette."""
-    top = max(r[2] for r in rows)
+    top = max(r[2] for r in rows if r[2] is not None)
     return next(r[0] for r in rows if r[2] == top)
 
 
 # ---------------------------------------------------------------------------
-# K2 mini-batch k-means
-# ---------------------------------------------------------------------------
-def fit_minibatch_kmeans(df: DataFrame, cols: list[str], k: int, n_rows: int, seed: int = S.SAMPLE_SEED,
-                         batch_size: int = 1024, max_passes: int = 200, max_no_improvement: int = 10,
-                         batches_per_draw: int = 32) -> tuple[list[list[float]], int]:
-    """Mini-batch k-means: (centers, number of batches).
-
-    A pass over the table draws ``batches_per_draw`` batches: each row is drawn a
-    Poisson number of times, the same share of every partition, and each draw goes
-    to a random batch of about ``batch_size`` rows.  The first three batches of all
-    give the start centers.  A batch is one aggregate of counts, sums and
-    squared distances per center, and moves each center towards the batch's mean by
-    ``rows of the batch / rows seen``; only these sums reach the driver.  The fit ends
-    when the smoothed batch inertia has not improved for ``max_no_improvement``
-    batches, or after as many batches as ``max_passes`` passes would hold.
-    """
-    rng = np.random.default_rng(seed)
-    centers = seen = smoothed = best = None
-    stall = done = 0
-    most = max(1, max_passes * n_rows // batch_size)
-    alpha = min(1.0, batch_size * 2.0 / (n_rows + 1))
-    while done < most:
-        drawn = draw_batches(df, cols, n_rows, batch_size, batches_per_draw, rng).persist()
-        try:
-            if centers is None:
-                start = vectors(drawn.filter(F.col("batch") < 3), cols)
-                centers = np.array(KMeans(k=k, seed=seed, maxIter=1).fit(start).clusterCenters())
-                seen = np.zeros(len(centers))
-            for number in range(min(batches_per_draw, most - done)):
-                sums = batch_sums(drawn, [*cols, "batch"], _minibatch_part, len(centers) * (1 + len(cols)) + 1,
-                                  (centers, number), DRAW_TASKS)
-                count = sums[:len(centers)]
-                if not count.any():
-                    continue
-                seen += count
-                total = sums[len(centers):-1].reshape(len(centers), -1)
-                for j in np.flatnonzero(count):
-                    centers[j] += count[j] / seen[j] * (total[j] / count[j] - centers[j])
-                inertia = float(sums[-1] / count.sum())
-                smoothed = inertia if smoothed is None else smoothed * (1 - alpha) + inertia * alpha
-                done += 1
-                stall = 0 if best is None or smoothed < best else stall + 1
-                best = smoothed if best is None else min(best, smoothed)
-                if stall >= max_no_improvement:
-                    return centers.tolist(), done
-        finally:
-            drawn.unpersist()
-    return centers.tolist(), done
-
-
-def draw_batches(df: DataFrame, cols: list[str], n_rows: int, batch_size: int, batches: int, rng) -> DataFrame:
-    """(cols, batch): about ``batches * batch_size`` rows drawn with replacement from all partitions alike."""
-    seeds = rng.integers(0, 1 << 31, 2)
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).sample(
-        withReplacement=True, fraction=batches * batch_size / max(n_rows, 1), seed=int(seeds[0]))
-    return rows.withColumn("batch", F.floor(F.rand(int(seeds[1])) * batches).cast("int")).repartition(DRAW_TASKS)
-
-
-def _minibatch_part(X, params):
-    """Sums of one batch's rows (their number is the last column): per center [rows], [x], then the squared distances."""
-    centers, number = params
-    X = X[X[:, -1] == number, :-1]
-    dist = ((X[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-    own = np.eye(len(centers))[dist.argmin(axis=1)]
-    return np.concatenate([own.sum(axis=0), (own.T @ X).ravel(), [dist.min(axis=1).sum()]])
-
-
-# ---------------------------------------------------------------------------
-# K3 / K4 Gaussian mixtures by EM, one pass over all rows per step
+# Gaussian mixtures (fitted in ``multifit``)
 # ---------------------------------------------------------------------------
 def _log_density(X: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
     out = np.empty((len(X), len(weights)))
@@ -179,46 +98,6 @@ def _log_density(X: np.ndarray, weights: np.ndarray, means: np.ndarray, covarian
     return out
 
 
-def _em_part(X, params):
-    """Responsibilities' sums of one batch: per component [r, r*x, r*x*x'], then the log-likelihood."""
-    logp = _log_density(X, *params)
-    top = logp.max(axis=1, keepdims=True)
-    lse = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
-    r = np.exp(logp - lse[:, None])
-    return np.concatenate([r.sum(axis=0), (r.T @ X).ravel(), np.einsum("nk,ni,nj->kij", r, X, X).ravel(), [lse.sum()]])
-
-
-def fit_mixture(df: DataFrame, cols: list[str], k: int, covariance: str, start: list[list[float]],
-                max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-4) -> MixtureFit:
-    """EM for a mixture with ``full`` or ``diag`` covariances, from the centers ``start``.
-
-    Parameters stay on the driver; a step is ONE pass over the (persisted) rows
-    that adds up responsibilities and weighted first and second moments.  Ends
-    when the mean log-likelihood per row changes by less than ``tol``.
-    """
-    d, tasks = len(cols), task_count(df)
-    centers = np.array(start, float)
-    first = df.agg(F.count(F.lit(1)), *[F.var_pop(c) for c in cols]).first()
-    weights, means = np.full(len(centers), 1.0 / len(centers)), centers
-    variances = np.array([float(v or 0.0) for v in first[1:]]) / max(len(centers), 1) + reg_covar
-    covariances = np.array([np.diag(variances)] * len(centers))
-    previous, steps = None, 0
-    while True:
-        sums = batch_sums(df, cols, _em_part, len(centers) * (1 + d + d * d) + 1, (weights, means, covariances), tasks)
-        ll = float(sums[-1]) / max(first[0], 1)
-        if steps == max_iter or previous is not None and abs(ll - previous) < tol:
-            return MixtureFit(weights.tolist(), means.tolist(), covariances.tolist(), ll, steps, int(first[0]))
-        r = np.maximum(sums[:len(centers)], 1e-12)
-        weights = r / r.sum()
-        means = sums[len(centers):len(centers) * (1 + d)].reshape(-1, d) / r[:, None]
-        second = sums[len(centers) * (1 + d):-1].reshape(-1, d, d) / r[:, None, None]
-        covariances = second - means[:, :, None] * means[:, None, :]
-        if covariance == "diag":
-            covariances = covariances * np.eye(d)
-        covariances += reg_covar * np.eye(d)
-        previous, steps = ll, steps + 1
-
-
 def log_densities(cols: list[str], fit: MixtureFit) -> list:
     """Per component, log(weight) + log density, as column expressions."""
     out = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import cluster as K
+from ..operators import multifit as MF
 from ..operators import evaluate as EV
 from ..operators import lookups
 from ..operators import scoring as SCO
@@ -139,17 +140,18 @@ def q_context_summary_trained(spark, sf_dir):
 
 def _sweep(spark, sf_dir):
     cust = adapter.customers(spark, sf_dir)
-    vec = TR.scaled_frame(cust, SC.fit_standard(cust))
+    scaler = SC.fit_standard(cust)
+    frame, cols, _ = TR.joint_frame(cust, [scaler])
     try:
-        return K.elbow_sweep(vec, S.K_RANGE, S.KMEANS_SEARCH_N_INIT, K.mean_variance(vec, [f"z_{f}" for f in S.FEATURES]))
+        return MF.elbow_sweep(frame, cols, S.K_RANGE, S.KMEANS_SEARCH_N_INIT, scaler.n_rows, S.SAMPLE_SEED)
     finally:
-        vec.unpersist()
+        frame.unpersist()
 
 
 @register("elbow_sweep")
 def q_elbow_sweep(spark, sf_dir):
     """Inertia and squared-distance silhouette for every k, over all customers."""
-    return spark.createDataFrame([(k, float(i), float(s)) for k, i, s in _sweep(spark, sf_dir)],
+    return spark.createDataFrame([(k, float(i), s) for k, i, s in _sweep(spark, sf_dir)],
                                  "k int, inertia double, silhouette double")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import columns as C
 from ..operators import cluster as K
+from ..operators import multifit as MF
 from ..operators import evaluate as EV
 from ..operators import lookups
 from ..operators import naming as NM
@@ -223,14 +224,20 @@ def q_minibatch_kmeans(spark, sf_dir):
     """K2: mini-batch k-means (batch 1024) on the standardised customers; cluster sizes."""
     from ..functions import distance as D
     with _scaled_customers(spark, sf_dir) as (vec, n, _):
-        centers, n_iter = K.fit_minibatch_kmeans(vec, Z, S.FINAL_K, n)
-        return _sizes(spark, vec.withColumn("cluster", D.nearest_index(D.distance_array(Z, centers))), "cluster", n_iter=n_iter)
+        fits = [MF.Fit((0, 1), S.FINAL_K, seed) for seed in K.seeds_for(max(1, S.KMEANS_FINAL_N_INIT // 2))]
+        MF.start_kmeans(spark, MF.start_sample(vec, Z, n, S.SAMPLE_SEED), fits, lloyd=False)
+        found = MF.qualities(vec, Z, MF.fit_minibatch(vec, Z, fits, n))
+        best = min(zip(found, fits), key=lambda x: x[0].inertia)[1]
+        label = D.nearest_index(D.distance_array(Z, best.centers.tolist()))
+        return _sizes(spark, vec.withColumn("cluster", label), "cluster", n_iter=best.n_iter)
 
 
 def _mixture(spark, sf_dir, covariance: str) -> DataFrame:
-    with _scaled_customers(spark, sf_dir) as (vec, n, mean_var):
-        start = K.fit_kmeans(vec, S.FINAL_K, K.seeds_for(3), K.center_tol(S.FINAL_K, mean_var)).centers
-        fit = K.fit_mixture(vec, Z, S.FINAL_K, covariance, start)
+    with _scaled_customers(spark, sf_dir) as (vec, n, _):
+        fits = [MF.Fit((0, 1), S.FINAL_K, seed, covariance=covariance) for seed in K.seeds_for(max(2, S.KMEANS_FINAL_N_INIT // 2))]
+        MF.start_kmeans(spark, MF.start_sample(vec, Z, n, S.SAMPLE_SEED), fits)
+        best = MF.best_of(MF.fit_mixtures(vec, Z, fits, n, MF.column_variances(vec, Z)))[None]
+        fit = K.MixtureFit(best.weights.tolist(), best.centers.tolist(), best.covariances.tolist(), best.mean_ll, best.n_iter, n)
         return _sizes(spark, vec.withColumn("component", K.mixture_label(Z, fit)), "component",
                       mean_log_likelihood=round(fit.mean_ll, 6), n_iter=fit.n_iter)
 

@@ -2,8 +2,8 @@
 metrics -> naming -> bands -> statistics -> sinks.
 
 Every fit and every metric reads the whole table.  The validated table is persisted
-once; each (preprocessor, features) pair is fitted and its scaled frame persisted
-once, and all model variants share it.  The best candidate's own fit, whatever its
+once, and so are the scaled features of all scalers, side by side; all fits of the
+grid share their passes over them, as do all fits of the sweep.  The best candidate's own fit, whatever its
 variant and scaler, is the model that is named, stored and reported.
 """
 
@@ -14,14 +14,15 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import distance as D
 from ..operators import cluster as K
 from ..operators import evaluate as EV
+from ..operators import multifit as MF
 from ..operators import naming as NM
 from ..operators import reports as R
 from ..operators import scaling as SC
@@ -31,6 +32,10 @@ from ..sinks import writers as W
 from ..sources import adapter
 
 
+#: What makes a cell of the grid a failed candidate; anything else, such as a lost executor, ends the run.
+FIT_ERRORS = (ValueError, ArithmeticError, np.linalg.LinAlgError)
+
+
 @dataclass
 class TrainConfig:
     model_variants: list[str] = field(default_factory=lambda: ["kmeans"])
@@ -95,73 +100,97 @@ def fit_preprocessor(kind: str, df: DataFrame, features: list[str], n_rows: int)
     return fits[kind](df, features)
 
 
-def evaluate_candidate(vec: DataFrame, n_rows: int, scaler, variant: str, prep: str, cfg: TrainConfig,
-                       mean_var: float) -> Candidate:
-    """K12 body: fit ``variant`` on the persisted scaled frame ``vec`` and score it on all rows."""
-    zcols = [f"z_{f}" for f in scaler.features]
-    k, cand = cfg.final_k, Candidate(variant, prep, list(scaler.features), scaler=scaler)
-    if variant == "minibatch_kmeans":
-        seeds = K.seeds_for(max(1, cfg.n_init_final // 2))
-        with ThreadPoolExecutor(max_workers=len(seeds)) as pool:
-            fits = list(pool.map(lambda s: K.fit_minibatch_kmeans(vec, zcols, k, n_rows, seed=s), seeds))
-        distance = [F.sum(F.array_min(D.distance_array(zcols, c))).alias(f"c{i}") for i, (c, _) in enumerate(fits)]
-        costs = list(vec.agg(*distance).first())
-        best = costs.index(min(costs))
-        (cand.centers, cand.n_iter), cand.inertia = fits[best], float(costs[best])
-    elif variant in ("kmeans", "gaussian_mixture_full", "gaussian_mixture_diag"):
-        fit = K.fit_kmeans(vec, k, K.seeds_for(cfg.n_init_final), K.center_tol(k, mean_var))
-        cand.centers, cand.inertia, cand.n_iter = fit.centers, fit.cost, fit.n_iter
-        if variant != "kmeans":  # expectation-maximisation from the best k-means centers
-            cov = variant.rsplit("_", 1)[1]
-            cand.mixture = K.fit_mixture(vec, zcols, k, cov, cand.centers)
-            cand.centers, cand.inertia, cand.n_iter = cand.mixture.means, None, cand.mixture.n_iter
-            cand.aic, cand.bic = EV.aic_bic(cand.mixture.mean_ll * n_rows, n_rows, k, len(zcols), cov)
-    else:
-        raise ValueError(f"no model variant named {variant}")
-    label = K.mixture_label(zcols, cand.mixture) if cand.mixture else D.nearest_index(D.distance_array(zcols, cand.centers))
-    lab = vec.withColumn("prediction", label)
-    cand.silhouette = EV.silhouette_squared(lab)
-    row = EV.dispersion(lab, zcols, "prediction").first()
-    cand.davies, cand.calinski = float(row["davies_bouldin"]), float(row["calinski_harabasz"])
-    return cand
-
-
 def scaled_frame(df: DataFrame, scaler) -> DataFrame:
     """The scaled features and their vector, persisted (the caller releases it)."""
     zcols = [f"z_{f}" for f in scaler.features]
     return K.vectors(scaler.transform(df).select(*zcols), zcols).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def joint_frame(df: DataFrame, scalers: list) -> tuple[DataFrame, list[str], list[tuple[int, ...]]]:
+    """The scaled features of all ``scalers`` side by side, persisted, and which columns are whose."""
+    out, cols, at = df, [], []
+    for i, scaler in enumerate(scalers):
+        names = {f"z_{f}": f"s{i}_{f}" for f in scaler.features}
+        out = scaler.transform(out).withColumnsRenamed(names)
+        at.append(tuple(range(len(cols), len(cols) + len(names))))
+        cols += names.values()
+    return out.select(*cols).persist(StorageLevel.MEMORY_AND_DISK), cols, at
+
+
+def _fits_of(variant: str, key, at: tuple[int, ...], cfg: TrainConfig) -> list[MF.Fit]:
+    starts = {"kmeans": cfg.n_init_final, "minibatch_kmeans": max(1, cfg.n_init_final // 2),
+              "gaussian_mixture_full": max(2, cfg.n_init_final // 2), "gaussian_mixture_diag": max(2, cfg.n_init_final // 2)}
+    if variant not in starts:
+        raise ValueError(f"no model variant named {variant}")
+    covariance = variant.rsplit("_", 1)[1] if variant.startswith("gaussian") else None
+    return [MF.Fit(at, cfg.final_k, seed, race=key, covariance=covariance) for seed in K.seeds_for(starts[variant])]
+
+
 def evaluate_grid(df: DataFrame, n_rows: int, cfg: TrainConfig) -> list[Candidate]:
     """Every (variant, preprocessor, features) candidate, in grid order.
 
-    Each (preprocessor, features) is fitted, scaled and persisted once; its
-    variants run as concurrent Spark jobs.  A failing candidate keeps its reason.
+    All scalers' features lie side by side in one persisted frame, and all candidates'
+    starts step together (``multifit``): k-means, mini-batch and mixtures are three
+    loops that run at once, and two passes give every candidate's metrics.
+    A cell whose scaler or start cannot be fitted keeps the reason; Spark's errors are raised.
     """
+    cells = [(p, tuple(f)) for p in cfg.preprocessors for f in cfg.feature_sets]
     found: dict[tuple, Candidate] = {}
-    for prep in cfg.preprocessors:
-        for feats in cfg.feature_sets:
-            keys = [(v, prep, tuple(feats)) for v in cfg.model_variants]
-            try:
-                scaler = fit_preprocessor(prep, df, list(feats), n_rows)
-                vec = scaled_frame(df, scaler)
-                mean_var = K.mean_variance(vec, [f"z_{f}" for f in feats])
-            except Exception as exc:  # noqa: BLE001 - a failing candidate is skipped with its reason
-                found |= {k: Candidate(k[0], prep, list(feats), error=str(exc)) for k in keys}
-                continue
-
-            def one(key):
+    scalers: dict[tuple, object] = {}
+    for prep, feats in cells:
+        try:
+            scalers[prep, feats] = fit_preprocessor(prep, df, list(feats), n_rows)
+        except FIT_ERRORS as exc:
+            found |= {(v, prep, feats): Candidate(v, prep, list(feats), error=str(exc)) for v in cfg.model_variants}
+    if scalers:
+        frame, cols, at = joint_frame(df, list(scalers.values()))
+        variances = MF.column_variances(frame, cols)
+        sample = MF.start_sample(frame, cols, n_rows, S.SAMPLE_SEED)
+        loops: dict[str, list[MF.Fit]] = {"kmeans": [], "minibatch": [], "mixture": []}
+        for variant in cfg.model_variants:
+            for (prep, feats), own in zip(scalers, at):
+                key = (variant, prep, feats)
+                loop = "mixture" if variant.startswith("gaussian") else "minibatch" if variant.startswith("mini") else "kmeans"
                 try:
-                    return evaluate_candidate(vec, n_rows, scaler, key[0], prep, cfg, mean_var)
-                except Exception as exc:  # noqa: BLE001
-                    return Candidate(key[0], prep, list(feats), error=str(exc))
-
-            with ThreadPoolExecutor(max_workers=len(keys)) as pool:
-                found |= dict(zip(keys, pool.map(one, keys)))
-            vec.unpersist()
+                    loops[loop] += _fits_of(variant, key, own, cfg)
+                except FIT_ERRORS as exc:
+                    found[key] = Candidate(variant, prep, list(feats), error=str(exc))
+        if len(sample) < cfg.final_k:  # no candidate can be started
+            reason = f"{len(sample)} rows cannot make {cfg.final_k} clusters"
+            found |= {f.race: Candidate(f.race[0], f.race[1], list(f.race[2]), error=reason) for own in loops.values() for f in own}
+            loops = {k: [] for k in loops}
+        MF.start_kmeans(df.sparkSession, sample, loops["kmeans"] + loops["mixture"])
+        MF.start_kmeans(df.sparkSession, sample, loops["minibatch"], lloyd=False)
+        work = [lambda: MF.fit_kmeans(frame, cols, loops["kmeans"], variances),
+                lambda: MF.fit_minibatch(frame, cols, loops["minibatch"], n_rows),
+                lambda: MF.fit_mixtures(frame, cols, loops["mixture"], n_rows, variances)]
+        with ThreadPoolExecutor(max_workers=len(work)) as pool:
+            for f in [pool.submit(w) for w in work]:
+                f.result()
+        mini = loops["minibatch"]
+        for fit, quality in zip(mini, MF.qualities(frame, cols, mini) if mini else []):
+            fit.cost = quality.inertia
+        best = {k: f for fits in loops.values() for k, f in MF.best_of(fits).items()}
+        for (key, fit), quality in zip(best.items(), MF.qualities(frame, cols, list(best.values())) if best else []):
+            found[key] = _candidate(key, scalers[key[1:]], fit, quality, n_rows)
+        frame.unpersist()
     return [found[v, p, tuple(f)] for v in cfg.model_variants for p in cfg.preprocessors for f in cfg.feature_sets]
 
 
+def _candidate(key: tuple, scaler, fit: MF.Fit, quality: MF.Quality, n_rows: int) -> Candidate:
+    variant, prep, feats = key
+    cand = Candidate(variant, prep, list(feats), quality.silhouette, quality.davies, quality.calinski,
+                     n_iter=fit.n_iter, scaler=scaler, centers=fit.centers.tolist())
+    if None in (quality.silhouette, quality.davies, quality.calinski):
+        cand.error = "fewer than two clusters, or not more rows than clusters"
+    if fit.covariance is None:
+        cand.inertia = fit.cost
+    else:
+        cand.mixture = K.MixtureFit(fit.weights.tolist(), fit.centers.tolist(), fit.covariances.tolist(), fit.mean_ll, fit.n_iter, n_rows)
+        cand.aic, cand.bic = EV.aic_bic(fit.mean_ll * n_rows, n_rows, fit.k, len(fit.at), fit.covariance)
+    return cand
+
+
 def model_of(cand: Candidate) -> SCO.SegmentModel:
     """J5 + K14: the candidate's centers in original units, named, with all that scoring needs."""
     centers = [cand.scaler.inverse(c) for c in cand.centers]
@@ -208,10 +237,9 @@ def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: s
     # ---- K13 sweep, H4 best k ----
     sweep = []
     if cfg.sweep:
-        vec = scaled_frame(df, best.scaler)
-        mean_var = K.mean_variance(vec, [f"z_{f}" for f in best.features])
-        sweep = K.elbow_sweep(vec, cfg.k_range, cfg.n_init_search, mean_var)
-        vec.unpersist()
+        frame, cols, _ = joint_frame(df, [best.scaler])
+        sweep = MF.elbow_sweep(frame, cols, cfg.k_range, cfg.n_init_search, n_rows, S.SAMPLE_SEED)
+        frame.unpersist()
     bk = K.best_k(sweep) if sweep else None
     mark("sweep")
 

@@ -11,6 +11,7 @@ from cohortlens.operators import scoring as SCO
 from cohortlens.plans import io_queries as Q
 from cohortlens.plans import training as TR
 from cohortlens.session import fresh_path
+from cohortlens.operators import multifit as MF
 from cohortlens.sinks import writers as W
 from cohortlens.sources import files
 from support import PLANTED, SF_SMALL, planted_rows
@@ -115,8 +116,10 @@ def test_exact_quantiles_equal_numpy(spark):
 
 def test_mixture_finds_planted_weights(spark):
     df = spark.createDataFrame([(float(x), float(y)) for _, _, _, x, y in planted_rows()], "x double, y double").persist()
-    fit = K.fit_mixture(df, ["x", "y"], 5, "full", [[x, y] for _, _, x, y in PLANTED])
-    assert np.allclose(fit.weights, [n / 200 for _, n, _, _ in PLANTED], atol=0.01)
+    own = MF.Fit((0, 1), 5, 0, covariance="full", centers=np.array([[x, y] for _, _, x, y in PLANTED], float))
+    MF.fit_mixtures(df, ["x", "y"], [own], 200, MF.column_variances(df, ["x", "y"]))
+    assert np.allclose(own.weights, [n / 200 for _, n, _, _ in PLANTED], atol=0.01)
+    fit = K.MixtureFit(own.weights.tolist(), own.centers.tolist(), own.covariances.tolist(), own.mean_ll, own.n_iter, 200)
     row = K.mixture_log_likelihood(df, ["x", "y"], fit).first()
     assert abs(row["log_likelihood"] / row["n"] - fit.mean_ll) < 1e-9
     df.unpersist()
@@ -150,12 +153,18 @@ def test_minibatch_kmeans_draws_from_every_partition(spark):
     df = spark.range(0, 60_000, 1, 12).select(
         (F.floor(F.col("id") / 10_000) * 10 + F.when(F.col("id") < 50_000, 0).otherwise(1000)
          + F.col("id") % 7 / 10).alias("x"), (F.col("id") % 5 / 10).alias("y")).persist()
-    centers, done = K.fit_minibatch_kmeans(df, ["x", "y"], 6, 60_000)
-    assert done > 1 and min(abs(x - 1050.3) for x, _ in centers) < 1
-    drawn = K.draw_batches(df, ["x", "y"], 60_000, 1024, 32, np.random.default_rng(3)).groupBy("batch").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") > 1000).alias("last")).collect()
-    assert sorted(r.batch for r in drawn) == list(range(32))
-    assert all(850 < r.n < 1200 and 0.1 < r.last / r.n < 0.25 for r in drawn)  # each batch is of the whole table
+    fits = [MF.Fit((0, 1), 6, seed) for seed in (42, 43, 44)]
+    MF.start_kmeans(spark, MF.start_sample(df, ["x", "y"], 60_000, 1), fits, lloyd=False)
+    MF.fit_minibatch(df, ["x", "y"], fits, 60_000)
+    found = MF.qualities(df, ["x", "y"], fits)
+    best = min(zip(found, fits), key=lambda x: x[0].inertia)[1]
+    assert best.n_iter > 1 and min(abs(x - 1050.3) for x, _ in best.centers) < 1
+    drawn = MF.draw_batches(df, ["x", "y"], 32 * 1024 / 60_000, [0, 1], 3).toPandas()
+    for fit, own in drawn.groupby("_fit"):
+        own = own.sort_values("_u")
+        assert 31_000 < len(own) < 34_500
+        parts = [own.iloc[a:a + 1024] for a in range(0, 31 * 1024, 1024)]
+        assert all(0.1 < (p.x > 1000).mean() < 0.25 for p in parts)  # each batch is of the whole table
     df.unpersist()
 
 
