@@ -75,16 +75,18 @@ def q_scatter_colored(spark, sf_dir):
 
 
 # ---- A3 landing ingest -----------------------------------------------------
-def write_landing(spark: SparkSession, sf_dir: str) -> str:
+def write_landing(spark: SparkSession, sf_dir: str, path: str | None = None, day: str = "20240101", label: str = "nation",
+                  only: F.Column | None = None) -> str:
     """One upload per nation, named ``YYYYMMDD_HHMMSS_nation_NN.csv`` (time = 2024-01-01 00:NN:00).
 
-    Every fifth upload has its columns in another order and one more column, and
+    ``path`` adds to a folder; ``only`` picks nations by ``c_nationkey``.  Every fifth upload has its columns in another order and one more column, and
     the one of nation 24 lacks the score.
     """
     raw = adapter.raw_customers(spark, sf_dir, extra=("c_nationkey",))
     k = F.col("c_nationkey")
-    up = raw.withColumn("upload", F.format_string("20240101_00%02d00_nation_%02d.csv", k, k)).repartition("upload")
-    path = fresh_path(spark, "landing")
+    raw = raw if only is None else raw.filter(only)
+    up = raw.withColumn("upload", F.format_string(f"{day}_00%02d00_{label}_%02d.csv", k, k)).repartition("upload")
+    path = path or fresh_path(spark, "landing")
     names = [F.col(f"`{n}`") for n in S.REQUIRED_PUBLIC]
     kinds = [((k % 5 != 0) & (k != 24), names), (k % 5 == 0, [F.lit("x").alias("Note"), *reversed(names)]),
              (k == 24, names[:-1])]

@@ -271,6 +271,15 @@ pc AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS qua
 c AS (SELECT quarter, segment, COUNT(*) AS customers, CAST(SUM(o) AS BIGINT) AS orders FROM pc JOIN seg ON pc.o_custkey + 1 = seg.customer_id GROUP BY ALL)
 SELECT quarter, segment, customers, orders, lag(customers) OVER (PARTITION BY segment ORDER BY quarter) AS prev_customers,
   customers - lag(customers) OVER (PARTITION BY segment ORDER BY quarter) AS change FROM c"""
+    out["rfm_incremental"] = out["true_rfm"]
+    out["segment_drift_as_of"] = f"""WITH h AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH AS TIMESTAMP) AS valid_from,
+  SUM(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY ALL),
+j AS (SELECT o.o_custkey, CAST(date_trunc('quarter', o.o_orderdate) AS DATE) AS quarter,
+  CASE WHEN cents >= {RFM.QUARTER_HIGH * 100} THEN 'High' WHEN cents >= {RFM.QUARTER_MODERATE * 100} THEN 'Moderate' WHEN cents IS NULL THEN 'New' ELSE 'Low' END AS held
+  FROM orders o ASOF LEFT JOIN h ON o.o_custkey = h.o_custkey AND o.o_orderdate >= h.valid_from),
+c AS (SELECT quarter, held, COUNT(DISTINCT o_custkey) AS customers, COUNT(*) AS orders FROM j GROUP BY ALL)
+SELECT quarter, held, customers, orders, lag(customers) OVER (PARTITION BY held ORDER BY quarter) AS prev_customers,
+  customers - lag(customers) OVER (PARTITION BY held ORDER BY quarter) AS change FROM c"""
     out["segment_drift_wide"] = f"""{W},
 pc AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter FROM orders GROUP BY ALL),
 c AS (SELECT quarter, segment, COUNT(*) AS customers FROM pc JOIN seg ON pc.o_custkey + 1 = seg.customer_id GROUP BY ALL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import schema as S
 from .model_queries import YJ_LAMBDAS, fixed_mixture
+from .stream_queries import ARRIVALS, DECAY
 from .oracle import ATTRS, F_BAND, M_BAND, MALL, NORM, R_BAND, RULE, SEG, q
 
 
@@ -161,6 +162,20 @@ f{i} AS (SELECT f.cluster, COALESCE(a.cx, f.cx) AS cx, COALESCE(a.cy, f.cy) AS c
         step = f"f{i}"
     out["lloyd_steps"] = f"""{W}, {', '.join(ctes)}
 SELECT CAST(cluster AS INT) AS cluster, n, round(cx, 6) AS income_k, round(cy, 6) AS score FROM f3 WHERE n IS NOT NULL"""
+    step, ctes = "v", ["v AS (SELECT cluster, cx, cy, CAST(0 AS DOUBLE) AS w FROM (VALUES " + ", ".join(
+        f"({i}, {_lit(x)}, {_lit(y)})" for i, (_, x, y) in enumerate(S.FIXED_CENTERS)) + ") AS t(cluster, cx, cy))"]
+    for i in range(ARRIVALS):
+        ctes.append(f"""a{i} AS (SELECT m.customer_id, m.income_k, m.score, f.cluster,
+  row_number() OVER (PARTITION BY m.customer_id ORDER BY (m.income_k - cx) * (m.income_k - cx) + (m.score - cy) * (m.score - cy), f.cluster) AS rk
+  FROM mall m CROSS JOIN {step} f WHERE m.customer_id % {ARRIVALS} = {i}),
+v{i} AS (SELECT f.cluster, CASE WHEN {DECAY} * w + coalesce(n, 0) > 0 THEN ({DECAY} * w * cx + coalesce(sx, 0)) / ({DECAY} * w + coalesce(n, 0)) ELSE cx END AS cx,
+  CASE WHEN {DECAY} * w + coalesce(n, 0) > 0 THEN ({DECAY} * w * cy + coalesce(sy, 0)) / ({DECAY} * w + coalesce(n, 0)) ELSE cy END AS cy,
+  {DECAY} * w + coalesce(n, 0) AS w FROM {step} f LEFT JOIN (SELECT cluster, SUM(income_k) AS sx, SUM(score) AS sy, COUNT(*) AS n
+  FROM a{i} WHERE rk = 1 GROUP BY cluster) s ON f.cluster = s.cluster)""")
+        step = f"v{i}"
+    every = " UNION ALL ".join(f"""SELECT CAST({i} AS INT) AS version, CAST(cluster AS INT) AS cluster, round(CAST(w AS DOUBLE), 6) AS weight,
+  round(CAST(cx AS DOUBLE), 6) AS income_k, round(CAST(cy AS DOUBLE), 6) AS score FROM v{i}""" for i in range(ARRIVALS))
+    out["stream_kmeans"] = f"{W}, {', '.join(ctes)} {every}"
     # a 2 x 2 covariance [[a, b], [b, c]]: determinant and inverse written out
     mix = fixed_mixture()
     (va, vb), (_, vc) = mix.covariances[0]
@@ -221,4 +236,5 @@ g AS (SELECT customer_id, {near_v} AS cluster, c_nationkey FROM good CROSS JOIN
 SELECT customer_id, g.cluster, segment, 'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS upload_label,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c_nationkey AS BIGINT)) AS arrival_ts
 FROM g LEFT JOIN {CMAP} ON g.cluster = cmap.cluster"""
+    out["stream_score_redelivered"] = out["stream_score"]
     return out

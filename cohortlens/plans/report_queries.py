@@ -10,6 +10,7 @@ from ..functions import columns as C
 from ..operators import reports as R
 from ..operators import validate as V
 from ..operators import rfm
+from ..session import fresh_path
 from ..sources import adapter
 from ..sources.tables import read_table
 from .catalog import register
@@ -224,3 +225,25 @@ def q_segment_drift(spark, sf_dir):
 def q_segment_drift_wide(spark, sf_dir):
     """L3 as a quarter x segment table (pivot over the known segment list)."""
     return rfm.segment_drift_wide(rfm.segment_drift(read_table(spark, sf_dir, "orders"), _seg(spark, sf_dir)))
+
+
+@register("segment_drift_as_of")
+def q_segment_drift_as_of(spark, sf_dir):
+    """L3: drift between the bands that customers held at the dates of their orders (as-of join)."""
+    orders = read_table(spark, sf_dir, "orders")
+    return rfm.held_drift(orders, rfm.band_history(orders))
+
+
+#: The increments of ``rfm_incremental``: orders before each date, then the rest.
+RFM_CUTS = ("1996-07-01", "1999-01-01")
+
+
+@register("rfm_incremental")
+def q_rfm_incremental(spark, sf_dir):
+    """M1 kept up to date: three increments of orders, each merged into the state published before it."""
+    orders, base = read_table(spark, sf_dir, "orders"), fresh_path(spark, "rfm-state")
+    day = F.col("o_orderdate")
+    first, second = (F.lit(c).cast("timestamp_ntz") for c in RFM_CUTS)
+    for number, rows in enumerate((day.isNull() | (day < first), (day >= first) & (day < second), day >= second)):
+        state = rfm.take_increment(orders.filter(rows), base, number)
+    return rfm.rfm_of_state(state)

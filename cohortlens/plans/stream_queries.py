@@ -57,3 +57,35 @@ def q_stream_segment_counts_append(spark, sf_dir):
         if step == 0:
             end.write.parquet(f"{folder}/day=2")
     return spark.read.parquet(out)
+
+
+@register("stream_score_redelivered")
+def q_stream_score_redelivered(spark, sf_dir):
+    """L1 with the ledger: every third upload comes a second time under another name, and counts once."""
+    model = SCO.fixed_center_model(SC.fit_standard(adapter.customers(spark, sf_dir)))
+    folder, out = write_landing(spark, sf_dir), fresh_path(spark, "stream_score")
+    ckpt, ledger = fresh_path(spark, "stream_score_ckpt"), fresh_path(spark, "ledger")
+    P.run_stream_score(spark, folder, model, out, ckpt, ledger=ledger).awaitTermination()
+    write_landing(spark, sf_dir, folder, "20240102", "again", F.col("c_nationkey") % 3 == 0)
+    P.run_stream_score(spark, folder, model, out, ckpt, ledger=ledger).awaitTermination()
+    return spark.read.parquet(f"{out}/scored").drop("batch").select(
+        S.CUSTOMER_ID, "cluster", "segment", "upload_label", "arrival_ts")
+
+
+#: Arrivals of ``stream_kmeans`` (customers by id), and what a center's weight keeps of one batch.
+ARRIVALS, DECAY = 5, 0.5
+
+
+@register("stream_kmeans")
+def q_stream_kmeans(spark, sf_dir):
+    """K2 as a stream: customers arrive in five batches; the centers after each of them."""
+    cust = adapter.customers(spark, sf_dir).select(S.CUSTOMER_ID, *[F.col(c).cast("double").alias(c) for c in S.FEATURES])
+    folder, base, ckpt = (fresh_path(spark, f"stream_kmeans_{n}") for n in ("in", "model", "ckpt"))
+    start = [[x, y] for _, x, y in S.FIXED_CENTERS]
+    for day in range(ARRIVALS):  # what has arrived is one micro-batch, whatever the number of its files
+        cust.filter(F.col(S.CUSTOMER_ID) % ARRIVALS == day).write.parquet(f"{folder}/day={day}")
+        rows = spark.readStream.schema(cust.schema).option("recursiveFileLookup", True).parquet(folder)
+        P.run_stream_kmeans(rows, S.FEATURES, start, base, ckpt, DECAY).awaitTermination()
+    out = spark.read.parquet(base)
+    return out.select(F.col("version").cast("int").alias("version"), "cluster", F.round("weight", 6).alias("weight"),
+                      *[F.round(F.col("center")[i], 6).alias(c) for i, c in enumerate(S.FEATURES)])

@@ -135,10 +135,11 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def latest_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Latest run per dataset label, with the number of its runs."""
+    """Latest run per dataset label, with the number of its runs; of runs of one second that with the greatest path, then rows."""
     from pyspark.sql import Window
     hist = spark.read.schema(RUN_SCHEMA).json(path)
-    w = Window.partitionBy("dataset_label").orderBy(F.col("trained_at").desc())
+    w = Window.partitionBy("dataset_label").orderBy(
+        F.col("trained_at").desc(), F.col("dataset_path").desc_nulls_last(), F.col("rows").desc_nulls_last(), F.col("silhouette").desc_nulls_last())
     runs = F.count(F.lit(1)).over(Window.partitionBy("dataset_label"))
     return hist.withColumn("_rn", F.row_number().over(w)).withColumn("runs", runs).filter("_rn = 1").drop("_rn")
 

@@ -14,14 +14,18 @@ threshold.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..functions import distance as D
 from ..operators import scoring as SCO
 from ..operators import validate as V
 from ..session import materialize
+from ..sinks import versions
 from ..sources import files
 
 EVENTS_SCHEMA = T.StructType([
@@ -48,17 +52,49 @@ def score_batch(norm: DataFrame, model: SCO.SegmentModel) -> tuple[DataFrame, Da
     return scored, bad
 
 
+def first_deliveries(batch: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows of uploads not taken yet, their ledger entries) of a micro-batch of upload rows.
+
+    An upload is known by its content: the number of its lines and two sums of hashes of them,
+    so a second name, or lines in another order, make no new upload.  Of equal uploads in one batch the
+    first by name counts.
+    """
+    fields = [c for c in batch.columns if c in files.POSITIONAL.fieldNames()]
+    lines = [F.sum(F.xxhash64(F.lit(i), *fields).cast("decimal(38,0)")) for i in (1, 2)]
+    content = batch.groupBy("source_file").agg(F.concat_ws("/", F.count(F.lit(1)), *lines).alias("content"))
+    new = content.groupBy("content").agg(F.min("source_file").alias("source_file"))
+    if ledger is not None:
+        new = new.join(ledger.select("content").distinct(), "content", "left_anti")
+    new = new.select("content", "source_file")
+    # One row per file of the batch, at most the files of a trigger.
+    return batch.join(new.select("source_file"), "source_file", "left_semi").select(*batch.columns), new
+
+
 def run_stream_score(spark: SparkSession, folder: str, model: SCO.SegmentModel, out: str,
-                     checkpoint: str, available_now: bool = True):
-    """Start L1; with ``available_now`` it processes what has landed and stops."""
+                     checkpoint: str, available_now: bool = True, ledger: str | None = None):
+    """Start L1; with ``available_now`` it processes what has landed and stops.
+
+    ``ledger``: a folder that records each upload's content by batch; an upload delivered
+    again is not taken again.  A batch reads the entries of batches before it and
+    overwrites its own, as it does with its rows, so a crash between sinks, ledger and
+    checkpoint leaves every upload counted once.
+    """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if ledger is not None:
+            batch = batch.persist()
+            known = [spark.read.parquet(versions.path_of(ledger, n)) for n in versions.numbers(spark, ledger) if n < batch_id]
+            before = functools.reduce(DataFrame.unionByName, known) if known else None
+            rows, entries = first_deliveries(batch, before)
+            versions.write(entries, ledger, batch_id)
+        else:
+            rows = batch
         # a file is whole in its micro-batch, so its header line is there
-        norm = V.normalize(files.bind_by_name(batch)).withColumn(
-            "reject_reason", V.reject_reason(F.col("missing_columns")))
-        batch = norm.persist()
-        scored, bad = score_batch(batch, model)
+        norm = V.normalize(files.bind_by_name(rows)).withColumn(
+            "reject_reason", V.reject_reason(F.col("missing_columns"))).persist()
+        scored, bad = score_batch(norm, model)
         scored.write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+        norm.unpersist()
         batch.unpersist()
 
     w = landing_stream(spark, folder).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
@@ -66,6 +102,43 @@ def run_stream_score(spark: SparkSession, folder: str, model: SCO.SegmentModel,
     return w.start()
 
 
+# ---------------------------------------------------------------------------
+# K2 as a stream: centers that follow the data
+# ---------------------------------------------------------------------------
+CENTER_SCHEMA = "cluster int, weight double, center array<double>"
+
+
+def update_centers(rows: DataFrame, cols: list[str], base: str, number: int, start: list[list[float]], decay: float) -> DataFrame:
+    """Version ``number`` of the centers: those of the version before, moved by one batch.
+
+    A center's weight decays, and the batch's rows nearest to it count one each:
+    w' = decay * w + n, center' = (decay * w * center + sum of the rows) / w'.
+    One aggregate over the batch; only k sums reach the driver.  Run again, a batch
+    starts from the version below its number and replaces its own.
+    """
+    spark = rows.sparkSession
+    state = versions.before(spark, base, number)
+    now = {r.cluster: (r.weight, list(r.center)) for r in state.collect()} if state is not None else {
+        j: (0.0, list(map(float, c))) for j, c in enumerate(start)}
+    centers = [now[j][1] for j in sorted(now)]
+    labelled = rows.withColumn("cluster", D.nearest_index(D.distance_array(cols, centers)))
+    sums = {r[0]: r for r in labelled.groupBy("cluster").agg(
+        F.count(F.lit(1)), *[F.sum(F.col(c).cast("double")) for c in cols]).collect()}
+    out = []
+    for j in sorted(now):
+        weight, center = now[j][0] * decay, now[j][1]
+        n = sums[j][1] if j in sums else 0
+        total = [weight * c + (sums[j][2 + i] if n else 0.0) for i, c in enumerate(center)]
+        out.append((j, weight + n, [t / (weight + n) for t in total] if weight + n > 0 else center))
+    return versions.write(spark.createDataFrame(out, CENTER_SCHEMA).coalesce(1), base, number)
+
+
+def run_stream_kmeans(rows: DataFrame, cols: list[str], start: list[list[float]], base: str, checkpoint: str, decay: float = 0.9):
+    """Start the streaming k-means: one version of the centers per micro-batch below ``base``."""
+    w = rows.writeStream.foreachBatch(lambda batch, number: update_centers(batch, cols, base, number, start, decay) and None)
+    return w.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def events_stream(spark: SparkSession, path: str, max_files: int | None = 1) -> DataFrame:
     """Parquet events below ``path`` (a file or a folder); ``max_files`` None: all that has arrived in one trigger.
 
