@@ -23,7 +23,6 @@ table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,15 +63,25 @@ def _flush(groups: dict) -> pa.Table:
     return pa.Table.from_arrays([*columns, terms, n], [*[f"k{i}" for i in range(len(columns))], "term", "n"])
 
 
-def _sums(by: list[str], amounts, most: int = HELD_TERMS):
-    """A task's sums per key and term of what ``amounts`` makes of a document's Counter; at most about ``most`` are held."""
+def _sums(by: list[str], kept=None, documents: bool = False, most: int = HELD_TERMS):
+    """A task's sums per key and term: occurrences, or documents; at most about ``most`` are held.
+
+    ``kept`` gives the terms that count for a key, all if None.
+    """
     def run(batches):
         groups: dict = {}
         for batch in batches:
             for *key, text in zip(*(bytes_column(batch, c) for c in (*by, "text"))):
-                own = amounts(key, Counter(terms_of(text)))
-                if own:
-                    groups.setdefault(tuple(key), Counter()).update(own)
+                terms, few = terms_of(text), kept and kept(key)
+                own = Counter(terms if few is None else filter(few.__contains__, terms))
+                if not own:
+                    continue
+                total = groups.setdefault(tuple(key), Counter())
+                if documents:
+                    total.update(own.keys())
+                else:
+                    for term, n in own.items():
+                        total[term] += n
             if groups and sum(map(len, groups.values())) >= most:
                 yield from _flush(groups).to_batches(max_chunksize=50_000)
         if groups:
@@ -82,19 +91,16 @@ def _sums(by: list[str], amounts, most: int = HELD_TERMS):
 
 def term_documents(docs: DataFrame) -> DataFrame:
     """(lang, term, docs): documents of a language with a term."""
-    found = docs.select("lang", "text").mapInArrow(_sums(["lang"], lambda key, own: list(own)), "lang string, term string, n long")
+    found = docs.select("lang", "text").mapInArrow(_sums(["lang"], documents=True), "lang string, term string, n long")
     return found.groupBy("lang", "term").agg(F.sum("n").alias("docs"))
 
 
 def term_counts(docs: DataFrame, keep: dict[bytes, frozenset] | None = None) -> DataFrame:
     """(lang, source, term, count): occurrences of a term in a group; only of the terms in ``keep`` by language if given."""
     sent = docs.sparkSession.sparkContext.broadcast(keep)
-
-    def occurrences(key, own):
-        kept = own if sent.value is None else sent.value.get(key[0], frozenset()).intersection(own)
-        return list(chain.from_iterable(repeat(t, own[t]) for t in kept))
+    kept = None if keep is None else lambda key: sent.value.get(key[0], frozenset())
     found = docs.select("lang", "source", "text").mapInArrow(
-        _sums(["lang", "source"], occurrences), "lang string, source string, term string, n long")
+        _sums(["lang", "source"], kept), "lang string, source string, term string, n long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
 
 
@@ -121,19 +127,21 @@ def _share(count: Column, total: Column) -> Column:
 def _pair_sums(key, table):
     """Sums of |p - q| over a block's terms for all pairs of a source of chunk i and one of chunk j."""
     lang, _, i, j = (k.as_py() for k in key)
-    sources, terms, chunks, p, block_terms = (table.column(c).to_pylist() for c in ("source", "term", "chunk", "p", "block_terms"))
-    chunk_of = dict(zip(sources, chunks))
-    names = sorted(chunk_of)
-    row_of = {s: k for k, s in enumerate(names)}
-    col_of = {t: k for k, t in enumerate(sorted({t for t in terms if t is not None}))}
-    shares, base, others = np.zeros((len(names), len(col_of)), np.int64), np.zeros(len(names), np.int64), 0
-    for s, t, share, n in zip(sources, terms, p, block_terms):  # what a source has without the term
-        if t is None:
-            shares[row_of[s]] = base[row_of[s]] = share
-            others = n - len(col_of)  # terms of the block that only sources of other chunks have
-    for s, t, share in zip(sources, terms, p):
-        if t is not None:
-            shares[row_of[s], col_of[t]] = share
+    column = {c: table.column(c).combine_chunks() for c in ("source", "term", "chunk", "p", "block_terms")}
+    source, term = column["source"].dictionary_encode(), column["term"].dictionary_encode()
+    found, p = source.dictionary.to_pylist(), column["p"].to_numpy()
+    row, col = source.indices.to_numpy(), term.indices.fill_null(-1).to_numpy()
+    whole = col < 0  # what a source has without a term
+    base = np.zeros(len(found), np.int64)
+    base[row[whole]] = p[whole]
+    shares = np.repeat(base[:, None], len(term.dictionary), axis=1)
+    shares[row[~whole], col[~whole]] = p[~whole]
+    # terms of the block that only sources of other chunks have
+    others = int(column["block_terms"].to_numpy().max()) - len(term.dictionary)
+    chunk = np.zeros(len(found), np.int64)
+    chunk[row] = column["chunk"].to_numpy()
+    chunk_of, row_of = dict(zip(found, chunk.tolist())), {s: k for k, s in enumerate(found)}
+    names = sorted(found)
     left = [s for s in names if chunk_of[s] == i]
     right = [s for s in names if chunk_of[s] == j]
     at = [row_of[s] for s in right]
