@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import schema as S
 from .model_queries import YJ_LAMBDAS, fixed_mixture
-from .stream_queries import ARRIVALS, DECAY
+from .stream_queries import ARRIVALS, DECAY, SPANS
 from .oracle import ATTRS, F_BAND, M_BAND, MALL, NORM, R_BAND, RULE, SEG, q
 
 
@@ -229,6 +229,17 @@ SELECT round(AVG(s), 6) AS silhouette FROM s"""
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, segment,
   COUNT(*) AS events FROM events JOIN seg ON events.user_id + 1 = seg.customer_id GROUP BY ALL"""
     out["stream_segment_counts_append"] = out["stream_segment_counts"]
+    out["stream_segment_counts_late"] = f"""WITH {SEG},
+b AS (SELECT epoch_us(MIN(ts)) AS lo, epoch_us(MAX(ts)) AS hi FROM events),
+a AS (SELECT ts, user_id, CAST(floor((epoch_us(ts) - lo) * {SPANS} / (hi - lo + 1)) AS INT)
+      + CASE WHEN event_id % 37 = 0 THEN 2 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS arrival FROM events CROSS JOIN b),
+w AS (SELECT arrival, MAX(MAX(epoch_us(ts) // 1000)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      - 3600000 AS mark FROM a GROUP BY arrival)
+SELECT coalesce(segment, 'Unknown') AS segment, date_trunc('hour', ts) AS window_start,
+  date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  COUNT(*) FILTER (mark IS NULL OR epoch_ms(date_trunc('hour', ts)) + 3600000 > mark) AS events,
+  COUNT(*) FILTER (epoch_ms(date_trunc('hour', ts)) + 3600000 <= mark) AS late_events
+FROM a JOIN w USING (arrival) LEFT JOIN seg ON a.user_id + 1 = seg.customer_id GROUP BY ALL"""
     near_v, _ = _nearest("income_k", "score", "si", "ss")
     out["stream_score"] = f"""WITH {NORM}, {MOM},
 good AS (SELECT id_t AS customer_id, income_k_num AS income_k, score_num AS score, c_nationkey FROM normr WHERE reject_reason IS NULL AND c_nationkey <> 24),

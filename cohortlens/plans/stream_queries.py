@@ -11,6 +11,7 @@ from ..session import fresh_path
 from ..sources import adapter
 from ..sources.tables import read_table, table_path
 from ..streaming import jobs as P
+from ..streaming import late as LATE
 from .catalog import register
 from .io_queries import write_landing
 
@@ -89,3 +90,32 @@ def q_stream_kmeans(spark, sf_dir):
     out = spark.read.parquet(base)
     return out.select(F.col("version").cast("int").alias("version"), "cluster", F.round("weight", 6).alias("weight"),
                       *[F.round(F.col("center")[i], 6).alias(c) for i, c in enumerate(S.FEATURES)])
+
+
+#: Spans of event time of ``stream_segment_counts_late``; an event arrives with its span or up to two later, so in eight arrivals.
+SPANS = 6
+
+
+@register("stream_segment_counts_late")
+def q_stream_segment_counts_late(spark, sf_dir):
+    """L2 with late data: eight arrivals out of order of event time, each a micro-batch of its own run.
+
+    Every eleventh event arrives one span late and every 37th two.  One event two days after the last closes all windows;
+    its own stays open.  Counts and late events together are all events.
+    """
+    folder, out, ckpt = (fresh_path(spark, f"late_{n}") for n in ("in", "out", "ckpt"))
+    events = read_table(spark, sf_dir, "events").select(*P.EVENTS_SCHEMA.fieldNames())
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    segments = P.static_segments(adapter.segmented(spark, sf_dir))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    lo, hi = micros(F.lit(first)), micros(F.lit(last))
+    span = F.floor((micros(F.col("ts")) - lo) * SPANS / (hi - lo + 1))
+    arrival = span + F.when(F.col("event_id") % 37 == 0, 2).when(F.col("event_id") % 11 == 0, 1).otherwise(0)
+    closing = events.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.min("user_id").alias("user_id")).select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", "user_id", F.lit("end").alias("event_type"),
+        F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    for day in range(SPANS + 3):
+        came = closing if day == SPANS + 2 else events.filter(arrival == day)
+        came.write.parquet(f"{folder}/day={day}")
+        LATE.run_late_counts(P.events_stream(spark, folder, max_files=None), segments, out, ckpt).awaitTermination()
+    return LATE.window_totals(LATE.read_out(spark, out))
