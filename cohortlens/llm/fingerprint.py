@@ -1,7 +1,7 @@
 """Homomorphic multiset fingerprints of documents.
 
-A text is cut into pieces: at line breaks, and within a paragraph after sentence
-ends.  Each piece hashes to a wide vector; a fingerprint is the sum of its
+A text is cut into pieces: at line breaks, within a paragraph after sentence
+ends, and a long sentence at points that its characters define.  Each piece hashes to a wide vector; a fingerprint is the sum of its
 pieces' vectors, so it depends on the multiset of pieces and not on their order,
 and a piece is inserted or deleted by adding or subtracting its vector.
 
@@ -13,28 +13,40 @@ Only DataFrame functions are used.
 
 Defined results: a null text counts as empty; an empty text has the zero
 fingerprint; likeness of two zero fingerprints is 1.  Repeated rows and repeated
-or null ids are kept (null ids come last in descending order).  An empty table
-gives no rows.  Columns other than the id and the text are ignored.
+or null ids are kept (null ids come last in descending order; rows of one id follow each other by the text's first
+eight characters, then by hashes of it).  An empty table gives no rows.  Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 from .registry import register
 
 SIGN_LANES, SIGN_MOD = 64, 1 << 16
 WIDE_LANES, WIDE_MOD = 8, 1 << 32
-#: Texts of one range of ids that meet in a window, and the most ranges (a bound of what is collected).
-BUCKET_BYTES, MAX_BUCKETS = 16 << 20, 20_000
+#: Texts of one range that meet in a window, at least; above 1 TB it grows with the root of all texts' bytes.
+RANGE_BYTES = 16 << 20
+#: Sampled keys per range, and a text's characters in the key of the order.
+PER_CUT, LEAD_CHARS = 16, 8
+#: Pieces of more characters are cut at content-defined points.
+LONG_PIECE = 40
 
 
 def pieces(text: Column) -> Column:
-    """Paragraphs, and within them sentences, without the white space between them."""
-    return F.filter(F.split(text, r"\s*\n\s*|(?<=[.!?])[ \t]+"), lambda p: p != "")
+    """Paragraphs, within them sentences, and of long ones the runs of words up to one whose last character is in a fixed class.
+
+    Where a sentence is cut depends on the characters there alone, so an edit moves no cut beyond it.
+    """
+    parts = F.filter(F.split(text, r"\s*\n\s*|(?<=[.!?])[ \t]+"), lambda p: p != "")
+    return F.flatten(F.transform(parts, lambda p: F.when(
+        F.char_length(p) > LONG_PIECE, F.split(p, r"(?<=[aeo]|[^\x00-\x7F])[ \t]+")).otherwise(F.array(p))))
 
 
 def add_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -42,18 +54,22 @@ def add_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_pieces", pieces(F.col(text)))
     df = df.withColumn("_hashes", F.transform("_pieces", lambda p: F.xxhash64(p)))
 
+    def ones(lane: int) -> Column:  # of lanes ``lane`` and ``lane + 32``, 32 bits each
+        return F.aggregate("_hashes", F.lit(0).cast("long"),
+                           lambda acc, h: acc + F.shiftrightunsigned(h, lane).bitwiseAND(F.lit((1 << 32) + 1)))
+
     def sign_lane(lane: int) -> Column:
-        ones = F.aggregate("_hashes", F.lit(0).cast("long"),
-                           lambda acc, h: acc + F.shiftrightunsigned(h, lane).bitwiseAND(F.lit(1)))
-        return F.pmod(ones * 2 - F.size("_hashes"), F.lit(SIGN_MOD)).cast("long")
+        count = F.shiftrightunsigned(F.col("_ones")[lane % 32], 32 * (lane // 32)).bitwiseAND(F.lit((1 << 32) - 1))
+        return F.pmod(count * 2 - F.size("_hashes"), F.lit(SIGN_MOD)).cast("long")
 
     def wide_lane(lane: int) -> Column:
         total = F.aggregate("_pieces", F.lit(0).cast("long"), lambda acc, p: F.pmod(
             acc + F.xxhash64(p, F.lit(lane)).bitwiseAND(F.lit(WIDE_MOD - 1)), F.lit(WIDE_MOD)))
         return total.cast("long")
 
+    df = df.withColumn("_ones", F.array(*[ones(i) for i in range(32)]))
     lanes = [*[sign_lane(i) for i in range(SIGN_LANES)], *[wide_lane(i) for i in range(WIDE_LANES)]]
-    return df.withColumn(out, F.array(*lanes)).drop("_pieces", "_hashes")
+    return df.withColumn(out, F.array(*lanes)).drop("_pieces", "_hashes", "_ones")
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
@@ -91,40 +107,87 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with its lanes and the next row's text and lanes, by descending id, the first after the last.
+def _key(doc_id: Column, text: Column) -> list[Column]:
+    """The order of documents, ascending: ids descending, null ids last, then the text's first characters and hashes."""
+    return [doc_id.isNull().alias("gone"), F.coalesce(F.bitwise_not(doc_id), F.lit(0).cast("long")).alias("down"),
+            F.substring(text, 1, LEAD_CHARS).alias("lead"), F.xxhash64(text).alias("uid"), F.xxhash64(text, F.lit(1)).alias("uid2")]
+
+
+KEY = ["gone", "down", "lead", "uid", "uid2"]
+_CUTS = "array<struct<gone:boolean,down:bigint,lead:string,uid:bigint,uid2:bigint>>"
+
 
-    Rows are dealt to ranges of ids; a range also gets a copy of the row that
-    follows its last one, so no task sees more than one range.  Lanes are made
-    after the copies are picked, so only rows that stay are hashed.
+def range_cuts(keys: DataFrame, ranges: int, rows: int) -> list[Row]:
+    """About ``ranges - 1`` cuts of the (different) keys: every 16th of a regular sample, in order."""
+    if ranges < 2:
+        return []
+    every = max(1, rows // (ranges * PER_CUT))
+    sample = keys.filter(F.pmod(F.xxhash64(*KEY, F.lit(11)), F.lit(every)) == 0).select(*KEY)
+    sample = sample.repartitionByRange(min(ranges, 1000), *KEY).withColumn("pid", F.spark_partition_id())
+    nth = F.row_number().over(W.partitionBy("pid").orderBy(*KEY))
+    return sorted(sample.withColumn("nth", nth).filter(F.col("nth") % PER_CUT == 0).select(*KEY).collect())
+
+
+def range_of(cuts: list[Row]) -> Column:
+    """The number of cuts up to a row's key, by bisection: the cost of a row grows with their logarithm."""
+    if not cuts:
+        return F.lit(0)
+    places = F.from_json(F.lit(json.dumps([c.asDict() for c in cuts])), _CUTS)  # folded to one literal by the planner
+
+    def halve(acc: Column, key: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        up = F.get(places, mid) <= key
+        return (F.when(acc["lo"] >= acc["hi"], acc)
+                .when(up, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+                .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))))
+
+    def search(key: Column) -> Column:
+        start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, lambda acc, _: halve(acc, key))["lo"]
+
+    return F.get(F.transform(F.array(F.struct(*KEY)), search), F.lit(0))  # the key is made once a row
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with lanes, the ``follower``'s text and lanes, and how many rows it stands for (``times``).
+
+    Rows are dealt to ranges of the order; a range also gets a copy of the row that
+    follows its last one, so no task sees more than one range.  Ranges are cut
+    by the whole key, so null ids and an id with many texts are split as well.  Equal rows
+    are counted before the shuffle and travel as one: all but the last of them are followed by their like.
+    Texts are shuffled once (twice where rows repeat); lanes are made after the copies are
+    picked, so only rows that stay are hashed.  What the driver holds is one key per range.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumn("uid", F.xxhash64("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = int(min(MAX_BUCKETS, max(1, size[0] // BUCKET_BYTES), max(1, size[1])))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * MAX_BUCKETS)
-                    ).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-    # Position of an id among the cuts; null ids come last, in a range of their own below the others.
-    ids = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(ids, lambda c: c <= F.col("doc_id"))))
-    docs = docs.withColumn("bucket", bucket)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc(), F.col("uid").asc()]
-    # The first row of each range, by the same order: at most one row per range reaches the driver.
-    heads = (docs.select("bucket", "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
-    heads = sorted(((b, h) for b, h in heads), reverse=True)
-    follows = {heads[i][0]: heads[(i + 1) % len(heads)] for i in range(len(heads))}
-    links = spark.createDataFrame([(h, b) for b, (_, h) in follows.items()] or [(None, None)],
-                                  "head bigint, into int").filter("into is not null")
-    # A repeated id at the head of a range: the row that the order puts first is the one that follows.
-    copies = (docs.drop("bucket").join(F.broadcast(links), F.col("doc_id").eqNullSafe(F.col("head")))
-              .withColumn("nth", F.row_number().over(W.partitionBy("into").orderBy(*order)))
-              .filter("nth = 1").drop("nth", "head").withColumnRenamed("into", "bucket"))
-    both = docs.withColumn("ghost", F.lit(False)).unionByName(copies.withColumn("ghost", F.lit(True)))
+    docs = docs.select("doc_id", "text", *_key(F.col("doc_id"), F.col("text")))
+    keys = materialize(docs.select(*KEY, F.octet_length("text").cast("long").alias("size"))
+                       .groupBy(*KEY).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("copies")), "fingerprint-keys")
+    rows, most, size = keys.agg(F.count(F.lit(1)), F.max("copies"), F.sum("size")).first()
+    if rows and most > 1:
+        docs = docs.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"),
+                                      F.count(F.lit(1)).alias("copies"))
+    else:
+        docs = docs.withColumn("copies", F.lit(1).cast("long"))
+    ranges = min(rows, (size or 0) // max(RANGE_BYTES, 16 * math.isqrt(size or 0)))
+    bucket = range_of(range_cuts(keys, ranges, rows))
+    heads = keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct(*KEY)).alias("head"))
+    # One row per range; the first range's head follows the last range's last row.
+    before = F.coalesce(F.lag("bucket").over(W.orderBy("bucket")), F.max("bucket").over(W.partitionBy()))
+    links = heads.select(before.alias("into"), *[F.col("head")[c].alias(f"h_{c}") for c in KEY])
+    copies = (docs.join(F.broadcast(links), [F.col(c) == F.col(f"h_{c}") for c in KEY])
+              .select(*docs.columns, F.col("into").alias("bucket")))
+    both = (docs.withColumn("bucket", bucket).withColumn("ghost", F.lit(False))
+            .unionByName(copies.withColumn("ghost", F.lit(True))))
     both = add_lanes(both, "text", "lanes")
-    line = W.partitionBy("bucket").orderBy(F.col("ghost").asc(), *order)
-    follower = F.lead(F.struct("text", "lanes")).over(line)
-    return (both.withColumn("follower", follower).filter("not ghost").drop("ghost", "bucket", "uid"))
+    line = W.partitionBy("bucket").orderBy("ghost", *KEY)
+    this = F.struct("text", "lanes")
+    both = both.withColumn("follower", F.lead(this).over(line)).filter("not ghost")
+    last = F.struct("follower", F.lit(1).cast("long").alias("times"))
+    if rows and most > 1:
+        others = F.struct(this.alias("follower"), (F.col("copies") - 1).alias("times"))
+        both = both.withColumn("_as", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))))
+    else:
+        both = both.withColumn("_as", last)
+    return both.select("doc_id", "text", "lanes", "_as.follower", "_as.times")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,13 +198,17 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut),
                       F.substring(F.col("follower.text"), F.lit(1), cut))
     docs = docs.select("doc_id", "n_chars", "lanes", F.col("follower.lanes").alias("next_lanes"),
-                       edited.alias("edited"))
+                       edited.alias("edited"), "times")
     docs = add_lanes(docs, "edited", "edited_lanes")
-    return docs.select(
+    docs = docs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), encode(F.col("lanes")).alias("fingerprint"),
         encode(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
-        likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
+        likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"), "times")
+    # A row that stands for many equal ones gives them back, 1,000 at a time so that they spread.
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / 1000)))
+    parts = docs.withColumn("part", some).withColumn("part", F.least(F.lit(1000).cast("long"), F.col("times") - F.col("part") * 1000))
+    return parts.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("part")))).drop("times", "part")
 
 
 @register("op8_fingerprint_documents")
