@@ -37,6 +37,8 @@ RANGE_BYTES = 16 << 20
 PER_CUT, LEAD_CHARS = 16, 8
 #: Pieces of more characters are cut at content-defined points.
 LONG_PIECE = 40
+#: ... after words that end in a, e, o, s or in anything but an ASCII letter, a digit or white space.
+CUT_AFTER = r"[^b-df-np-rt-zA-Z0-9 \t\n\x0B\f\r]"
 
 
 def pieces(text: Column) -> Column:
@@ -46,7 +48,7 @@ def pieces(text: Column) -> Column:
     """
     parts = F.filter(F.split(text, r"\s*\n\s*|(?<=[.!?])[ \t]+"), lambda p: p != "")
     return F.flatten(F.transform(parts, lambda p: F.when(
-        F.char_length(p) > LONG_PIECE, F.split(p, r"(?<=[aeo]|[^\x00-\x7F])[ \t]+")).otherwise(F.array(p))))
+        F.char_length(p) > LONG_PIECE, F.split(p, rf"(?<={CUT_AFTER})[ \t]+")).otherwise(F.array(p))))
 
 
 def add_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
