@@ -269,54 +269,81 @@ class YeoJohnson:
         return df.select("*", *cols)
 
 
-def _yj_np(x: np.ndarray, lm: float) -> np.ndarray:
-    pos = x >= 0
-    out = np.empty_like(x)
-    xp, xn = x[pos], x[~pos]
-    out[pos] = np.log1p(xp) if abs(lm) < 1e-12 else (np.power(xp + 1, lm) - 1) / lm
-    out[~pos] = -np.log1p(-xn) if abs(lm - 2) < 1e-12 else -(np.power(-xn + 1, 2 - lm) - 1) / (2 - lm)
-    return out
-
-
-def _yj_part(X, grid):
-    x = X[:, 0]
-    out = [float(len(x)), float((np.sign(x) * np.log1p(np.abs(x))).sum())]
-    for lm in grid:
-        y = _yj_np(x, lm)
-        out += [float(y.sum()), float((y * y).sum())]
+def _phi(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(e^t - 1) / t and its first two derivatives; near 0 by their series, where the quotients cancel."""
+    near = np.abs(t) < 0.5
+    far = np.where(near, 1.0, t)
+    e = np.exp(far)
+    p0 = np.expm1(far) / far
+    p1 = (e - p0) / far
+    p2 = (e - 2 * p1) / far
+    small = np.where(near, t, 0.0)
+    term = [1 / math.factorial(k + 1) for k in range(16)]
+    return tuple(np.where(near, np.polyval(c[::-1], small), p) for c, p in (
+        (term, p0), ([k * v for k, v in enumerate(term)][1:], p1), ([k * (k - 1) * v for k, v in enumerate(term)][2:], p2)))
+
+
+def _yj_part(X, points):
+    """Sums over a task's rows, per feature: n, the Jacobian's log, and for each lambda those of y and y^2 with two derivatives."""
+    out = []
+    for x, lambdas in zip(X.T, points):
+        u, pos = np.log1p(np.abs(x)), x >= 0
+        out += [float(len(x)), float((np.sign(x) * u).sum())]
+        sign = np.where(pos, 1.0, -1.0)
+        for lm in lambdas:  # y = sign * u * phi(m u) with m = lambda, or 2 - lambda below 0
+            p0, p1, p2 = _phi(np.where(pos, lm, 2 - lm) * u)
+            y, d1, d2 = sign * u * p0, u ** 2 * p1, sign * u ** 3 * p2
+            out += [float(v.sum()) for v in (y, d1, d2, y * y, y * d1, d1 * d1 + y * d2)]
     return np.array(out)
 
 
-def _yj_loglik_pass(df: DataFrame, f: str, grid: list[float], tasks: int) -> list[float]:
-    """Profile log-likelihood of every lambda in ``grid`` in ONE pass (partial sums per task)."""
+def _yj_pass(df: DataFrame, features, points: list[list[float]], tasks: int) -> list[list[tuple[float, float, float]]]:
+    """(profile log-likelihood, first, second derivative) at every feature's lambdas, all in ONE pass."""
     from .partials import batch_sums
-    sums = batch_sums(df, [f], _yj_part, 2 + 2 * len(grid), list(grid), tasks)
-    n, j = sums[0], sums[1]
-    out = []
-    for i, lm in enumerate(grid):
-        mean = sums[2 + 2 * i] / n
-        var = max(sums[3 + 2 * i] / n - mean * mean, 1e-300)
-        out.append(-0.5 * n * math.log(var) + (lm - 1) * j)
+    width = sum(2 + 6 * len(p) for p in points)
+    sums, out, at = batch_sums(df, list(features), _yj_part, width, points, tasks), [], 0
+    for lambdas in points:
+        n, jac = sums[at], sums[at + 1]
+        found = []
+        for i, lm in enumerate(lambdas):
+            s0, s1, s2, q0, q1, q2 = (v / n for v in sums[at + 2 + 6 * i:at + 8 + 6 * i])
+            var = max(q0 - s0 * s0, 1e-300)
+            v1, v2 = 2 * (q1 - s0 * s1) / var, 2 * (q2 - s1 * s1 - s0 * s2) / var
+            found.append((-0.5 * n * math.log(var) + (lm - 1) * jac, -0.5 * n * v1 + jac, -0.5 * n * (v2 - v1 * v1)))
+        out.append(found)
+        at += 2 + 6 * len(lambdas)
     return out
 
 
 def fit_yeo_johnson(df: DataFrame, features=S.FEATURES, lo: float = -3.0, hi: float = 3.0,
-                    steps: int = 61, refinements: int = 2) -> YeoJohnson:
-    """Lambda by maximum likelihood: a coarse grid, then zoomed grids around the best point."""
+                    steps: int = 13, passes: int = 6, close: float = 1e-9) -> YeoJohnson:
+    """Lambda by maximum likelihood: one pass over a coarse grid, then Newton steps for all features together.
+
+    A step that leaves the bracket around the best grid point, or that the curvature does not support, halves the
+    bracket instead.  A maximum at an end of [lo, hi] gives that end.  At most ``passes`` passes in all.
+    """
     from .partials import task_count
-    lambdas, tasks = [], task_count(df)
-    for f in features:
-        a, b = lo, hi
-        best = 0.0
-        for _ in range(refinements + 1):
-            grid = [a + (b - a) * i / (steps - 1) for i in range(steps)]
-            ll = _yj_loglik_pass(df, f, grid, tasks)
-            k = int(np.argmax(ll))
-            best = grid[k]
-            width = (b - a) / (steps - 1)
-            a, b = best - width, best + width
-        lambdas.append(best)
-    return yeo_johnson_at(df, lambdas, features)
+    tasks = task_count(df)
+    grid = [lo + (hi - lo) * i / (steps - 1) for i in range(steps)]
+    state = []  # per feature: lambda, its derivatives, bracket, done
+    for found in _yj_pass(df, features, [grid] * len(features), tasks):
+        k = int(np.argmax([f[0] for f in found]))
+        state.append([grid[k], found[k][1], found[k][2], grid[max(k - 1, 0)], grid[min(k + 1, steps - 1)], False])
+    for left in range(passes - 1, -1, -1):
+        for st in state:
+            lm, d1, d2, a, b, done = st
+            if done:
+                continue
+            a, b = (lm, b) if d1 > 0 else (a, lm)
+            new = lm - d1 / d2 if d2 < 0 else 0.5 * (a + b)
+            if not a <= new <= b:
+                new = b if b == hi and d1 > 0 else a if a == lo and d1 < 0 else 0.5 * (a + b)
+            st[:] = [new, d1, d2, a, b, abs(new - lm) <= close]
+        if left == 0 or all(st[5] for st in state):
+            break
+        for st, found in zip(state, _yj_pass(df, features, [[st[0]] for st in state], tasks)):
+            st[1:3] = found[0][1:]
+    return yeo_johnson_at(df, [st[0] for st in state], features)
 
 
 def yeo_johnson_at(df: DataFrame, lambdas: list[float], features=S.FEATURES) -> YeoJohnson:

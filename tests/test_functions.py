@@ -55,3 +55,35 @@ def test_greedy_naming_is_a_bijection_with_lowest_id_ties():
     cents = [(86.5, 82.1), (26.3, 20.9), (88.2, 17.1), (25.7, 79.4), (55.3, 49.5)]
     assert NM.greedy_names(cents) == {0: S.VIP, 1: S.AT_RISK, 2: S.NEW, 3: S.DISCOUNT, 4: S.LOYAL}
     assert NM.greedy_names([(50.0, 50.0)] * 5) == dict(enumerate([S.VIP, S.AT_RISK, S.NEW, S.DISCOUNT, S.LOYAL]))
+
+
+def test_yeo_johnson_lambda_is_the_maximum_in_six_passes(spark, monkeypatch):
+    """Against a golden-section search of the likelihood itself, for skewed, signed and constant features."""
+    import math
+    import numpy as np
+    from cohortlens.operators import scaling
+
+    rng = np.random.default_rng(5)
+    cols = {"skewed": rng.lognormal(1, 0.7, 400), "signed": rng.normal(-1, 2, 400), "left": -rng.gamma(2, 3, 400),
+            "steep": np.full(400, 1.0) + 1e-3 * rng.random(400) ** 8}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values())], list(cols)).repartition(3)
+    seen = []
+    one_pass = scaling._yj_pass
+    monkeypatch.setattr(scaling, "_yj_pass", lambda *a: seen.append(1) or one_pass(*a))
+    model = scaling.fit_yeo_johnson(df, list(cols))
+    assert len(seen) <= 6
+
+    def loglik(x, lm):
+        y = np.where(x >= 0, (np.power(np.abs(x) + 1, lm) - 1) / lm, -(np.power(np.abs(x) + 1, 2 - lm) - 1) / (2 - lm))
+        return -0.5 * len(x) * math.log(y.var()) + (lm - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    for name, x in list(cols.items())[:3]:
+        a, b, g = -2.99, 2.99, (math.sqrt(5) - 1) / 2
+        for _ in range(60):
+            c, d = b - g * (b - a), a + g * (b - a)
+            a, b = (a, d) if loglik(x, c) > loglik(x, d) else (c, b)
+        got = model.lambdas[list(cols).index(name)]
+        assert abs(got - a) < 1e-5  # the search itself is flat to about 1e-7 there
+        slope = one_pass(df, [name], [[got]], 3)[0][0][1]
+        assert abs(slope) < 1e-6
+    assert model.lambdas[3] == -3.0  # a likelihood that rises to the end of the range
