@@ -7,8 +7,8 @@ and a piece is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts.  64 sign lanes (+1 or -1 by the bits of one XXH64, sums
 modulo 2^16) carry likeness: lanes of the difference of two sums have, on
-average, the squared size of the multisets' difference.  Eight wide lanes (32
-bits of an XXH64 with its own salt, sums modulo 2^32) carry equality.
+average, the squared size of the multisets' difference.  Eight wide lanes (the
+halves of four XXH64 with salts of their own, sums modulo 2^32) carry equality.
 Only DataFrame functions are used.
 
 Defined results: a null text counts as empty; an empty text has the zero
@@ -64,14 +64,16 @@ def add_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
         count = F.shiftrightunsigned(F.col("_ones")[lane % 32], 32 * (lane // 32)).bitwiseAND(F.lit((1 << 32) - 1))
         return F.pmod(count * 2 - F.size("_hashes"), F.lit(SIGN_MOD)).cast("long")
 
-    def wide_lane(lane: int) -> Column:
-        total = F.aggregate("_pieces", F.lit(0).cast("long"), lambda acc, p: F.pmod(
-            acc + F.xxhash64(p, F.lit(lane)).bitwiseAND(F.lit(WIDE_MOD - 1)), F.lit(WIDE_MOD)))
-        return total.cast("long")
+    def wide_lane(lane: int) -> Column:  # the low or high 32 bits of one of four more hashes; sums of 2^31 pieces fit a long
+        half = (lambda h: h.bitwiseAND(F.lit(WIDE_MOD - 1))) if lane % 2 == 0 else (lambda h: F.shiftrightunsigned(h, 32))
+        total = F.aggregate(f"_wide{lane // 2}", F.lit(0).cast("long"), lambda acc, h: acc + half(h))
+        return F.pmod(total, F.lit(WIDE_MOD)).cast("long")
 
+    for i in range(WIDE_LANES // 2):
+        df = df.withColumn(f"_wide{i}", F.transform("_pieces", lambda p: F.xxhash64(p, F.lit(i))))
     df = df.withColumn("_ones", F.array(*[ones(i) for i in range(32)]))
     lanes = [*[sign_lane(i) for i in range(SIGN_LANES)], *[wide_lane(i) for i in range(WIDE_LANES)]]
-    return df.withColumn(out, F.array(*lanes)).drop("_pieces", "_hashes", "_ones")
+    return df.withColumn(out, F.array(*lanes)).drop("_pieces", "_hashes", "_ones", *[f"_wide{i}" for i in range(WIDE_LANES // 2)])
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
