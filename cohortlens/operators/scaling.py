@@ -11,10 +11,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 
@@ -143,25 +141,56 @@ _C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
 _D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
 
 
-def norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Inverse standard normal CDF, vectorised (rational approximation, |rel err| < 1.2e-9)."""
-    p = np.asarray(p, dtype=float)
-    out = np.empty_like(p)
-    lo, hi = 0.02425, 1 - 0.02425
-    m = p < lo
-    q = np.sqrt(-2 * np.log(p[m]))
-    out[m] = ((((((_C[0] * q + _C[1]) * q + _C[2]) * q + _C[3]) * q + _C[4]) * q + _C[5])
-              / ((((_D[0] * q + _D[1]) * q + _D[2]) * q + _D[3]) * q + 1))
-    m = (p >= lo) & (p <= hi)
-    q = p[m] - 0.5
-    r = q * q
-    out[m] = ((((((_A[0] * r + _A[1]) * r + _A[2]) * r + _A[3]) * r + _A[4]) * r + _A[5]) * q
-              / (((((_B[0] * r + _B[1]) * r + _B[2]) * r + _B[3]) * r + _B[4]) * r + 1))
-    m = p > hi
-    q = np.sqrt(-2 * np.log(1 - p[m]))
-    out[m] = -((((((_C[0] * q + _C[1]) * q + _C[2]) * q + _C[3]) * q + _C[4]) * q + _C[5])
-               / ((((_D[0] * q + _D[1]) * q + _D[2]) * q + _D[3]) * q + 1))
-    return out
+def norm_ppf_col(p: Column) -> Column:
+    """Inverse standard normal CDF as a column expression (rational approximation, |rel err| < 1.2e-9)."""
+    def poly(coefficients: list[float], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    def tail(side: Column) -> Column:
+        q = F.sqrt(-2 * F.log(side))
+        return poly(_C, q) / poly([*_D, 1.0], q)
+
+    lo = 0.02425
+    q = p - 0.5
+    return (F.when(p < lo, tail(p)).when(p > 1 - lo, -tail(1 - p))
+            .otherwise(poly(_A, q * q) * q / poly([*_B, 1.0], q * q)))
+
+
+def _doubles(values: list[float]) -> Column:
+    """A literal array (folded by the planner), whatever its length."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _count_knots(knots: Column, n: int, x: Column, equal: bool) -> Column:
+    """How many of ``n`` ascending knots lie below ``x``, with ``equal`` also at it: by bisection."""
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        up = F.get(knots, mid) <= x if equal else F.get(knots, mid) < x
+        return (F.when(acc["lo"] >= acc["hi"], acc)
+                .when(up, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+                .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, halve)["lo"]
+
+
+def empirical_cdf_col(x: Column, knots: list[float], references: list[float]) -> Column:
+    """The share at ``x`` by interpolation between knots; at repeated knots the middle of their shares; NULL for NaN."""
+    q, r, n = _doubles(knots), _doubles(references), len(knots)
+
+    def share(at: Column) -> Column:
+        le, lt = at["le"], at["lt"]
+        a, b = F.get(q, le - 1), F.get(q, le)
+        slope = (F.get(r, le) - F.get(r, le - 1)) / (b - a)
+        return F.when(le > lt, (F.get(r, le - 1) + F.get(r, lt)) / 2).otherwise(F.get(r, le - 1) + slope * (x - a))
+
+    counts = F.struct(_count_knots(q, n, x, True).alias("le"), _count_knots(q, n, x, False).alias("lt"))
+    inside = F.get(F.transform(F.array(counts), share), F.lit(0))  # counted once a row
+    return (F.when(F.isnan(x), F.lit(None).cast("double")).when(x <= float(knots[0]), 0.0)
+            .when(x >= float(knots[-1]), 1.0).when(x.isNotNull(), inside))
 
 
 @dataclass
@@ -186,24 +215,14 @@ class QuantileNormal:
         return [float(np.interp(q, self.references, self.quantiles[f])) for q, f in zip(p, self.features)]
 
     def transform(self, df: DataFrame, prefix: str = "z_") -> DataFrame:
-        from ..session import ship_package
-        ship_package(df.sparkSession)
-        refs = np.asarray(self.references)
-        qs = {f: np.asarray(v) for f, v in self.quantiles.items()}
-
-        def make(f):
-            qv = qs[f]
-
-            @F.pandas_udf(T.DoubleType())
-            def qn(x: pd.Series) -> pd.Series:
-                v = x.to_numpy(dtype=float)
-                # average of the forward and reversed interpolation handles repeated quantiles
-                p = 0.5 * (np.interp(v, qv, refs) - np.interp(-v, -qv[::-1], -refs[::-1]))
-                p = np.where(v <= qv[0], 0.0, np.where(v >= qv[-1], 1.0, p))
-                return pd.Series(norm_ppf(np.clip(p, _BOUND, 1 - _BOUND)))
-            return qn
-
-        return df.select("*", *[make(f)(F.col(f)).alias(f"{prefix}{f}") for f in self.features])
+        def normal(share: Column) -> Column:  # greatest() skips nulls, which are to stay
+            return F.when(share.isNotNull(), norm_ppf_col(F.greatest(F.lit(_BOUND), F.least(F.lit(1 - _BOUND), share))))
+
+        def make(f: str) -> Column:
+            share = empirical_cdf_col(F.col(f).cast("double"), self.quantiles[f], self.references)
+            return F.get(F.transform(F.array(share), normal), F.lit(0))  # the share is made once a row
+
+        return df.select("*", *[make(f).alias(f"{prefix}{f}") for f in self.features])
 
 
 def fit_quantile_normal(df: DataFrame, features=S.FEATURES, n_rows: int | None = None,

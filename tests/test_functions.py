@@ -87,3 +87,25 @@ def test_yeo_johnson_lambda_is_the_maximum_in_six_passes(spark, monkeypatch):
         slope = one_pass(df, [name], [[got]], 3)[0][0][1]
         assert abs(slope) < 1e-6
     assert model.lambdas[3] == -3.0  # a likelihood that rises to the end of the range
+
+
+def test_quantile_normal_as_columns_equals_interpolation_and_the_normal_quantile(spark):
+    """Repeated knots, values at, between and beyond them, nulls and NaN; no Python worker in the plan."""
+    from statistics import NormalDist
+    import numpy as np
+    from cohortlens.operators.scaling import QuantileNormal
+
+    knots = [-2.0, -2.0, 0.0, 0.5, 0.5, 0.5, 3.0, 7.0, 7.0, 10.0]
+    refs = [i / 9 for i in range(10)]
+    values = [-5.0, -2.0, -1.9, -1e-9, 0.0, 0.2, 0.5, 0.50001, 2.9, 3.0, 6.0, 7.0, 9.999999, 10.0, 11.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double").repartition(2)
+    out = QuantileNormal(["x"], refs, {"x": knots}).transform(df)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {str(r.x): r.z_x for r in out.collect()}
+    q, r = np.array(knots), np.array(refs)
+    for v in values:
+        p = 0.5 * (np.interp(v, q, r) - np.interp(-v, -q[::-1], -r[::-1]))
+        p = 0.0 if v <= q[0] else 1.0 if v >= q[-1] else p
+        want = NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7))
+        assert abs(got[str(v)] - want) < 1e-8 * max(1, abs(want)), v
+    assert got["None"] is None and got["nan"] is None
