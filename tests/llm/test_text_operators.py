@@ -383,6 +383,34 @@ def test_next_document_over_many_ranges(hard, monkeypatch):
     test_fingerprints_equal_brute_force(hard)
 
 
+def test_next_document_splits_null_ids_repeated_ids_and_equal_rows(spark, monkeypatch):
+    """A cut at about every key: null ids, one id with many texts and 2,500 equal rows, in the defined order."""
+    rng = random.Random(3)
+    texts = [f"{rng.choice('ab')}start of {rng.randint(0, 9)} " + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 40))) + str(i)
+             for i in range(1200)]
+    rows = [(None, t) for t in texts[:600]] + [(7, t) for t in texts[600:1100]] + [(9, "equal rows of one id")] * 2500
+    rows += [(100 + i, t) for i, t in enumerate(texts[1100:])] + [(None, "null twice")] * 2
+    whole = fingerprint.range_cuts
+    made = []
+    monkeypatch.setattr(fingerprint, "PER_CUT", 1)
+    monkeypatch.setattr(fingerprint, "range_cuts", lambda keys, ranges, n: made.append(whole(keys, n, n)) or made[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.fingerprint_documents(df).collect())
+    assert len(made[0]) > 1000 and made[0] == sorted(made[0])
+
+    def place(row):
+        i, t = row
+        h = xxhash.xxh64_intdigest(t.encode(), seed=42)
+        return i is None, -(i or 0), t[:8], h - (1 << 64 if h >> 63 else 0)
+
+    rows.sort(key=place)
+    want = collections.Counter()
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        cut = len(t) // 3
+        want[i, len(t), hashlib.sha256((t[:len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 def slow_targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
