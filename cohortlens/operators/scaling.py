@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import sketch
 
 
 @dataclass
@@ -225,15 +226,19 @@ class QuantileNormal:
         return df.select("*", *[make(f).alias(f"{prefix}{f}") for f in self.features])
 
 
-def fit_quantile_normal(df: DataFrame, features=S.FEATURES, n_rows: int | None = None,
-                        accuracy: int = 100_000) -> QuantileNormal:
-    """Quantile knots by ``percentile_approx`` (one pass, bounded memory per feature);
-    ``n_quantiles = max(10, min(1000, n))``."""
-    n = n_rows if n_rows is not None else df.count()
-    nq = max(10, min(1000, n))
-    refs = [i / (nq - 1) for i in range(nq)]
-    row = df.agg(*[F.percentile_approx(f, refs, accuracy).alias(f"q_{f}") for f in features]).first()
-    return QuantileNormal(list(features), refs, {f: [float(v) for v in row[f"q_{f}"]] for f in features})
+def fit_quantile_normal(df: DataFrame, features=S.FEATURES) -> QuantileNormal:
+    """Quantile knots of a mergeable sketch, filled in one pass over all rows."""
+    from ..session import materialize
+    return quantile_normal_of(materialize(sketch.sketch(df, list(features)), "quantile-sketch"))
+
+
+def quantile_normal_of(state: DataFrame) -> QuantileNormal:
+    """The scaler of a stored sketch state; ``n_quantiles = max(10, min(1000, n))``, knots linear between ranks."""
+    n = sketch.counts(state)
+    if not all(n.values()):
+        raise ValueError("a quantile scaler needs at least one value of each feature")
+    nq = max(10, min(1000, max(n.values())))
+    return QuantileNormal(list(n), [i / (nq - 1) for i in range(nq)], sketch.knots(state, dict.fromkeys(n, nq), n))
 
 
 # ---------------------------------------------------------------------------

@@ -17,6 +17,8 @@ from ..operators import naming as NM
 from ..operators import sampling as SM
 from ..operators import scaling as SC
 from ..operators import scoring as SCO
+from ..operators import sketch
+from ..session import fresh_path
 from ..sources import adapter
 from .catalog import register
 
@@ -171,12 +173,38 @@ def q_greedy_naming(spark, sf_dir):
 # ---- J3 / J4 nonlinear preprocessors, K2 / K3 / K4 model variants ------------
 @register("quantile_normal")
 def q_quantile_normal(spark, sf_dir):
-    """Features through their empirical CDF to the standard normal (rows check)."""
+    """Features through their empirical CDF to the standard normal."""
     cust = adapter.customers(spark, sf_dir)
     qn = SC.fit_quantile_normal(cust)
     return qn.transform(cust).select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
 
 
+QUANTILE_INCREMENTS = 4
+
+
+@register("quantile_normal_incremental")
+def q_quantile_normal_incremental(spark, sf_dir):
+    """J3 from sketches kept as versions: each step reads its own customers and merges them into the state before."""
+    cust = adapter.customers(spark, sf_dir)
+    base = fresh_path(spark, "quantile-state")
+    for i in range(QUANTILE_INCREMENTS):
+        part = cust.filter(F.pmod(F.col(S.CUSTOMER_ID), F.lit(QUANTILE_INCREMENTS)) == i)
+        state = sketch.take_increment(part, S.FEATURES, base, i)
+    return SC.quantile_normal_of(state).transform(cust).select(S.CUSTOMER_ID, *[F.round(c, 6).alias(c) for c in Z])
+
+
+INVERSE_POINTS = [-1.5, -0.5, 0.0, 0.75, 2.0]
+
+
+@register("scaler_inverse")
+def q_scaler_inverse(spark, sf_dir):
+    """Fixed scaled points mapped back to original units by each fitted scaler with a closed inverse."""
+    cust = adapter.customers(spark, sf_dir)
+    fitted = {"standard": SC.fit_standard(cust), "robust": SC.fit_robust(cust), "yeo_johnson": SC.yeo_johnson_at(cust, YJ_LAMBDAS)}
+    rows = [(name, z, *(round(v, 6) for v in scaler.inverse([z] * len(S.FEATURES)))) for name, scaler in fitted.items() for z in INVERSE_POINTS]
+    return lookups.local_table(spark, rows, ["scaler", "z", *S.FEATURES], ["string", "double", "double", "double"])
+
+
 @register("yeo_johnson")
 def q_yeo_johnson(spark, sf_dir):
     """Yeo-Johnson with maximum-likelihood lambda, then standardised (rows check)."""

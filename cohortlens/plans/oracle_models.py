@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .. import schema as S
-from .model_queries import YJ_LAMBDAS, fixed_mixture
+from ..operators import scaling as SC
+from .model_queries import INVERSE_POINTS, YJ_LAMBDAS, fixed_mixture
 from .stream_queries import ARRIVALS, DECAY, SPANS
 from .oracle import ATTRS, F_BAND, M_BAND, MALL, NORM, R_BAND, RULE, SEG, q
 
@@ -64,6 +65,37 @@ qab AS (SELECT customer_id, MAX(CASE WHEN cs = own THEN cn END) AS na,
 sq AS (SELECT AVG(CASE WHEN na = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS sq FROM qab)"""
 
 
+def _normal_quantile(p: str) -> str:
+    """The rational approximation of the inverse normal, as SQL over a column."""
+    def poly(coefficients, x):
+        out = _lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {_lit(c)})"
+        return out
+
+    def tail(side):
+        root = f"sqrt(-2 * ln({side}))"
+        return f"{poly(SC._C, root)} / {poly([*SC._D, 1.0], root)}"
+    q, low = f"({p} - 0.5e0)", "0.02425e0"
+    return (f"CASE WHEN {p} < {low} THEN {tail(p)} WHEN {p} > 1 - {low} THEN -({tail(f'(1 - {p})')}) "
+            f"ELSE {poly(SC._A, f'({q} * {q})')} * {q} / {poly([*SC._B, 1.0], f'({q} * {q})')} END")
+
+
+def _quantile_normal(c: str) -> str:
+    """CTEs z_<c> (value, z) over mall: knots linear between ranks, the share of a value, its normal quantile."""
+    return f"""s_{c} AS (SELECT list(CAST({c} AS DOUBLE) ORDER BY {c}) AS v, COUNT(*) AS n, greatest(10, least(1000, COUNT(*))) AS nq FROM mall),
+i_{c} AS (SELECT v, n, nq, unnest(range(0, CAST(nq AS BIGINT))) AS i FROM s_{c}),
+k_{c} AS (SELECT i, nq, v[(i * (n - 1)) // (nq - 1) + 1] + (v[(i * (n - 1)) // (nq - 1) + 1 + CASE WHEN (i * (n - 1)) % (nq - 1) > 0 THEN 1 ELSE 0 END]
+  - v[(i * (n - 1)) // (nq - 1) + 1]) * (CAST((i * (n - 1)) % (nq - 1) AS DOUBLE) / (nq - 1)) AS q FROM i_{c}),
+l_{c} AS (SELECT list(q ORDER BY i) AS q, any_value(CAST(nq AS DOUBLE)) AS nq FROM k_{c}),
+d_{c} AS (SELECT DISTINCT CAST({c} AS DOUBLE) AS x FROM mall),
+n_{c} AS (SELECT x, COUNT(*) FILTER (q <= x) AS le, COUNT(*) FILTER (q < x) AS lt FROM d_{c} CROSS JOIN k_{c} GROUP BY x),
+p_{c} AS (SELECT x, greatest(1e-7, least(1 - 1e-7, CASE WHEN x <= q[1] THEN 0.0e0 WHEN x >= q[-1] THEN 1.0e0
+  WHEN le > lt THEN ((le - 1) / (nq - 1) + lt / (nq - 1)) / 2
+  ELSE (le - 1) / (nq - 1) + (le / (nq - 1) - (le - 1) / (nq - 1)) / (q[le + 1] - q[le]) * (x - q[le]) END)) AS p FROM n_{c} CROSS JOIN l_{c}),
+z_{c} AS (SELECT x, {_normal_quantile('p')} AS z FROM p_{c})"""
+
+
 def model_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     W = f"WITH {MALL}"
@@ -190,6 +222,22 @@ SELECT n, round(ll, 4) AS log_likelihood, round(-2 * ll + {2 * free}, 4) AS aic,
     out["yeo_johnson_given"] = f"""{W}, t AS (SELECT customer_id, {yj[0]} AS a, {yj[1]} AS b FROM mall),
 m AS (SELECT AVG(a) AS ma, stddev_pop(a) AS sa, AVG(b) AS mb, stddev_pop(b) AS sb FROM t)
 SELECT customer_id, round((a - ma) / sa, 6) AS z_income_k, round((b - mb) / sb, 6) AS z_score FROM t CROSS JOIN m"""
+    out["quantile_normal"] = f"""{W}, {_quantile_normal('income_k')}, {_quantile_normal('score')}
+SELECT customer_id, round(a.z, 6) AS z_income_k, round(b.z, 6) AS z_score
+FROM mall JOIN z_income_k a ON mall.income_k = a.x JOIN z_score b ON mall.score = b.x"""
+    out["quantile_normal_incremental"] = out["quantile_normal"]
+    points = ", ".join(f"({_lit(z)})" for z in INVERSE_POINTS)
+    back = [f"pow(greatest((z * {sd} + {mean}) * {_lit(lm)} + 1, 1e-300), 1 / {_lit(lm)}) - 1"
+            for sd, mean, lm in (("sa", "ma", YJ_LAMBDAS[0]), ("sb", "mb", YJ_LAMBDAS[1]))]
+    below = [f"1 - pow(greatest(1 - (z * {sd} + {mean}) * (2 - {_lit(lm)}), 1e-300), 1 / (2 - {_lit(lm)}))"
+             for sd, mean, lm in (("sa", "ma", YJ_LAMBDAS[0]), ("sb", "mb", YJ_LAMBDAS[1]))]
+    out["scaler_inverse"] = f"""{W}, {MOM}, pt(z) AS (VALUES {points}),
+qs AS (SELECT quantile_cont(income_k, [0.25, 0.5, 0.75]) AS qi, quantile_cont(score, [0.25, 0.5, 0.75]) AS qsc FROM mall),
+m AS (SELECT AVG(a) AS ma, stddev_pop(a) AS sa, AVG(b) AS mb, stddev_pop(b) AS sb FROM (SELECT {yj[0]} AS a, {yj[1]} AS b FROM mall))
+SELECT 'standard' AS scaler, CAST(z AS DOUBLE) AS z, round(z * si + mi, 6) AS income_k, round(z * ss + ms, 6) AS score FROM pt CROSS JOIN mom
+UNION ALL SELECT 'robust', z, round(z * (qi[3] - qi[1]) + qi[2], 6), round(z * (qsc[3] - qsc[1]) + qsc[2], 6) FROM pt CROSS JOIN qs
+UNION ALL SELECT 'yeo_johnson', z, round(CASE WHEN z * sa + ma >= 0 THEN {back[0]} ELSE {below[0]} END, 6),
+  round(CASE WHEN z * sb + mb >= 0 THEN {back[1]} ELSE {below[1]} END, 6) FROM pt CROSS JOIN m"""
     ranked = []
     for name, expr in (("rule", RULE), ("recency", R_BAND), ("monetary", M_BAND)):
         ranked.append(f"""SELECT * FROM (WITH z AS (SELECT customer_id, (income_k - mi) / si AS x, (score - ms) / ss AS y, {expr} AS lab FROM mall CROSS JOIN mom),

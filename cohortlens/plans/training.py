@@ -94,7 +94,7 @@ class TrainResult:
 
 def fit_preprocessor(kind: str, df: DataFrame, features: list[str], n_rows: int):
     fits = {"standard": SC.fit_standard, "robust": SC.fit_robust, "power_yeo_johnson": SC.fit_yeo_johnson,
-            "quantile_normal": lambda d, f: SC.fit_quantile_normal(d, f, n_rows=n_rows)}
+            "quantile_normal": SC.fit_quantile_normal}
     if kind not in fits:
         raise ValueError(f"no preprocessor named {kind}")
     return fits[kind](df, features)
