@@ -36,9 +36,8 @@ EVENTS_SCHEMA = T.StructType([
 
 
 def landing_stream(spark: SparkSession, folder: str, max_files: int = 8) -> DataFrame:
-    """Rows of the CSV files arriving below ``folder``, by position (header lines included)."""
-    reader = files.landing_reader(spark.readStream).option("maxFilesPerTrigger", max_files)
-    return files.with_upload_info(reader.csv(folder))
+    """Lines of the CSV files arriving below ``folder`` (header lines included)."""
+    return files.landing_lines(spark.readStream.option("maxFilesPerTrigger", max_files), folder)
 
 
 def score_batch(norm: DataFrame, model: SCO.SegmentModel) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +58,7 @@ def first_deliveries(batch: DataFrame, ledger: DataFrame | None) -> tuple[DataFr
     so a second name, or lines in another order, make no new upload.  Of equal uploads in one batch the
     first by name counts.
     """
-    fields = [c for c in batch.columns if c in files.POSITIONAL.fieldNames()]
+    fields = [c for c in batch.columns if c not in files.UPLOAD_INFO]
     lines = [F.sum(F.xxhash64(F.lit(i), *fields).cast("decimal(38,0)")) for i in (1, 2)]
     content = batch.groupBy("source_file").agg(F.concat_ws("/", F.count(F.lit(1)), *lines).alias("content"))
     new = content.groupBy("content").agg(F.min("source_file").alias("source_file"))

@@ -129,3 +129,29 @@ def test_uploads_bind_by_column_name(spark, malformed_csv, tmp_path):
     assert [(r["reject_reason"], r["missing_columns"]) for r in rows["less"]] == [("missing_columns", "Spending Score (1-100)")]
     assert [r["reject_reason"] for r in rows["none"]] == ["missing_columns"]
     assert str(rows["other"][0]["arrival_ts"]) == "2026-01-01 00:00:00"
+
+
+def test_uploads_of_any_width_with_quotes_and_line_breaks(spark, tmp_path):
+    """Headers of 300 columns; quoted names, commas, doubled quotes and line breaks; stray quotes; a blank in a file's name."""
+    wide = [f"Extra {i}" for i in range(295)]
+    (tmp_path / "20260102_000000_wide.csv").write_text(
+        ",".join([*wide, *S.REQUIRED_PUBLIC]) + "\n" + ",".join(["x"] * 295 + ["1", "Male", "30", "40", "50"]) + "\n\n")
+    (tmp_path / "20260102_000001_quoted.csv").write_text(
+        '"CustomerID","Gender","Note","Age","Annual Income (k$)","Spending Score (1-100)"\n'
+        '"2","Female","a, ""b""","31","41","51"\n3,Male,"",32,42,52\n')
+    (tmp_path / "20260102_000002_broken [1] lines.csv").write_text(
+        'CustomerID,Note,Gender,Age,Annual Income (k$),Spending Score (1-100)\n'
+        '4,"two\nlines, one ""field""",Male,33,43,53\n5,a 5" pipe,Male,34,44,54\n6,"\n\n",Female,35,45,55\n')
+    land = files.read_landing(spark, str(tmp_path))
+    got = sorted((r["upload_label"], *(r[c] for c in S.REQUIRED_PUBLIC), r["missing_columns"]) for r in land.collect())
+    assert got == [("broken [1] lines", "4", "Male", "33", "43", "53", None), ("broken [1] lines", "5", "Male", "34", "44", "54", None),
+                   ("broken [1] lines", "6", "Female", "35", "45", "55", None), ("quoted", "2", "Female", "31", "41", "51", None),
+                   ("quoted", "3", "Male", "32", "42", "52", None), ("wide", "1", "Male", "30", "40", "50", None)]
+
+
+def test_fields_of_a_line(spark):
+    lines = ['a,b', '', ',', 'a,,"c,d"', '"x ""y""",""', ' 1 , "2"', 'a""b,c', '"open', 'in"ch', '"a"b,c', 'x\x01']
+    df = spark.createDataFrame([(v,) for v in lines], "v string")
+    got = {r.v: (r.f if r.ok else None) for r in df.select("v", files._split(F.col("v")).alias("f"), files._well_formed(F.col("v")).alias("ok")).collect()}
+    assert got == {'a,b': ["a", "b"], '': [None], ',': [None, None], 'a,,"c,d"': ["a", None, "c,d"], '"x ""y""",""': ['x "y"', ""],
+                   ' 1 , "2"': None, 'a""b,c': ['a""b', "c"], '"open': None, 'in"ch': None, '"a"b,c': None, 'x\x01': None}
