@@ -18,7 +18,7 @@ from ..sinks import writers as W
 from ..sources import adapter, files
 from .catalog import register
 from . import training as TR
-from .model_queries import _fixed_centers
+from .model_queries import _fixed_centers, q_label_ranking
 
 
 # ---- A1 / B2 / B1 / B6 -----------------------------------------------------
@@ -182,6 +182,24 @@ def q_metrics_document(spark, sf_dir):
     return W.read_document(spark, path, W.METRICS_SCHEMA).drop("features", "candidate_results")
 
 
+@register("candidate_results_document")
+def q_candidate_results_document(spark, sf_dir):
+    """A metrics document whose candidates are the ranked fixed labelings, stored and read back candidate by candidate."""
+    ranked = q_label_ranking(spark, sf_dir).orderBy("position").collect()  # three rows
+    best = ranked[0]
+    doc = dict.fromkeys(W.METRICS_SCHEMA.fieldNames()) | {
+        "davies": best["davies"], "calinski": best["calinski"], "n_iter": 0, "model_variant": best["labeling"],
+        "preprocessor_variant": "standard", "features": list(S.FEATURES),
+        "candidate_results": [{"variant": r["labeling"], "preprocessor": "standard", "features": list(S.FEATURES),
+                               "davies": r["davies"], "calinski": r["calinski"]} for r in ranked]}
+    path = fresh_path(spark, "document")
+    W.write_document(spark, doc, W.METRICS_SCHEMA, path)
+    found = W.read_document(spark, path, W.METRICS_SCHEMA)
+    return found.select("model_variant", F.posexplode("candidate_results").alias("place", "c")).select(
+        "model_variant", "place", "c.variant", "c.preprocessor", F.array_join("c.features", ",").alias("features"),
+        "c.silhouette", "c.davies", "c.calinski", "c.inertia", "c.aic", "c.bic", "c.error")
+
+
 @register("run_history")
 def q_run_history(spark, sf_dir):
     """One run record per nation's customers, appended in two writes; the latest of each label and its runs."""

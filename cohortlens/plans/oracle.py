@@ -209,6 +209,8 @@ SELECT CAST(SUM(n) AS BIGINT) AS rows, 'Dataset: customer+orders' || chr(10) ||
     cols = "customer_id, gender, age, income_k, score, segment"
     out["customers_by_segment"] = f"{W} SELECT {cols} FROM seg WHERE segment = 'VIP Customers'"
     out["customer_lookup"] = f"{W} SELECT {cols} FROM seg WHERE customer_id = 42"
+    out["customer_lookup_published"] = out["customer_lookup"]
+    out["similar_customers_published"] = f"{W} SELECT {cols} FROM seg WHERE segment = {q(S.LOYAL)} ORDER BY customer_id LIMIT {S.SIMILAR_LIMIT}"
     out["at_risk_list"] = f"""{W}
 SELECT customer_id, gender, age, income_k, score, r_proxy, f_proxy FROM seg WHERE segment = 'At-Risk / Churn'
 ORDER BY customer_id LIMIT {S.AT_RISK_LIST_LIMIT}"""

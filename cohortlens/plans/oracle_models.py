@@ -244,6 +244,10 @@ UNION ALL SELECT 'yeo_johnson', z, round(CASE WHEN z * sa + ma >= 0 THEN {back[0
 {_dispersion('z', 'lab')} SELECT '{name}' AS labeling, round(db, 6) AS davies, round(ch, 6) AS calinski FROM db, ch)""")
     out["label_ranking"] = f"""{W}, {MOM}, u AS ({' UNION ALL '.join(ranked)})
 SELECT *, CAST(row_number() OVER (ORDER BY davies, calinski DESC, labeling) AS INT) AS position FROM u"""
+    absent = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("silhouette", "inertia", "aic", "bic"))
+    out["candidate_results_document"] = f"""SELECT first_value(labeling) OVER (ORDER BY position) AS model_variant, CAST(position - 1 AS INT) AS place,
+  labeling AS variant, 'standard' AS preprocessor, '{",".join(S.FEATURES)}' AS features, davies, calinski, {absent},
+  CAST(NULL AS VARCHAR) AS error FROM ({out['label_ranking']})"""
     long_ = f"""lv0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding,
       unnest(generate_series(1, len(embedding))) AS i FROM embeddings),
 lv AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM lv0),

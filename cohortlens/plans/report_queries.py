@@ -11,6 +11,7 @@ from ..operators import reports as R
 from ..operators import validate as V
 from ..operators import rfm
 from ..session import fresh_path
+from ..sinks import writers as W
 from ..sources import adapter
 from ..sources.tables import read_table
 from .catalog import register
@@ -134,6 +135,23 @@ def q_customer_lookup(spark, sf_dir):
     return R.customer_lookup(_seg(spark, sf_dir), search=" 42 ")
 
 
+@register("customer_lookup_published")
+def q_customer_lookup_published(spark, sf_dir):
+    """E2 on a table published in ranges of the id: the lookup reads the row group that holds it."""
+    path = fresh_path(spark, "lookup")
+    W.publish_clustered(_seg(spark, sf_dir), path, [S.CUSTOMER_ID])
+    return R.customer_lookup(spark.read.parquet(W.published(spark, path)), search=" 42 ")
+
+
+@register("similar_customers_published")
+def q_similar_customers_published(spark, sf_dir):
+    """H2 for one segment of a table published in ranges of (segment, id): the first five read its first row groups."""
+    path = fresh_path(spark, "similar")
+    W.publish_clustered(_seg(spark, sf_dir), path, ["segment", S.CUSTOMER_ID])
+    return (R.customers_by_segment(spark.read.parquet(W.published(spark, path)), S.LOYAL)
+            .orderBy(S.CUSTOMER_ID).limit(S.SIMILAR_LIMIT))
+
+
 @register("at_risk_list")
 def q_at_risk_list(spark, sf_dir):
     return R.at_risk_list(_seg(spark, sf_dir))

@@ -47,11 +47,34 @@ def publish(df: DataFrame, base: str, fmt: str = "parquet") -> str:
     spark = df.sparkSession
     version = f"{base}/versions/{uuid.uuid4().hex}"
     write_table(df, version, fmt)
-    seq = time.time_ns()
-    spark.createDataFrame([(version, seq)], POINTER_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/published")
+    _point(spark, base, version)
     return version
 
 
+def publish_clustered(df: DataFrame, base: str, keys: list[str], partitions: int | None = None,
+                      row_group_bytes: int | None = None) -> str:
+    """B1 for lookups: a new version whose files hold ranges of ``keys`` in order, with bloom filters on them.
+
+    A filter on a key then reads the row groups whose range and bloom filter admit it (of the first key, at most two
+    unless the value fills more); Spark pushes such filters to the scan by itself.
+    """
+    ordered = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    spark = df.sparkSession
+    version = f"{base}/versions/{uuid.uuid4().hex}"
+    w = ordered.sortWithinPartitions(*keys).write.mode("overwrite")
+    for key in keys:
+        w = w.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    if row_group_bytes:
+        w = w.option("parquet.block.size", row_group_bytes)
+    w.parquet(version)
+    _point(spark, base, version)
+    return version
+
+
+def _point(spark: SparkSession, base: str, version: str) -> None:
+    spark.createDataFrame([(version, time.time_ns())], POINTER_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/published")
+
+
 def published(spark: SparkSession, base: str) -> str:
     """The path of the version published last (a few pointer rows)."""
     return spark.read.schema(POINTER_SCHEMA).json(f"{base}/published").orderBy(F.col("seq").desc()).first()["version"]
