@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -304,6 +305,46 @@ def q_lloyd_steps(spark, sf_dir):
     return out.select("cluster", "n", *[F.round(f, 6).alias(f) for f in S.FEATURES])
 
 
+GIVEN_STEPS = 2
+GIVEN_K = [2, 3, 4, 5]
+
+
+@contextmanager
+def _plain_features(spark, sf_dir):
+    """The features as doubles in original units, persisted; released at the end."""
+    frame = adapter.customers(spark, sf_dir).select(*[F.col(f).cast("double").alias(f) for f in S.FEATURES]).persist()
+    try:
+        yield frame
+    finally:
+        frame.unpersist()
+
+
+@register("sweep_given")
+def q_sweep_given(spark, sf_dir):
+    """K1, K13, H4 from given starts: the first k fixed centers, two joint Lloyd steps; quality of every k and the best one."""
+    with _plain_features(spark, sf_dir) as frame:
+        fits = [MF.Fit((0, 1), k, 0, race=k, centers=np.array([[x, y] for _, x, y in S.FIXED_CENTERS[:k]], float)) for k in GIVEN_K]
+        MF.fit_kmeans(frame, S.FEATURES, fits, MF.column_variances(frame, S.FEATURES), max_iter=GIVEN_STEPS, rel_tol=0.0)
+        found = MF.qualities(frame, S.FEATURES, fits)
+    best = K.best_k([(f.k, f.cost, None if q.silhouette is None else round(q.silhouette, 6)) for f, q in zip(fits, found)])
+    rows = [(f.k, round(f.cost, 4), round(q.silhouette, 6), round(q.davies, 6), round(q.calinski, 4), f.k == best) for f, q in zip(fits, found)]
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies double, calinski double, best boolean")
+
+
+@register("mixture_steps_given")
+def q_mixture_steps_given(spark, sf_dir):
+    """K3, K4, K6 from given starts: two EM steps around the fixed centers, full and diagonal side by side; the components."""
+    with _plain_features(spark, sf_dir) as frame:
+        n = frame.count()
+        fits = [MF.Fit((0, 1), len(S.FIXED_CENTERS), 0, race=c, covariance=c, centers=np.array([[x, y] for _, x, y in S.FIXED_CENTERS], float))
+                for c in ("full", "diag")]
+        MF.fit_mixtures(frame, S.FEATURES, fits, n, MF.column_variances(frame, S.FEATURES), max_iter=GIVEN_STEPS, tol=0.0, rungs=())
+    rows = [(f.covariance, j, *(round(float(v), 4) for v in (f.weights[j], *f.centers[j], f.covariances[j][0, 0], f.covariances[j][0, 1],
+                                                             f.covariances[j][1, 1], f.mean_ll))) for f in fits for j in range(f.k)]
+    return spark.createDataFrame(rows, "covariance string, component int, weight double, income_k double, score double, "
+                                       "var_income double, covar double, var_score double, mean_log_likelihood double")
+
+
 @register("label_ranking")
 def q_label_ranking(spark, sf_dir):
     """H3 over fixed labelings of the customers: metrics of each, best first."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import schema as S
 from ..operators import scaling as SC
-from .model_queries import INVERSE_POINTS, YJ_LAMBDAS, fixed_mixture
+from .model_queries import GIVEN_K, GIVEN_STEPS, INVERSE_POINTS, YJ_LAMBDAS, fixed_mixture
 from .stream_queries import ARRIVALS, DECAY, SPANS
 from .oracle import ATTRS, F_BAND, M_BAND, MALL, NORM, R_BAND, RULE, SEG, q
 
@@ -96,6 +96,43 @@ p_{c} AS (SELECT x, greatest(1e-7, least(1 - 1e-7, CASE WHEN x <= q[1] THEN 0.0e
 z_{c} AS (SELECT x, {_normal_quantile('p')} AS z FROM p_{c})"""
 
 
+def _given_sweep(k: int) -> str:
+    """One k of the sweep: Lloyd steps from the first k fixed centers, then the labels' quality."""
+    ctes = ["f0 AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, {_lit(x)}, {_lit(y)})" for i, (_, x, y) in enumerate(S.FIXED_CENTERS[:k])) + ") AS t(cluster, cx, cy))"]
+    for i in range(1, GIVEN_STEPS + 2):
+        ctes.append(f"""d{i} AS (SELECT * FROM (SELECT m.customer_id, CAST(m.income_k AS DOUBLE) AS x, CAST(m.score AS DOUBLE) AS y, f.cluster,
+  (m.income_k - cx) * (m.income_k - cx) + (m.score - cy) * (m.score - cy) AS d2, row_number() OVER (PARTITION BY m.customer_id
+  ORDER BY (m.income_k - cx) * (m.income_k - cx) + (m.score - cy) * (m.score - cy), f.cluster) AS rk FROM mall m CROSS JOIN f{i - 1} f) WHERE rk = 1),
+f{i} AS (SELECT f.cluster, COALESCE(a.cx, f.cx) AS cx, COALESCE(a.cy, f.cy) AS cy FROM f{i - 1} f LEFT JOIN
+  (SELECT cluster, AVG(x) AS cx, AVG(y) AS cy FROM d{i} GROUP BY cluster) a ON f.cluster = a.cluster)""")
+    last = f"d{GIVEN_STEPS + 1}"
+    return f"""SELECT * FROM (WITH {', '.join(ctes)}, {_dispersion(last, 'cluster')}, {_silhouette_sq(last, 'cluster')}
+SELECT CAST({k} AS INT) AS k, (SELECT round(SUM(d2), 4) FROM {last}) AS inertia, round(sq, 6) AS silhouette, round(db, 6) AS davies,
+  round(ch, 4) AS calinski FROM sq, db, ch)"""
+
+
+def _given_mixture(covariance: str) -> str:
+    """EM steps around the fixed centers; a component's covariance is [[a, b], [b, c]]."""
+    k, reg = len(S.FIXED_CENTERS), "1e-4"
+    ctes = ["v AS (SELECT var_pop(income_k) AS vx, var_pop(score) AS vy FROM mall)",
+            f"q0 AS (SELECT j, 1.0e0 / {k} AS w, mx, my, vx / {k} + {reg} AS a, 0.0e0 AS b, vy / {k} + {reg} AS c FROM (VALUES "
+            + ", ".join(f"({i}, {_lit(x)}, {_lit(y)})" for i, (_, x, y) in enumerate(S.FIXED_CENTERS)) + ") AS t(j, mx, my) CROSS JOIN v)"]
+    for i in range(1, GIVEN_STEPS + 2):
+        ctes.append(f"""e{i} AS (SELECT customer_id, CAST(income_k AS DOUBLE) AS x, CAST(score AS DOUBLE) AS y, j,
+  w * exp(-0.5e0 * (c * (income_k - mx) * (income_k - mx) - 2 * b * (income_k - mx) * (score - my) + a * (score - my) * (score - my))
+  / (a * c - b * b)) / (2 * pi() * sqrt(a * c - b * b)) AS d FROM mall CROSS JOIN q{i - 1}),
+t{i} AS (SELECT customer_id, SUM(d) AS s FROM e{i} GROUP BY customer_id),
+m{i} AS (SELECT j, greatest(SUM(d / s), 1e-12) AS r, SUM(d / s * x) AS sx, SUM(d / s * y) AS sy, SUM(d / s * x * x) AS sxx,
+  SUM(d / s * x * y) AS sxy, SUM(d / s * y * y) AS syy FROM e{i} JOIN t{i} USING (customer_id) GROUP BY j),
+q{i} AS (SELECT j, r / SUM(r) OVER () AS w, sx / r AS mx, sy / r AS my, sxx / r - (sx / r) * (sx / r) + {reg} AS a,
+  {'0.0e0' if covariance == 'diag' else '(sxy / r - (sx / r) * (sy / r))'} AS b, syy / r - (sy / r) * (sy / r) + {reg} AS c FROM m{i})""")
+    return f"""SELECT * FROM (WITH {', '.join(ctes)}
+SELECT '{covariance}' AS covariance, CAST(j AS INT) AS component, round(w, 4) AS weight, round(mx, 4) AS income_k, round(my, 4) AS score,
+  round(a, 4) AS var_income, round(b, 4) AS covar, round(c, 4) AS var_score,
+  (SELECT round(AVG(ln(s)), 4) FROM t{GIVEN_STEPS + 1}) AS mean_log_likelihood FROM q{GIVEN_STEPS})"""
+
+
 def model_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     W = f"WITH {MALL}"
@@ -244,6 +281,9 @@ UNION ALL SELECT 'yeo_johnson', z, round(CASE WHEN z * sa + ma >= 0 THEN {back[0
 {_dispersion('z', 'lab')} SELECT '{name}' AS labeling, round(db, 6) AS davies, round(ch, 6) AS calinski FROM db, ch)""")
     out["label_ranking"] = f"""{W}, {MOM}, u AS ({' UNION ALL '.join(ranked)})
 SELECT *, CAST(row_number() OVER (ORDER BY davies, calinski DESC, labeling) AS INT) AS position FROM u"""
+    out["sweep_given"] = f"""{W}, u AS ({' UNION ALL '.join(map(_given_sweep, GIVEN_K))})
+SELECT *, k = (SELECT MIN(k) FROM u WHERE silhouette = (SELECT MAX(silhouette) FROM u)) AS best FROM u"""
+    out["mixture_steps_given"] = f"{W} {_given_mixture('full')} UNION ALL {_given_mixture('diag')}"
     absent = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("silhouette", "inertia", "aic", "bic"))
     out["candidate_results_document"] = f"""SELECT first_value(labeling) OVER (ORDER BY position) AS model_variant, CAST(position - 1 AS INT) AS place,
   labeling AS variant, 'standard' AS preprocessor, '{",".join(S.FEATURES)}' AS features, davies, calinski, {absent},
