@@ -8,10 +8,12 @@ each group is packed on several islands at once.
 An island holds a population of packings of its group.  A child takes a run of
 well-filled bins of one parent; bins of the other parent that share a piece with
 them are dissolved (so no piece is twice there), and the pieces that this
-displaces go, largest first, to the bins that they fit best.  Fewer bins are
+displaces are traded for smaller ones of the bins that stay (one or two for one or two, if
+the bin gets fuller), then go, largest first, to the bins that they fit best.  Fewer bins are
 fitter, then a larger sum of squared fills.  After an epoch each island's elite
 migrates to the next island (a Spark grouping by island), and the best packing
-of all islands is the group's.
+of all islands is the group's.  A search ends early when a packing needs no more
+bins than the sum of sizes does, so its budget is spent where best fit leaves a gap.
 
 A random group has the sizes of the whole, so what is lost against one packing of
 everything is about half a bin per group.
@@ -42,7 +44,7 @@ from .registry import register
 
 CAPACITY = 2048
 GROUP_PIECES = 8192
-ISLANDS, EPOCHS, CHILDREN, POPULATION, ELITES = 2, 2, 16, 6, 2
+ISLANDS, EPOCHS, CHILDREN, POPULATION, ELITES = 2, 3, 32, 8, 2
 SEED = 4
 END_TEXT = "<|endoftext|>"
 #: How the byte-level vocabulary splits texts before merging (the public pattern of that vocabulary).
@@ -147,6 +149,44 @@ def best_fit(packing: Packing, items: list[int], sizes: list[int], capacity: int
     return packing
 
 
+def trade(bins: list[list[int]], room: list[int], displaced: list[int], sizes: list[int], capacity: int,
+          rng: random.Random) -> list[int]:
+    """Swap displaced pieces for smaller ones of bins with room where that fills the bin further; what is displaced then.
+
+    A bin gives one or two of its pieces for the one or two displaced that fill their place best: of
+    two, the first is drawn and the second is the largest that fits beside it.
+    """
+    pool = sorted((sizes[i], i) for i in displaced)
+    for b in rng.sample(range(len(bins)), len(bins)):
+        own = bins[b]
+        if not room[b] or not pool:
+            continue
+        offers = [(i,) for i in own] + [tuple(rng.sample(own, 2)) for _ in range(min(3, len(own) - 1))]
+        for out in offers:
+            given = sum(sizes[i] for i in out)
+            place = room[b] + given
+            best, take = given, ()
+            at = bisect.bisect_right(pool, (place, len(sizes))) - 1
+            if at >= 0 and pool[at][0] > best:
+                best, take = pool[at][0], (at,)
+            if at >= 1 and best < place:
+                first = rng.randrange(at + 1)
+                second = bisect.bisect_right(pool, (place - pool[first][0], len(sizes))) - 1
+                second -= second == first
+                if second >= 0 and pool[first][0] + pool[second][0] > best:
+                    best, take = pool[first][0] + pool[second][0], (first, second)
+            if take:
+                moved = [pool[t][1] for t in take]
+                for t in sorted(take, reverse=True):
+                    del pool[t]
+                own = bins[b] = [i for i in own if i not in out] + moved
+                room[b] = place - best
+                for i in out:
+                    bisect.insort(pool, (sizes[i], i))
+                break
+    return [i for _, i in pool]
+
+
 def child_of(giver: Packing, taker: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """A run of the giver's best-filled bins, the taker's bins free of their pieces, the displaced pieces best-fit."""
     ranked = sorted(range(len(giver.bins)), key=lambda b: (giver.room[b], rng.random()))
@@ -155,14 +195,14 @@ def child_of(giver: Packing, taker: Packing, sizes: list[int], capacity: int, rn
     at = rng.randint(0, len(good) - n)
     chosen = good[at:at + n]
     inside = {i for b in chosen for i in giver.bins[b]}
-    bins, room = [list(giver.bins[b]) for b in chosen], [giver.room[b] for b in chosen]
-    displaced = []
+    bins, room, displaced = [list(giver.bins[b]) for b in chosen], [giver.room[b] for b in chosen], []
     for own, left in zip(taker.bins, taker.room):
         if inside.isdisjoint(own):
             bins.append(list(own))
             room.append(left)
         else:
             displaced += [i for i in own if i not in inside]
+    displaced = trade(bins, room, displaced, sizes, capacity, rng)
     # Pieces are numbered from the largest down, so their numbers are the best-fit order.
     return best_fit(Packing(bins, room), sorted(displaced), sizes, capacity)
 
@@ -259,8 +299,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     # Full pieces are sequences by themselves: negative numbers, by task and row of the written table.
     full = found.filter(F.col("length") >= capacity).withColumn(
         "sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = found.filter(F.col("length") < capacity).withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(SEED)), F.lit(groups)))
+    # Equal rows are told apart by their place, so that no group gets them all; written, as every epoch must see the same groups.
+    rest = materialize(found.filter(F.col("length") < capacity).withColumn("group", F.pmod(
+        F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(SEED)), F.lit(groups))), "packing-groups")
     islands = rest.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     schema = "group long, island int, bins binary"
     elite = materialize(islands.groupBy("group", "island").applyInArrow(_epoch(capacity, 0), schema), "packing-elite")

@@ -471,6 +471,52 @@ def test_a_permutation_reaches_every_block(spark):
     assert sorted(r.x for r in whole.collect()) == list(range(4099))
 
 
+def test_islands_beat_best_fit_on_triplets(spark):
+    """Sizes that fill every sequence in threes: best-fit decreasing loses, the search gets nearer to the known optimum."""
+    rng = random.Random(8)
+    sizes = []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(sizes)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    placed = packing.pack(found, 1000).collect()
+    assert sorted((r.doc_id, r.length) for r in placed) == list(enumerate(sizes))
+    ordered = sorted(sizes, reverse=True)
+    plain = len(packing.best_fit(packing.Packing([], []), list(range(120)), ordered, 1000).bins)
+    used = collections.Counter()
+    for r in placed:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 1000 and 40 <= len(used) <= plain - 2, (len(used), plain)
+
+
+def test_equal_rows_go_to_several_groups(spark):
+    rows = [(None, 0, 0, 7, 5)] * 400 + [(1, 0, 0, 9, 6)] * 100
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    placed = packing.pack(found, 64, 50).collect()
+    groups = collections.Counter(r.sequence_id >> 20 for r in placed)
+    assert len(placed) == 500 and len(groups) == 10 and max(groups.values()) < 100
+    at = collections.defaultdict(list)
+    for r in placed:
+        at[r.sequence_id].append((r.offset, r.length))
+    for own in at.values():  # gapless from 0
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
+
+
+def test_trades_keep_every_piece_once():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = sorted((rng.randint(1, 60) for _ in range(rng.randint(1, 40))), reverse=True)
+        whole = packing.best_fit(packing.Packing([], []), rng.sample(range(len(sizes)), len(sizes)), sizes, 100)
+        kept = rng.randint(0, len(whole.bins))
+        bins, room = [list(b) for b in whole.bins[:kept]], whole.room[:kept]
+        before = sum(room)
+        left = packing.trade(bins, room, [i for b in whole.bins[kept:] for i in b], sizes, 100, rng)
+        assert sorted([i for b in bins for i in b] + left) == list(range(len(sizes)))
+        assert [100 - sum(sizes[i] for i in b) for b in bins] == room and min(room, default=0) >= 0 and sum(room) <= before
+
+
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, substring.deduplicated, substring.cut_documents, packing.pack_documents,
                                       sharding.shard_documents, fingerprint.fingerprint_documents, mixing.mixed_sizes,
                                       mixing.mixed_documents, simhash.one_per_component])
