@@ -74,7 +74,8 @@ def keyed_events(events: DataFrame, segments: DataFrame, delay: str) -> DataFram
                    F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int").alias("salt"))
     seg = segments.select((F.col(S.CUSTOMER_ID).cast("long") - 1).alias("user_id"), "segment",
                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    both = ev.join(seg, ["user_id", "salt"], "left")
+    # The planner's size of ``seg`` is that of its files, without the salts: it would broadcast SALTS rows per customer.
+    both = ev.join(seg.hint("merge"), ["user_id", "salt"], "left")
     return both.select(F.coalesce("segment", F.lit("Unknown")).alias("segment"), "salt", "start_ms", "event_id")
 
 

@@ -47,6 +47,17 @@ def test_late_events_are_kept_and_counts_close_once(spark, tmp_path):
     assert run(spark, base, segments) == (rows, totals)
 
 
+def test_segments_times_salts_are_never_broadcast(spark, tmp_path):
+    """The files are far below the broadcast threshold; their rows times the salts may not be."""
+    spark.range(1, 2001).selectExpr("id AS customer_id", "'A' AS segment").write.parquet(f"{tmp_path}/segments")
+    arrive(spark, f"{tmp_path}/in", 0, [(i, i, i % 2100) for i in range(3000)])
+    events, segments = spark.read.schema(P.EVENTS_SCHEMA).parquet(f"{tmp_path}/in"), spark.read.parquet(f"{tmp_path}/segments")
+    rows = LATE.keyed_events(events, segments, "1 hour")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.segment: r["count"] for r in rows.groupBy("segment").count().collect()} == {"A": 2900, "Unknown": 100}
+
+
 def test_no_arrival_gives_no_row(spark, tmp_path):
     base = str(tmp_path)
     spark.createDataFrame([], P.EVENTS_SCHEMA).write.parquet(f"{base}/in")
