@@ -7,9 +7,9 @@ aggregate, joined back to the rows by the label, and the k x k step as
 higher-order functions over the collected centroids inside one aggregate row.
 
 The exact silhouette compares every point with every other by definition.  Equal
-points (same features and label) are one weighted point, points are dealt to
-blocks, and a task compares two blocks and emits one row of sums per point, so
-no task, broadcast or driver holds all points.  Training uses the linear form.
+points (same features and label) are one weighted point, points are packed into
+blocks, and a task compares its left blocks with its right ones, a pair at a time, and
+emits a row of sums per point and label, so no task, broadcast or driver holds all points.  Training uses the linear form.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_POINTS = 4096
+#: Right blocks of a task; labels whose sums a task holds before it emits them.
+TASK_BLOCKS, MOST_LABELS = 16, 1024
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _vec(features) -> F.Column:
@@ -93,20 +96,88 @@ def calinski_harabasz(df: DataFrame, features, label: str) -> DataFrame:
     return dispersion(df, features, label).select("calinski_harabasz")
 
 
-def _block_sums(key, left, right):
-    """For each left point, the weighted sum of distances to the right points of each label."""
-    x, y = (np.array(t.column("x").to_pylist(), float) for t in (left, right))
-    weight = right.column("m").to_numpy().astype(float)
-    codes = right.column("code").to_numpy()
-    out = {"point": [], "code": [], "d": []}
-    for at in range(0, len(x), 256):
-        dist = pairwise_dist(x[at:at + 256], y)
-        for code in np.unique(codes):
-            mine = codes == code
-            out["d"] += (dist[:, mine] @ weight[mine]).tolist()
-            out["point"] += left.column("point").to_pylist()[at:at + 256]
-            out["code"] += [int(code)] * len(dist)
-    return pa.table(out, schema=pa.schema([("point", pa.int64()), ("code", pa.int64()), ("d", pa.float64())]))
+_PACKED = "block long, n long, x binary, m binary, code binary, point binary"
+_SUMS = pa.schema([("point", pa.int64()), ("code", pa.int64()), ("d", pa.float64())])
+
+
+def _packer(size: int):
+    """Rows of points -> one row per block of at most ``size`` points, ordered by label code; vectors side by side as bytes."""
+    def run(batches):
+        from pyspark import TaskContext
+        number, rest = TaskContext.get().partitionId() << 32, None
+
+        def block(t):
+            x = np.array(t.column("x").to_pylist(), float)
+            parts = [t.column(c).to_numpy().astype(k) for c, k in (("m", float), ("code", np.int64), ("point", np.int64))]
+            order = np.argsort(parts[1], kind="stable")
+            blobs = [np.ascontiguousarray(v[order]).tobytes() for v in (x, *parts)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(x)], pa.int64()), *[pa.array([v], pa.binary()) for v in blobs]],
+                                              ["block", "n", "x", "m", "code", "point"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            while rest.num_rows >= size:
+                yield block(rest.slice(0, size))
+                rest, number = rest.slice(size), number + 1
+        if rest is not None and rest.num_rows:
+            yield block(rest)
+    return run
+
+
+def _block_sums(batches):
+    """Pairs of blocks, those of a left block one after another -> for each left point, the weighted sum of
+    distances to the right points of each label."""
+    at, sums, point, x = None, {}, None, None
+
+    def out():
+        for code, d in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(point), pa.array(np.full(len(d), code)), pa.array(d)], schema=_SUMS)
+        sums.clear()
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            if row["block"].as_py() != at:
+                yield from out()
+                at, point = row["block"].as_py(), np.frombuffer(row["point"].as_buffer(), np.int64)
+                x = np.frombuffer(row["x"].as_buffer()).reshape(len(point), -1)
+            y = np.frombuffer(row["right_x"].as_buffer()).reshape(row["right_n"].as_py(), -1)
+            weight, code = np.frombuffer(row["right_m"].as_buffer()), np.frombuffer(row["right_code"].as_buffer(), np.int64)
+            codes, starts = np.unique(code, return_index=True)
+            found = np.concatenate([np.add.reduceat(pairwise_dist(x[a:a + 256], y) * weight, starts, axis=1) for a in range(0, len(x), 256)])
+            for j, c in enumerate(codes.tolist()):
+                sums[c] = sums[c] + found[:, j] if c in sums else found[:, j].copy()
+            if len(sums) > MOST_LABELS:
+                yield from out()
+    yield from out()
+
+
+def _label_sums(points: DataFrame) -> DataFrame:
+    """(point, code, d): each point's weighted sum of distances to the points of each label.
+
+    Points travel once, packed into blocks; a task reads its left blocks and its right blocks from their files, so no point is
+    shuffled once per block, and emits a left block's sums once for all its right blocks.
+    """
+    from ..session import fresh_path, materialize
+    spark, rows = points.sparkSession, points.count()
+    size = min(BLOCK_POINTS, max(256, -(-rows // 16)))
+    blocks = max(1, -(-rows // size))
+    path = fresh_path(spark, "silhouette-blocks")
+    (points.select("x", "m", "code", "point").repartition(-(-blocks // 8)).mapInArrow(_packer(size), _PACKED)
+     .write.option("maxRecordsPerFile", 1).parquet(path))
+    left = spark.read.schema(_PACKED).parquet(path)
+    right = left.select(*[F.col(c).alias(f"right_{c}") for c in ("n", "x", "m", "code")]).coalesce(-(-blocks // TASK_BLOCKS))
+    pairs = left.select("block", "point", "x").hint("shuffle_replicate_nl").crossJoin(right)
+    before = spark.conf.get(_BATCH_ROWS, None)
+    spark.conf.set(_BATCH_ROWS, "4")  # a row holds two blocks
+    try:
+        return materialize(pairs.mapInArrow(_block_sums, "point long, code long, d double"), "silhouette-sums")
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_ROWS)
+        else:
+            spark.conf.set(_BATCH_ROWS, before)
 
 
 def silhouette_exact(df: DataFrame, features, label: str) -> DataFrame:
@@ -117,14 +188,7 @@ def silhouette_exact(df: DataFrame, features, label: str) -> DataFrame:
     labels = df.groupBy(F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("size")).withColumn("code", F.xxhash64("name"))
     points = materialize(points.join(labels, F.col("l").eqNullSafe(F.col("name")))
                          .withColumn("point", F.monotonically_increasing_id()), "silhouette-points")
-    blocks = max(1, -(-points.count() // BLOCK_POINTS))
-    side = points.withColumn("own", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = side.select("point", "x", F.col("own").alias("i"), every.alias("j"))
-    right = side.select("x", "m", "code", every.alias("i"), F.col("own").alias("j"))
-    sums = (left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
-            .applyInArrow(_block_sums, "point long, code long, d double")
-            .groupBy("point", "code").agg(F.sum("d").alias("d")))
+    sums = _label_sums(points).groupBy("point", "code").agg(F.sum("d").alias("d"))
     sizes = labels.select(F.col("code").alias("other"), F.col("size").alias("other_size"))
     pairs = sums.join(sizes, sums["code"] == sizes["other"]).join(
         points.select("point", F.col("code").alias("mine"), "m"), "point")

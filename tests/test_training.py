@@ -68,6 +68,35 @@ def test_silhouette_in_blocks_is_the_same(spark, monkeypatch):
     assert abs(EV.silhouette_exact(df, ["a", "b"], "l").first()[0] - one) < 1e-12
 
 
+def test_silhouette_sums_are_one_row_per_point_and_label_whatever_the_blocks(spark, monkeypatch):
+    """30 blocks: each point is in one of them, and its sums come out once per task's share of the right blocks."""
+    rng = np.random.default_rng(3)
+    X, weight, label = rng.normal(size=(600, 9)), rng.integers(1, 4, 600), rng.integers(0, 3, 600)
+    points = spark.createDataFrame([(i, x.tolist(), int(m), int(c)) for i, (x, m, c) in enumerate(zip(X, weight, label))],
+                                   "point long, x array<double>, m long, code long")
+    monkeypatch.setattr(EV, "BLOCK_POINTS", 20)
+    found = EV._label_sums(points)
+    rows = found.groupBy("point", "code").agg(F.sum("d").alias("d"), F.count("*").alias("n")).collect()
+    assert len(rows) == 1800 and max(r.n for r in rows) <= 3  # 30 right blocks by 16 a task, and a block at an end
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2)) * weight
+    assert all(abs(r.d - d[r.point][label == r.code].sum()) < 1e-6 for r in rows)
+
+
+def test_silhouette_of_more_labels_than_a_task_holds(spark):
+    df = spark.createDataFrame([(float(i * i % 997), float(i % 31), i % 1100) for i in range(1300)], "a double, b double, l int")
+    rows = [tuple(r) for r in df.collect()]
+    X, lab = np.array([r[:2] for r in rows]), np.array([r[2] for r in rows])
+    d, size = np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2)), np.bincount(lab)
+    sums = np.stack([np.bincount(lab, weights=row) for row in d])
+    at = np.arange(1300), lab
+    a, means = sums[at] / np.maximum(size[lab] - 1, 1), sums / size
+    means[at] = np.inf
+    b = means.min(axis=1)
+    top = np.maximum(a, b)
+    s = np.where((size[lab] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+    assert abs(EV.silhouette_exact(df, ["a", "b"], "l").first()[0] - s.mean()) < 1e-9
+
+
 def test_scoring_examples(spark, run):
     r, _ = run
     req = spark.createDataFrame(
