@@ -90,12 +90,12 @@ def best_k(rows: list[tuple[int, float, float]]) -> int:
 # Gaussian mixtures (fitted in ``multifit``)
 # ---------------------------------------------------------------------------
 def _log_density(X: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
-    out = np.empty((len(X), len(weights)))
+    out = np.empty((len(weights), len(X)))  # a component's densities lie side by side
     for j, (w, mu, cov) in enumerate(zip(weights, means, covariances)):
-        diff = X - mu
-        quad = np.einsum("ni,ij,nj->n", diff, np.linalg.inv(cov), diff)
-        out[:, j] = math.log(max(w, 1e-300)) - 0.5 * (len(mu) * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + quad)
-    return out
+        diff, inverse = np.ascontiguousarray((X - mu).T), np.linalg.inv(cov)
+        quad = sum(diff[a] * sum(inverse[a, b] * diff[b] for b in range(len(mu))) for a in range(len(mu)))
+        out[j] = math.log(max(w, 1e-300)) - 0.5 * (len(mu) * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + quad)
+    return out.T
 
 
 def log_densities(cols: list[str], fit: MixtureFit) -> list:

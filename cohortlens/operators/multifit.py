@@ -55,6 +55,23 @@ def _distances(X: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(X: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, squared distance) of the nearest center, ties to the first; center by center over whole columns."""
+    columns, label, best = np.ascontiguousarray(X.T), np.zeros(len(X), dtype=np.intp), None
+    for i, center in enumerate(centers):
+        d2 = np.zeros(len(X))
+        for x, c in zip(columns, center):
+            x = x - c
+            x *= x
+            d2 += x
+        if best is None:
+            best = d2
+        else:
+            label[d2 < best] = i
+            np.minimum(best, d2, out=best)
+    return label, best
+
+
 def _cluster_sums(X: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.bincount(label, minlength=k).astype(float)
     return count, np.stack([np.bincount(label, weights=X[:, j], minlength=k) for j in range(X.shape[1])], axis=1)
@@ -128,9 +145,9 @@ def _kmeans_part(X, states):
     out = []
     for at, centers, *_ in states:
         own = X[:, at]
-        d2 = _distances(own, centers)
-        count, total = _cluster_sums(own, d2.argmin(axis=1), len(centers))
-        out += [count, total.ravel(), [d2.min(axis=1).sum()]]
+        label, d2 = _nearest(own, centers)
+        count, total = _cluster_sums(own, label, len(centers))
+        out += [count, total.ravel(), [d2.sum()]]
     return np.concatenate(out)
 
 
@@ -181,7 +198,8 @@ def _em_part(X, states):
         top = logp.max(axis=1, keepdims=True)
         lse = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
         r = np.exp(logp - lse[:, None])
-        out += [r.sum(axis=0), (r.T @ own).ravel(), np.einsum("nk,ni,nj->kij", r, own, own).ravel(), [lse.sum()]]
+        squares = (own[:, :, None] * own[:, None, :]).reshape(len(own), -1)
+        out += [r.sum(axis=0), (r.T @ own).ravel(), (r.T @ squares).ravel(), [lse.sum()]]
     return np.concatenate(out)
 
 

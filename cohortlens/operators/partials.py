@@ -19,6 +19,16 @@ from pyspark.sql import types as T
 
 _OUT = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
 _FAN_IN = 64
+#: Most rows of a task where every step of a fit reads the whole frame.
+TASK_ROWS = 131_072
+
+
+def spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` dealt to all cores: a planner that merges small partitions by bytes leaves a frame of a few numbers a row to a
+    task or two, and every step of a fit to as many cores.  A table of one small task stays as it is."""
+    if n_rows <= TASK_ROWS // 4:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS)))
 
 
 def task_count(df: DataFrame) -> int:

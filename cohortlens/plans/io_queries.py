@@ -143,7 +143,7 @@ def q_context_summary_trained(spark, sf_dir):
 def _sweep(spark, sf_dir):
     cust = adapter.customers(spark, sf_dir)
     scaler = SC.fit_standard(cust)
-    frame, cols, _ = TR.joint_frame(cust, [scaler])
+    frame, cols, _ = TR.joint_frame(cust, [scaler], scaler.n_rows)
     try:
         return MF.elbow_sweep(frame, cols, S.K_RANGE, S.KMEANS_SEARCH_N_INIT, scaler.n_rows, S.SAMPLE_SEED)
     finally:

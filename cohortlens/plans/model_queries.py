@@ -19,6 +19,7 @@ from ..operators import sampling as SM
 from ..operators import scaling as SC
 from ..operators import scoring as SCO
 from ..operators import sketch
+from ..operators.partials import spread
 from ..session import fresh_path
 from ..sources import adapter
 from .catalog import register
@@ -233,7 +234,7 @@ def _scaled_customers(spark, sf_dir):
     """(persisted scaled features with their vector, rows, mean variance); released at the end."""
     cust = adapter.customers(spark, sf_dir)
     scaler = SC.fit_standard(cust)
-    vec = K.vectors(scaler.transform(cust).select(*Z), Z).persist()
+    vec = K.vectors(spread(scaler.transform(cust).select(*Z), scaler.n_rows), Z).persist()
     try:
         yield vec, scaler.n_rows, K.mean_variance(vec, Z)
     finally:

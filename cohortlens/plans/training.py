@@ -28,6 +28,7 @@ from ..operators import reports as R
 from ..operators import scaling as SC
 from ..operators import scoring as SCO
 from ..operators import validate as V
+from ..operators.partials import spread
 from ..sinks import writers as W
 from ..sources import adapter
 
@@ -106,15 +107,15 @@ def scaled_frame(df: DataFrame, scaler) -> DataFrame:
     return K.vectors(scaler.transform(df).select(*zcols), zcols).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def joint_frame(df: DataFrame, scalers: list) -> tuple[DataFrame, list[str], list[tuple[int, ...]]]:
-    """The scaled features of all ``scalers`` side by side, persisted, and which columns are whose."""
+def joint_frame(df: DataFrame, scalers: list, n_rows: int) -> tuple[DataFrame, list[str], list[tuple[int, ...]]]:
+    """The scaled features of all ``scalers`` side by side, spread over all cores and persisted, and which columns are whose."""
     out, cols, at = df, [], []
     for i, scaler in enumerate(scalers):
         names = {f"z_{f}": f"s{i}_{f}" for f in scaler.features}
         out = scaler.transform(out).withColumnsRenamed(names)
         at.append(tuple(range(len(cols), len(cols) + len(names))))
         cols += names.values()
-    return out.select(*cols).persist(StorageLevel.MEMORY_AND_DISK), cols, at
+    return spread(out.select(*cols), n_rows).persist(StorageLevel.MEMORY_AND_DISK), cols, at
 
 
 def _fits_of(variant: str, key, at: tuple[int, ...], cfg: TrainConfig) -> list[MF.Fit]:
@@ -143,7 +144,7 @@ def evaluate_grid(df: DataFrame, n_rows: int, cfg: TrainConfig) -> list[Candidat
         except FIT_ERRORS as exc:
             found |= {(v, prep, feats): Candidate(v, prep, list(feats), error=str(exc)) for v in cfg.model_variants}
     if scalers:
-        frame, cols, at = joint_frame(df, list(scalers.values()))
+        frame, cols, at = joint_frame(df, list(scalers.values()), n_rows)
         variances = MF.column_variances(frame, cols)
         sample = MF.start_sample(frame, cols, n_rows, S.SAMPLE_SEED)
         loops: dict[str, list[MF.Fit]] = {"kmeans": [], "minibatch": [], "mixture": []}
@@ -237,7 +238,7 @@ def train_validated(spark: SparkSession, typed: DataFrame, n_rows: int, label: s
     # ---- K13 sweep, H4 best k ----
     sweep = []
     if cfg.sweep:
-        frame, cols, _ = joint_frame(df, [best.scaler])
+        frame, cols, _ = joint_frame(df, [best.scaler], n_rows)
         sweep = MF.elbow_sweep(frame, cols, cfg.k_range, cfg.n_init_search, n_rows, S.SAMPLE_SEED)
         frame.unpersist()
     bk = K.best_k(sweep) if sweep else None
