@@ -25,6 +25,7 @@ from .cluster import _log_density
 from .partials import batch_sums, task_count
 
 START_ROWS = 16_384
+SAME_DRAWS = 8  # draws of mini-batches before they grow
 RUNGS = (4, 8, 16, 32)  # steps after which the worse half of a race drops out
 
 
@@ -262,42 +263,66 @@ def fit_minibatch(df: DataFrame, cols: list[str], fits: list[Fit], n_rows: int,
     """K2 for all ``fits`` at once, ``batches_per_draw`` batches a job.
 
     One scan draws rows with replacement, the same share of every partition; each fit puts them in a random order
-    of its own and one task per fit folds its batches in that order (a draw is some 32 x 1024 rows).
+    of its own, and a task folds a fit's batches as they come in that order, holding one batch at a time.  The first ``SAME_DRAWS``
+    draws are of some 32 x 1024 rows each; from then on each is twice the one before, up to the table's size, so
+    the number of jobs grows with the logarithm of the batches that a large table's smoothing takes.
     A batch moves each center towards the batch's mean by ``rows of the batch / rows seen``.  A fit ends when the
     smoothed batch inertia has not improved for ``max_no_improvement`` batches.
     """
     most = max(1, max_passes * n_rows // batch_size)
     alpha = min(1.0, batch_size * 2.0 / (n_rows + 1))
-    share = batches_per_draw * batch_size / max(n_rows, 1)
     states = {i: {"centers": f.centers, "seen": np.zeros(f.k), "smoothed": None, "best": None, "stall": 0, "done": 0}
               for i, f in enumerate(fits)}
     running, draw = list(states), 0
     while running:
-        sent = df.sparkSession.sparkContext.broadcast(({i: states[i] for i in running}, {i: fits[i].at for i in running}))
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            i = int(pdf["_fit"].iloc[0])
-            now, X = dict(sent.value[0][i]), pdf.sort_values("_u")[cols].to_numpy(dtype=float)[:, sent.value[1][i]]
-            centers, seen, over = now["centers"].copy(), now["seen"].copy(), False
-            for a in range(0, len(X), batch_size):
-                batch = X[a:a + batch_size]
-                d2 = _distances(batch, centers)
-                count, total = _cluster_sums(batch, d2.argmin(axis=1), len(centers))
-                hit = count > 0
-                seen += count
-                centers[hit] += (count / np.maximum(seen, 1))[hit, None] * (total[hit] / count[hit, None] - centers[hit])
-                inertia = float(d2.min(axis=1).mean())
-                smoothed = inertia if now["smoothed"] is None else now["smoothed"] * (1 - alpha) + inertia * alpha
-                better = now["best"] is None or smoothed < now["best"]
-                now |= {"smoothed": smoothed, "best": smoothed if better else now["best"], "stall": 0 if better else now["stall"] + 1,
-                        "done": now["done"] + 1}
-                over = now["stall"] >= max_no_improvement or now["done"] >= most
-                if over:
-                    break
-            return pd.DataFrame([{"fit": i, "centers": centers.ravel().tolist(), "seen": seen.tolist(), "over": over,
-                                  **{c: now[c] for c in ("smoothed", "best", "stall", "done")}}])
-
-        found = draw_batches(df, cols, share, running, draw).groupBy("_fit").applyInPandas(fold, _MINI).collect()  # one row per fit
+        batches = min(batches_per_draw << max(0, draw + 1 - SAME_DRAWS), max(batches_per_draw, n_rows // batch_size))
+        share = batches * batch_size / max(n_rows, 1)
+        sent = df.sparkSession.sparkContext.broadcast(({i: states[i] for i in running}, {i: len(fits[i].at) for i in running}))
+
+        def step(now: dict, batch: np.ndarray) -> None:
+            centers, seen = now["centers"], now["seen"]
+            d2 = _distances(batch, centers)
+            count, total = _cluster_sums(batch, d2.argmin(axis=1), len(centers))
+            hit = count > 0
+            seen += count
+            centers[hit] += (count / np.maximum(seen, 1))[hit, None] * (total[hit] / count[hit, None] - centers[hit])
+            inertia = float(d2.min(axis=1).mean())
+            smoothed = inertia if now["smoothed"] is None else now["smoothed"] * (1 - alpha) + inertia * alpha
+            better = now["best"] is None or smoothed < now["best"]
+            now |= {"smoothed": smoothed, "best": smoothed if better else now["best"], "stall": 0 if better else now["stall"] + 1,
+                    "done": now["done"] + 1}
+            now["over"] = now["stall"] >= max_no_improvement or now["done"] >= most
+
+        def ended(now: dict, rest: np.ndarray) -> pd.DataFrame:
+            if len(rest) and not now["over"]:
+                step(now, rest)
+            return pd.DataFrame([{**now, "centers": now["centers"].ravel().tolist(), "seen": now["seen"].tolist()}])[
+                ["fit", "centers", "seen", "smoothed", "best", "stall", "done", "over"]]
+
+        def fold(parts):
+            now, rest = None, None
+            for pdf in parts:
+                for i, own in pdf.groupby("_fit"):
+                    if now is None or now["fit"] != i:
+                        if now is not None:
+                            yield ended(now, rest)
+                        old = sent.value[0][i]
+                        now = {**old, "fit": i, "over": False, "centers": old["centers"].copy(), "seen": old["seen"].copy()}
+                        rest = np.empty((0, sent.value[1][i]))
+                    if now["over"]:
+                        continue
+                    rest = np.concatenate([rest, own[[f"_x{j}" for j in range(rest.shape[1])]].to_numpy(dtype=float)])
+                    while len(rest) >= batch_size and not now["over"]:
+                        step(now, rest[:batch_size])
+                        rest = rest[batch_size:]
+            if now is not None:
+                yield ended(now, rest)
+
+        # only a fit's own columns travel; a task may get two fits, one after the other
+        own = [F.coalesce(*[F.when(F.col("_fit") == i, F.col(cols[fits[i].at[j]])) for i in running if j < len(fits[i].at)]).alias(f"_x{j}")
+               for j in range(max(len(fits[i].at) for i in running))]
+        drawn = draw_batches(df, cols, share, running, draw).select("_fit", "_u", *own)
+        found = drawn.repartition(2 * len(running), "_fit").sortWithinPartitions("_fit", "_u").mapInPandas(fold, _MINI).collect()  # one row per fit
         for r in found:
             states[r.fit] = {"centers": np.array(r.centers).reshape(fits[r.fit].k, -1), "seen": np.array(r.seen),
                              "smoothed": r.smoothed, "best": r.best, "stall": r.stall, "done": r.done}

@@ -108,3 +108,50 @@ def test_a_bad_start_loses_the_race(spark):
     assert sum(f.dropped_at is not None for f in raced) >= 1
     assert np.abs(np.sort(best.centers, axis=0) - np.sort(middles, axis=0)).max() < 0.2
     df.unpersist()
+
+
+def test_a_frame_in_one_partition_is_spread_over_all_cores(spark, monkeypatch):
+    from cohortlens.operators import partials
+    from cohortlens.operators import scaling as SC
+    from cohortlens.plans import training as TR
+    df = spark.createDataFrame([(float(i % 50), float(i % 7)) for i in range(900)], "income_k double, score double").coalesce(1)
+    scalers = [SC.fit_standard(df)]
+    monkeypatch.setattr(partials, "TASK_ROWS", 100)
+    frame, cols, _ = TR.joint_frame(df, scalers, 900)
+    assert frame.rdd.getNumPartitions() >= 9 and frame.count() == 900
+    frame.unpersist()
+    monkeypatch.undo()
+    frame, _, _ = TR.joint_frame(df, scalers, 900)  # a small table stays as it is
+    assert frame.rdd.getNumPartitions() == 1
+    frame.unpersist()
+
+
+def test_nearest_and_mixture_sums_equal_plain_ones():
+    rng = np.random.default_rng(1)
+    X, centers = np.round(rng.normal(size=(500, 3)), 1), np.round(rng.normal(size=(4, 3)), 1)
+    centers[2] = centers[1]  # ties go to the first
+    label, d2 = MF._nearest(X, centers)
+    assert (label == MF._distances(X, centers).argmin(axis=1)).all() and (d2 == MF._distances(X, centers).min(axis=1)).all()
+    cov = np.array([np.eye(3) * 0.5 + 0.1 * i for i in range(1, 5)])
+    weights = np.array([0.1, 0.2, 0.3, 0.4])
+    diff = X[:, None] - centers[None]
+    plain = np.log(weights) - 0.5 * (3 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + np.einsum("nki,kij,nkj->nk", diff, np.linalg.inv(cov), diff))
+    assert np.allclose(K._log_density(X, weights, centers, cov), plain)
+    r = np.exp(plain) / np.exp(plain).sum(axis=1, keepdims=True)
+    own = MF._em_part(X, [((0, 1, 2), centers, weights, cov)])
+    assert np.allclose(own, np.concatenate([r.sum(axis=0), (r.T @ X).ravel(), np.einsum("nk,ni,nj->kij", r, X, X).ravel(),
+                                            [np.log(np.exp(plain).sum(axis=1)).sum()]]))
+
+
+def test_mini_batch_jobs_grow_with_the_logarithm_of_the_batches(spark, monkeypatch):
+    df = spark.range(0, 400_000, 1, 4).selectExpr("double(id % 3) * 10 + rand(1) AS x", "rand(2) AS y").persist()
+    draws, whole = [], MF.draw_batches
+    monkeypatch.setattr(MF, "draw_batches", lambda *a: draws.append(a[2]) or whole(*a))
+    fits = [MF.Fit((0, 1), 3, 1), MF.Fit((0,), 3, 2)]  # fits of different columns share the draws
+    MF.start_kmeans(spark, MF.start_sample(df, XY, 400_000, 1), fits, lloyd=False)
+    MF.fit_minibatch(df, XY, fits, 400_000, batch_size=64, batches_per_draw=4)
+    assert max(f.n_iter for f in fits) > 500 and len(draws) < 40  # four batches a draw would be over 125 draws
+    assert max(draws) <= 1.01 and draws[0] == 4 * 64 / 400_000
+    for f in fits:
+        assert np.abs(np.sort(f.centers[:, 0]) - [0.5, 10.5, 20.5]).max() < 0.2
+    df.unpersist()
